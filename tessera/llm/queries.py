@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, token_counts, url_filters
+from . import chat, decontaminate, line_dedup, packing, quality, token_counts, url_filters
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +115,41 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_quality_rules"] = op9_quality_rules
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES["op2_line_dedup"] = op2_line_dedup
+ORACLE["op2_line_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+), units AS (
+  SELECT doc_id, i, line, part, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS r
+  FROM cut, (VALUES (0), (1)) parts(part)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') AND (part = 0 OR length(line) >= 200)
+), windows AS (
+  SELECT *, lead(line) OVER w AS line2, lead(part) OVER w AS part2, lead(i) OVER w AS i2 FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY r)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY line, part, line2, part2 ORDER BY doc_id, r) AS nth FROM windows WHERE line2 IS NOT NULL
+), gone AS (
+  SELECT doc_id, i FROM placed WHERE nth > 1 UNION SELECT doc_id, i2 FROM placed WHERE nth > 1
+), left_over AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.i IS NOT NULL) AS n_removed,
+         sha256(coalesce(string_agg(c.line, chr(10) ORDER BY c.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+  FROM cut c LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_removed, kept_sha256 FROM left_over
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
+QUERIES["op7_decontaminate"] = op7_decontaminate
