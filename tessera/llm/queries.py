@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, packing, quality, token_counts, url_filters
+from . import chat, decontaminate, jaccard_join, line_dedup, packing, quality, token_counts, url_filters
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +153,35 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_decontaminate"] = op7_decontaminate
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_jaccard_join"] = op4_jaccard_join
+ORACLE["op4_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+), tokens AS (
+  SELECT doc_id, unnest(s) AS t FROM sets
+), sized AS (
+  SELECT doc_id, len(s)::BIGINT AS n FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n + q.n - common)
+), near AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sized
+  UNION
+  SELECT r.doc_id, n.y FROM reach r JOIN near n ON n.x = r.other
+)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN sized USING (doc_id) GROUP BY doc_id
+"""
