@@ -45,6 +45,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Stands for a null id inside Python workers, where a column of whole numbers with nulls would turn into floats.
+NO_ID = -(1 << 63)
+
+
+def with_id(df: DataFrame, *others: str) -> DataFrame:
+    """``doc_id`` as a long without nulls, and the columns named."""
+    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), *others)
+
+
+def null_id(df: DataFrame) -> DataFrame:
+    """Undoes ``with_id``."""
+    return df.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+
+
 def require(df: DataFrame, columns: Iterable[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -30,14 +30,15 @@ def template(text: Column) -> Column:
     with its separators; a unit is a word of ``UNITS`` right after a number, attached or apart.
     """
     text = F.regexp_replace(text, MARK, "")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll}\d,;:] )\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*", NAME)
+    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\d,;:] .)\p{Ll}[\p{L}\p{M}'’-]*", NAME)
     text = F.regexp_replace(text, r"\d+(?:[.,:/]\d+)*", NUMBER)
-    text = F.regexp_replace(text, rf"(?i)(?<={NUMBER}|{NUMBER}\x20)(?:{UNITS})(?![\p{{L}}\p{{M}}\d])", UNIT)
+    text = F.regexp_replace(text, rf"(?i){NUMBER}(\x20?)(?:{UNITS})(?![\p{{L}}\p{{M}}\d])", f"{NUMBER}$1{UNIT}")
     return F.lower(text)
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACES), lambda w: w != "")
+    """The words of a text; a text without any gives one empty word, which no window holds."""
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), _SPACES)
 
 
 def _window_hashes(words: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, is_empty, materialize, require
+from .common import components, is_empty, materialize, null_id, require, with_id
 from .wordhash import hash_words, mix, window_hashes
 
 SHINGLE = 5
@@ -86,12 +86,11 @@ def _sets(docs: DataFrame, percent: int, widen: float) -> DataFrame:
                             zones.append(mix(some + np.uint64(z)).view(np.int64))
                 rows.append((doc_id, n, own, zones, wild))
             out = pd.DataFrame(rows, columns=["doc_id", "n", "class", "zones", "wild"])
-            out["doc_id"], out["class"] = out["doc_id"].astype("Int64"), out["class"].astype("Int64")
+            out["class"] = out["class"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        run, "doc_id long, n long, class long, zones array<array<long>>, wild boolean"
-    )
+    made = with_id(docs, "text").mapInPandas(run, "doc_id long, n long, class long, zones array<array<long>>, wild boolean")
+    return null_id(made)
 
 
 def _clusters(sets: DataFrame, percent: int) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require
+from .common import materialize, null_id, require, with_id
 
 #: Pieces of one length that are numbered together by a single task, about.
 RANK_GROUP = 4_000
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                     begin, piece, length = begin + length, piece + 1, capacity
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, _PIECES)
+    return null_id(with_id(docs, "text").mapInPandas(run, _PIECES))
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int, int]], int]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, line_dedup, packing, quality, token_counts, url_filters
+from . import chat, decontaminate, jaccard_join, line_dedup, packing, quality, substring_dedup, token_counts, url_filters
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -185,3 +185,32 @@ WITH RECURSIVE words AS (
 )
 SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN sized USING (doc_id) GROUP BY doc_id
 """
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_substring_dedup"] = op1_substring_dedup
+ORACLE["op1_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS t
+  FROM words WHERE len(w) >= 20
+), placed AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS nth FROM windows
+), later AS (
+  SELECT doc_id, list(s) AS starts FROM placed WHERE nth > 1 GROUP BY doc_id
+), flat AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM placed WHERE nth > 1
+), told AS (
+  SELECT f.doc_id, count(*) AS n_words, count(*) FILTER (g.i IS NOT NULL) AS n_removed,
+         sha256(coalesce(string_agg(word, ' ' ORDER BY f.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+  FROM flat f LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.i = f.i GROUP BY f.doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents LEFT JOIN told USING (doc_id)
+"""

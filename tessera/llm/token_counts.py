@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import require
+from .common import null_id, require, with_id
 
 #: Words whose counts a Python worker remembers; beyond it new words are counted anew.
 REMEMBERED = 300_000
@@ -130,4 +130,4 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                     n_tokens.append(sum([known[w] if w in known else of(w) for w in words]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n_words, "n_tokens": n_tokens})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    return null_id(with_id(docs, "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long"))
