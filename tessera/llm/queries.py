@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, line_dedup, packing, quality, substring_dedup, token_counts, url_filters
+from . import chat, decontaminate, jaccard_join, line_dedup, packing, quality, substring_dedup, token_counts, toxicity, url_filters
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -214,3 +214,17 @@ WITH words AS (
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
 FROM documents LEFT JOIN told USING (doc_id)
 """
+
+
+#: The categories that the table of labels tells of, in the order of the chain.
+CATEGORIES = (toxicity.Category("low_quality", "quality", 0), toxicity.Category("toxic", "toxic", 1))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the chain judges toxic; all are scored."""
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, _table(spark, sf_dir, "labels"), CATEGORIES)
+    return toxicity.score(docs, chain).where("toxic")
+
+
+QUERIES["op6_toxicity"] = op6_toxicity

@@ -1,18 +1,45 @@
-"""The stages of the pipeline: each applies one operator and carries out its decisions."""
+"""The stages of the pipeline: each applies one operator and carries out its decisions.
+
+A stage gets all that the one before it kept and returns the columns of ``documents``, but for the last.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, jaccard_join, line_dedup, packing
+from . import quality as rules
 
-from . import packing
+
+def _other(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that the base rules or the learned rules reject go."""
+    return rules.judge(docs, _other(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines go from the texts, and so do the documents of which no word is left."""
+    left = line_dedup.dedup_lines(docs)
+    whole = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    left = left.where(whole)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast("long"))
+    return left.select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of links stays."""
+    return jaccard_join.keep_representatives(docs)
 
 
-lines = near_copies = leaks = quality
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, _other(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
