@@ -69,6 +69,26 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+#: Bits of the screen: 256 bitmaps of 4 KB, whatever the number of keys.
+SCREEN_BITS = 1 << 23
+_MAP_BITS = 1 << 15
+
+
+def screen(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among those of ``wanted``, so that few others reach a later join.
+
+    The keys are hashed into a bitmap of a fixed size, which is broadcast; it lets all wanted rows pass,
+    and more of the others the more keys there are, up to all of them.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(SCREEN_BITS))
+    bits = wanted.select(place.alias("place")).groupBy((F.floor(F.col("place") / _MAP_BITS)).alias("_map"))
+    bits = materialize(bits.agg(F.bitmap_construct_agg(F.col("place") % _MAP_BITS).alias("_bits")), "screen")
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")
+    marked = df.withColumn("_map", F.floor(place / _MAP_BITS)).withColumn("_at", place % _MAP_BITS)
+    met = marked.join(F.broadcast(bits), "_map")
+    return met.where(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0).select(df.columns)
+
+
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(src, dst)`` as ``(node, component)``, the smallest node naming each.
 

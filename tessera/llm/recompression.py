@@ -6,8 +6,8 @@ import numpy as np
 
 from .wordhash import mix
 
-#: Rounds of naming; each joins about a quarter of all neighbours.
-ROUNDS = 5
+#: Rounds of naming pairs; each joins about a quarter of all neighbours.
+ROUNDS = 3
 _RUN, _PAIR = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xDA942042E4DD58B5)
 
 
@@ -76,70 +76,81 @@ def levels(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list[Lev
     return found
 
 
-def anchors(words: np.ndarray, doc: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of ``size`` words: whether it lies in one document, its symbol's name and first deciding word.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+class Spans:
+    """Hashes of any ranges of words by sums of powers, equal for equal ranges wherever they stand."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.back = np.cumprod(np.append(np.uint64(1), np.full(n, _BACK, dtype=np.uint64)))
+        up = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, dtype=np.uint64)))[:n]
+        self.sums = np.append(np.uint64(0), np.cumsum(words * up, dtype=np.uint64))
+
+    def hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64) * _RUN)
+
 
-    A window's symbol is of the highest level that has one decided by the window's own words, of these the
-    one with the least name, of these the first. So equal windows have equal symbols at equal places in
-    them, wherever they stand. A word decides itself, so every window has a symbol.
+def anchors(spans: Spans, words: np.ndarray, doc: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of ``size`` words: whether it lies in one document, its symbol and the symbol's first deciding word.
+
+    A window's symbol is one of the top level that the window's own words decide: that of the least hash
+    of its deciding words, and of equals the first; it goes by that hash, which tells more than the
+    name. Equal windows thus have equal symbols at equal places in them, wherever they stand. A
+    window that decides no symbol, such as one within a long run, takes a word instead.
     """
     n = len(words)
-    begin = np.searchsorted(doc, doc, side="left")
-    end = np.searchsorted(doc, doc, side="right")
+    begin, end = np.searchsorted(doc, doc, side="left"), np.searchsorted(doc, doc, side="right")
     whole = np.arange(n) + size <= end
     name, place = np.zeros(n, dtype=np.uint64), np.full(n, -1, dtype=np.int64)
     open_ = whole.copy()
     chain = levels(words, doc, rounds)
-    for level in (*chain[:3:-1], chain[0]):  # the lowest rounds tell hardly more than words do
+    for level in (chain[-1], chain[0]):
         if not open_.any():
             break
-        at_begin, at_end = np.searchsorted(doc, level.doc, side="left"), np.searchsorted(doc, level.doc, side="right")
+        at = np.minimum(np.maximum(level.low, 0), n - 1)
+        at_begin, at_end = np.where(level.low < 0, 0, begin[at]), end[at]
+        same = (doc[at] == level.doc) & (level.low >= 0) & (level.high < at_end)
         first, last = np.maximum(level.high - size + 1, at_begin), np.minimum(level.low, at_end - size)
-        good = np.flatnonzero((level.low >= at_begin) & (level.high < at_end) & (first <= last))
-        if level is chain[0]:  # only for windows that no higher symbol serves
+        good = np.flatnonzero(same & (first <= last))
+        if level is chain[0]:  # only for windows that no symbol serves
             reach = np.cumsum(np.append(0, open_))
             good = good[reach[last[good] + 1] > reach[first[good]]]
+        mark = spans.hash(level.low[good], level.high[good] + 1)
         length = last[good] - first[good] + 1
-        owner = np.repeat(good, length)
+        owner = np.repeat(np.arange(len(good)), length)
         window = np.repeat(first[good] - np.cumsum(length) + length, length) + np.arange(length.sum())
         use = open_[window]
         owner, window = owner[use], window[use]
         least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-        np.minimum.at(least, window, level.name[owner])
-        hit = level.name[owner] == least[window]
+        np.minimum.at(least, window, mark[owner])
+        hit = mark[owner] == least[window]
         owner, window = owner[hit], window[hit]
         spot = np.full(n, n, dtype=np.int64)
-        np.minimum.at(spot, window, level.low[owner])
-        done = np.unique(window) if len(window) < n // 4 else np.flatnonzero(spot < n)
+        np.minimum.at(spot, window, level.low[good][owner])
+        done = np.flatnonzero(spot < n)
         name[done], place[done] = least[done], spot[done]
         open_[done] = False
     return whole, name, place
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
-
-
 def stretches(words: np.ndarray, doc: np.ndarray, size: int, rounds: int = ROUNDS):
     """The runs of windows that share one symbol: ``(symbol, content, start, count)`` as four arrays.
 
     ``content`` is a hash of all words that the run's windows cover and of where the symbol stands among them.
     """
+    none = np.empty(0, np.int64)
     if not len(words):
-        none = np.empty(0, np.int64)
         return none.view(np.uint64), none.view(np.uint64), none, none
-    whole, name, place = anchors(words, doc, size, rounds)
+    spans = Spans(words)
+    whole, name, place = anchors(spans, words, doc, size, rounds)
     at = np.flatnonzero(whole)
     if not len(at):
-        return name[:0], name[:0], at, at
-    new = np.append(True, (np.diff(at) != 1) | (place[at][1:] != place[at][:-1]) | (name[at][1:] != name[at][:-1]) | (doc[at][1:] != doc[at][:-1]))
-    head = np.flatnonzero(new)
+        return none.view(np.uint64), none.view(np.uint64), none, none
+    new = (np.diff(at) != 1) | (np.diff(place[at]) != 0) | (np.diff(doc[at]) != 0) | (name[at][1:] != name[at][:-1])
+    head = np.flatnonzero(np.append(True, new))
     start, count = at[head], np.diff(np.append(head, len(at)))
-    n = len(words)
-    up = np.cumprod(np.append(np.uint64(1), np.full(n - 1, _BASE, dtype=np.uint64)))
-    down = np.cumprod(np.append(np.uint64(1), np.full(n - 1, _BACK, dtype=np.uint64)))
-    sums = np.append(np.uint64(0), np.cumsum(words * up, dtype=np.uint64))
-    stop = start + count + size - 1
-    content = (sums[stop] - sums[start]) * down[start]
-    content = mix(mix(content) + (stop - start).astype(np.uint64) * _RUN + (place[start] - start).astype(np.uint64) * _PAIR)
+    content = mix(spans.hash(start, start + count + size - 1) + (place[start] - start).astype(np.uint64) * _PAIR)
     return name[start], content, start, count

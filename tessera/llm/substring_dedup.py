@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, null_id, require, with_id
+from .common import materialize, null_id, require, screen, with_id
 from .recompression import stretches
-from .wordhash import hash_words, window_hashes
+from .wordhash import hash_words, portions, window_hashes
 
 #: Words of a window.
 WINDOW = 20
-#: Bytes of text, and words of one document, that are parsed at once; a longer document is parsed in overlapping parts.
-PARSED, PART = 1_500_000, 400_000
+#: Words of one document that are parsed at once; a longer document is parsed in overlapping parts.
+PART = 400_000
 #: A stretch is coded as start * CODE + count in the lists that go back to the documents.
 CODE = 1 << 10
 
@@ -26,18 +26,6 @@ def _encoded(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``PARSED`` bytes."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > PARSED:
-            yield begin, i
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _parts(at: np.ndarray, window: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """Ranges of words that can be parsed alone and the number of the text of each word.
 
@@ -65,7 +53,7 @@ def _named(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, all_texts = batch["doc_id"].to_numpy(), [_encoded(t) for t in batch["text"]]
-            for a, b in _portions(all_texts):
+            for a, b in portions(all_texts):
                 words, at = hash_words(all_texts[a:b])
                 for first, last, owner in _parts(at, window):
                     symbol, content, start, count = stretches(words[first:last], owner, window)
@@ -86,7 +74,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, codes, all_texts = batch["doc_id"].to_numpy(), batch["_codes"].to_list(), [_encoded(t) for t in batch["text"]]
-            for a, b in _portions(all_texts):
+            for a, b in portions(all_texts):
                 words, at = hash_words(all_texts[a:b])
                 hashes = window_hashes(words, window) if len(words) else words
                 for i in range(a, b):
@@ -117,7 +105,7 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     several = materialize(firsts.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol"), "varied-symbols")
     open_ = firsts.join(several, "symbol").select("first.doc_id", (F.col("first.start").cast("long") * CODE + F.col("first.n")).alias("code"))
     open_ = materialize(open_.groupBy("doc_id").agg(F.collect_list("code").alias("_codes")), "open-stretches")
-    windows = materialize(_windows(usable.join(open_, "doc_id"), window), "windows")
+    windows = materialize(_windows(screen(usable, "doc_id", open_).join(open_, "doc_id"), window), "windows")
     found = windows.groupBy("whole").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
     found = materialize(found.select("whole", "first"), "first-windows")
     single = windows.join(found, "whole").where(at > F.col("first")).select("doc_id", (F.col("start").cast("long") * CODE + 1).alias("code"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Bytes hashed at a time; the temporaries of a piece are about forty times as large.
@@ -10,6 +12,18 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def portions(texts: list[bytes], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``most`` bytes; a longer text is a range of its own."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), so that sums of products become hashes."""
     x = x ^ (x >> np.uint64(32))
