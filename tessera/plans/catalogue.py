@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tessera.plans import numeric, retrieval, tabular, texts
+
+QUERIES: dict = retrieval.QUERIES | texts.QUERIES | tabular.QUERIES | numeric.QUERIES
+ORACLE: dict[str, str] = retrieval.ORACLE | texts.ORACLE | tabular.ORACLE | numeric.ORACLE
