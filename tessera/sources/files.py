@@ -65,7 +65,7 @@ def read_texts(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("ut
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of pixel levels as ``x, y, level``; rows are numbered in file order."""
-    lines = spark.read.format("binaryFile").load(path).select(F.split(F.trim(F.decode("content", "UTF-8")), r"\r?\n").alias("rows"))
+    lines = spark.read.format("binaryFile").load(path).select(F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\s+\z", ""), r"\r?\n").alias("rows"))
     rows = lines.select(F.posexplode("rows").alias("y", "row"))
     return rows.select("y", F.posexplode(F.split("row", ",")).alias("x", "v")).select("x", "y", F.col("v").try_cast("double").alias("level"))
 
