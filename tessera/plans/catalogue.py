@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tessera.plans import numeric, retrieval, tabular, texts
+from tessera.plans.registry import Query
 
-QUERIES: dict = retrieval.QUERIES | texts.QUERIES | tabular.QUERIES | numeric.QUERIES
-ORACLE: dict[str, str] = retrieval.ORACLE | texts.ORACLE | tabular.ORACLE | numeric.ORACLE
+_PARTS = (retrieval.query, texts.query, tabular.query, numeric.query)
+QUERIES: dict[str, Query] = {name: q for part in _PARTS for name, q in part.queries.items()}
+ORACLE: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.oracle.items()}

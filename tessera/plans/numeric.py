@@ -13,19 +13,9 @@ from tessera.operators import quote as Q
 from tessera.operators import tables as B
 from tessera.session import table
 from tessera.streaming import grid as G
+from tessera.plans.registry import Registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
 
 
 @query("""SELECT p_partkey, round(1.5 + 0.25 * p_size - 0.01 * p_size * p_size, 8) AS value, round(0.25 - 0.02 * p_size, 8) AS slope FROM part""")

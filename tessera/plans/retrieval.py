@@ -9,21 +9,9 @@ from tessera.functions import numbers as N
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.session import table
+from tessera.plans.registry import Registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with the SQL that it must agree with."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
 
 
 def _asked(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (0,)) -> DataFrame:

@@ -11,19 +11,9 @@ from tessera.operators import resolve as E
 from tessera.operators import tables as B
 from tessera.session import table
 from tessera.sources import files as S
+from tessera.plans.registry import Registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
 
 
 @query("""SELECT 'min' AS stat, min(l_quantity) AS l_quantity, min(l_discount) + 0.0 AS l_discount, min(l_tax) + 0.0 AS l_tax FROM lineitem

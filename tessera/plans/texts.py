@@ -12,19 +12,9 @@ from tessera.operators import chunking as C
 from tessera.operators import mail as M
 from tessera.operators import tables as B
 from tessera.session import table
+from tessera.plans.registry import Registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"

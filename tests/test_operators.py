@@ -202,6 +202,6 @@ def test_plans_push_down(spark):
     """A scan reads the columns and tests the filters that the query names, and no more."""
     from tessera.plans import tabular
 
-    plan = tabular.QUERIES["semi_with_solution"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = tabular.query.queries["semi_with_solution"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,100000.0)" in plan
     assert "o_orderpriority" not in plan
