@@ -74,19 +74,25 @@ SCREEN_BITS = 1 << 23
 _MAP_BITS = 1 << 15
 
 
-def screen(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be among those of ``wanted``, so that few others reach a later join.
+def marked(df: DataFrame, key: str, wanted: DataFrame, mark: str = "_maybe") -> DataFrame:
+    """Adds whether ``key`` may be among the keys of ``wanted``; where it says no, it is not.
 
-    The keys are hashed into a bitmap of a fixed size, which is broadcast; it lets all wanted rows pass,
-    and more of the others the more keys there are, up to all of them.
+    The keys are hashed into a bitmap of a fixed size, which is broadcast. It marks all wanted rows, and more
+    of the others the more keys there are, up to all of them. A null key is not marked.
     """
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(SCREEN_BITS))
     bits = wanted.select(place.alias("place")).groupBy((F.floor(F.col("place") / _MAP_BITS)).alias("_map"))
     bits = materialize(bits.agg(F.bitmap_construct_agg(F.col("place") % _MAP_BITS).alias("_bits")), "screen")
     byte = F.expr("cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")
-    marked = df.withColumn("_map", F.floor(place / _MAP_BITS)).withColumn("_at", place % _MAP_BITS)
-    met = marked.join(F.broadcast(bits), "_map")
-    return met.where(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0).select(df.columns)
+    placed = df.withColumn("_map", F.floor(place / _MAP_BITS)).withColumn("_at", place % _MAP_BITS)
+    hit = byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0
+    met = placed.join(F.broadcast(bits), "_map", "left").withColumn(mark, F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull())
+    return met.select(*df.columns, mark)
+
+
+def screen(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` that ``marked`` marks, so that few others reach a later join."""
+    return marked(df, key, wanted).where("_maybe").drop("_maybe")
 
 
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:

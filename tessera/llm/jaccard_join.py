@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, is_empty, materialize, null_id, require, with_id
-from .wordhash import hash_words, mix, window_hashes
+from .common import components, is_empty, materialize, null_id, require, screen, with_id
+from .wordhash import hash_words, mix, portions, window_hashes
 
 SHINGLE = 5
 #: Similarity at which two documents link, as a percentage, so that the test is in whole numbers.
@@ -41,10 +41,14 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield np.empty(0, dtype=np.uint64)
 
 
+#: The lowest bits of a class number are free for the number of a zone.
+ZONE_BITS = 2
+
+
 def _class_of(tokens: np.ndarray) -> int:
     """One number for a set; equal sets have equal numbers."""
     total = np.append(mix(tokens), np.uint64(len(tokens) * 0x9E3779B97F4A7C15 % (1 << 64))).sum(dtype=np.uint64, keepdims=True)
-    return int(mix(total).view(np.int64)[0])
+    return int(mix(total).view(np.int64)[0]) >> ZONE_BITS << ZONE_BITS
 
 
 def _prefix_size(n: int, percent: int) -> int:
@@ -56,64 +60,92 @@ def _lowered(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
+def _zones(tokens: np.ndarray, percent: int, widen: float) -> Iterator[tuple[int, np.ndarray]]:
+    """The zones of a set, each with the tokens that it enters the matrix with.
+
+    Below 80 percent the zones would not overlap enough, so there is one with all tokens.
+    """
+    n = len(tokens)
+    for z, (least, below, share) in enumerate(ZONES if percent >= 80 else ((1, 1 << 62, 1.0),)):
+        if least <= n < below:
+            share = min(1.0, share * widen)
+            yield z, tokens if share == 1.0 else tokens[: np.searchsorted(tokens, np.uint64(int(share * (1 << 64))))]
+
+
 def _sets(docs: DataFrame, percent: int, widen: float) -> DataFrame:
-    """``doc_id, n, class, zones, wild``: size and class of each set and, once a task and class, its tokens by zone.
+    """``doc_id, n, class, t, wild``: size and class of each set and its tokens by zone, of which -1 means that it is not in it.
 
-    A set is wild if a zone's share of its tokens is too small to promise a meeting.
+    A set is wild if it has too few tokens in a zone to promise a meeting.
     """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, texts = batch["doc_id"].to_numpy(), [_lowered(t) for t in batch["text"]]
+            for a, b in portions(texts):
+                n, own, held, wild = [], [], [], []
+                for tokens in shingle_sets(texts[a:b]):
+                    t = [-1] * len(ZONES)
+                    for z, some in _zones(tokens, percent, widen):
+                        t[z] = len(some)
+                    n.append(len(tokens))
+                    own.append(_class_of(tokens) if len(tokens) else None)
+                    held.append(t)
+                    wild.append(any(0 <= x < _prefix_size(len(tokens), percent) for x in t))
+                # whole numbers with nulls, which a plain column would turn into floats and round
+                exact = pd.array(own, dtype="Int64")
+                yield pd.DataFrame({"doc_id": ids[a:b], "n": n, "class": exact, "t": held, "wild": wild})
+
+    return null_id(with_id(docs, "text").mapInPandas(run, "doc_id long, n long, class long, t array<int>, wild boolean"))
+
+
+def _matrix(docs: DataFrame, percent: int, widen: float) -> DataFrame:
+    """``key, token``: the tokens of each class by zone, once a task; the key holds class and zone."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
             texts = [_lowered(t) for t in batch["text"]]
-            rows = []
-            for doc_id, tokens in zip(batch["doc_id"], shingle_sets(texts), strict=True):
-                n = len(tokens)
-                if not n:
-                    rows.append((doc_id, 0, None, None, False))
-                    continue
-                own, wild, zones = _class_of(tokens), False, None
-                if own not in seen:
+            for a, b in portions(texts):
+                keys, parts = [], []
+                for tokens in shingle_sets(texts[a:b]):
+                    own = _class_of(tokens) if len(tokens) else None
+                    if own is None or own in seen:
+                        continue
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(own)
-                    zones = []
-                    for z, (least, below, share) in enumerate(ZONES):
-                        if least <= n < below:
-                            share = min(1.0, share * widen)
-                            some = tokens if share == 1.0 else tokens[: np.searchsorted(tokens, np.uint64(int(share * (1 << 64))))]
-                            wild |= len(some) < _prefix_size(n, percent)
-                            zones.append(mix(some + np.uint64(z)).view(np.int64))
-                rows.append((doc_id, n, own, zones, wild))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "class", "zones", "wild"])
-            out["class"] = out["class"].astype("Int64")
-            yield out
-
-    made = with_id(docs, "text").mapInPandas(run, "doc_id long, n long, class long, zones array<array<long>>, wild boolean")
-    return null_id(made)
-
-
-def _clusters(sets: DataFrame, percent: int) -> DataFrame:
+                    for z, some in _zones(tokens, percent, widen):
+                        keys.append(np.full(len(some), own | z, dtype=np.int64))
+                        parts.append(mix(some + np.uint64(z)).view(np.int64))
+                if keys:
+                    yield pd.DataFrame({"key": np.concatenate(keys), "token": np.concatenate(parts)})
+
+    return docs.select("text").mapInPandas(run, "key long, token long")
+
+
+def _clusters(docs: DataFrame, sets: DataFrame, percent: int, widen: float) -> DataFrame:
     """``class, cluster``: classes that may link, directly or over others; those that cannot are left out.
 
     The prefix of a set is made of its rarest tokens of a zone. Sets that link share a token of both
     prefixes, so the components of "share a prefix token" contain those of the links.
     """
-    tokens = sets.where("zones is not null").select("class", "n", F.posexplode("zones").alias("z", "zone"))
-    sized = tokens.select("class", "z", "n", F.size("zone").alias("t")).dropDuplicates(["class", "z"])
+    one = sets.where("n > 0").select("class", "n", "t").dropDuplicates(["class"])
+    sized = one.select("class", "n", F.posexplode("t").alias("z", "t")).where("t >= 0")
+    sized = sized.select(F.col("class").bitwiseOR(F.col("z").cast("long")).alias("key"), "n", "t")
     of = "over (partition by token)"
     shared = (
-        tokens.select("class", "z", F.explode("zone").alias("token"))
-        .selectExpr("class", "z", "token", f"count(*) {of} as freq", f"min(class) {of} as lo", f"max(class) {of} as hi")
+        _matrix(docs, percent, widen)
+        .selectExpr("key", "token", f"count(*) {of} as freq", f"min(key) {of} as lo", f"max(key) {of} as hi")
         .where("lo != hi")
-        .select("class", "z", "token", "freq")
+        .select("key", "token", "freq")
     )
     shared = materialize(shared, "shared-tokens")
-    ranked = shared.groupBy("class", "z").agg(F.sort_array(F.collect_set(F.struct("freq", "token"))).alias("some"))
-    ranked = ranked.join(sized, ["class", "z"])
+    ranked = shared.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("freq", "token"))).alias("some"))
+    ranked = ranked.join(sized, "key")
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (t - size(some))")
-    postings = ranked.select("class", F.explode(F.slice("some", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("s"))
-    postings = materialize(postings.select("class", "s.token"), "postings")
+    postings = ranked.select("key", F.explode(F.slice("some", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("s"))
+    own = F.shiftleft(F.shiftright("key", ZONE_BITS), ZONE_BITS).alias("class")
+    postings = materialize(postings.select(own, "s.token"), "postings")
     least = materialize(postings.groupBy("token").agg(F.min("class").alias("hub")), "hubs")
     edges = postings.join(least, "token").where("class != hub").select(F.col("class").alias("src"), F.col("hub").alias("dst"))
     return components(edges, "clusters").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
@@ -194,7 +226,7 @@ def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, percent: int)
         edges = solve(group["class"].tolist(), [_lowered(t) for t in group["text"]], percent)
         return pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
 
-    return texts.join(placed, "rep").groupBy("cluster", "b", "c").applyInPandas(run, "src long, dst long")
+    return screen(texts, "rep", placed).join(placed, "rep").groupBy("cluster", "b", "c").applyInPandas(run, "src long, dst long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -223,7 +255,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if widen >= 8 or is_empty(sets.where("wild")):
             break
         widen *= 2  # some set kept too few tokens by chance: keep more of all; at 1.0 none can
-    clusters = materialize(_clusters(sets, percent), "clusters")
+    clusters = materialize(_clusters(docs, sets, percent, widen), "clusters")
     edges = materialize(_links(docs, sets, clusters, percent), "class-links")
     joined = materialize(components(edges, "class-components"), "class-components")
     rows = sets.select("doc_id", "n", "class").join(joined.withColumnRenamed("node", "class"), "class", "left")
