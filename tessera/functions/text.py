@@ -223,10 +223,14 @@ def passes_chunk_quality(text: Column, least_chars: int = 100, least_words: int
     return (F.char_length(text) >= least_chars) & (F.regexp_count(text, F.lit("[a-zA-Z]{2,}")) >= least_words)
 
 
-def query_variants(question: Column, most: int = 3) -> Column:
-    """The question, with positive terms behind and before it and with negative ones, distinct, at most ``most``."""
+def query_variants(question: Column, most: int = 3, brand: str = "") -> Column:
+    """The question, with positive terms behind and before it and with negative ones, distinct, at most ``most``.
+
+    The positive terms begin with the brand if the question names it (in any case), else with ``vendor``.
+    """
     base = squeeze(F.coalesce(question, F.lit("")))
-    anchor = F.when(F.contains(F.upper(base), F.lit("PVTECH")), "PVTECH").otherwise("vendor")
+    named = F.contains(F.upper(base), F.lit(brand.upper())) if brand else F.lit(False)
+    anchor = F.when(named, brand).otherwise("vendor")
     positive = F.concat(anchor, F.lit(" catalog product series"))
     negative = "-(PFAS OR SVHC OR quotation OR RFQ OR UVA OR UVB OR 365nm OR Bridgelux OR Seoul)"
     made = F.array(base, F.concat_ws(" ", base, positive), F.concat_ws(" ", positive, base), F.concat_ws(" ", base, F.lit(negative)))

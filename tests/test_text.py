@@ -127,8 +127,8 @@ def test_links(spark):
 
 
 def test_query_variants(spark):
-    found = apply(spark, T.query_variants, ["PVTECH  lamp", "", "x"])
-    assert found[0][:2] == ["PVTECH lamp", "PVTECH lamp PVTECH catalog product series"]
+    found = apply(spark, lambda q: T.query_variants(q, brand="ACME"), ["Acme  lamp", "", "x"])
+    assert found[0][:2] == ["Acme lamp", "Acme lamp ACME catalog product series"]
     assert found[1] == [""]
     assert len(found[2]) == 3
 
