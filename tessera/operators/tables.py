@@ -26,7 +26,8 @@ def column_statistics(df: DataFrame, columns: Sequence[str], label: str | None =
 def percent_of_total(df: DataFrame, group: str, value: Column, name: str = "total") -> DataFrame:
     """Sums by group with their share of the grand total in percent."""
     sums = df.groupBy(group).agg(F.sum(value).alias(name))
-    return sums.withColumn("percent", 100.0 * F.col(name) / F.sum(name).over(Window.partitionBy(F.lit(1))))
+    whole = sums.agg(F.sum(name).alias("_whole"))  # one row
+    return sums.crossJoin(F.broadcast(whole)).withColumn("percent", 100.0 * F.col(name) / F.col("_whole")).drop("_whole")
 
 
 def with_total(df: DataFrame, group: str, value: Column, unit: float = 1.0, label: str = "TOTAL") -> DataFrame:
@@ -57,7 +58,7 @@ def latest_dated(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str | None, order: Sequence[str], name: str = "seq") -> DataFrame:
-    """Rows numbered from 1 within their key."""
+    """Rows numbered from 1 within their key; without a key in one task, which is meant for small results only."""
     w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(1))).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w))
 
@@ -146,8 +147,8 @@ def kth(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
 
 def page(df: DataFrame, order: Sequence[str | Column], limit: int) -> DataFrame:
     """The first rows in order, each with the number of all rows and of those shown."""
-    total = Window.partitionBy(F.lit(1))
-    out = df.withColumn("total", F.count("*").over(total)).orderBy(*order).limit(limit)
+    total = df.agg(F.count("*").alias("total"))  # one row
+    out = df.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))
     return out.withColumn("shown", F.least(F.col("total"), F.lit(limit)))
 
 
