@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -23,11 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written and not dropped.
+_written: set[str] = set()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder as a table and returns a scan of it.
 
     This cuts lineage: a lost executor costs a re-read, not a recomputation, and the shuffle
-    files behind the table are released as soon as it is written.
+    files behind the table are released as soon as it is written. ``drop`` removes a table that nothing
+    needs any more; what is left goes with ``sweep``, at the latest when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -37,7 +44,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    scan = spark.read.schema(df.schema).parquet(path)
+    scan._table = path
+    return scan
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes materialised tables. All that was built on them must have been written itself."""
+    for t in tables:
+        _remove(t.sparkSession, t._table)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all tables that this process has written; results that were not stored elsewhere are lost."""
+    for path in list(_written):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def _sweep_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            sweep(spark)
+
+
+atexit.register(_sweep_at_exit)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,8 +146,9 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     state = materialize(both.where("a > b").distinct(), label)
     seen = None
     for _ in range(most_rounds):
-        state = _star(state, label, large=True)
-        state = _star(state, label, large=False)
+        for large in (True, False):
+            before, state = state, _star(state, label, large)
+            drop(before)
         # both sums together are a fingerprint of the edge set; it is a star forest once they stand still
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -137,4 +176,6 @@ def _star(state: DataFrame, label: str, large: bool) -> DataFrame:
     moved = near.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return materialize(moved.where("a > b").distinct(), label)
+    out = materialize(moved.where("a > b").distinct(), label)
+    drop(least)
+    return out

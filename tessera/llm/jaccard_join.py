@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, is_empty, materialize, null_id, require, screen, with_id
+from .common import components, drop, is_empty, materialize, null_id, require, screen, with_id
 from .wordhash import hash_words, mix, portions, window_hashes
 
 SHINGLE = 5
@@ -146,9 +146,12 @@ def _clusters(docs: DataFrame, sets: DataFrame, percent: int, widen: float) -> D
     postings = ranked.select("key", F.explode(F.slice("some", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("s"))
     own = F.shiftleft(F.shiftright("key", ZONE_BITS), ZONE_BITS).alias("class")
     postings = materialize(postings.select(own, "s.token"), "postings")
+    drop(shared)
     least = materialize(postings.groupBy("token").agg(F.min("class").alias("hub")), "hubs")
     edges = postings.join(least, "token").where("class != hub").select(F.col("class").alias("src"), F.col("hub").alias("dst"))
-    return components(edges, "clusters").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    found = components(edges, "clusters").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    drop(postings, least)
+    return found
 
 
 def solve(classes: list[int], texts: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -257,6 +260,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         widen *= 2  # some set kept too few tokens by chance: keep more of all; at 1.0 none can
     clusters = materialize(_clusters(docs, sets, percent, widen), "clusters")
     edges = materialize(_links(docs, sets, clusters, percent), "class-links")
+    drop(clusters)
     joined = materialize(components(edges, "class-components"), "class-components")
     rows = sets.select("doc_id", "n", "class").join(joined.withColumnRenamed("node", "class"), "class", "left")
     rows = materialize(rows.select("doc_id", "n", F.coalesce("component", "class").alias("component")), "judged-sets")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, require
+from .common import drop, let, marked, materialize, require
 
 #: A run is repeated if it has so many units; this is the winnowing guarantee.
 GUARANTEE = 2
@@ -55,14 +55,18 @@ def repeated_lines(docs: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
     # a fingerprint matters if it stands in two places: the least and the greatest differ
     at = F.struct("doc_id", "place")
     marks = rows.groupBy("mark").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("mark")
-    shared = rows.join(materialize(marks, "marks"), "mark").drop("mark", "place")
-    shared = materialize(shared, "shared-windows")
+    marks = materialize(marks, "marks")
+    shared = materialize(rows.join(marks, "mark").drop("mark", "place"), "shared-windows")
+    drop(rows, marks)
     # a shared fingerprint is extended both ways over its window; runs are chains of windows that match whole
     at = F.struct("doc_id", "start")
     first = shared.groupBy("whole").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
-    later = shared.join(materialize(first.select("whole", "first"), "first-windows"), "whole").where(at > F.col("first"))
-    per_window = later.select("doc_id", F.explode("lines").alias("line")).distinct()
-    return per_window.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    first = materialize(first.select("whole", "first"), "first-windows")
+    later = shared.join(first, "whole").where(at > F.col("first"))
+    lines = later.select("doc_id", F.explode("lines").alias("line")).distinct().groupBy("doc_id")
+    gone = materialize(lines.agg(F.sort_array(F.collect_list("line")).alias("lines")), "gone-lines")
+    drop(shared, first)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
@@ -84,7 +88,10 @@ def dedup_lines(docs: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
     require(docs, ["doc_id", "text"])
     docs = docs.drop("n_lines", "n_removed", "_gone")
     gone = repeated_lines(docs, guarantee).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
-    out = docs.join(materialize(gone, "gone-lines"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    known = marked(docs, "doc_id", gone.select(F.col("_id").alias("doc_id")))
+    changed = known.where("_maybe").join(gone, F.col("doc_id") == F.col("_id"), "left")
+    whole = known.where("not _maybe").withColumn("_gone", F.lit(None).cast("array<int>"))  # these need no exchange
+    out = changed.select(*docs.columns, "_gone").unionByName(whole.select(*docs.columns, "_gone"))
 
     def kept(lines: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))

@@ -216,3 +216,12 @@ def judge(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     out = statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("reason", decision_list(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull())
+
+
+def only_kept(judged: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns named of the rows that are kept.
+
+    A plain filter would be pushed below the statistics and compute them once for each time that it
+    mentions them; a generator that gives one row or none stays above them.
+    """
+    return judged.select(*columns, F.explode(F.filter(F.array("kept"), lambda k: k)).alias("_kept")).drop("_kept")

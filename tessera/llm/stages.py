@@ -19,7 +19,7 @@ def _other(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned rules reject go."""
-    return rules.judge(docs, _other(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    return rules.only_kept(rules.judge(docs, _other(spark, sf_dir, "labels")), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, null_id, require, screen, with_id
+from .common import drop, materialize, null_id, require, screen, with_id
 from .recompression import stretches
 from .wordhash import hash_words, portions, window_hashes
 
@@ -90,9 +90,10 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 def repeated_stretches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, _codes``: for each document the windows that also start earlier, as stretches start * CODE + count."""
     usable = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    rows = materialize(_named(usable, window), "stretches")
-    shared = materialize(rows.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol"), "shared-symbols")
-    rows = materialize(rows.join(shared, "symbol"), "shared-stretches")
+    named = materialize(_named(usable, window), "stretches")
+    shared = materialize(named.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol"), "shared-symbols")
+    rows = materialize(named.join(shared, "symbol"), "shared-stretches")
+    drop(named, shared)
     # equal stretches hold equal windows: all but the first are repeats as a whole
     at = F.struct("doc_id", "start")
     firsts = rows.groupBy("symbol", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"), F.count("*").alias("c"))
@@ -105,11 +106,14 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     several = materialize(firsts.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol"), "varied-symbols")
     open_ = firsts.join(several, "symbol").select("first.doc_id", (F.col("first.start").cast("long") * CODE + F.col("first.n")).alias("code"))
     open_ = materialize(open_.groupBy("doc_id").agg(F.collect_list("code").alias("_codes")), "open-stretches")
+    drop(rows, firsts, several)
     windows = materialize(_windows(screen(usable, "doc_id", open_).join(open_, "doc_id"), window), "windows")
     found = windows.groupBy("whole").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
     found = materialize(found.select("whole", "first"), "first-windows")
     single = windows.join(found, "whole").where(at > F.col("first")).select("doc_id", (F.col("start").cast("long") * CODE + 1).alias("code"))
-    return later.unionByName(single).groupBy("doc_id").agg(F.collect_list("code").alias("_codes"))
+    gone = materialize(later.unionByName(single).groupBy("doc_id").agg(F.collect_list("code").alias("_codes")), "gone-stretches")
+    drop(later, open_, windows, found)
+    return gone
 
 
 def _kept(words: list[bytes], codes, window: int) -> list[bytes]:
@@ -128,7 +132,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     """Removes every word that lies in a window of ``window`` words which also starts earlier.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` for every row, and ``kept_text`` if asked for: the
-    words that are left, joined by one blank. Words are the runs outside \\\\x20 and \\\\x09-\\\\x0D. Earlier means a
+    words that are left, joined by one blank. Words are the runs outside \\x20 and \\x09-\\x0D. Earlier means a
     smaller doc_id, or the same document and an earlier start; windows are those of the input.
 
     Recompression names runs and pairs of words and of names in rounds (``recompression``). A name is a hash
@@ -143,7 +147,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     columns are ignored.
     """
     require(docs, ["doc_id", "text"])
-    gone = materialize(repeated_stretches(docs, window), "gone-stretches")
+    gone = repeated_stretches(docs, window)
     joined = with_id(docs, "text").join(gone, "doc_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
