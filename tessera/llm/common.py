@@ -10,18 +10,24 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Removes the shuffle files of a query once it has ended (Spark 4.1).
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: the shuffle files behind it go once it is there, and batches for Python
+#: workers hold a few megabytes, however long the texts are.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 _LOCAL_DEFAULT = "/tmp/checkpoints"
 #: White space that separates words: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or _LOCAL_DEFAULT
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _LOCAL_DEFAULT
     return found.rstrip("/")
 
 
@@ -38,12 +44,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _written.add(path)
     scan = spark.read.schema(df.schema).parquet(path)
     scan._table = path
@@ -144,22 +152,25 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     # every state is (a, b) with a > b: b is the smaller neighbour
     both = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
     state = materialize(both.where("a > b").distinct(), label)
-    seen = None
     for _ in range(most_rounds):
+        if _is_star_forest(state):
+            break
         for large in (True, False):
             before, state = state, _star(state, label, large)
             drop(before)
-        # both sums together are a fingerprint of the edge set; it is a star forest once they stand still
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _is_star_forest(state: DataFrame) -> bool:
+    """Whether every node but the smaller ends has one edge, and no smaller end has a smaller neighbour."""
+    several = state.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    chained = state.join(state.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+    return is_empty(several.unionByName(chained))
+
+
 def _star(state: DataFrame, label: str, large: bool) -> DataFrame:
     """Large star: every larger neighbour of a node is linked to its least neighbour (itself included).
     Small star: every smaller neighbour of a node, and the node, are linked to the least of them."""
