@@ -77,12 +77,15 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             for a, b in portions(all_texts):
                 words, at = hash_words(all_texts[a:b])
                 hashes = window_hashes(words, window) if len(words) else words
+                made: list[tuple[np.ndarray, ...]] = []
                 for i in range(a, b):
                     some = np.unique(np.asarray(codes[i], dtype=np.int64))
                     start, count = some // CODE, some % CODE
                     where = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
                     where = where[where + window <= at[i - a + 1] - at[i - a]]
-                    yield pd.DataFrame({"whole": hashes[at[i - a] + where].view(np.int64), "doc_id": ids[i], "start": where.astype(np.int32)})
+                    made.append((hashes[at[i - a] + where].view(np.int64), np.full(len(where), ids[i]), where.astype(np.int32)))
+                whole, whose, where = (np.concatenate(parts) for parts in zip(*made, strict=True))
+                yield pd.DataFrame({"whole": whole, "doc_id": whose, "start": where})
 
     return docs.select("doc_id", "text", "_codes").mapInPandas(run, "whole long, doc_id long, start int")
 
