@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ MARK, NAME, NUMBER, UNIT = "\x01", "\x01n", "\x01d", "\x01u"
 #: Units of measure that follow a number (fixed values).
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|yd|l|ml|gal|h|hr|hrs|min|s|sec|ms|days?|hours?|minutes?|seconds?|years?|miles?|meters?|metres?|grams?|dollars?|euros?|cents?|percent|mph|kmh|kw|w|v|a|hz|mb|gb|tb"
 _SPACES = r"[\x20\x09-\x0D]+"
+#: A capitalised word after a word that does not end a sentence, and one anywhere.
+_NAME_INSIDE = r"\p{Lu}(?<=[\p{Ll}\d,;:] .)\p{Ll}[\p{L}\p{M}'’-]*"
+_NAME_ANYWHERE = r"\p{Lu}(?<![\p{L}\p{M}\d'’-].)\p{Ll}[\p{L}\p{M}'’-]*"
+
+
+def _measured(text: Column) -> Column:
+    """The text with numbers and the units after them replaced."""
+    text = F.regexp_replace(F.translate(text, MARK, ""), r"\d+(?:[.,:/]\d+)*", NUMBER)
+    return F.regexp_replace(text, rf"(?i){NUMBER}(\x20?)(?:{UNITS})(?![\p{{L}}\p{{M}}\d])", f"{NUMBER}$1{UNIT}")
 
 
 def template(text: Column) -> Column:
@@ -29,11 +40,7 @@ def template(text: Column) -> Column:
     A name is a capitalised word after a word that does not end a sentence; a number is a run of digits
     with its separators; a unit is a word of ``UNITS`` right after a number, attached or apart.
     """
-    text = F.regexp_replace(text, MARK, "")
-    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\d,;:] .)\p{Ll}[\p{L}\p{M}'’-]*", NAME)
-    text = F.regexp_replace(text, r"\d+(?:[.,:/]\d+)*", NUMBER)
-    text = F.regexp_replace(text, rf"(?i){NUMBER}(\x20?)(?:{UNITS})(?![\p{{L}}\p{{M}}\d])", f"{NUMBER}$1{UNIT}")
-    return F.lower(text)
+    return F.lower(F.regexp_replace(_measured(text), _NAME_INSIDE, NAME))
 
 
 def _words(text: Column) -> Column:
@@ -41,84 +48,124 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), _SPACES)
 
 
-def _window_hashes(words: Column) -> Column:
-    """Hash of each window of ``WINDOW`` words, or null for one with too few literal words."""
+def _prepared(table: DataFrame, key: str) -> DataFrame:
+    """The words of each text (``o``) and, word for word, three templates of it with single blanks between them:
+    names as in ``template`` (``t``), every capitalised word a name (``a``), and none (``l``)."""
+    rows = table.where(f"{key} is not null and text is not null").select(F.col(key), _words(F.translate("text", MARK, "")).alias("o"))
+    rows = rows.select(key, "o", _measured(F.array_join("o", " ")).alias("m"))
+    split = lambda text: F.split(F.lower(text), " ")
+    return rows.select(
+        key, "o", split(F.regexp_replace("m", _NAME_INSIDE, NAME)).alias("t"), split(F.regexp_replace("m", _NAME_ANYWHERE, NAME)).alias("a"), split(F.col("m")).alias("l")
+    )
 
-    def of(hashed: Column) -> Column:
-        get = lambda i, j: F.get(hashed, i + j)
 
-        def window(i: Column) -> Column:
-            return F.xxhash64(*[get(i, j) for j in range(WINDOW)])
+def _window_hashes(words: Column, width: int) -> Column:
+    """Hash of each window of ``width`` words; none in a text with fewer."""
 
-        return F.transform(F.sequence(F.lit(0), F.size(hashed) - WINDOW), window)
+    def of(hashed: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(hashed) - (width - 1)), lambda i: F.xxhash64(F.slice(hashed, i, width)))
 
-    return F.when(F.size(words) >= WINDOW, let(F.transform(words, lambda w: F.xxhash64(w)), of))
+    return F.when(F.size(words) >= width, let(F.transform(words, lambda w: F.xxhash64(w)), of)).otherwise(F.expr("array()").cast("array<long>"))
 
 
-def _slots(templates: Column, originals: Column, start: Column) -> Column:
-    """The original words at the placeholders of one window, in order."""
-    pairs = F.arrays_zip(F.slice(templates, start + 1, WINDOW).alias("t"), F.slice(originals, start + 1, WINDOW).alias("o"))
-    return F.transform(F.filter(pairs, lambda p: F.contains(p["t"], F.lit(MARK))), lambda p: F.lower(p["o"]))
+def _literals(window: Column) -> Column:
+    return F.size(F.filter(window, lambda w: ~F.contains(w, F.lit(MARK))))
 
 
-def _literals(templates: Column, start: Column) -> Column:
-    return F.size(F.filter(F.slice(templates, start + 1, WINDOW), lambda w: ~F.contains(w, F.lit(MARK))))
+def _variants(t: Column, a: Column, l: Column) -> Column:  # noqa: E741
+    """All windows that take at each place the word of one of three templates."""
+    out = F.array(F.array().cast("array<string>"))
 
+    def longer(here: Column) -> Callable[[Column], Column]:
+        return lambda made: F.transform(here, lambda w: F.when(w.isNull(), made).otherwise(F.concat(made, F.array(w))))
 
-def _prepared(table: DataFrame, key: str) -> DataFrame:
-    rows = table.where(f"{key} is not null and text is not null").select(F.col(key), "text", template(F.col("text")).alias("_t"))
-    return rows.select(F.col(key), _words(F.regexp_replace("text", MARK, "")).alias("o"), _words(F.col("_t")).alias("t"))
+    for j in range(WINDOW):
+        here = F.array_distinct(F.array(*[F.get(c, F.lit(j)) for c in (t, a, l)]))  # a null beyond the end
+        out = F.flatten(F.transform(out, longer(here)))
+    return out
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``hash, places``: the windows of all items, each hash once with its places ``(item_id, q, slots, n)``."""
+    """``hash, width, places``: the windows of all items, each hash once with its places ``(item_id, q, slots, strict, n, n_strict)``.
+
+    A capitalised word stands in the windows as a placeholder and as itself. ``strict`` says that the names are
+    those of ``template``; ``n_strict`` counts the windows that are usable so, and ``n`` those that are usable
+    with every capitalised word as a name, or, if there are none, by their literal words.
+    """
     rows = _prepared(benchmark, "item_id").dropDuplicates(["item_id"])
-    rows = rows.select("item_id", "o", "t", F.posexplode(_window_hashes(F.col("t"))).alias("q", "hash"))
-    rows = rows.where(_literals(F.col("t"), F.col("q")) >= LITERALS)
-    rows = rows.select("hash", "item_id", "q", _slots(F.col("t"), F.col("o"), F.col("q")).alias("slots"))
-    sizes = rows.groupBy("item_id").agg(F.countDistinct("q").alias("n"))
-    places = rows.join(sizes, "item_id").groupBy("hash")
-    return places.agg(F.sort_array(F.collect_list(F.struct("item_id", "q", "slots", "n"))).alias("places"))
+    rows = rows.withColumn("width", F.least(F.size("o"), F.lit(WINDOW)))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("o") - F.col("width"))).alias("q"))
+    part = lambda c: F.slice(c, F.col("q") + 1, F.col("width"))
+    rows = rows.select("item_id", "width", "q", *[part(c).alias(c) for c in "otal"])
+    rows = rows.select("*", F.explode(_variants(F.col("t"), F.col("a"), F.col("l"))).alias("v")).where(_literals(F.col("v")) >= LITERALS)
+    by = lambda c: F.count_distinct(F.when(F.col("v") == F.col(c), F.col("q")))
+    sizes = rows.groupBy("item_id").agg(by("t").alias("n_strict"), by("a").alias("n_any"), by("l").alias("n_literal"))
+    sizes = sizes.select("item_id", "n_strict", F.when(F.col("n_any") > 0, F.col("n_any")).otherwise(F.col("n_literal")).alias("n"), "n_any")
+    slots = F.filter(F.transform("v", lambda w, i: F.when(F.contains(w, F.lit(MARK)), F.struct(i.alias("at"), F.lower(F.get("o", i)).alias("word")))), lambda s: s.isNotNull())
+    rows = rows.select(
+        F.xxhash64(F.transform("v", lambda w: F.xxhash64(w))).alias("hash"), "width", "item_id", "q", slots.alias("slots"),
+        (F.col("v") == F.col("t")).alias("strict"), (_literals(F.col("a")) >= LITERALS).alias("usable"),
+    )
+    places = rows.join(sizes, "item_id").withColumn("usable", F.col("usable") | (F.col("n_any") == 0)).groupBy("hash", "width")
+    return places.agg(F.sort_array(F.collect_list(F.struct("item_id", "q", "slots", "strict", "usable", "n", "n_strict"))).alias("places"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, n_matched, n_windows, n_slots``: documents that hold an item, also one with other parameters.
 
-    Texts and items become templates (see ``template``), and the windows of five template words are joined
-    by their hash. Matches that put an item at one place of a document must fill its slots consistently:
-    equal names, numbers or units of the item stand for equal ones in the document and the other way
-    round. A document holds an item if the matches at consistent places cover ``similarity`` or more of
-    the item's windows. Windows with fewer than ``LITERALS`` literal words are not used.
-
-    Null ids and texts take no part; items of fewer than five words or without a usable window are not
-    searched; rows that share a doc_id are one document, and of rows that share an item_id one is used;
-    empty tables give no rows; other columns are ignored. The benchmark's windows are broadcast only
-    while they number at most ``BROADCAST_WINDOWS``, which is checked; a larger benchmark is shuffled.
-    Document windows are never shuffled in the first case: only matches are.
+    Texts and items become templates, whatever white space is between their words, and the windows of five
+    template words are joined by their hash. Whether a capitalised word is a name cannot be told where a
+    sentence begins, nor whether a word is one where its capital is lost; so a document's window is looked
+    up three times (see ``_prepared``), and an item's window is there with each of its capitalised words as
+    a placeholder and as itself. An item of fewer than five words is one window. Matches that put an item at
+    one place of a document must fill its slots consistently: equal names, numbers or units of the item
+    stand for equal ones in the document and the other way round. A document holds an item if the matches
+    at consistent places, all of them or only those with the names of ``template`` on both sides, cover
+    ``similarity`` or more of the item's windows. Windows with fewer than ``LITERALS`` literal words are
+    not used.
+
+    Null ids and texts take no part; items without a usable window are not searched; rows that share a
+    doc_id are one document, and of rows that share an item_id one is used; empty tables give no rows;
+    other columns are ignored. The benchmark's windows are broadcast only while they number at most
+    ``BROADCAST_WINDOWS``, which is checked; a larger benchmark is shuffled. Document windows are never
+    shuffled in the first case: only matches are.
     """
     require(docs, ["doc_id", "text"])
     require(benchmark, ["item_id", "text"])
     known = materialize(benchmark_windows(benchmark), "benchmark-windows")
-    if (known.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    rows = _prepared(docs, "doc_id").select("doc_id", "o", "t", F.posexplode(_window_hashes(F.col("t"))).alias("p", "hash"))
-    met = rows.join(known, "hash").select(
-        "doc_id", "p", _slots(F.col("t"), F.col("o"), F.col("p")).alias("theirs"), F.explode("places").alias("m")
-    )
-    pairs = F.transform(F.arrays_zip(F.col("m.slots").alias("a"), F.col("theirs").alias("b")), lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b")))
-    met = met.select("doc_id", "m.item_id", "m.q", "m.n", (F.col("p") - F.col("m.q")).alias("place"), pairs.alias("pairs"))
-    at_place = met.groupBy("doc_id", "item_id", "n", "place").agg(
+    widths = sorted(r[0] for r in known.select("width").distinct().collect())  # at most WINDOW rows
+    small = (known.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_WINDOWS
+    # Hashes are made before they are dealt out, so that a window's row takes its words along only if it is met; the
+    # outer form keeps the optimiser from making them twice, for a filter on their number.
+    wide = _prepared(docs, "doc_id")
+    wide = wide.select("doc_id", "o", *[_window_hashes(F.col(c), w).alias(f"{c}{w}") for w in widths for c in "tal"])
+    met = None
+    for width in widths:
+        names = [f"{c}{width}" for c in "tal"]
+        here = known.where(F.col("width") == width).drop("width")
+        here = F.broadcast(here) if small else here
+        rows = wide.select("doc_id", "o", F.size(names[0]).alias("size"), F.concat(*names).alias("hashes"))
+        rows = rows.select("doc_id", "o", "size", F.posexplode_outer("hashes").alias("p", "hash"))
+        more = rows.join(here, "hash").select("doc_id", "o", (F.col("p") < F.col("size")).alias("named"), (F.col("p") % F.col("size")).alias("p"), F.explode("places").alias("m"))
+        met = more if met is None else met.unionByName(more)
+    if met is None:
+        return docs.where("false").selectExpr("doc_id", "null as item_id", "0L as n_matched", "0L as n_windows", "0L as n_slots").withColumn("item_id", F.col("item_id").cast(benchmark.schema["item_id"].dataType))
+    pairs = F.transform("m.slots", lambda s: F.struct(s["word"].alias("a"), F.lower(F.get("o", F.col("p") + s["at"])).alias("b")))
+    met = met.select("doc_id", "m.item_id", "m.q", "m.n", "m.n_strict", (F.col("named") & F.col("m.strict")).alias("strict"), "m.usable", (F.col("p") - F.col("m.q")).alias("place"), pairs.alias("pairs"))
+    sides = F.filter(F.array(F.when(F.col("strict"), F.struct(F.lit(True).alias("strict"), F.col("n_strict").alias("n"))), F.when(F.col("usable"), F.struct(F.lit(False).alias("strict"), F.col("n").alias("n")))), lambda x: x.isNotNull())
+    met = met.select("doc_id", "item_id", "q", "place", "pairs", F.inline(sides))
+    at_place = met.groupBy("doc_id", "item_id", "strict", "n", "place").agg(
         F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     side = lambda s: F.size(F.array_distinct(F.transform("pairs", lambda z: z[s])))
     steady = at_place.where((side("a") == F.size("pairs")) & (side("b") == F.size("pairs")))
-    found = steady.groupBy("doc_id", "item_id", F.col("n").alias("n_windows")).agg(
+    found = steady.groupBy("doc_id", "item_id", "strict", F.col("n").alias("n_windows")).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).cast("long").alias("n_matched"),
         F.max(F.size("pairs")).cast("long").alias("n_slots"),
     )
-    return found.where(F.col("n_matched") >= similarity * F.col("n_windows")).select(
-        "doc_id", "item_id", "n_matched", "n_windows", "n_slots"
-    )
+    found = found.where(F.col("n_matched") >= similarity * F.col("n_windows"))
+    best = F.max(F.struct(F.col("n_matched") / F.col("n_windows"), "n_matched", "n_windows", "n_slots")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_matched", "best.n_windows", "best.n_slots")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

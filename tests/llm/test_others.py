@@ -255,6 +255,27 @@ def test_template(spark):
     assert df.select(D.template(F.col("t"))).first()[0] == "in \x01n \x01d \x01u of \x01n \x01n and \x01d\x01u, \x01d \x01u x. the \x01n"
 
 
+WORDS = (
+    "Weng earns 12 dollars an hour for watching small children. Weng did 50 minutes of such work just yesterday evening. "
+    "Weng then went home by bus with the money. Weng wants to know how much all of this came to."
+)
+
+
+def test_names_wherever_they_stand(spark):
+    """Names at sentence and line starts, after two blanks and without capitals, on either side, and short items."""
+    many = "we asked if Tom and Mary would help, since then Tom alone had to carry it and Mary only watched"
+    bench = spark.createDataFrame([(1, WORDS), (2, many), (3, "name the red planet"), (4, many.replace("asked", "said").lower())], "item_id long, text string")
+    said = [
+        WORDS.replace("Weng", "Maria"), many.replace(" Tom", "\nTom").replace(" Mary", "\nMary"), many.replace(" Mary", "  Mary"), many.lower(),
+        "Please name the red planet now", "name a red planet", many.replace("asked", "said"), WORDS.lower(), WORDS.replace("Weng then", "Maria then").replace("Weng wants", "Bob wants"),
+    ]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in D.leaks(df, bench).collect()}
+    assert {(0, 1), (1, 2), (2, 2), (3, 2), (4, 3), (6, 4), (7, 1)} <= set(got)
+    assert not {d for d, _ in got} & {5, 8}
+    assert all(got[k]["n_matched"] == got[k]["n_windows"] for k in [(0, 1), (1, 2), (2, 2), (3, 2), (4, 3), (7, 1)])
+
+
 # --- quality -------------------------------------------------------------------------
 
 
