@@ -37,22 +37,25 @@ class Encoder:
 
     A byte-level BPE file whose merges are in the order of their ids is run by ``tiktoken`` on the
     ranks read from that file, which takes a quarter of the time; any other file by ``tokenizers``.
+    With ``added`` the file's added tokens keep their own ids where they occur in a text, as in the file
+    as it stands: such texts go through ``tokenizers``. Without it they are ordinary characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = self.own = None
+        self.added = tuple(t["content"] for t in spec.get("added_tokens", [])) if added else ()
         ranks = self._ranks(spec)
         if ranks:
             import tiktoken
 
             self.fast = tiktoken.Encoding("file", pat_str=UNITS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
+        if self.added or not ranks:
             from tokenizers import Tokenizer
 
             self.own = Tokenizer.from_file(path)
-            self.own.encode_special_tokens = True
+            self.own.encode_special_tokens = not added
 
     @staticmethod
     def _ranks(spec: dict) -> dict[bytes, int] | None:
@@ -68,7 +71,8 @@ class Encoder:
         return {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
 
     def __call__(self, text: str) -> bytes:
-        ids = self.fast(text) if self.fast else self.own.encode(text, add_special_tokens=False).ids
+        fast = self.fast and not any(t in text for t in self.added)
+        ids = self.fast(text) if fast else self.own.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
@@ -83,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer)
+        encode = Encoder(tokenizer, added=True)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

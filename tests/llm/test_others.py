@@ -40,6 +40,18 @@ def test_ids_are_the_tokenizers(texts):
             assert fast(t) == np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BPE)
+    said = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "it's <|endoftext|", "plain"]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in P.pieces(df, BPE, 64, 2).collect()}
+    ids = [[*own.encode(t, add_special_tokens=False).ids, 2] for t in said]
+    assert 50256 in ids[0]
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_other_files_use_their_library():
     slow = P.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert slow.fast is None and len(slow("hello there")) == 8
@@ -185,6 +197,23 @@ def test_redirects_carry_blocks(spark):
     assert {r["page_id"]: r["verdict"] for r in U.filter_urls(df, RULES, more).collect()}[6] == "block"
 
 
+def test_relative_targets(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    said = ["page.html", "../x", "?id=1", "./y/../z?u=http://q.net/..", "/s/./t", "mailto:a@b.c", "#top", "//d.net/e", "..", "../../../v", "/go?u=http://q.net"]
+    df = spark.createDataFrame([(link(x),) for x in said] + [("none",)], "html string")
+    base = "http://a.net/b/c/d?x=/1"
+    got = [r[0] for r in df.select(U.page_links(F.lit(base), F.col("html"))).collect()]
+    root = "http://a.net"
+    assert got == [
+        [f"{root}/b/c/page.html"], [f"{root}/b/x"], [f"{root}/b/c/d?id=1"], [f"{root}/b/c/z?u=http://q.net/.."], [f"{root}/s/t"], [], [],
+        ["http://d.net/e"], [f"{root}/b/"], [f"{root}/v"], [f"{root}/go?u=http://q.net"], [],
+    ]
+    assert df.limit(1).select(U.page_links(F.lit(root), F.col("html"))).first()[0] == [f"{root}/page.html"]
+    rows = [(1, "http://a.net/b/p", link("../de/q")), (2, "http://a.net/de/q", link("http://x.com/de/"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in U.filter_urls(pages, RULES).collect()} == {1: "block", 2: "block"}
+
+
 # --- toxicity --------------------------------------------------------------------
 
 
