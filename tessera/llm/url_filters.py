@@ -63,7 +63,11 @@ def canonical(url: Column) -> Column:
 
 
 def page_links(url: Column, html: Column) -> Column:
-    """Targets that a page names as its canonical address or redirects to, made absolute."""
+    """Targets that a page names as its canonical address or redirects to, made absolute.
+
+    A target without a host is resolved against the page's address, one without a leading slash against the
+    directory of its path, and ``.`` and ``..`` are followed. Other schemes (``mailto:x``) name no address.
+    """
     tag = F.concat(
         F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)")),
         F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)")),
@@ -72,11 +76,28 @@ def page_links(url: Column, html: Column) -> Column:
     root = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, r"^([^:/?#]+):", 1)
 
+    bare = F.regexp_extract(url, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*(/(?:[^?#]*/)?)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+
+    def followed(link: Column) -> Column:
+        """A path from the root, and what follows it, without its ``.`` and ``..``."""
+        path, tail = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+        parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/")
+        up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        kept = F.aggregate(
+            parts, F.array().cast("array<string>"), lambda kept, p: F.when(p == ".", kept).when(p == "..", up(kept)).otherwise(F.concat(kept, F.array(p)))
+        )
+        return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), tail)).otherwise(link)
+
     def absolute(link: Column) -> Column:
         return (
-            F.when(F.instr(link, "://") > 0, link)
+            F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, link))
+            .when((root == "") | (link == "") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(link.startswith("/"), F.concat(root, followed(link)))
+            .when(link.startswith("?"), F.concat(bare, link))
+            .when(~link.startswith("#"), F.concat(root, followed(F.concat(folder, link))))
         )
 
     return F.filter(F.transform(raw, absolute), lambda x: x.isNotNull())
