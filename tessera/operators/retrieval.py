@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,7 @@ from tessera.functions.numbers import dot
 DIGITS = 6
 #: Candidates that a query fetches, results that it keeps, and the score that they need (fixed values).
 FETCH, KEEP, THRESHOLD = 50, 15, 0.4
-#: Rows of the query side up to which it is broadcast to the vectors.
+#: Rows of the query side up to which it is broadcast to the vectors at once.
 BROADCAST_QUERIES = 10_000
 
 
@@ -21,11 +23,14 @@ def score(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id") -> Dat
     """Every query against every vector: the columns of ``vectors`` with ``query_id`` and ``score``.
 
     ``queries(query_id, query_vec)`` is the small side. It is counted, and more than ``BROADCAST_QUERIES``
-    rows are refused, since they should be asked in blocks. The vectors stay where they are.
+    rows are asked in blocks of about half as many, by hash, each against all vectors. The vectors stay
+    where they are.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries at once; ask in blocks")
-    return vectors.crossJoin(F.broadcast(queries)).withColumn("score", F.round(dot(F.col("embedding"), F.col("query_vec")), DIGITS)).drop("query_vec")
+    n = queries.count()
+    blocks = 1 if n <= BROADCAST_QUERIES else -(-2 * n // BROADCAST_QUERIES)
+    block = F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(blocks))
+    pairs = [vectors.crossJoin(F.broadcast(queries.where(block == i) if blocks > 1 else queries)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, pairs).withColumn("score", F.round(dot(F.col("embedding"), F.col("query_vec")), DIGITS)).drop("query_vec")
 
 
 def _per_query(id_col: str) -> Window:
