@@ -189,6 +189,12 @@ def route_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.route(F.col("source"), F.col("text")).alias("route"))
 
 
+@query()
+def route_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in any script; SQL has no word borders for them, so a test compares with plain Python."""
+    return _docs(spark, sf_dir).select("doc_id", T.route(F.col("source"), F.col("text")).alias("route"))
+
+
 @query()
 def quote_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as one mail each, in which turns answer each other, as blocks of one depth."""

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.plans import catalogue
 from tests.conftest import SMALL, rows
 
+SAFETY = re.compile(r"\b(iec|ul|nec|csa|tests?|testing|certif\w*|compl(?:y|i\w*)|standard\w*|lumin\w*?)\b")
+
+
+def route(source: str, text: str) -> str:
+    said = f"{source}\n{text}".lower()
+    return "safety" if SAFETY.search(said) else "rita" if re.search(r"\brita\w*\b", said) else "unknown"
+
+
+def test_route_all(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    got = rows(catalogue.QUERIES["route_text_all"](spark, SMALL), "doc_id")
+    assert got == sorted((d["doc_id"], route(d["source"], d["text"])) for d in docs)
+    assert any(not d["text"].isascii() for d in docs)
+    said = ["été test", "ététest", "testé", "中文 UL 中文", "ritaé", "é rita", "complié"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i long, x string")
+    assert [r[1] for r in rows(df.select("i", T.route(F.lit("s"), F.col("x"))), "i")] == [route("s", x) for x in said]
+
 
 def test_every_query_is_asked(spark):
     ids = set(range(0, 500, 50))
