@@ -41,3 +41,8 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     whole = rows(R.search(e, asked, "label", 5).drop("embedding"), "query_id", "rank")
     monkeypatch.setattr(R, "BROADCAST_QUERIES", 9)
     assert rows(R.search(e, asked, "label", 5).drop("embedding"), "query_id", "rank") == whole and len(whole) == 200
+
+
+def test_all_rows(spark):
+    n = spark.read.parquet(f"{SMALL}/events.parquet").count()
+    assert catalogue.QUERIES["repeat_reads_all"](spark, SMALL).count() == n
