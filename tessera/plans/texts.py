@@ -123,6 +123,14 @@ def canonical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("n_blocks < 100")
 
 
+@query(_LINES + r"""SELECT doc_id, count(*) AS n_blocks, sum(length(regexp_replace(line, '^\s+|\s+$', '', 'g')))::BIGINT AS char, arg_max(format('{}_b{:02d}', doc_id, seq), seq) AS last_id
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE regexp_matches(line, '\S')) GROUP BY doc_id""")
+def canonical_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As canonical_blocks, for documents of any number of blocks: the last id is that of the greatest number."""
+    rows = M.canonical(_lines(spark, sf_dir), order="pos", text="line")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum("char").alias("char"), F.max_by("block_id", "seq").alias("last_id"))
+
+
 @query(_LINES + """SELECT doc_id, pos, count(*) FILTER (contains(line, '|')) OVER (PARTITION BY doc_id ORDER BY pos) AS depth FROM l""")
 def running_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.running_count(_lines(spark, sf_dir), "doc_id", "pos", F.contains("line", F.lit("|"))).select("doc_id", "pos", "depth")

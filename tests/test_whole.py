@@ -46,3 +46,8 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
 def test_all_rows(spark):
     n = spark.read.parquet(f"{SMALL}/events.parquet").count()
     assert catalogue.QUERIES["repeat_reads_all"](spark, SMALL).count() == n
+
+
+def test_more_than_99_blocks(spark):
+    most = catalogue.QUERIES["canonical_blocks_all"](spark, "/root/testdata/sf0.01").orderBy(F.desc("n_blocks")).first()
+    assert most["n_blocks"] >= 100 and most["last_id"] == f"{most['doc_id']}_b{most['n_blocks']}"
