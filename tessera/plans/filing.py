@@ -143,3 +143,10 @@ def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where(F.col("label").isin(1, 2))
     head = F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.format_string("%.4f", x.cast("double"))), ",")
     return e.select("vec_id", "label", F.md5(head).alias("head"))
+
+
+@query("""SELECT vec_id, label, md5(array_to_string(list_transform(embedding, lambda x: format('{:.4f}', x)), ',')) AS digest FROM embeddings""")
+def vector_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector, with all of its components."""
+    whole = F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ",")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.md5(whole).alias("digest"))
