@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +36,44 @@ def shared_dir(spark: SparkSession) -> str:
 _written: set[str] = set()
 
 
+#: Sessions that are writing tables: how many at this moment, and their settings before.
+_busy: dict[int, tuple[int, dict[str, str]]] = {}
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """``_WRITING`` holds while any thread writes a table of the session; the last one out restores what was before."""
+    session = spark._jsparkSession.hashCode()
+    with _lock:
+        n, before = _busy.get(session) or (0, {k: spark.conf.get(k) for k in _WRITING})
+        _busy[session] = n + 1, before
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _busy.pop(session)
+            if n > 1:
+                _busy[session] = n - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder as a table and returns a scan of it.
 
     This cuts lineage: a lost executor costs a re-read, not a recomputation, and the shuffle
     files behind the table are released as soon as it is written. ``drop`` removes a table that nothing
-    needs any more; what is left goes with ``sweep``, at the latest when the process ends.
+    needs any more; what is left goes with ``sweep``, at the latest when the process ends. The tables of an
+    application stand in a folder with its id, so that those of a driver that was killed can be told and removed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in _WRITING}
-    try:
-        for k, v in _WRITING.items():
-            spark.conf.set(k, v)
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     _written.add(path)
     scan = spark.read.schema(df.schema).parquet(path)
     scan._table = path
@@ -87,22 +109,34 @@ atexit.register(_sweep_at_exit)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once a row however often the body uses it."""
+    """``body`` of ``value``, which is computed once a row however often the body uses it.
+
+    That includes uses within a lambda function, into which the optimiser would put the expression behind a column.
+    """
     return F.transform(F.array(value), body)[0]
 
 
-#: Stands for a null id inside Python workers, where a column of whole numbers with nulls would turn into floats.
-NO_ID = -(1 << 63)
+#: Marks a row without an id inside Python workers, where a column of whole numbers with nulls would turn into floats.
+NO_ID = "__no_id"
 
 
 def with_id(df: DataFrame, *others: str) -> DataFrame:
-    """``doc_id`` as a long without nulls, and the columns named."""
-    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), *others)
+    """``doc_id`` as a long without nulls, whether it was null, and the columns named."""
+    own = F.col("doc_id").cast("long")
+    return df.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNull().alias(NO_ID), *others)
 
 
 def null_id(df: DataFrame) -> DataFrame:
     """Undoes ``with_id``."""
-    return df.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+    return df.withColumn("doc_id", F.when(~F.col(NO_ID), F.col("doc_id"))).drop(NO_ID)
+
+
+def free_prefix(columns: Iterable[str]) -> str:
+    """What none of the columns' names begins with, for columns of one's own beside them."""
+    prefix = "__own"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
 
 
 def require(df: DataFrame, columns: Iterable[str]) -> None:
@@ -115,33 +149,42 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-#: Bits of the screen: 256 bitmaps of 4 KB, whatever the number of keys.
-SCREEN_BITS = 1 << 23
+#: Bits of a screen, at least and at most: 1 to 4096 bitmaps of 4 KB, 16 MB in all.
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27
 _MAP_BITS = 1 << 15
 
 
-def marked(df: DataFrame, key: str, wanted: DataFrame, mark: str = "_maybe") -> DataFrame:
-    """Adds whether ``key`` may be among the keys of ``wanted``; where it says no, it is not.
+def parted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``key`` may be among the keys of ``wanted(key)``, a written table, and those of which it is not.
 
-    The keys are hashed into a bitmap of a fixed size, which is broadcast. It marks all wanted rows, and more
-    of the others the more keys there are, up to all of them. A null key is not marked.
+    The keys are hashed into a bitmap of about sixteen bits a key and at most ``MOST_BITS``, which is broadcast. The first part
+    has all wanted rows, and more of the others the more keys there are, up to all of them. A null key is in the second.
     """
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(SCREEN_BITS))
-    bits = wanted.select(place.alias("place")).groupBy((F.floor(F.col("place") / _MAP_BITS)).alias("_map"))
-    bits = materialize(bits.agg(F.bitmap_construct_agg(F.col("place") % _MAP_BITS).alias("_bits")), "screen")
-    byte = F.expr("cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")
-    placed = df.withColumn("_map", F.floor(place / _MAP_BITS)).withColumn("_at", place % _MAP_BITS)
-    hit = byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0
-    met = placed.join(F.broadcast(bits), "_map", "left").withColumn(mark, F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull())
-    return met.select(*df.columns, mark)
+    own = free_prefix(df.columns)
+    map_, at, bits, mark = (f"{own}{x}" for x in ("map", "at", "bits", "mark"))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(size))
+    maps = wanted.select(place.alias(at)).groupBy(F.floor(F.col(at) / _MAP_BITS).alias(map_)).agg(F.bitmap_construct_agg(F.col(at) % _MAP_BITS).alias(bits))
+    maps = materialize(maps, "screen")
+    byte = F.expr(f"cast(conv(hex(substring({bits}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = byte.bitwiseAND(F.expr(f"cast(shiftleft(1, cast({at} % 8 as int)) as int)")) != 0
+    met = df.withColumn(map_, F.floor(place / _MAP_BITS)).withColumn(at, place % _MAP_BITS).join(F.broadcast(maps), map_, "left")
+    met = met.withColumn(mark, F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull())
+    return met.where(F.col(mark)).select(*df.columns), met.where(~F.col(mark)).select(*df.columns)
 
 
 def screen(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` that ``marked`` marks, so that few others reach a later join."""
-    return marked(df, key, wanted).where("_maybe").drop("_maybe")
+    """The rows of ``df`` whose ``key`` may be wanted, so that few others reach a later join."""
+    return parted(df, key, wanted)[0]
+
 
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``gone(key)``, a written table; only rows that may be are exchanged."""
+    maybe, others = parted(df, key, gone)
+    return others.unionByName(maybe.join(gone.select(key).distinct(), key, "left_anti").select(*df.columns))
 
-def components(edges: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges(src, dst)`` as ``(node, component)``, the smallest node naming each.
 
     Alternates the large-star and the small-star step, whose work is linear in the edges each
@@ -152,14 +195,10 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     # every state is (a, b) with a > b: b is the smaller neighbour
     both = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
     state = materialize(both.where("a > b").distinct(), label)
-    for _ in range(most_rounds):
-        if _is_star_forest(state):
-            break
+    while not _is_star_forest(state):
         for large in (True, False):
             before, state = state, _star(state, label, large)
             drop(before)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -5,102 +5,133 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, let, marked, materialize, require
+from .common import drop, free_prefix, let, materialize, parted, require, screen
 
-#: A run is repeated if it has so many units; this is the winnowing guarantee.
+#: A run is repeated if it has so many lines; this is the winnowing guarantee.
 GUARANTEE = 2
-#: A line of so many characters is two units, and so a run on its own.
-LONG_LINE = 200
 
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _units(text: Column) -> Column:
-    """``(line, unit hash)`` of each line that has a word, in order; a long line gives two units."""
+    """``(line, h)`` of each line that has a word, in order: its number from 0 and its hash."""
+    unit = lambda line, i: F.when(line.rlike(_HAS_WORD), F.struct(i.alias("line"), F.xxhash64(line).alias("h")))
+    return F.filter(F.transform(F.split(text, "\n"), unit), lambda u: u.isNotNull())
 
-    def of(line: Column, i: Column) -> Column:
-        unit = lambda part: F.struct(i.alias("line"), F.xxhash64(line, F.lit(part)).alias("h"))
-        return (
-            F.when(~line.rlike(_HAS_WORD), F.array().cast("array<struct<line:int,h:bigint>>"))
-            .when(F.char_length(line) >= LONG_LINE, F.array(unit(0), unit(1)))
-            .otherwise(F.array(unit(0)))
-        )
 
-    return F.flatten(F.transform(F.split(text, "\n"), of))
+def _minima(units: Column, size: int) -> Column:
+    """The window minima of a text: ``(h, place, start, zone)`` of each.
 
-
-def _windows(units: Column, size: int) -> Column:
-    """Each run of ``size`` units: where it starts, its winnowed fingerprint and where that stands, its lines and its whole hash."""
+    Of each window of ``size`` units the least hash is selected, the leftmost of equal ones; neighbouring windows mostly select the same
+    place, which counts once. ``zone`` has the hashes of all units of the windows that select it, from unit ``start`` on.
+    """
 
     def of(hashes: Column) -> Column:
-        def window(start: Column) -> Column:
+        def least(start: Column) -> Column:
             some = F.slice(hashes, start + 1, size)
-            least = F.array_min(some)
-            place = start + F.array_position(some, least).cast("int") - 1
-            lines = F.transform(F.slice(units, start + 1, size), lambda u: u["line"])
-            return F.struct(
-                start.alias("start"), least.alias("mark"), place.alias("place"), F.xxhash64(some).alias("whole"), lines.alias("lines")
-            )
+            return start + F.array_position(some, F.array_min(some)).cast("int") - 1
+
+        def selected(places: Column) -> Column:  # of each window; the places ascend
+            heads = F.filter(F.transform(places, lambda p, i: F.when((i == 0) | (p != F.get(places, i - 1)), i)), lambda i: i.isNotNull())
+
+            def mark(heads: Column) -> Column:
+                def one(start: Column, k: Column) -> Column:
+                    windows = F.coalesce(F.get(heads, k + 1), F.size(places)) - start
+                    place = F.get(places, start)
+                    return F.struct(F.get(hashes, place).alias("h"), place.alias("place"), start.alias("start"), F.slice(hashes, start + 1, windows + size - 1).alias("zone"))
+
+                return F.transform(heads, one)
 
-        return F.transform(F.sequence(F.lit(0), F.size(hashes) - size), window)
+            return let(heads, mark)
+
+        return let(F.transform(F.sequence(F.lit(0), F.size(hashes) - size), least), selected)
 
     return F.when(F.size(units) >= size, let(F.transform(units, lambda u: u["h"]), of))
 
 
-def repeated_lines(docs: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
-    """``doc_id, lines``: the numbers (from 0) of the lines that ``dedup_lines`` removes, where there are any."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", _units(F.col("text")).alias("units"))
-    rows = rows.select("doc_id", F.explode(_windows(F.col("units"), guarantee)).alias("w")).select("doc_id", "w.*")
-    rows = materialize(rows, "line-windows")
-    # a fingerprint matters if it stands in two places: the least and the greatest differ
+def fingerprints(docs: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
+    """``doc_id, h, place, start, zone``: the window minima of each text. Two runs of ``guarantee`` equal lines share one at least."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(_minima(_units(F.col("text")), guarantee)).alias("m"))
+    return rows.select("doc_id", "m.*")
+
+
+def repeated_runs(docs: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
+    """``doc_id, runs``: the runs of each document that also stand earlier, where there are any.
+
+    A run ``(start, length, first_doc, first_start)`` counts units, the lines with a word, from 0; it is as long as its copy at
+    ``first_start`` of ``first_doc`` matches it. Runs can overlap where their copies differ.
+    """
+    marks = materialize(fingerprints(docs, guarantee), "line-marks")
     at = F.struct("doc_id", "place")
-    marks = rows.groupBy("mark").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("mark")
-    marks = materialize(marks, "marks")
-    shared = materialize(rows.join(marks, "mark").drop("mark", "place"), "shared-windows")
-    drop(rows, marks)
-    # a shared fingerprint is extended both ways over its window; runs are chains of windows that match whole
-    at = F.struct("doc_id", "start")
-    first = shared.groupBy("whole").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
+    shared = marks.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("h")
+    shared = materialize(shared, "shared-marks")
+    # positions of a fingerprint meet; from each the match goes on to both sides, window by window
+    met = screen(marks, "h", shared).join(shared, "h")
+    whole = F.transform(F.sequence(F.lit(0), F.size("zone") - guarantee), lambda i: F.struct((F.col("start") + i).alias("unit"), F.xxhash64(F.slice("zone", i + 1, guarantee)).alias("whole")))
+    windows = materialize(met.select("doc_id", F.inline(whole)), "line-windows")
+    drop(marks, shared)
+    at = F.struct("doc_id", "unit")
+    first = windows.groupBy("whole").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
     first = materialize(first.select("whole", "first"), "first-windows")
-    later = shared.join(first, "whole").where(at > F.col("first"))
-    lines = later.select("doc_id", F.explode("lines").alias("line")).distinct().groupBy("doc_id")
-    gone = materialize(lines.agg(F.sort_array(F.collect_list("line")).alias("lines")), "gone-lines")
-    drop(shared, first)
-    return gone
+    later = windows.join(first, "whole").where(at > F.col("first"))
+    # windows in a row whose first copies are in a row as well make one run
+    step = F.struct("unit", F.col("first.doc_id").alias("doc"), F.col("first.unit").alias("of"))
+    found = later.groupBy("doc_id").agg(F.sort_array(F.collect_set(step)).alias("steps"))
+
+    def runs(steps: Column) -> Column:
+        def begins(s: Column, i: Column) -> Column:
+            b = F.get(steps, i - 1)
+            return (i > 0) & (b["unit"] + 1 == s["unit"]) & (b["doc"] == s["doc"]) & (b["of"] + 1 == s["of"])
+
+        heads = F.filter(F.transform(steps, lambda s, i: F.when(F.coalesce(begins(s, i), F.lit(False)), F.lit(None).cast("int")).otherwise(i)), lambda i: i.isNotNull())
+
+        def run(heads: Column) -> Column:
+            def one(h: Column, k: Column) -> Column:
+                s, n = F.get(steps, h), F.coalesce(F.get(heads, k + 1), F.size(steps)) - h
+                return F.struct(s["unit"].alias("start"), (n + (guarantee - 1)).alias("length"), s["doc"].alias("first_doc"), s["of"].alias("first_start"))
 
+            return F.transform(heads, one)
 
-def dedup_lines(docs: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
+        return let(heads, run)
+
+    out = materialize(found.select("doc_id", let(F.col("steps"), runs).alias("runs")), "line-runs")
+    drop(windows, first)
+    return out
+
+
+def dedup_lines(docs: DataFrame, guarantee: int = GUARANTEE, prefix: str = "") -> DataFrame:
     """Deletes the later copies of repeated runs of lines; all columns stay, ``n_lines`` and ``n_removed`` are added.
 
-    The units of a text are its lines that have a word; a line of ``LONG_LINE`` characters or more is two
-    units. Winnowing takes the least unit hash of every window of ``guarantee`` units as a fingerprint,
-    so that any run of that many units that occurs twice shares one. Where a fingerprint stands in two
-    places, its window is extended both ways and matched whole; a line is deleted if it lies in a
-    window that also starts earlier (at a smaller doc_id, or earlier in the same document). Overlapping
-    windows make up the longer runs. The first copy always stays, and so do lines without a word.
-
-    Null texts and rows without an id stay as they are, with ``n_removed`` 0; an empty text has no unit
-    and one line; a document of which nothing is left has an empty text. Rows that share a doc_id are one
-    document: they count as one place and lose the same line numbers, so exact repeats of a row do not
-    delete each other. An empty table gives no rows. Keys that hold a large share of the windows are
-    combined on the map side or meet in joins of two plain exchanges, which adaptive execution splits.
+    The units of a text are its lines that have a word. Winnowing selects the least hash of every window of ``guarantee`` units as a
+    fingerprint, so that any run of that many units that occurs twice shares one. Places of one fingerprint are joined, the match is
+    extended both ways over the windows that select it, and windows that go on where their copies do make up the maximal run. A
+    line is deleted if it lies in a window that also starts earlier (at a smaller doc_id, or earlier in the same document).
+    The first copy always stays, and so do lines without a word. Lines are compared by 64-bit hashes.
+
+    Null texts and rows without an id stay as they are, with ``n_removed`` 0 (and ``n_lines`` 0 for a null text); an empty text has no
+    unit and one line; a document of which nothing is left has an empty text; a text of fewer units than ``guarantee`` loses
+    nothing. Rows that share a doc_id are one document: they count as one place and lose the same units, so exact
+    repeats of a row do not delete each other. An empty table gives no rows. Long texts are handled in time linear in their
+    lines; all lines of one text are in memory at once. Columns of the input named like the two new ones are
+    replaced, unless a ``prefix`` for these keeps them apart. Fingerprints and windows that make up a large
+    share of all are combined on the map side or meet in joins of two plain exchanges, which adaptive execution splits.
     """
     require(docs, ["doc_id", "text"])
-    docs = docs.drop("n_lines", "n_removed", "_gone")
-    gone = repeated_lines(docs, guarantee).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
-    known = marked(docs, "doc_id", gone.select(F.col("_id").alias("doc_id")))
-    changed = known.where("_maybe").join(gone, F.col("doc_id") == F.col("_id"), "left")
-    whole = known.where("not _maybe").withColumn("_gone", F.lit(None).cast("array<int>"))  # these need no exchange
-    out = changed.select(*docs.columns, "_gone").unionByName(whole.select(*docs.columns, "_gone"))
+    n_lines, n_removed = f"{prefix}n_lines", f"{prefix}n_removed"
+    docs = docs.drop(n_lines, n_removed)
+    own = free_prefix([*docs.columns, n_lines, n_removed])
+    id_, gone, left = f"{own}id", f"{own}gone", f"{own}left"
+    spans = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
+    runs = repeated_runs(docs.select("doc_id", "text"), guarantee)
+    changed, whole = parted(docs, "doc_id", runs.select("doc_id"))
+    changed = changed.join(runs.select(F.col("doc_id").alias(id_), F.array_distinct(spans).alias(gone)), F.col("doc_id") == F.col(id_), "left").drop(id_)
+    out = changed.unionByName(whole.withColumn(gone, F.lit(None).cast("array<int>")))  # the others need no exchange
 
     def kept(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-
-    return out.withColumns(
-        {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"),
-            "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), kept)),
-        }
-    ).drop("_gone")
+        lost = let(_units(F.col("text")), lambda units: F.transform(gone, lambda u: F.get(units, u)["line"]))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost), lambda i: F.get(lines, i))
+
+    out = out.withColumn(left, F.when(F.col(gone).isNotNull(), let(F.split("text", "\n"), kept)))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    out = out.withColumn(n_lines, lines).withColumn(n_removed, F.when(F.col(left).isNull(), 0).otherwise(F.col(n_lines) - F.size(left)).cast("long"))
+    return out.withColumn("text", F.when(F.col(left).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop(gone, left)
