@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, is_empty, materialize, null_id, require, screen, with_id
+from .common import NO_ID, components, drop, is_empty, materialize, null_id, require, screen, with_id, without
 from .wordhash import hash_words, mix, portions, window_hashes
 
 SHINGLE = 5
@@ -18,8 +18,8 @@ PERCENT = 80
 #: Zones of set sizes ``(least, below, share)``: a set of that size enters the matrix with the tokens whose hash is in
 #: the lowest share of all hashes. Neighbouring zones overlap by a quarter, so that sets that can link meet in one.
 ZONES = ((1, 200, 1.0), (160, 1000, 0.4), (800, 1 << 62, 0.32))
-#: Tokens of one candidate cluster that a task solves at once; a larger cluster is solved in blocks of half of it.
-TASK_TOKENS = 2_000_000
+#: Tokens of a group's members, and of the sets asked of them, that a task holds at once; what is larger is dealt out in blocks.
+TASK_TOKENS = 250_000
 #: Classes that a task remembers in order not to send copies twice.
 REMEMBERED = 500_000
 _SHORT = np.uint64(0x7C15F39CC0605CED)
@@ -80,7 +80,7 @@ def _sets(docs: DataFrame, percent: int, widen: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_numpy(), [_lowered(t) for t in batch["text"]]
+            ids, no_id, texts = batch["doc_id"].to_numpy(), batch[NO_ID].to_numpy(), [_lowered(t) for t in batch["text"]]
             for a, b in portions(texts):
                 n, own, held, wild = [], [], [], []
                 for tokens in shingle_sets(texts[a:b]):
@@ -93,9 +93,9 @@ def _sets(docs: DataFrame, percent: int, widen: float) -> DataFrame:
                     wild.append(any(0 <= x < _prefix_size(len(tokens), percent) for x in t))
                 # whole numbers with nulls, which a plain column would turn into floats and round
                 exact = pd.array(own, dtype="Int64")
-                yield pd.DataFrame({"doc_id": ids[a:b], "n": n, "class": exact, "t": held, "wild": wild})
+                yield pd.DataFrame({"doc_id": ids[a:b], NO_ID: no_id[a:b], "n": n, "class": exact, "t": held, "wild": wild})
 
-    return null_id(with_id(docs, "text").mapInPandas(run, "doc_id long, n long, class long, t array<int>, wild boolean"))
+    return null_id(with_id(docs, "text").mapInPandas(run, f"doc_id long, {NO_ID} boolean, n long, class long, t array<int>, wild boolean"))
 
 
 def _matrix(docs: DataFrame, percent: int, widen: float) -> DataFrame:
@@ -123,113 +123,154 @@ def _matrix(docs: DataFrame, percent: int, widen: float) -> DataFrame:
     return docs.select("text").mapInPandas(run, "key long, token long")
 
 
-def _clusters(docs: DataFrame, sets: DataFrame, percent: int, widen: float) -> DataFrame:
-    """``class, cluster``: classes that may link, directly or over others; those that cannot are left out.
+def _postings(docs: DataFrame, sets: DataFrame, percent: int, widen: float) -> DataFrame:
+    """``token, class, rep, n, weight``: the prefix of each set in each zone, which is made of its rarest tokens.
 
-    The prefix of a set is made of its rarest tokens of a zone. Sets that link share a token of both
-    prefixes, so the components of "share a prefix token" contain those of the links.
+    Sets that link share a token of both prefixes. ``rep`` is a document of the class, ``n`` its size, and ``weight`` tells how common
+    its tokens are: of a family of near copies the set that most of them derive from weighs most.
     """
-    one = sets.where("n > 0").select("class", "n", "t").dropDuplicates(["class"])
-    sized = one.select("class", "n", F.posexplode("t").alias("z", "t")).where("t >= 0")
-    sized = sized.select(F.col("class").bitwiseOR(F.col("z").cast("long")).alias("key"), "n", "t")
-    of = "over (partition by token)"
-    shared = (
-        _matrix(docs, percent, widen)
-        .selectExpr("key", "token", f"count(*) {of} as freq", f"min(key) {of} as lo", f"max(key) {of} as hi")
-        .where("lo != hi")
-        .select("key", "token", "freq")
-    )
-    shared = materialize(shared, "shared-tokens")
-    ranked = shared.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("freq", "token"))).alias("some"))
-    ranked = ranked.join(sized, "key")
+    one = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("t").alias("t"))
+    sized = one.where("rep is not null").select("class", "rep", "n", F.posexplode("t").alias("z", "t")).where("t >= 0")
+    sized = sized.withColumn("key", F.col("class").bitwiseOR(F.col("z").cast("long"))).drop("z")
+    matrix = materialize(_matrix(docs, percent, widen), "matrix")
+    common = materialize(matrix.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"), "common-tokens")
+    shared = screen(matrix, "token", common).join(common, "token")
+    ranked = shared.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("freq", "token"))).alias("some")).join(sized, "key")
+    weight = F.aggregate("some", F.lit(0).cast("long"), lambda sum_, s: sum_ + s["freq"]) / F.col("n")
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (t - size(some))")
-    postings = ranked.select("key", F.explode(F.slice("some", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("s"))
-    own = F.shiftleft(F.shiftright("key", ZONE_BITS), ZONE_BITS).alias("class")
-    postings = materialize(postings.select(own, "s.token"), "postings")
-    drop(shared)
-    least = materialize(postings.groupBy("token").agg(F.min("class").alias("hub")), "hubs")
-    edges = postings.join(least, "token").where("class != hub").select(F.col("class").alias("src"), F.col("hub").alias("dst"))
-    found = components(edges, "clusters").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    drop(postings, least)
-    return found
+    rarest = F.slice("some", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))
+    short = ranked.select("class", "rep", "n", weight.alias("weight"), rarest.alias("rarest"))
+    postings = short.select("class", "rep", "n", "weight", F.explode("rarest").alias("s"))
+    postings = materialize(postings.select("s.token", "class", "rep", "n", "weight"), "postings")
+    drop(matrix, common)
+    return postings
+
+
+def _near(n: str, other: str, percent: int):
+    """Whether sets of these sizes can link."""
+    return (100 * F.least(n, other) >= percent * F.greatest(n, other)) & (F.col(other) > 0)
 
 
-def solve(classes: list[int], texts: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """The links among some texts, as edges ``(class, class)`` that join each component.
+def _families(docs: DataFrame, postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A first round of links, which partitions similar sets into groups: ``src, dst``, and the tokens that several classes hold.
 
-    Texts are put into groups that share their least token, and a matrix keeps which tokens each
-    group's union holds. A query's overlap with a group's union bounds its overlap with every member, so
-    a group is opened only if that reaches ``percent`` of the query, and only members outside the
-    query's component are of interest. Every pair that could link is bounded or compared exactly.
+    Of the classes that share a prefix token the heaviest is the token's pivot. Each class is compared with one pivot: that of
+    most of its tokens.
     """
-    found: dict[int, np.ndarray] = {}
-    for own, tokens in zip(classes, shingle_sets(texts), strict=True):
-        if len(tokens) and _class_of(tokens) == own:
-            found[own] = tokens
-    if len(found) < 2:
-        return []
-    names = sorted(found, key=lambda c: (len(found[c]), c))
-    size = np.array([len(found[c]) for c in names])
-    flat, owner = np.concatenate([found[c] for c in names]), np.repeat(np.arange(len(names)), size)
-    least = [found[c][0] for c in names]
-    _, ids, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = counts[ids] > 1  # what only one text holds is in no overlap
-    ids, owner = ids[keep], owner[keep]
-    ends = np.searchsorted(owner, np.arange(len(names) + 1))
-    rows = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    best = postings.groupBy("token").agg(F.max(F.struct("weight", "class", "rep", "n")).alias("p"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    pivots = best.where("lo != hi").select("token", F.col("p.class").alias("group"), F.col("p.rep").alias("group_rep"), F.col("p.n").alias("group_n"))
+    pivots = materialize(pivots, "pivots")
+    votes = postings.join(pivots, "token").where((F.col("class") != F.col("group")) & _near("n", "group_n", percent))
+    votes = votes.groupBy("class", "rep", "n", "group", "group_rep", "group_n").agg(F.count("*").alias("votes"))
+    choice = votes.groupBy("class", "rep", "n").agg(F.max(F.struct("votes", "group", "group_rep", "group_n")).alias("c"))
+    chosen = materialize(choice.select("class", "rep", "n", "c.group", "c.group_rep", "c.group_n"), "chosen-pivots")
+    members = chosen.select("group", F.col("group").alias("class"), F.col("group_rep").alias("rep"), F.col("group_n").alias("n")).distinct()
+    links = materialize(_opened(docs, chosen.select("group", "class", "rep", "n"), members, percent), "family-links")
+    drop(chosen)
+    return links, pivots
+
+
+def _others(docs: DataFrame, postings: DataFrame, pivots: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups: ``src, dst``. What the first round has not linked is a group of its own.
+
+    Two groups that share a prefix token may link. The classes of the smaller one are asked of the members of the larger one; only
+    those with a shared token and of sizes that allow it take part.
+    """
+    sized = families.groupBy("component").agg(F.count("*").alias("members"))
+    own = families.join(sized, "component").select(F.col("node").alias("class"), "component", "members")
+    placed = postings.select("token", "class", "rep", "n").join(pivots.select("token"), "token", "left_semi").join(own, "class", "left")
+    placed = placed.select("token", "class", "rep", "n", F.coalesce("component", "class").alias("group"), F.coalesce("members", F.lit(1)).alias("members"))
+    placed = materialize(placed, "located-postings")
+    spread = placed.groupBy("token", "group", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    several = placed.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a != b").select("token")
+    targets = spread.join(several, "token", "left_semi")
+    targets = materialize(targets.select("token", F.col("group").alias("other"), F.col("members").alias("other_members"), "lo", "hi"), "token-groups")
+    smaller = F.struct("members", "group") < F.struct(F.col("other_members").alias("members"), F.col("other").alias("group"))
+    fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+    met = materialize(placed.join(targets, "token").where(smaller & fits).select("token", "class", "rep", "n", "other"), "asked-tokens")
+    asked = met.select(F.col("other").alias("group"), "class", "rep", "n").distinct()
+    wanted = met.select("token", F.col("other").alias("group")).distinct()
+    members = placed.join(wanted, ["token", "group"]).select("group", "class", "rep", "n").distinct()
+    links = materialize(_opened(docs, asked, members, percent), "other-links")
+    drop(placed, targets, met)
+    return links
+
+
+def link(members: list[np.ndarray], asked: list[np.ndarray], percent: int = PERCENT) -> list[int]:
+    """For each asked set the number of a member that it links with, or -1.
+
+    The members are put into groups that share their least token, and a matrix keeps which tokens each group's union holds. The
+    overlap of an asked set with a union bounds that with every member of the group, so a group is opened only if it
+    reaches ``percent`` of the set.
+    """
+    size = np.array([len(m) for m in members])
+    whole, counts_at = np.concatenate(members), np.append(0, np.cumsum(size))
+    tokens, ids = np.unique(whole, return_inverse=True)
+    rows = [ids[a:b] for a, b in zip(counts_at[:-1], counts_at[1:], strict=True)]
     of_group: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        if len(r):
-            of_group.setdefault(int(least[i]), []).append(i)
+    for i, row in enumerate(rows):
+        of_group.setdefault(int(row[0]), []).append(i)
     groups = [np.array(m) for m in of_group.values()]
-    if not groups:
-        return []
     unions = [np.unique(np.concatenate([rows[i] for i in m])) for m in groups]
     held, held_at = np.concatenate(unions), np.cumsum([0, *(len(u) for u in unions)])[:-1]
     inner = [(np.concatenate([rows[i] for i in m]), np.cumsum([0, *(len(rows[i]) for i in m)])[:-1]) for m in groups]
     low, high = np.array([size[m].min() for m in groups]), np.array([size[m].max() for m in groups])
-    part, mark = np.arange(len(names)), np.zeros(len(counts), dtype=np.int32)
-    edges: list[tuple[int, int]] = []
-    for q, own in enumerate(rows):
-        if 100 * len(own) < percent * size[q]:
-            continue
-        mark[own] = 1
-        bound = np.add.reduceat(mark[held], held_at)
-        fits = (100 * bound >= percent * size[q]) & (100 * low <= 100 * size[q]) & (100 * high >= percent * size[q])
-        for g in np.flatnonzero(fits):
-            m = groups[g]
-            before = m < q
-            if not (before & (part[m] != part[q])).any():
-                continue
-            flat_rows, at = inner[g]
-            both = np.add.reduceat(mark[flat_rows], at)
-            linked = m[before & (100 * both >= percent * (size[q] + size[m] - both))]
-            for i in linked:
-                if part[i] != part[q]:
-                    edges.append((names[q], names[i]))
-                    part[part == part[i]] = part[q]
-        mark[own] = 0
-    return edges
-
-
-def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Edges ``src, dst`` of classes that join each component of links; one text stands for each class."""
-    first = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    first = materialize(first.join(clusters, "class"), "cluster-members")
-    load = first.groupBy("cluster").agg(F.sum("n").alias("load"))
-    parts = F.greatest(F.lit(1), F.ceil(2 * F.col("load") / TASK_TOKENS)).cast("int")
-    load = materialize(load.select("cluster", F.when(F.col("load") <= TASK_TOKENS, 1).otherwise(parts).alias("blocks")), "cluster-loads")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = first.join(load, "cluster").select("class", "rep", "cluster", block.alias("b"), other.alias("c"))
-    placed = materialize(placed.select("class", "rep", "cluster", F.least("b", "c").alias("b"), F.greatest("b", "c").alias("c")), "blocks")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
+    mark, found = np.zeros(len(tokens), dtype=np.int32), []
+    for own in asked:
+        n, hit = len(own), -1
+        spot = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+        here = spot[tokens[spot] == own]
+        if 100 * len(here) >= percent * n:
+            mark[here] = 1
+            bound = np.add.reduceat(mark[held], held_at)
+            fits = (100 * bound >= percent * n) & (percent * low <= 100 * n) & (100 * high >= percent * n)
+            for g in np.flatnonzero(fits):
+                flat, at = inner[g]
+                both = np.add.reduceat(mark[flat], at)
+                linked = np.flatnonzero(100 * both >= percent * (n + size[groups[g]] - both))
+                if len(linked):
+                    hit = int(groups[g][linked[0]])
+                    break
+            mark[here] = 0
+        found.append(hit)
+    return found
+
+
+def _opened(docs: DataFrame, asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``src, dst``: for each ``asked(group, class, rep, n)`` a member of that group in each block with which it links, if any.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        edges = solve(group["class"].tolist(), [_lowered(t) for t in group["text"]], percent)
+    All members of a group are linked with each other already, so one link a block is enough. Members beyond ``TASK_TOKENS`` are
+    dealt out in blocks and what is asked of them in chunks, and small groups share a task, so that every task has about as much to do. One
+    text stands for each class.
+    """
+    load = lambda df, name: df.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / TASK_TOKENS)).cast("int").alias(name))
+    sizes = materialize(load(members, "blocks").join(load(asked, "chunks"), "group"), "group-sizes")
+    own = lambda parts: F.pmod(F.xxhash64("class"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    placed = members.join(sizes, "group").select("group", "class", "rep", "n", own("blocks").alias("b"), each("chunks").alias("c"), F.lit(False).alias("asks"))
+    asking = asked.join(sizes, "group").select("group", "class", "rep", "n", each("blocks").alias("b"), own("chunks").alias("c"), F.lit(True).alias("asks"))
+    placed = materialize(placed.unionByName(asking), "opened-groups")
+    tasks = max(1, -(-(placed.agg(F.sum("n")).first()[0] or 0) // TASK_TOKENS))
+    task = F.pmod(F.xxhash64("group", "b", "c"), F.lit(tasks)).alias("task")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
+    met = screen(texts, "rep", placed).join(placed.select("group", "class", "rep", "b", "c", "asks", task), "rep")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, np.ndarray] = {}
+        own, which = frame["class"].to_numpy(), [_lowered(t) for t in frame["text"]]
+        for name, tokens in zip(own.tolist(), shingle_sets(which), strict=True):
+            if len(tokens) and name not in held and _class_of(tokens) == name:
+                held[name] = tokens
+        usable = np.array([name in held for name in own.tolist()])
+        edges: list[tuple[int, int]] = []
+        for _, part in frame[["group", "class", "b", "c", "asks"]][usable].drop_duplicates().groupby(["group", "b", "c"]):
+            names, asking = part["class"][~part["asks"]].tolist(), part["class"][part["asks"]].tolist()
+            if names and asking:
+                hits = link([held[m] for m in names], [held[q] for q in asking], percent)
+                edges += [(q, names[i]) for q, i in zip(asking, hits, strict=True) if i >= 0]
         return pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
 
-    return screen(texts, "rep", placed).join(placed, "rep").groupBy("cluster", "b", "c").applyInPandas(run, "src long, dst long")
+    return met.groupBy("task").applyInPandas(run, "src long, dst long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -242,14 +283,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     collisions of 64-bit hashes.
 
     Equal sets form one class and are compared once. A matrix of tokens and classes, restricted to each
-    set's rarest tokens, gives clusters outside of which nothing can link; each is solved by a
-    token-group matrix (``solve``), in blocks if its sets exceed ``TASK_TOKENS``, so no task grows with
-    the size of a cluster.
+    set's rarest tokens, tells which can link. A first round compares each class with one pivot and so partitions
+    similar documents into groups. After it only classes of different groups are of interest: a class is asked of a group
+    with which it shares a rare token, whose token union bounds the overlap (``link``), and only groups that qualify are
+    opened. Tokens are counted by partial aggregation, all joins have a plain exchange on either side, and groups are dealt out in
+    blocks of ``TASK_TOKENS``, so no task grows with the size of a group or the frequency of a token. What grows is the number
+    of pairs of a class and a group that share a rare token and do not link.
 
     Null or empty texts, or texts without a word, have size 0 and are linked with nothing; their
     component is their own id. Rows without an id get size and a null component unless a row with an
-    id has the same set. Rows that share an id are judged each by its own text. An empty table gives no
-    rows; other columns are ignored.
+    id has the same set. Rows that share an id are judged each by its own text; of classes of equal weight the greater number is the
+    pivot, which does not change the result. Long texts are read whole. An empty table gives no rows; other columns are ignored.
     """
     require(docs, ["doc_id", "text"])
     widen = 1.0
@@ -258,10 +302,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if widen >= 8 or is_empty(sets.where("wild")):
             break
         widen *= 2  # some set kept too few tokens by chance: keep more of all; at 1.0 none can
-    clusters = materialize(_clusters(docs, sets, percent, widen), "clusters")
-    edges = materialize(_links(docs, sets, clusters, percent), "class-links")
-    drop(clusters)
-    joined = materialize(components(edges, "class-components"), "class-components")
+    postings = _postings(docs, sets, percent, widen)
+    first, pivots = _families(docs, postings, percent)
+    families = materialize(components(first, "families"), "families")
+    second = _others(docs, postings, pivots, families, percent)
+    joined = materialize(components(first.unionByName(second), "class-components"), "class-components")
+    drop(postings, pivots, families)
     rows = sets.select("doc_id", "n", "class").join(joined.withColumnRenamed("node", "class"), "class", "left")
     rows = materialize(rows.select("doc_id", "n", F.coalesce("component", "class").alias("component")), "judged-sets")
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -272,4 +318,4 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component: that whose id names it. Texts without a word and rows without an id stay."""
     found = jaccard_components(docs, percent).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(materialize(found, "copies"), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, "doc_id", materialize(found, "copies"))
