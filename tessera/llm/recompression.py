@@ -1,4 +1,8 @@
-"""Recompression of word sequences: rounds that name runs and pairs, so that equal stretches get equal symbols."""
+"""Recompression of word sequences: rounds that name runs and pairs, so that equal stretches get equal symbols.
+
+A name is a hash of what it stands for: of a run's symbol and length, or of the two names of a pair. So it is the same wherever it is made, and
+the names of a round are global without an exchange.
+"""
 
 from __future__ import annotations
 
@@ -65,14 +69,26 @@ def name_pairs(level: Level, round_: int) -> Level:
     return Level(name, low, high, level.doc[first])
 
 
+def name_neighbours(level: Level) -> Level:
+    """Names every two neighbouring symbols of a document, without parting them in left and right ones: the last round.
+
+    Its symbols overlap. Each is decided by what decides the two.
+    """
+    two = np.flatnonzero(_joined(level.doc))
+    name = mix(level.name[two] * _PAIR + level.name[two + 1] * _RUN + np.uint64(1 << 32))
+    low, high = np.minimum(level.low[two], level.low[two + 1]), np.maximum(level.high[two], level.high[two + 1])
+    return Level(name, low, high, level.doc[two])
+
+
 def levels(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
-    """The words themselves, then the symbols after the first run round and after each pair round."""
+    """The words themselves, then the symbols after the run round, after each pair round and after the last one."""
     at = np.arange(len(words))
     found = [Level(words, at, at, doc)]
     if len(words):
         found.append(name_runs(found[0]))
         for r in range(rounds):
             found.append(name_pairs(found[-1], r))
+        found.append(name_neighbours(found[-1]))
     return found
 
 
@@ -93,13 +109,12 @@ class Spans:
         return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64) * _RUN)
 
 
-def anchors(spans: Spans, words: np.ndarray, doc: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray, doc: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of ``size`` words: whether it lies in one document, its symbol and the symbol's first deciding word.
 
-    A window's symbol is one of the top level that the window's own words decide: that of the least hash
-    of its deciding words, and of equals the first; it goes by that hash, which tells more than the
-    name. Equal windows thus have equal symbols at equal places in them, wherever they stand. A
-    window that decides no symbol, such as one within a long run, takes a word instead.
+    A window's symbol is the name of one of the highest level of which its own words decide any: the least hashed name, and of
+    equal ones the first. Equal windows thus have equal symbols at equal places in them, wherever they stand. A window that
+    decides no symbol of the upper levels, such as one within a long run, takes a word.
     """
     n = len(words)
     begin, end = np.searchsorted(doc, doc, side="left"), np.searchsorted(doc, doc, side="right")
@@ -107,7 +122,7 @@ def anchors(spans: Spans, words: np.ndarray, doc: np.ndarray, size: int, rounds:
     name, place = np.zeros(n, dtype=np.uint64), np.full(n, -1, dtype=np.int64)
     open_ = whole.copy()
     chain = levels(words, doc, rounds)
-    for level in (chain[-1], chain[0]):
+    for level in (chain[-1], chain[-2], chain[0]):
         if not open_.any():
             break
         at = np.minimum(np.maximum(level.low, 0), n - 1)
@@ -115,10 +130,10 @@ def anchors(spans: Spans, words: np.ndarray, doc: np.ndarray, size: int, rounds:
         same = (doc[at] == level.doc) & (level.low >= 0) & (level.high < at_end)
         first, last = np.maximum(level.high - size + 1, at_begin), np.minimum(level.low, at_end - size)
         good = np.flatnonzero(same & (first <= last))
-        if level is chain[0]:  # only for windows that no symbol serves
+        if level is not chain[-1]:  # only for windows that no higher symbol serves
             reach = np.cumsum(np.append(0, open_))
             good = good[reach[last[good] + 1] > reach[first[good]]]
-        mark = spans.hash(level.low[good], level.high[good] + 1)
+        mark = mix(level.name[good])
         length = last[good] - first[good] + 1
         owner = np.repeat(np.arange(len(good)), length)
         window = np.repeat(first[good] - np.cumsum(length) + length, length) + np.arange(length.sum())
@@ -139,13 +154,14 @@ def anchors(spans: Spans, words: np.ndarray, doc: np.ndarray, size: int, rounds:
 def stretches(words: np.ndarray, doc: np.ndarray, size: int, rounds: int = ROUNDS):
     """The runs of windows that share one symbol: ``(symbol, content, start, count)`` as four arrays.
 
-    ``content`` is a hash of all words that the run's windows cover and of where the symbol stands among them.
+    ``content`` verifies: it is a hash of all words that the run's windows cover and of where the symbol stands among them.
+    All windows of a run hold its symbol's place, so that a run has at most ``size`` of them.
     """
     none = np.empty(0, np.int64)
     if not len(words):
         return none.view(np.uint64), none.view(np.uint64), none, none
     spans = Spans(words)
-    whole, name, place = anchors(spans, words, doc, size, rounds)
+    whole, name, place = anchors(words, doc, size, rounds)
     at = np.flatnonzero(whole)
     if not len(at):
         return none.view(np.uint64), none.view(np.uint64), none, none

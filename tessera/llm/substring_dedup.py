@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, null_id, require, screen, with_id
+from .common import NO_ID, drop, materialize, null_id, parted, require, screen, with_id
 from .recompression import stretches
 from .wordhash import hash_words, portions, window_hashes
 
@@ -18,8 +18,8 @@ from .wordhash import hash_words, portions, window_hashes
 WINDOW = 20
 #: Words of one document that are parsed at once; a longer document is parsed in overlapping parts.
 PART = 400_000
-#: A stretch is coded as start * CODE + count in the lists that go back to the documents.
-CODE = 1 << 10
+#: A stretch is coded as start * CODE + count in the lists that go back to the documents; a window must be shorter.
+CODE = 1 << 20
 
 
 def _encoded(text: str | None) -> bytes:
@@ -123,7 +123,7 @@ def _kept(words: list[bytes], codes, window: int) -> list[bytes]:
     """The words that no coded stretch covers."""
     some = np.asarray(codes, dtype=np.int64)
     change = np.zeros(len(words) + 1, dtype=np.int64)
-    start = some // CODE
+    start = np.minimum(some // CODE, len(words))  # of rows that share an id, one may be shorter
     stop = np.minimum(start + some % CODE + window - 1, len(words))
     np.add.at(change, start, 1)
     np.add.at(change, stop, -1)
@@ -140,18 +140,27 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
 
     Recompression names runs and pairs of words and of names in rounds (``recompression``). A name is a hash
     of what it stands for, so it is the same in all tasks and no round needs an exchange. Each window is
-    known by the highest symbol that its own words decide, and neighbours with the same symbol form a
-    stretch. Only stretches whose symbol occurs twice go on; equal stretches are settled as a whole, and
-    unequal ones of one symbol by the hashes of their windows. This is exact but for collisions of 64-bit hashes.
+    known by the name of a symbol that its own words decide, of the highest level of which there is one, and neighbours with the same
+    symbol form a stretch. Shared symbols reveal repeats: only stretches whose symbol occurs twice go on. Equal stretches, told by a hash
+    of their words, are settled as a whole, and unequal ones of one symbol by the hashes of their windows. This is exact but for
+    collisions of 64-bit hashes.
 
     Null and empty texts have no words and nothing to remove; rows without an id take no part in the
     comparison and stay whole. Rows that share a doc_id are one document: they do not repeat each
     other, and what is removed from one place is removed from all. An empty table gives no rows; other
-    columns are ignored.
+    columns are ignored. Texts longer than ``PART`` words are parsed in overlapping parts; the words of one text are in memory at once.
     """
+    if not 0 < window < CODE:
+        raise ValueError(f"a window has 1 to {CODE - 1} words")
     require(docs, ["doc_id", "text"])
     gone = repeated_stretches(docs, window)
-    joined = with_id(docs, "text").join(gone, "doc_id", "left")
+    own = with_id(docs, "text").withColumn("__key", F.when(~F.col(NO_ID), F.col("doc_id")))
+    keyed = gone.withColumnRenamed("doc_id", "__key")
+    changed, whole = parted(own, "__key", keyed.select("__key"))
+    changed = changed.join(keyed, "__key", "left")
+    whole = whole.withColumn("_codes", F.lit(None).cast("array<bigint>"))  # these need no exchange
+    columns = ["doc_id", NO_ID, "text", "_codes"]
+    joined = changed.select(columns).unionByName(whole.select(columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,7 +174,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
             names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", batch["doc_id"])
+            out.insert(1, NO_ID, batch[NO_ID])
             yield out
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = f"doc_id long, {NO_ID} boolean, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return null_id(joined.mapInPandas(run, schema))
