@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, require
+from .common import is_empty, let, materialize, require, screen, without
 
 #: Words of a template window.
 WINDOW = 5
@@ -17,20 +17,28 @@ SIMILARITY = 0.8
 LITERALS = 2
 #: Windows of the benchmark up to which they are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Windows that no more items have are looked up in any case; of more common ones only those that an item cannot do without.
+RARE = 8
 
 #: Placeholders; the first character does not occur in ordinary text.
 MARK, NAME, NUMBER, UNIT = "\x01", "\x01n", "\x01d", "\x01u"
 #: Units of measure that follow a number (fixed values).
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|yd|l|ml|gal|h|hr|hrs|min|s|sec|ms|days?|hours?|minutes?|seconds?|years?|miles?|meters?|metres?|grams?|dollars?|euros?|cents?|percent|mph|kmh|kw|w|v|a|hz|mb|gb|tb"
+#: Numbers in words (fixed values).
+ONES = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen"
+TENS, GREAT = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety", "zero|dozen|hundred|thousand|million|billion"
+_SPELLED = rf"(?i)(?<![\p{{L}}\p{{M}}\d'’-])(?:(?:{TENS})(?:-(?:{ONES}))?|{ONES}|{GREAT})(?![\p{{L}}\p{{M}}\d'’-])"
 _SPACES = r"[\x20\x09-\x0D]+"
 #: A capitalised word after a word that does not end a sentence, and one anywhere.
 _NAME_INSIDE = r"\p{Lu}(?<=[\p{Ll}\d,;:] .)\p{Ll}[\p{L}\p{M}'’-]*"
 _NAME_ANYWHERE = r"\p{Lu}(?<![\p{L}\p{M}\d'’-].)\p{Ll}[\p{L}\p{M}'’-]*"
 
 
-def _measured(text: Column) -> Column:
-    """The text with numbers and the units after them replaced."""
+def _measured(text: Column, spelled: bool = False) -> Column:
+    """The text with numbers, also in words if ``spelled``, and the units after them replaced."""
     text = F.regexp_replace(F.translate(text, MARK, ""), r"\d+(?:[.,:/]\d+)*", NUMBER)
+    if spelled:
+        text = F.regexp_replace(text, _SPELLED, NUMBER)
     return F.regexp_replace(text, rf"(?i){NUMBER}(\x20?)(?:{UNITS})(?![\p{{L}}\p{{M}}\d])", f"{NUMBER}$1{UNIT}")
 
 
@@ -48,22 +56,52 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), _SPACES)
 
 
-def _prepared(table: DataFrame, key: str) -> DataFrame:
+def _prepared(table: DataFrame, key: str, *others: str, spelled: bool = False) -> DataFrame:
     """The words of each text (``o``) and, word for word, three templates of it with single blanks between them:
     names as in ``template`` (``t``), every capitalised word a name (``a``), and none (``l``)."""
-    rows = table.where(f"{key} is not null and text is not null").select(F.col(key), _words(F.translate("text", MARK, "")).alias("o"))
-    rows = rows.select(key, "o", _measured(F.array_join("o", " ")).alias("m"))
+    rows = table.where(f"{key} is not null and text is not null").select(key, *others, _words(F.translate("text", MARK, "")).alias("o"))
+    rows = rows.select(key, *others, "o", _measured(F.array_join("o", " "), spelled).alias("m"))
     split = lambda text: F.split(F.lower(text), " ")
-    return rows.select(
-        key, "o", split(F.regexp_replace("m", _NAME_INSIDE, NAME)).alias("t"), split(F.regexp_replace("m", _NAME_ANYWHERE, NAME)).alias("a"), split(F.col("m")).alias("l")
-    )
+    names = {"t": F.regexp_replace("m", _NAME_INSIDE, NAME), "a": F.regexp_replace("m", _NAME_ANYWHERE, NAME), "l": F.col("m")}
+    return rows.select(key, *others, "o", *[split(text).alias(c) for c, text in names.items()])
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Adds ``m``, the words of ``a`` with names of several words as one, and ``mo``, the words that each stands for."""
+
+    def words(row: Column) -> Column:
+        a, o = row["a"], row["o"]
+        follows = lambda w, i: F.coalesce(F.get(a, i - 1).endswith(NAME) & w.startswith(NAME), F.lit(False))
+        heads = F.filter(F.transform(a, lambda w, i: F.when(~follows(w, i), i)), lambda i: i.isNotNull())
+
+        def merge(heads: Column) -> Column:
+            def one(h: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(heads, k + 1), F.size(a)) - h
+                last = F.get(a, h + n - 1)
+                tail = F.substring(last, F.lit(len(NAME) + 1), F.char_length(last))
+                return F.struct(F.when(n == 1, last).otherwise(F.concat(F.get(a, h), tail)).alias("m"), F.array_join(F.slice(o, h + 1, n), " ").alias("mo"))
+
+            return F.transform(heads, one)
+
+        return let(heads, merge)
+
+    rows = rows.withColumn("__words", let(F.struct("a", "o"), words))
+    return rows.withColumns({"m": F.col("__words")["m"], "mo": F.col("__words")["mo"]}).drop("__words")
+
+
+#: The ways in which a text is read: how its windows are told, their words and what these stand for.
+_READINGS = {"t": ("text", "t", "o"), "a": ("text", "a", "o"), "l": ("text", "l", "o"), "m": ("merged", "m", "mo"), "r": ("raw", "r", "o")}
 
 
-def _window_hashes(words: Column, width: int) -> Column:
+def _hash(mode: str, window: Column) -> Column:
+    return F.xxhash64(F.lit(mode), window)
+
+
+def _window_hashes(mode: str, words: Column, width: int) -> Column:
     """Hash of each window of ``width`` words; none in a text with fewer."""
 
     def of(hashed: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashed) - (width - 1)), lambda i: F.xxhash64(F.slice(hashed, i, width)))
+        return F.transform(F.sequence(F.lit(1), F.size(hashed) - (width - 1)), lambda i: _hash(mode, F.slice(hashed, i, width)))
 
     return F.when(F.size(words) >= width, let(F.transform(words, lambda w: F.xxhash64(w)), of)).otherwise(F.expr("array()").cast("array<long>"))
 
@@ -85,29 +123,77 @@ def _variants(t: Column, a: Column, l: Column) -> Column:  # noqa: E741
     return out
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``hash, width, places``: the windows of all items, each hash once with its places ``(item_id, q, slots, strict, n, n_strict)``.
+def benchmark_windows(benchmark: DataFrame, spelled: bool = False) -> DataFrame:
+    """``mode, hash, width, item_id, q, v, slots, strict, usable, n, n_strict``: the windows ``v`` of all items, each variant a row.
 
-    A capitalised word stands in the windows as a placeholder and as itself. ``strict`` says that the names are
+    In the mode ``text`` a capitalised word stands in the windows as a placeholder and as itself; ``strict`` says that the names are
     those of ``template``; ``n_strict`` counts the windows that are usable so, and ``n`` those that are usable
-    with every capitalised word as a name, or, if there are none, by their literal words.
+    with every capitalised word as a name, or, if there are none, by their literal words. In the mode ``merged`` a name of several
+    words is one placeholder. An item without a usable window is there in the mode ``raw``, by its plain words in lower case.
     """
-    rows = _prepared(benchmark, "item_id").dropDuplicates(["item_id"])
-    rows = rows.withColumn("width", F.least(F.size("o"), F.lit(WINDOW)))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("o") - F.col("width"))).alias("q"))
-    part = lambda c: F.slice(c, F.col("q") + 1, F.col("width"))
-    rows = rows.select("item_id", "width", "q", *[part(c).alias(c) for c in "otal"])
-    rows = rows.select("*", F.explode(_variants(F.col("t"), F.col("a"), F.col("l"))).alias("v")).where(_literals(F.col("v")) >= LITERALS)
+    one = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    rows = _merged(_prepared(one, "item_id", spelled=spelled)).where("o[0] != ''")
+
+    def cut(mode: str, columns: str, of: str) -> DataFrame:
+        wide = rows.withColumn("width", F.least(F.size(of), F.lit(WINDOW)))
+        window = lambda row, q: F.struct(q.alias("q"), *[F.slice(row[c], q + 1, row["width"]).alias(c) for c in columns.split()])
+        places = F.sequence(F.lit(0), F.size(of) - F.col("width"))
+        windows = let(F.struct("width", *columns.split()), lambda row: F.transform(places, lambda q: window(row, q)))
+        return wide.select("item_id", "width", F.lit(mode).alias("mode"), F.inline(windows))
+
+    text = cut("text", "o t a l", "o").select("*", F.explode(_variants(F.col("t"), F.col("a"), F.col("l"))).alias("v")).where(_literals(F.col("v")) >= LITERALS)
     by = lambda c: F.count_distinct(F.when(F.col("v") == F.col(c), F.col("q")))
-    sizes = rows.groupBy("item_id").agg(by("t").alias("n_strict"), by("a").alias("n_any"), by("l").alias("n_literal"))
-    sizes = sizes.select("item_id", "n_strict", F.when(F.col("n_any") > 0, F.col("n_any")).otherwise(F.col("n_literal")).alias("n"), "n_any")
-    slots = F.filter(F.transform("v", lambda w, i: F.when(F.contains(w, F.lit(MARK)), F.struct(i.alias("at"), F.lower(F.get("o", i)).alias("word")))), lambda s: s.isNotNull())
-    rows = rows.select(
-        F.xxhash64(F.transform("v", lambda w: F.xxhash64(w))).alias("hash"), "width", "item_id", "q", slots.alias("slots"),
-        (F.col("v") == F.col("t")).alias("strict"), (_literals(F.col("a")) >= LITERALS).alias("usable"),
+    sizes = text.groupBy("item_id").agg(by("t").alias("n_strict"), by("a").alias("n_any"), by("l").alias("n_literal"))
+    text = text.join(sizes, "item_id").withColumns(
+        {
+            "strict": F.col("v") == F.col("t"), "usable": (_literals(F.col("a")) >= LITERALS) | (F.col("n_any") == 0),
+            "n": F.when(F.col("n_any") > 0, F.col("n_any")).otherwise(F.col("n_literal")),
+        }
     )
-    places = rows.join(sizes, "item_id").withColumn("usable", F.col("usable") | (F.col("n_any") == 0)).groupBy("hash", "width")
-    return places.agg(F.sort_array(F.collect_list(F.struct("item_id", "q", "slots", "strict", "usable", "n", "n_strict"))).alias("places"))
+    merged = cut("merged", "m mo", "mo").withColumn("v", F.col("m")).where(_literals(F.col("v")) >= LITERALS).withColumn("o", F.col("mo"))
+    known = [text, merged]
+    raw = cut("raw", "o", "o").withColumn("v", F.transform("o", lambda w: F.lower(w)))
+    for part in known:
+        raw = raw.join(part.select("item_id").distinct(), "item_id", "left_anti")
+    plain = []
+    for part in (merged, raw):
+        counted = part.join(part.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
+        plain.append(counted.withColumns({"strict": F.lit(False), "usable": F.lit(True), "n_strict": F.lit(0).cast("long")}))
+    said = F.when(F.col("mode") != "raw", F.transform("v", lambda w, i: F.when(F.contains(w, F.lit(MARK)), F.struct(i.alias("at"), F.lower(F.get("o", i)).alias("word")))))
+    slots = F.coalesce(F.filter(said, lambda s: s.isNotNull()), F.array().cast("array<struct<at:int,word:string>>"))
+    hashed = F.transform("v", lambda w: F.xxhash64(w))
+    columns = ["mode", F.xxhash64("mode", hashed).alias("hash"), "width", "item_id", "q", "v", slots.alias("slots"), "strict", "usable", "n", "n_strict"]
+    return text.select(columns).unionByName(plain[0].select(columns)).unionByName(plain[1].select(columns))
+
+
+def _keys(known: DataFrame, similarity: float) -> DataFrame:
+    """``hash, items``: the windows by which items are looked up, and which items each stands for.
+
+    A document that holds an item has all but a few of its windows, so it has one at least of any few more. The rarest that many
+    are enough, and so windows that many items have are left out where an item has rarer ones.
+    """
+    known = known.where("mode != 'merged'")
+    spread = known.groupBy("hash").agg(F.count_distinct("item_id").alias("items"))
+    of = known.join(spread, "hash").groupBy("item_id", "mode", "q").agg(
+        F.max("items").alias("freq"), F.bool_or("usable").alias("usable"), F.bool_or("strict").alias("strict"), F.max("n").alias("n"), F.max("n_strict").alias("n_strict")
+    )
+    rank = lambda flag: F.sum(F.col(flag).cast("int")).over(Window.partitionBy("item_id", "mode").orderBy("freq", "q").rowsBetween(Window.unboundedPreceding, 0))
+    least = lambda n: F.col(n) - F.ceil(F.col(n) * similarity) + 1
+    ranked = of.withColumns({"__u": rank("usable"), "__s": rank("strict")})
+    some = ranked.where((F.col("freq") <= RARE) | (F.col("usable") & (F.col("__u") <= least("n"))) | (F.col("strict") & (F.col("__s") <= least("n_strict"))))
+    return known.join(some.select("item_id", "mode", "q"), ["item_id", "mode", "q"]).groupBy("hash").agg(F.collect_set("item_id").alias("items"))
+
+
+def _candidates(docs: DataFrame, known: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
+    """``doc_id, item_id``: documents with a window by which an item is looked up."""
+    lengths = sorted(tuple(r) for r in known.where("mode != 'merged'").select("mode", "width").distinct().collect())  # at most twice WINDOW rows
+    rows = _prepared(docs, "doc_id").withColumn("r", F.transform("o", lambda w: F.lower(w)))
+    hashes = [_window_hashes(mode, F.col(c), width) for mode, width in lengths for own, c, _ in _READINGS.values() if own == mode]
+    # Hashes are made before they are dealt out, so that nothing else goes along with them; the outer
+    # form keeps the optimiser from making them twice, for a filter on their number.
+    rows = rows.select("doc_id", F.array_distinct(F.concat(*hashes)).alias("hashes")).select("doc_id", F.explode_outer("hashes").alias("hash"))
+    met = rows.join(F.broadcast(keys) if small else keys, "hash")
+    return met.select("doc_id", F.explode("items").alias("item_id")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -117,58 +203,72 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     template words are joined by their hash. Whether a capitalised word is a name cannot be told where a
     sentence begins, nor whether a word is one where its capital is lost; so a document's window is looked
     up three times (see ``_prepared``), and an item's window is there with each of its capitalised words as
-    a placeholder and as itself. An item of fewer than five words is one window. Matches that put an item at
+    a placeholder and as itself. An item of fewer than five words is one window, and one without a usable window is
+    looked for by its plain words. Windows with fewer than ``LITERALS`` literal words are not used otherwise.
+
+    That join finds candidates, by windows that few items have. Their windows are then compared word by word with those of the
+    items that they may hold, and besides with numbers in words as numbers and names of several words as one. Matches that put an item at
     one place of a document must fill its slots consistently: equal names, numbers or units of the item
     stand for equal ones in the document and the other way round. A document holds an item if the matches
-    at consistent places, all of them or only those with the names of ``template`` on both sides, cover
-    ``similarity`` or more of the item's windows. Windows with fewer than ``LITERALS`` literal words are
-    not used.
-
-    Null ids and texts take no part; items without a usable window are not searched; rows that share a
-    doc_id are one document, and of rows that share an item_id one is used; empty tables give no rows;
-    other columns are ignored. The benchmark's windows are broadcast only while they number at most
-    ``BROADCAST_WINDOWS``, which is checked; a larger benchmark is shuffled. Document windows are never
-    shuffled in the first case: only matches are.
+    at consistent places, all of them, only those with the names of ``template`` on both sides, or those with merged names, cover
+    ``similarity`` or more of the item's windows.
+
+    Null ids and texts take no part, and empty texts hold nothing; rows that share a
+    doc_id are one document, and of rows that share an item_id the least text is used; empty tables give no rows;
+    other columns are ignored; all windows of a long text are looked up. The benchmark's windows are broadcast only while they number at
+    most ``BROADCAST_WINDOWS``, which is checked; a larger benchmark is shuffled, and so are the hashes of the documents' windows
+    then. The texts of candidates alone are read twice.
     """
     require(docs, ["doc_id", "text"])
     require(benchmark, ["item_id", "text"])
     known = materialize(benchmark_windows(benchmark), "benchmark-windows")
-    widths = sorted(r[0] for r in known.select("width").distinct().collect())  # at most WINDOW rows
-    small = (known.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_WINDOWS
-    # Hashes are made before they are dealt out, so that a window's row takes its words along only if it is met; the
-    # outer form keeps the optimiser from making them twice, for a filter on their number.
-    wide = _prepared(docs, "doc_id")
-    wide = wide.select("doc_id", "o", *[_window_hashes(F.col(c), w).alias(f"{c}{w}") for w in widths for c in "tal"])
-    met = None
-    for width in widths:
-        names = [f"{c}{width}" for c in "tal"]
-        here = known.where(F.col("width") == width).drop("width")
-        here = F.broadcast(here) if small else here
-        rows = wide.select("doc_id", "o", F.size(names[0]).alias("size"), F.concat(*names).alias("hashes"))
-        rows = rows.select("doc_id", "o", "size", F.posexplode_outer("hashes").alias("p", "hash"))
-        more = rows.join(here, "hash").select("doc_id", "o", (F.col("p") < F.col("size")).alias("named"), (F.col("p") % F.col("size")).alias("p"), F.explode("places").alias("m"))
-        met = more if met is None else met.unionByName(more)
-    if met is None:
-        return docs.where("false").selectExpr("doc_id", "null as item_id", "0L as n_matched", "0L as n_windows", "0L as n_slots").withColumn("item_id", F.col("item_id").cast(benchmark.schema["item_id"].dataType))
-    pairs = F.transform("m.slots", lambda s: F.struct(s["word"].alias("a"), F.lower(F.get("o", F.col("p") + s["at"])).alias("b")))
-    met = met.select("doc_id", "m.item_id", "m.q", "m.n", "m.n_strict", (F.col("named") & F.col("m.strict")).alias("strict"), "m.usable", (F.col("p") - F.col("m.q")).alias("place"), pairs.alias("pairs"))
-    sides = F.filter(F.array(F.when(F.col("strict"), F.struct(F.lit(True).alias("strict"), F.col("n_strict").alias("n"))), F.when(F.col("usable"), F.struct(F.lit(False).alias("strict"), F.col("n").alias("n")))), lambda x: x.isNotNull())
-    met = met.select("doc_id", "item_id", "q", "place", "pairs", F.inline(sides))
-    at_place = met.groupBy("doc_id", "item_id", "strict", "n", "place").agg(
+    keys = materialize(_keys(known, similarity), "benchmark-keys")
+    small = keys.count() <= BROADCAST_WINDOWS
+    kind = benchmark.schema["item_id"].dataType
+    if is_empty(keys):
+        return docs.where("false").selectExpr("doc_id", "null as item_id", "0L as n_matched", "0L as n_windows", "0L as n_slots").withColumn("item_id", F.col("item_id").cast(kind))
+    found = materialize(_candidates(docs, known, keys, small), "leak-candidates")
+    wanted = found.groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))
+    texts = screen(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", found).join(wanted, "doc_id")
+    known = materialize(benchmark_windows(benchmark, spelled=True), "benchmark-windows")
+    lengths = sorted(tuple(r) for r in known.select("mode", "width").distinct().collect())
+    rows = _merged(_prepared(texts, "doc_id", "items", spelled=True)).withColumn("r", F.transform("o", lambda w: F.lower(w)))
+
+    def cut(reading: str, width: int) -> Column:
+        mode, said, words = _READINGS[reading]
+
+        def windows(row: Column) -> Column:
+            part = lambda c, i: F.slice(row[c], i + 1, width)
+            window = lambda i: F.struct(F.lit(reading).alias("reading"), F.lit(mode).alias("mode"), i.alias("p"), part("said", i).alias("said"), part("words", i).alias("words"))
+            whole = F.transform(F.sequence(F.lit(0), F.greatest(F.size(row["said"]) - width, F.lit(0))), window)
+            return F.when(F.size(row["said"]) >= width, whole).otherwise(F.slice(whole, 1, 0))
+
+        return let(F.struct(F.col(said).alias("said"), F.col(words).alias("words")), windows)
+
+    windows = F.concat(*[cut(reading, width) for mode, width in lengths for reading, (own, _, _) in _READINGS.items() if own == mode])
+    rows = rows.select("doc_id", "items", F.inline(windows)).withColumn("hash", F.xxhash64("mode", F.transform("said", lambda w: F.xxhash64(w))))
+    marks = materialize(known.select("hash").distinct(), "benchmark-marks")
+    hits = rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_WINDOWS else marks, "hash", "left_semi").withColumn("item_id", F.explode("items")).drop("items", "mode")
+    met = hits.join(known, ["hash", "item_id"]).where(F.col("said") == F.col("v"))
+    pairs = F.transform("slots", lambda s: F.struct(s["word"].alias("a"), F.lower(F.get("words", s["at"])).alias("b")))
+    side = lambda name, n: F.struct(F.lit(name).alias("side"), F.col(n).alias("n"))
+    strict, plain = (F.col("reading") == "t") & F.col("strict"), F.col("mode") != "text"
+    sides = F.array(F.when(strict, side("strict", "n_strict")), F.when(F.col("usable") & ~plain, side("any", "n")), F.when(plain, F.struct(F.col("mode").alias("side"), F.col("n"))))
+    met = met.select("doc_id", "item_id", "q", (F.col("p") - F.col("q")).alias("place"), pairs.alias("pairs"), F.inline(F.filter(sides, lambda x: x.isNotNull())))
+    at_place = met.groupBy("doc_id", "item_id", "side", "n", "place").agg(
         F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
-    side = lambda s: F.size(F.array_distinct(F.transform("pairs", lambda z: z[s])))
-    steady = at_place.where((side("a") == F.size("pairs")) & (side("b") == F.size("pairs")))
-    found = steady.groupBy("doc_id", "item_id", "strict", F.col("n").alias("n_windows")).agg(
+    own = lambda s: F.size(F.array_distinct(F.transform("pairs", lambda z: z[s])))
+    steady = at_place.where((own("a") == F.size("pairs")) & (own("b") == F.size("pairs")))
+    held = steady.groupBy("doc_id", "item_id", "side", F.col("n").alias("n_windows")).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).cast("long").alias("n_matched"),
         F.max(F.size("pairs")).cast("long").alias("n_slots"),
     )
-    found = found.where(F.col("n_matched") >= similarity * F.col("n_windows"))
+    held = held.where(F.col("n_matched") >= similarity * F.col("n_windows"))
     best = F.max(F.struct(F.col("n_matched") / F.col("n_windows"), "n_matched", "n_windows", "n_slots")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_matched", "best.n_windows", "best.n_slots")
+    return held.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_matched", "best.n_windows", "best.n_slots")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no item; rows without an id stay."""
-    bad = materialize(leaks(docs, benchmark, similarity).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents that hold no item; rows without an id or a text stay."""
+    return without(docs, "doc_id", materialize(leaks(docs, benchmark, similarity).select("doc_id").distinct(), "leaks"))
