@@ -8,17 +8,17 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, null_id, require, with_id
+from .common import NO_ID, materialize, null_id, require, with_id
 
-#: Pieces of one length that are numbered together by a single task, about.
-RANK_GROUP = 4_000
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = f"doc_id long, {NO_ID} boolean, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 #: The split of a text into the units that a byte-level vocabulary merges within (a fixed value of that format).
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,29 +33,29 @@ def _byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit bytes, equal to those of the ``tokenizers`` file.
+    """Ids of texts, as little-endian 32-bit bytes, equal to those of the ``tokenizers`` file without special tokens around them.
 
     A byte-level BPE file whose merges are in the order of their ids is run by ``tiktoken`` on the
-    ranks read from that file, which takes a quarter of the time; any other file by ``tokenizers``.
-    With ``added`` the file's added tokens keep their own ids where they occur in a text, as in the file
-    as it stands: such texts go through ``tokenizers``. Without it they are ordinary characters.
+    ranks read from that file, which takes a quarter of the time; any other file by ``tokenizers``. A text that
+    holds one of the file's added tokens, which keep their own ids wherever they occur, goes through ``tokenizers`` as well.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.fast = self.own = None
-        self.added = tuple(t["content"] for t in spec.get("added_tokens", [])) if added else ()
+        self.path, self.fast = path, None
+        self.added = tuple(t["content"] for t in spec.get("added_tokens", []))
         ranks = self._ranks(spec)
         if ranks:
             import tiktoken
 
             self.fast = tiktoken.Encoding("file", pat_str=UNITS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        if self.added or not ranks:
-            from tokenizers import Tokenizer
 
-            self.own = Tokenizer.from_file(path)
-            self.own.encode_special_tokens = not added
+    @cached_property
+    def own(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def _ranks(spec: dict) -> dict[bytes, int] | None:
@@ -79,7 +79,8 @@ class Encoder:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """The pieces of each document: its ids and then ``end_id``, cut into ``capacity`` tokens if it is longer.
 
-    The first piece takes what is over, so that all others are full.
+    The first piece takes what is over, so that all others are full. ``part`` is the task that made a piece, and ``nth`` counts the
+    task's pieces of one length from 0: together they number equal lengths without a sort, whatever the rows are.
     """
     require(docs, ["doc_id", "text"])
     with open(tokenizer, "rb"):  # a clear failure here rather than in a task
@@ -87,18 +88,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer, added=True)
+        encode, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, no_id, text in zip(batch["doc_id"], batch[NO_ID], batch["text"], strict=True):
                 ids = encode(text) + end if text else end
                 n = len(ids) // 4
                 begin, piece = 0, 0
                 length = n if n <= capacity else n % capacity or capacity
                 while begin < n:
-                    rows.append((doc_id, piece, begin, length, zlib.crc32(ids[4 * begin : 4 * (begin + length)])))
+                    rows.append((doc_id, no_id, piece, begin, length, zlib.crc32(ids[4 * begin : 4 * (begin + length)]), part, seen[length]))
+                    seen[length] += 1
                     begin, piece, length = begin + length, piece + 1, capacity
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pd.DataFrame(rows, columns=["doc_id", NO_ID, "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return null_id(with_id(docs, "text").mapInPandas(run, _PIECES))
 
@@ -184,30 +186,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
     """Packs every document into sequences of at most ``capacity`` tokens.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row a piece. A null
-    or empty text is one piece that holds only ``end_id``; repeated rows are packed as often as they
-    occur (rows alike in every column keep any order among themselves); an empty table gives no rows.
+    or empty text is one piece that holds only ``end_id``; rows without an id, repeated rows and other ties are packed as often as they
+    occur, in any order among themselves; a long text is encoded whole and cut; other columns are ignored; an empty table
+    gives no rows.
 
     Only the counts of the ``capacity`` possible lengths reach the driver, and the placements that
-    come back are broadcast; both are bounded by the capacity, not by the corpus. Pieces are ranked
-    within their length in groups of a bounded size, so that no length is ever handled by one task.
+    come back are broadcast; both are bounded by the capacity, not by the corpus. Each task numbers its pieces of a length as it
+    makes them, and the tasks' counts, a row a task and length, tell where its numbers begin.
     """
     table = materialize(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    spark = docs.sparkSession
-    total = table.count()
-    groups = max(1, -(-total // RANK_GROUP))
-    table = table.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     sizes = materialize(table.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     placed, _ = plan(counts, capacity)
-    runs = spark.createDataFrame(
+    runs = docs.sparkSession.createDataFrame(
         placed, "length long, first long, last long, each long, bin long, at long, stride long"
     )
     before = "sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding)"
-    base = sizes.selectExpr("length", "part", f"coalesce({before}, 0L) as base")
-    ranked = table.selectExpr(
-        "*", "row_number() over (partition by length, part order by doc_id, piece, ids_crc32) - 1 as local_rank"
-    ).join(base, ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("local_rank") + F.col("base"))
+    base = materialize(sizes.selectExpr("length", "part", f"coalesce({before}, 0L) as base"), "piece-bases")
+    ranked = table.join(base, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base"))
     met = ranked.join(F.broadcast(runs), "length").where("rank between first and last")
     nth = F.col("rank") - F.col("first")
     return met.select(
