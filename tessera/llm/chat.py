@@ -26,6 +26,15 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _before(lengths: Column) -> Column:
+    """For each value the sum of all before it. Steps of doubling width add up, so that the work is n log n for n values."""
+    n = F.size(lengths)
+    doubling = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    widths = F.when(n > 1, doubling).otherwise(F.array().cast("array<int>"))
+    shifted = F.transform(lengths, lambda _, i: F.coalesce(F.get(lengths, i - 1), F.lit(0)).cast("long"))
+    return F.aggregate(widths, shifted, lambda sums, w: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - w), F.lit(0).cast("long"))))
+
+
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row a conversation: ``conv_id, formatted, loss_spans``.
 
@@ -39,59 +48,31 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     escaped, so that no text can forge a mark and all turns can be read back with ``read_turns``.
     ``loss_spans`` are the ``(start, length)`` in code points of each text of ``loss_role``, from 0.
     Rows without a conversation id are grouped under the null id; an empty table gives no rows; other
-    columns are ignored. All turns of a conversation become one value, as the output asks for it.
+    columns are ignored. All turns of a conversation become one value, as the output asks for it; the work is
+    linear in its text, and n log n in the number of its turns.
     """
     require(turns, ["conv_id", "turn", "role", "text"])
-    turn = F.struct(
-        F.col("turn"),
-        escape(F.coalesce("role", F.lit(""))).alias("role"),
-        escape(F.coalesce("text", F.lit(""))).alias("text"),
-    )
-    sorted_turns = F.sort_array(F.collect_list(turn))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def merge(blocks: Column, t: Column) -> Column:
-        alone = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        last = F.element_at(blocks, -1)
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"])
-        return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(joined))).otherwise(
-            F.concat(blocks, F.array(alone))
-        )
-
-    found = turns.groupBy("conv_id").agg(sorted_turns.alias("turns"))
-    found = found.withColumn("blocks", F.aggregate("turns", empty, merge))
-    head = lambda b: F.concat(F.lit(BEGIN), b["role"], F.lit(NAMED))
-    body = lambda b: F.array_join(b["texts"], NEXT)
-    formatted = F.concat(
-        F.array_join(F.transform("blocks", lambda b: F.concat(head(b), body(b), F.lit(END))), ""), F.lit(CLOSE)
-    )
-    span = "struct<start:long,length:long>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    found = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    coded = F.transform("turns", lambda t: F.struct((t["role"] == loss_role).alias("loss"), escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    found = found.select("conv_id", coded.alias("turns"))
 
-    def walk(state: Column, b: Column) -> Column:
-        begin = state["at"] + F.char_length(head(b))
+    def piece(turns: Column, t: Column, i: Column) -> Column:
+        other = lambda j: F.coalesce(F.get(turns, j)["role"] != t["role"], F.lit(True))  # noqa: E731 - also where no turn stands
+        head = F.when(other(i - 1), F.concat(F.lit(BEGIN), t["role"], F.lit(NAMED))).otherwise(NEXT)
+        tail = F.when(other(i + 1), END).otherwise("")
+        return F.struct(t["loss"].alias("loss"), head.alias("head"), t["text"].alias("text"), tail.alias("tail"))
 
-        def each(inner: Column, text: Column) -> Column:
-            n = F.char_length(text).cast("long")
-            return F.struct(
-                (inner["at"] + n + len(NEXT)).alias("at"),
-                F.concat(inner["spans"], F.array(F.struct(inner["at"].alias("start"), n.alias("length")))).alias("spans"),
-            )
+    found = found.select("conv_id", let(F.col("turns"), lambda turns: F.transform(turns, lambda t, i: piece(turns, t, i))).alias("pieces"))
+    n = F.char_length
+    lengths = F.transform("pieces", lambda p: n(p["head"]) + n(p["text"]) + n(p["tail"]))
 
-        none = F.struct(begin.cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-        inside = F.when(b["role"] == escape(F.lit(loss_role)), F.aggregate(b["texts"], none, each)["spans"]).otherwise(
-            F.array().cast(f"array<{span}>")
-        )
-        return F.struct(
-            (begin + F.char_length(body(b)) + len(END)).cast("long").alias("at"), F.concat(state["spans"], inside).alias("spans")
-        )
-
-    return found.select(
-        "conv_id",
-        formatted.alias("formatted"),
-        F.aggregate("blocks", start, walk)["spans"].alias("loss_spans"),
-    )
+    def spans(at: Column) -> Column:
+        span = lambda p, i: F.when(p["loss"], F.struct((F.get(at, i) + n(p["head"])).alias("start"), n(p["text"]).cast("long").alias("length")))
+        return F.filter(F.transform("pieces", span), lambda s: s.isNotNull())
+
+    formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
+    return found.select("conv_id", F.concat(formatted, F.lit(CLOSE)).alias("formatted"), let(let(lengths, _before), spans).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -113,7 +94,20 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
+#: Code points of the slices that a formatted text is read in; finding a place in a slice takes time in proportion to it.
+_SLICE = 512
+
+
 def read_loss(formatted: Column, spans: Column) -> Column:
     """The text under the loss mask, unescaped, with nothing between its parts."""
-    part = lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    return F.array_join(F.transform(spans, part), "")
+
+    def read(slices: Column) -> Column:
+        def part(s: Column) -> Column:
+            first = F.floor(s["start"] / _SLICE).cast("int")
+            inside = (s["start"] - first * _SLICE).cast("int")
+            some = F.slice(slices, first + 1, F.floor((inside + s["length"]) / _SLICE).cast("int") + 1)
+            return unescape(F.substring(F.array_join(some, ""), inside + 1, s["length"].cast("int")))
+
+        return F.array_join(F.transform(spans, part), "")
+
+    return let(F.regexp_extract_all(formatted, F.lit(rf"(?s)(.{{1,{_SLICE}}})"), F.lit(1)), read)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, require
+from .common import free_prefix, let, require
 
 #: Labelled rows that the list is learned from at most (the bound that keeps the driver's part small).
 MOST_LABELLED = 12_000
@@ -52,40 +52,41 @@ def _repeat_words(words: Column) -> Column:
     return let(hashes, lambda h: let(places(h), covered))
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Adds the counts that the rules use to each row; a null text has no words, lines or symbols.
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols`` (characters of ``[#*$%&|<>]``),
     ``n_dup_lines`` (lines with a word that equal an earlier one), ``n_repeat_words`` (words in
-    three-word windows found twice or more), and the features ``FEATURES`` that follow from them.
+    three-word windows found twice or more), and the features ``FEATURES`` that follow from them; each name begins with ``prefix``.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(body, _SPACES), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"_words": words, "_lines": lines})
-    out = out.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.char_length(F.regexp_replace(body, _SPACES, "")).cast("long"),
-            "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_marks": F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D\p{L}\p{N}.,]")).cast("long"),
-            "n_upper": F.regexp_count(body, F.lit(r"[A-Z]")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": let(F.col("_words"), _repeat_words),
-        }
-    ).drop("_words", "_lines")
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return out.withColumns(
-        {
-            "mean_word": ratio("word_chars", "n_words"),
-            "symbol_ratio": ratio("n_symbols", "n_words"),
-            "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
-            "repeat_ratio": ratio("n_repeat_words", "n_words"),
-            "upper_ratio": ratio("n_upper", "word_chars"),
-            "mark_ratio": ratio("n_marks", "word_chars"),
-        }
-    )
+    own = lambda name: f"{prefix}{name}"
+    free = free_prefix([*docs.columns, prefix])
+    words_, lines_ = f"{free}words", f"{free}lines"
+    out = docs.withColumns({words_: words, lines_: lines})
+    counts = {
+        "n_words": F.size(words_),
+        "word_chars": F.char_length(F.regexp_replace(body, _SPACES, "")),
+        "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")),
+        "n_marks": F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D\p{L}\p{N}.,]")),
+        "n_upper": F.regexp_count(body, F.lit(r"[A-Z]")),
+        "n_lines": F.size(lines_),
+        "n_dup_lines": F.size(lines_) - F.size(F.array_distinct(lines_)),
+        "n_repeat_words": let(F.col(words_), _repeat_words),
+    }
+    out = out.withColumns({own(name): count.cast("long") for name, count in counts.items()}).drop(words_, lines_)
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(own(a)).cast("double"), F.col(own(b)).cast("double")), F.lit(0.0))
+    ratios = {
+        "mean_word": ratio("word_chars", "n_words"),
+        "symbol_ratio": ratio("n_symbols", "n_words"),
+        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "repeat_ratio": ratio("n_repeat_words", "n_words"),
+        "upper_ratio": ratio("n_upper", "word_chars"),
+        "mark_ratio": ratio("n_marks", "word_chars"),
+    }
+    return out.withColumns({own(name): value for name, value in ratios.items()})
 
 
 @dataclass(frozen=True)
@@ -94,8 +95,9 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        return F.col(self.feature) >= F.lit(self.threshold) if self.above else F.col(self.feature) < F.lit(self.threshold)
+    def column(self, prefix: str = "") -> Column:
+        value = F.col(f"{prefix}{self.feature}")
+        return value >= F.lit(self.threshold) if self.above else value < F.lit(self.threshold)
 
     def __str__(self) -> str:
         return f"{self.feature} {'>=' if self.above else '<'} {self.threshold:.6g}"
@@ -182,46 +184,50 @@ def learn(
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[tuple]:
     """The features and the label of at most ``most`` labelled documents, taken in the order of a hash of their id.
 
-    Of several labels of one id the least counts; null ids and labels are left out.
+    Of several labels of one id the least counts, and of several rows of one id that of the least features, so that
+    no more than ``most`` rows reach the driver; null ids and labels are left out.
     """
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
-    found = rows.select("doc_id", *FEATURES, (F.col("quality") == 0).alias("bad")).collect()
-    return [tuple(r)[1:] for r in sorted(found, key=tuple)]
+    row = F.min(F.struct(*FEATURES, (F.col("quality") == 0).alias("bad"))).alias("row")
+    return [tuple(r[1]) for r in sorted(rows.groupBy("doc_id").agg(row).collect(), key=tuple)]
 
 
-def decision_list(rules: list[Rule]) -> Column:
+def decision_list(rules: list[Rule], prefix: str = "") -> Column:
     """The first rule that holds for a row, in words, or null: an ordered conditional expression."""
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
-        holds = rule[0].column()
+        holds = rule[0].column(prefix)
         for c in rule[1:]:
-            holds = holds & c.column()
+            holds = holds & c.column(prefix)
         out = F.when(holds, F.lit(" and ".join(map(str, rule)))).otherwise(out)
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, prefix: str = "") -> DataFrame:
     """Every row of ``docs`` with its statistics, ``base_failed``, ``reason`` (the learned rule that fired, or null) and ``kept``.
 
     A text fails the base rules with fewer than 50 words or with more than half of its words in repeated
     three-word windows; null and empty texts do. Without usable labels no rule is learned and the base
-    rules decide alone. Labels of absent documents are ignored; repeated rows are judged each; other
-    columns stay, but columns named like a statistic are replaced. An empty table gives no rows.
+    rules decide alone. Labels of absent documents are ignored; rows without an id and repeated rows are judged each by their
+    text; whole texts are read, however long, each by itself. Other columns stay; columns named like a new one are replaced, unless a
+    ``prefix`` for the new ones keeps them apart. An empty table gives no rows. Ties of features fall on one side of a threshold.
     """
     require(docs, ["doc_id", "text"])
     require(labels, ["doc_id", "quality"])
     rules = learn(labelled_rows(docs, labels, most_labelled))
-    out = statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("reason", decision_list(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull())
+    n_words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    out = statistics(docs, prefix=prefix).withColumn(f"{prefix}base_failed", (n_words < 50) | (100 * repeats > 50 * n_words))
+    out = out.withColumn(f"{prefix}reason", decision_list(rules, prefix))
+    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.col(f"{prefix}reason").isNull())
 
 
-def only_kept(judged: DataFrame, columns: list[str]) -> DataFrame:
+def only_kept(judged: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     """The columns named of the rows that are kept.
 
     A plain filter would be pushed below the statistics and compute them once for each time that it
     mentions them; a generator that gives one row or none stays above them.
     """
-    return judged.select(*columns, F.explode(F.filter(F.array("kept"), lambda k: k)).alias("_kept")).drop("_kept")
+    mark = f"{free_prefix(columns)}mark"
+    return judged.select(*columns, F.explode(F.filter(F.array(f"{prefix}kept"), lambda k: k)).alias(mark)).drop(mark)

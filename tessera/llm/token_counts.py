@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import null_id, require, with_id
+from .common import NO_ID, null_id, require, with_id
 
 #: Words whose counts a Python worker remembers; beyond it new words are counted anew.
 REMEMBERED = 300_000
@@ -103,8 +103,9 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     ``vocabulary`` is the path of a sentencepiece model, of which only the list of pieces is used.
     Words are the runs outside \\x20 and \\x09-\\x0D; each is read as ``START`` + word. A ``START`` that
-    no piece takes up costs nothing. Null and empty texts have no words and no tokens; repeated rows
-    are counted each; other columns are ignored. Work is linear in the text and no row meets another.
+    no piece takes up costs nothing. Null and empty texts have no words and no tokens; repeated rows and rows without an id
+    are counted each; an empty table gives no rows; other columns are ignored. Work is linear in the text, which is read whole
+    however long it is, and no row meets another.
     """
     require(docs, ["doc_id", "text"])
     with open(vocabulary, "rb"):
@@ -128,6 +129,6 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                     n_tokens.append(sum([known[w] for w in words]))
                 except KeyError:
                     n_tokens.append(sum([known[w] if w in known else of(w) for w in words]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n_words, "n_tokens": n_tokens})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], NO_ID: batch[NO_ID], "n_words": n_words, "n_tokens": n_tokens})
 
-    return null_id(with_id(docs, "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long"))
+    return null_id(with_id(docs, "text").mapInPandas(run, f"doc_id long, {NO_ID} boolean, n_words long, n_tokens long"))

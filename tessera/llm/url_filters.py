@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, is_empty, let, materialize, require
+from .common import components, is_empty, materialize, parted, require
 
 
 @dataclass(frozen=True)
@@ -51,15 +51,9 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def canonical(url: Column) -> Column:
-    """The key under which spellings of one address meet: no scheme, fragment, ``www.``/``m.`` or trailing slash,
-    and no ``utm_*`` parameter; null where the URL has no host."""
-    host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"/+$", "")
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.startswith("utm_"))
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(host != "", F.concat(host, path, tail))
+def address_of(url: Column) -> Column:
+    """The URL without its fragment, which no server sees; null where the URL has no host."""
+    return F.when(host_of(url) != "", F.regexp_extract(url, r"^([^#]*)", 1))
 
 
 def page_links(url: Column, html: Column) -> Column:
@@ -104,54 +98,54 @@ def page_links(url: Column, html: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
-    """Judges every page: ``page_id, host, path, rule, verdict, component``.
+    """Judges every page: ``page_id, host, path, rule, verdict``.
 
     A page that a rule fits gets that rule's verdict, whatever its aliases say. The others are judged
     by redirect equivalence: an address and the targets of its redirects and canonical links (from
-    ``html`` and from ``redirects(src, dst)``, whose addresses need not be pages) form one component,
-    as do spellings of one address. Such a page is blocked if a rule blocks any address of its
+    ``html`` and from ``redirects(src, dst)``, whose addresses need not be pages) form one component. Addresses
+    are compared as they are written, but for their fragments. Such a page is blocked if a rule blocks any address of its
     component and none explicitly allows one; otherwise it is allowed.
 
     A null URL, or one without ``://``, has an empty host and path, fits no rule, has no aliases and is
-    allowed. A null html has no links. Repeated rows get the same verdict each; an empty table gives no
-    rows; other columns are ignored. Only addresses that take part in a link reach the component
-    search, whose sizes do not matter to any single task: verdicts are combined by partial aggregation.
+    allowed. A null html has no links. Repeated rows and rows without an id get the same verdict as their URL; an empty table gives no
+    rows; other columns are ignored. Long URLs and pages are read whole. Only addresses that take part in a link reach the component
+    search, whose sizes do not matter to any single task: verdicts are combined by partial aggregation, and only pages whose
+    address may be a blocked alias are exchanged.
     """
     require(pages, ["page_id", "url", "html"])
     verdicts = {r.pattern: r.verdict for r in rules}
-    said = lambda v: F.coalesce(F.col("rule").isin([p for p, x in verdicts.items() if x == v]), F.lit(False))
     found = pages.where("html rlike '(?i)canonical|refresh'").select(
         F.col("url").alias("src"), F.explode(page_links(F.col("url"), F.col("html"))).alias("dst")
     )
     if redirects is not None:
         found = found.unionByName(redirects.select("src", "dst"))
-    links = materialize(found.distinct(), "links")
-    judge = lambda df: df.withColumns(
-        {"host": host_of(F.col("url")), "path": path_of(F.col("url")), "key": canonical(F.col("url"))}
-    ).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    base = judge(pages.select("page_id", "url"))
-    if is_empty(links):
-        base, others = base.withColumn("component", F.col("key")), None
-    else:
-        keyed = links.select(canonical(F.col("src")).alias("src"), canonical(F.col("dst")).alias("dst"))
-        member = materialize(components(materialize(keyed.where("src != dst").distinct(), "keyed"), "aliases"), "aliases")
-        place = lambda df: df.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "component", F.coalesce("component", "key")
-        )
-        base, others = place(base), place(judge(links.select(F.explode(F.array("src", "dst")).alias("url"))))
-    base = materialize(base.select("page_id", "host", "path", "rule", "component"), "judged")
-    marks = base.select("component", "rule")
-    if others is not None:
-        marks = marks.unionByName(others.select("component", "rule"))
-    tally = marks.where("component is not null and rule is not null").groupBy("component").agg(
-        (F.bool_or(said("block")) & ~F.bool_or(said("allow"))).alias("blocked")
-    )
-    joined = base.join(materialize(tally.where("blocked"), "blocked"), "component", "left")
-    return _with_verdict(joined, F.coalesce("blocked", F.lit(False)), verdicts)
+    edges = found.select(address_of(F.col("src")).alias("src"), address_of(F.col("dst")).alias("dst")).where("src is not null and dst is not null and src != dst")
+    edges = materialize(edges.distinct(), "alias-edges")
+    url = F.col("url")
+    judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), address_of(url).alias("__address"))
+    judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    if is_empty(edges):
+        return _with_verdict(judged, F.lit(False), verdicts)
+    blocked = materialize(blocked_aliases(edges, rules).withColumnRenamed("address", "__open"), "blocked-aliases")
+    maybe, rest = parted(judged.withColumn("__open", F.when(F.col("rule").isNull(), F.col("__address"))), "__open", blocked)
+    met = maybe.join(blocked.withColumn("__blocked", F.lit(True)), "__open", "left")
+    rest = rest.withColumn("__blocked", F.lit(False))
+    columns = ["page_id", "host", "path", "rule", "__blocked"]
+    return _with_verdict(met.select(columns).unionByName(rest.select(columns)), F.coalesce("__blocked", F.lit(False)), verdicts)
+
+
+def blocked_aliases(edges: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``address``: those in a component of ``edges(src, dst)`` with a blocked and no explicitly allowed address."""
+    member = materialize(components(edges, "aliases"), "aliases")
+    rule = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
+    says = lambda verdict: F.coalesce(rule.isin([r.pattern for r in rules if r.verdict == verdict]), F.lit(False))
+    tally = member.groupBy("component").agg((F.bool_or(says("block")) & ~F.bool_or(says("allow"))).alias("blocked"))
+    tally = materialize(tally.where("blocked").select("component"), "blocked-components")
+    return member.join(tally, "component").select(F.col("node").alias("address"))
 
 
 def _with_verdict(df: DataFrame, blocked: Column, verdicts: dict[str, str]) -> DataFrame:
     verdict = F.when(blocked, "block").otherwise("allow")
     for pattern, said in verdicts.items():
         verdict = F.when(F.col("rule") == pattern, said).otherwise(verdict)
-    return df.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "component")
+    return df.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
