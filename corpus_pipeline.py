@@ -20,7 +20,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best-fit packing", stages.packed),
 ]
 
-#: SQL cannot learn the decision list of the first stage; a brute-force run of all stages is in the tests.
+#: SQL cannot learn the decision list of the first stage nor encode tokens; tests/llm/test_stages.py computes every stage anew in plain Python.
 ORACLE_SQL: str | None = None
 
 

@@ -81,18 +81,46 @@ URL_RULES = [
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).drop("component")
+    return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 QUERIES["op3_url_filter"] = op3_url_filter
-#: The pages of the test tables name no canonical address and no redirect, so SQL need not walk components.
+#: Targets are read out of the pages, made absolute, and walked with their aliases.
 ORACLE["op3_url_filter"] = r"""
-WITH cut AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(list_concat(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                                 regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'))) AS tag
+  FROM pages WHERE url IS NOT NULL
+), targets AS (
+  SELECT url, regexp_extract(tag, '(?i)\b(?:href\s*=\s*|url\s*=\s*)["'']?([^"''\s>]+)', 1) AS t, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS root,
+         regexp_extract(url, '^([^:/?#]+):', 1) AS scheme, regexp_extract(url, '^([^?#]*)', 1) AS bare, regexp_extract(url, '^[^:/?#]+://[^/?#]*(/(?:[^?#]*/)?)', 1) AS folder
+  FROM tags
+), rooted AS (
+  SELECT *, CASE WHEN starts_with(t, '/') THEN t ELSE CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS r FROM targets
+), cut AS (
+  SELECT *, string_split(regexp_replace(regexp_extract(r, '^([^?#]*)', 1), '(/\.\.?)$', '\1/'), '/') AS parts, regexp_extract(r, '^[^?#]*(.*)$', 1) AS tail FROM rooted
+), walked AS (
+  SELECT *, list_reduce(list_transform(parts, lambda p: [p]), lambda kept, p: CASE WHEN p[1] = '.' THEN kept WHEN p[1] = '..' THEN kept[1:greatest(len(kept) - 1, 1)] ELSE list_concat(kept, p) END) AS kept FROM cut
+), absolute AS (
+  SELECT url AS src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t
+    WHEN root = '' OR t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(t, '#') THEN NULL
+    WHEN starts_with(t, '?') THEN bare || t
+    ELSE root || CASE WHEN regexp_matches(regexp_extract(r, '^([^?#]*)', 1), '/\.\.?(/|$)') THEN array_to_string(kept, '/') || tail ELSE r END END AS dst FROM walked
+), edges AS (
+  SELECT DISTINCT regexp_extract(src, '^([^#]*)', 1) AS a, regexp_extract(dst, '^([^#]*)', 1) AS b FROM absolute
+  WHERE regexp_matches(src, '://[^/?#]') AND regexp_matches(dst, '://[^/?#]')
+), near AS (
+  SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b
+), reach(a, b) AS (
+  SELECT a, a FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b
+), said AS (
+  SELECT DISTINCT url FROM pages UNION SELECT a FROM near
+), rest AS (
+  SELECT url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM said
 ), parts AS (
-  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  SELECT url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
-  FROM cut
+  FROM rest
 ), ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -101,10 +129,13 @@ WITH cut AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
   END AS rule FROM parts
+), blocked AS (
+  SELECT r.a FROM reach r JOIN ruled u ON u.url = r.b GROUP BY r.a
+  HAVING bool_or(coalesce(u.rule IN ('example.org/es/', 'example.org/en/1', 'com/de/'), false)) AND NOT bool_or(coalesce(u.rule IN ('org/', 'com/fr/'), false))
 )
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled
+       CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') OR (rule IS NULL AND regexp_extract(p.url, '^([^#]*)', 1) IN (SELECT a FROM blocked)) THEN 'block' ELSE 'allow' END AS verdict
+FROM pages p JOIN ruled u ON u.url IS NOT DISTINCT FROM p.url
 """
 
 
@@ -128,13 +159,11 @@ WITH cut AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL
 ), units AS (
-  SELECT doc_id, i, line, part, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS r
-  FROM cut, (VALUES (0), (1)) parts(part)
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') AND (part = 0 OR length(line) >= 200)
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), windows AS (
-  SELECT *, lead(line) OVER w AS line2, lead(part) OVER w AS part2, lead(i) OVER w AS i2 FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY r)
+  SELECT *, lead(line) OVER w AS line2, lead(i) OVER w AS i2 FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY r)
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY line, part, line2, part2 ORDER BY doc_id, r) AS nth FROM windows WHERE line2 IS NOT NULL
+  SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, r) AS nth FROM windows WHERE line2 IS NOT NULL
 ), gone AS (
   SELECT doc_id, i FROM placed WHERE nth > 1 UNION SELECT doc_id, i2 FROM placed WHERE nth > 1
 ), left_over AS (
@@ -148,6 +177,7 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold an item, with the items."""
     found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumn("contaminated", F.lit(True))
 
