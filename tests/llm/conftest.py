@@ -7,9 +7,9 @@ import pytest
 
 @pytest.fixture(scope="session", autouse=True)
 def shared_folder(spark, tmp_path_factory):
-    """A shared folder of the tests' own: none is set in their session."""
+    """A shared folder of the tests' own where none is set in their session."""
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
 
 
 def make_texts(seed: int = 5) -> list[str | None]:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm import jaccard_join as J
 from tessera.llm import line_dedup as LD
 from tessera.llm import substring_dedup as S
-from tessera.llm.common import components, screen
+from tessera.llm.common import components, materialize, screen, without
 from tessera.llm.recompression import stretches
 from tessera.llm.wordhash import hash_words, window_hashes
 
@@ -108,7 +110,7 @@ def test_parts_cover_long_documents(monkeypatch):
     assert sorted(starts) == [k for k in range(101) if any(lo <= k and k + 20 <= hi for lo, hi in ((0, 10), (10, 100), (100, 120)))]
 
 
-def brute_lines(texts: dict[int, str | None]) -> dict[int, tuple[int, int, str | None]]:
+def brute_lines(texts: dict[int, str | None], guarantee: int = 2) -> dict[int, tuple[int, int, str | None]]:
     seen, out = set(), {}
     for i in sorted(texts):
         t = texts[i]
@@ -116,33 +118,76 @@ def brute_lines(texts: dict[int, str | None]) -> dict[int, tuple[int, int, str |
             out[i] = (0, 0, None)
             continue
         lines = t.split("\n")
-        units = [(n, x, p) for n, x in enumerate(lines) if WORD.search(x) for p in range(2 if len(x) >= 200 else 1)]
+        units = [(n, x) for n, x in enumerate(lines) if WORD.search(x)]
         gone = set()
-        for a, b in zip(units, units[1:], strict=False):
-            if (a[1:], b[1:]) in seen:
-                gone |= {a[0], b[0]}
-            seen.add((a[1:], b[1:]))
+        for k in range(len(units) - guarantee + 1):
+            some = units[k : k + guarantee]
+            key = tuple(x for _, x in some)
+            if key in seen:
+                gone |= {n for n, _ in some}
+            seen.add(key)
         out[i] = (len(lines), len(gone), "\n".join(x for n, x in enumerate(lines) if n not in gone))
     return out
 
 
-def test_lines(docs, texts):
-    wanted = brute_lines(dict(enumerate(texts)))
-    found = LD.dedup_lines(docs).collect()
-    assert len(found) == docs.count()
-    for r in found:
-        if r["doc_id"] is not None:
-            assert (r["n_lines"], r["n_removed"], r["text"]) == wanted[r["doc_id"]]
-        else:
-            assert r["n_removed"] == 0
+def line_texts(seed: int = 11) -> list[str | None]:
+    """Texts of few different lines, so that runs repeat in many ways, with blanks, long lines and nulls."""
+    rng = random.Random(seed)
+    lines = [f"line {c}" for c in "abcdefgh"] + ["", "  \t", "x" * 300, "é" * 250]
+    made = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 14))) for _ in range(60)]
+    return [*made, None, "", "\n\n", made[3], "\n".join(f"only {i}" for i in range(3000)), "\n".join(["same"] * 500)]
+
+
+@pytest.mark.parametrize("guarantee", [2, 3, 5])
+def test_lines(spark, docs, texts, guarantee):
+    for frame, said in ((docs, texts), (spark.createDataFrame(list(enumerate(line_texts())), "doc_id long, text string"), line_texts())):
+        wanted = brute_lines(dict(enumerate(said)), guarantee)
+        found = LD.dedup_lines(frame, guarantee).collect()
+        assert len(found) == frame.count()
+        for r in found:
+            if r["doc_id"] is not None:
+                assert (r["n_lines"], r["n_removed"], r["text"]) == wanted[r["doc_id"]]
+            else:
+                assert r["n_removed"] == 0
     assert set(LD.dedup_lines(docs).columns) == set(docs.columns) | {"n_lines"}
 
 
-def test_lines_longer_guarantee(spark):
-    a, b, c, d = "line a", "line b", "line c", "line d"
-    rows = [(1, f"{a}\n{b}\n{c}\nx"), (2, f"{a}\n{b}\ny"), (3, f"{d}\n{a}\n\n{b}\n{c}")]
-    got = LD.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), guarantee=3)
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: rows[0][1], 2: rows[1][1], 3: f"{d}\n"}
+def test_fingerprints_are_the_window_minima(spark):
+    said = line_texts()
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    hashed = {i: [r[0] for r in spark.createDataFrame([(x,) for x in (t or "").split("\n") if WORD.search(x)], "x string").select(F.xxhash64("x")).collect()] for i, t in list(enumerate(said))[:20]}
+    for guarantee in (2, 4):
+        found = LD.fingerprints(df, guarantee).collect()
+        for i, h in hashed.items():
+            wanted = {k + min(range(guarantee), key=lambda j: (h[k + j], j)) for k in range(len(h) - guarantee + 1)}
+            own = [r for r in found if r["doc_id"] == i]
+            assert sorted(r["place"] for r in own) == sorted(wanted)
+            assert all(h[r["place"]] == r["h"] and h[r["start"] : r["start"] + len(r["zone"])] == r["zone"] for r in own)
+
+
+def test_lines_come_through_fingerprints(spark, monkeypatch):
+    """Only windows around fingerprints that occur twice are compared: without fingerprints nothing is."""
+    df = spark.createDataFrame(list(enumerate(line_texts())), "doc_id long, text string")
+    marks = LD.fingerprints
+    assert LD.repeated_runs(df).count() > 0
+    monkeypatch.setattr(LD, "fingerprints", lambda d, g: marks(d, g).where("h % 2 = 0"))
+    kept = {r["doc_id"]: r["n_removed"] for r in LD.dedup_lines(df).collect()}
+    assert 0 < sum(kept.values()) < sum(n for _, n, _ in brute_lines(dict(enumerate(line_texts()))).values())
+    monkeypatch.setattr(LD, "fingerprints", lambda d, g: marks(d, g).where("false"))
+    assert LD.repeated_runs(df).count() == 0
+
+
+def test_runs_are_maximal(spark):
+    a = [f"line {i}" for i in range(10)]
+    rows = [(1, "\n".join(a)), (2, "\n".join(["x", *a[2:7], "y", a[8], a[9], *a[4:6]])), (3, "\n".join([a[0], "", a[1], "z", a[1], a[0]]))]
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in LD.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [(1, 5, 1, 2), (7, 2, 1, 8), (9, 2, 1, 4)], 3: [(0, 2, 1, 0)]}
+
+
+def test_line_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "a\nb", 5, 6), (2, "a\nb\nc", 7, 8)], "doc_id long, text string, n_lines int, n_removed int")
+    got = LD.dedup_lines(df, prefix="own_").orderBy("doc_id").collect()
+    assert [(r["n_lines"], r["n_removed"], r["own_n_lines"], r["own_n_removed"], r["text"]) for r in got] == [(5, 6, 2, 0, "a\nb"), (7, 8, 3, 2, "c")]
 
 
 def shingles(text: str | None) -> frozenset:
@@ -191,7 +236,7 @@ def test_jaccard_lower_threshold_and_blocks(spark, texts, monkeypatch):
         assert got == wanted
 
 
-def test_solver_is_exact():
+def test_link_is_exact():
     rng = np.random.default_rng(2)
     base = [f"t{i}" for i in range(80)]
     texts = []
@@ -201,20 +246,56 @@ def test_solver_is_exact():
             w[rng.integers(0, 80)] = f"e{rng.integers(0, 30)}"
         texts.append(" ".join(w))
     texts = list(dict.fromkeys(texts))
-    data = [t.encode() for t in texts]
-    classes = [J._class_of(s) for s in J.shingle_sets(data)]
-    got = {c: c for c in classes}
+    sets = list(J.shingle_sets([t.encode() for t in texts]))
+    members, asked = sets[::2], sets[1::2]
+    told = [shingles(t) for t in texts]
+    similar = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    for q, hit in zip(told[1::2], J.link(members, asked), strict=True):
+        linked = [i for i, m in enumerate(told[::2]) if similar(q, m)]
+        assert hit in linked if linked else hit == -1
+
+
+def family_texts(seed: int = 3) -> list[str]:
+    """Families of near copies with and without the text that they derive from, chains, and texts that only share passages."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(4000)}"
+    out, passage = [], [word() for _ in range(40)]
+    for f in range(6):
+        base = [word() for _ in range(120)]
+        out += [" ".join(base)] * (f % 2)
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.choice((1, 2, 4, 8))):
+                w[rng.randrange(120)] = word()
+            out.append(" ".join(w))
+    chain = [word() for _ in range(100)]
+    for k in range(25):  # each is near the next one only
+        out.append(" ".join(chain))
+        chain = [*chain[4:], *(word() for _ in range(4))]
+    out += [" ".join([*passage, *(word() for _ in range(rng.randrange(0, 12)))]) for _ in range(25)]
+    out += [" ".join(passage[i : i + 20]) for i in range(20)]
+    rng.shuffle(out)
+    return out
 
-    def find(c):
-        while got[c] != c:
-            c = got[c]
-        return c
 
-    for a, b in J.solve(classes, data):
-        got[find(a)] = find(b)
-    wanted = brute_components(dict(enumerate(texts)), 80)
-    same = lambda i, j: find(classes[i]) == find(classes[j])
-    assert all(same(i, j) == (wanted[i][1] == wanted[j][1]) for i in range(len(texts)) for j in range(i))
+@pytest.mark.parametrize("percent", [60, 80])
+def test_jaccard_families(spark, monkeypatch, percent):
+    said = dict(enumerate(family_texts()))
+    df = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    wanted = brute_components(said, percent)
+    assert len({c for _, c in wanted.values()}) < len(said) - 40
+    for tokens in (250_000, 400):
+        monkeypatch.setattr(J, "TASK_TOKENS", tokens)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df, percent).collect()} == wanted
+
+
+def test_jaccard_rounds_are_both_needed(spark, monkeypatch):
+    """Links beyond a class's pivot come from the second round; without it some are lost."""
+    said = dict(enumerate(family_texts()))
+    df = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    monkeypatch.setattr(J, "_others", lambda *a: spark.createDataFrame([], "src long, dst long"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect()}
+    assert got != brute_components(said, 80)
 
 
 def test_representatives(docs, texts):
@@ -231,6 +312,73 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_without(spark):
+    df = spark.createDataFrame([(i, f"t{i}", 5) for i in [*range(50), None]], "doc_id long, text string, __map int")
+    gone = spark.createDataFrame([(i,) for i in range(0, 50, 3)], "doc_id long")
+    left = without(df, "doc_id", gone)
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == sorted([(False, i) for i in range(50) if i % 3] + [(True, 0)])
+
+
+def test_ids_and_nulls_come_back(spark):
+    least = -(1 << 63)
+    df = spark.createDataFrame([(least, "a b"), (None, "a b"), (0, "a b"), (1 << 62, None)], "doc_id long, text string")
+    assert sorted(repr(r["doc_id"]) for r in S.dedup_substrings(df).collect()) == sorted(map(repr, (least, None, 0, 1 << 62)))
+    assert sorted(repr(r["doc_id"]) for r in J.jaccard_components(df).collect()) == sorted(map(repr, (least, None, 0, 1 << 62)))
+
+
+def test_settings_outlive_threads(spark):
+    """Tables written at once by several threads leave the session as it was."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with ThreadPoolExecutor(6) as pool:
+        counts = list(pool.map(lambda i: materialize(spark.range(i), "many").count(), range(12)))
+    assert counts == list(range(12)) and spark.conf.get(key) == before
+
+
+def test_very_long_texts(spark):
+    """A text of 120,000 words and one of 30,000 lines beside short ones, whole."""
+    rng = random.Random(8)
+    long_ = " ".join(f"v{rng.randrange(50_000)}" for _ in range(120_000))
+    middle = " ".join(long_.split()[60_000:60_050])
+    said = {1: long_, 2: f"before {middle} after", 3: long_[: len(long_) // 2]}
+    df = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    wanted = brute_substrings(said, 20)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in S.dedup_substrings(df).collect()} == wanted
+    assert wanted[2][1] == 50 and wanted[3][1] > 50_000
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect()} == brute_components(said, 80)
+    lines = {1: "\n".join(f"l {i % 29_000}" for i in range(30_000)), 2: "\n".join(f"l {i}" for i in range(5, 400))}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in LD.dedup_lines(spark.createDataFrame(list(lines.items()), "doc_id long, text string")).collect()}
+    assert got == brute_lines(lines)
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows of one id are one document, also where their texts and lengths differ."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(1, shared), (2, "x " * 40 + shared), (2, "short"), (2, "a\nb\nc"), (1, "a\nb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(S.dedup_substrings(df).collect()) == 5
+    lines = {(r["doc_id"], r["n_lines"]): r["text"] for r in LD.dedup_lines(df).collect()}
+    assert lines[2, 3] == "c" and lines[1, 2] == "a\nb"
+
+
+@pytest.mark.parametrize("window", [0, 1 << 20])
+def test_window_bounds(docs, window):
+    with pytest.raises(ValueError):
+        S.dedup_substrings(docs, window)
+
+
+def test_long_windows(spark):
+    """Windows of more words than a thousand, whose stretches are long as well."""
+    rng = random.Random(9)
+    w = [f"v{rng.randrange(9)}" for _ in range(4000)]
+    said = {1: " ".join(w), 2: " ".join(w[500:2600]), 3: " ".join(w[:1400])}
+    df = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in S.dedup_substrings(df, 1500).collect()} == brute_substrings(said, 1500)
+
+
 def test_screen(spark):
     a, b = spark.range(5000).select(F.col("id").alias("k")), spark.range(0, 5000, 50).select(F.col("id").alias("k"))
     kept = screen(a, "k", b)
