@@ -165,9 +165,10 @@ def parted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataF
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(size))
     maps = wanted.select(place.alias(at)).groupBy(F.floor(F.col(at) / _MAP_BITS).alias(map_)).agg(F.bitmap_construct_agg(F.col(at) % _MAP_BITS).alias(bits))
-    maps = materialize(maps, "screen")
-    byte = F.expr(f"cast(conv(hex(substring({bits}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = byte.bitwiseAND(F.expr(f"cast(shiftleft(1, cast({at} % 8 as int)) as int)")) != 0
+    # four bytes of the map, the first of which is the highest, become a number
+    four = lambda i: F.conv(F.hex(F.substring(bits, i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    maps = materialize(maps.select(map_, F.transform(F.sequence(F.lit(0), F.lit(_MAP_BITS // 32 - 1)), four).alias(bits)), "screen")
+    hit = F.expr(f"shiftright(get({bits}, cast({at} div 32 as int)), cast((3 - {at} % 32 div 8) * 8 + {at} % 8 as int)) & 1L") == 1
     met = df.withColumn(map_, F.floor(place / _MAP_BITS)).withColumn(at, place % _MAP_BITS).join(F.broadcast(maps), map_, "left")
     met = met.withColumn(mark, F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull())
     return met.where(F.col(mark)).select(*df.columns), met.where(~F.col(mark)).select(*df.columns)
