@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, components, drop, is_empty, materialize, null_id, require, screen, with_id, without
@@ -124,9 +124,10 @@ def _matrix(docs: DataFrame, percent: int, widen: float) -> DataFrame:
 
 
 def _postings(docs: DataFrame, sets: DataFrame, percent: int, widen: float) -> DataFrame:
-    """``token, class, rep, n, weight``: the prefix of each set in each zone, which is made of its rarest tokens.
+    """``token, at, class, rep, n, weight``: the prefix of each set in each zone, which is made of its rarest tokens.
 
-    Sets that link share a token of both prefixes. ``rep`` is a document of the class, ``n`` its size, and ``weight`` tells how common
+    Sets that link share a token of both prefixes. ``at`` counts the tokens of the set in the zone that are rarer, ``rep`` is a
+    document of the class, ``n`` its size, and ``weight`` tells how common
     its tokens are: of a family of near copies the set that most of them derive from weighs most.
     """
     one = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("t").alias("t"))
@@ -139,16 +140,19 @@ def _postings(docs: DataFrame, sets: DataFrame, percent: int, widen: float) -> D
     weight = F.aggregate("some", F.lit(0).cast("long"), lambda sum_, s: sum_ + s["freq"]) / F.col("n")
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (t - size(some))")
     rarest = F.slice("some", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))
-    short = ranked.select("class", "rep", "n", weight.alias("weight"), rarest.alias("rarest"))
-    postings = short.select("class", "rep", "n", "weight", F.explode("rarest").alias("s"))
-    postings = materialize(postings.select("s.token", "class", "rep", "n", "weight"), "postings")
+    short = ranked.select("class", "rep", "n", weight.alias("weight"), (F.col("t") - F.size("some")).alias("unique"), rarest.alias("rarest"))
+    postings = short.select("class", "rep", "n", "weight", "unique", F.posexplode("rarest").alias("nth", "s"))
+    postings = materialize(postings.select("s.token", (F.col("unique") + F.col("nth")).alias("at"), "class", "rep", "n", "weight"), "postings")
     drop(matrix, common)
     return postings
 
 
-def _near(n: str, other: str, percent: int):
-    """Whether sets of these sizes can link."""
-    return (100 * F.least(n, other) >= percent * F.greatest(n, other)) & (F.col(other) > 0)
+def _reaches(n: str, at: str, other: str, percent: int) -> Column:
+    """Whether a set of ``n`` tokens, of which ``at`` are in no set of ``other`` tokens that it is compared with, can still link with one.
+
+    Where the first common token of two sets stands behind ``at`` others in one of them, their overlap is ``n - at`` at most.
+    """
+    return (100 + percent) * (F.col(n) - F.col(at)) >= percent * (F.col(n) + F.col(other))
 
 
 def _families(docs: DataFrame, postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -157,10 +161,11 @@ def _families(docs: DataFrame, postings: DataFrame, percent: int) -> tuple[DataF
     Of the classes that share a prefix token the heaviest is the token's pivot. Each class is compared with one pivot: that of
     most of its tokens.
     """
-    best = postings.groupBy("token").agg(F.max(F.struct("weight", "class", "rep", "n")).alias("p"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    pivots = best.where("lo != hi").select("token", F.col("p.class").alias("group"), F.col("p.rep").alias("group_rep"), F.col("p.n").alias("group_n"))
+    best = postings.groupBy("token").agg(F.max(F.struct("weight", "class", "rep", "n", "at")).alias("p"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    pivots = best.where("lo != hi").select("token", F.col("p.class").alias("group"), F.col("p.rep").alias("group_rep"), F.col("p.n").alias("group_n"), F.col("p.at").alias("group_at"))
     pivots = materialize(pivots, "pivots")
-    votes = postings.join(pivots, "token").where((F.col("class") != F.col("group")) & _near("n", "group_n", percent))
+    fits = _reaches("n", "at", "group_n", percent) & _reaches("group_n", "group_at", "n", percent)
+    votes = postings.join(pivots, "token").where((F.col("class") != F.col("group")) & fits)
     votes = votes.groupBy("class", "rep", "n", "group", "group_rep", "group_n").agg(F.count("*").alias("votes"))
     choice = votes.groupBy("class", "rep", "n").agg(F.max(F.struct("votes", "group", "group_rep", "group_n")).alias("c"))
     chosen = materialize(choice.select("class", "rep", "n", "c.group", "c.group_rep", "c.group_n"), "chosen-pivots")
@@ -178,15 +183,17 @@ def _others(docs: DataFrame, postings: DataFrame, pivots: DataFrame, families: D
     """
     sized = families.groupBy("component").agg(F.count("*").alias("members"))
     own = families.join(sized, "component").select(F.col("node").alias("class"), "component", "members")
-    placed = postings.select("token", "class", "rep", "n").join(pivots.select("token"), "token", "left_semi").join(own, "class", "left")
-    placed = placed.select("token", "class", "rep", "n", F.coalesce("component", "class").alias("group"), F.coalesce("members", F.lit(1)).alias("members"))
+    placed = postings.select("token", "at", "class", "rep", "n").join(pivots.select("token"), "token", "left_semi").join(own, "class", "left")
+    placed = placed.select("token", "at", "class", "rep", "n", F.coalesce("component", "class").alias("group"), F.coalesce("members", F.lit(1)).alias("members"))
     placed = materialize(placed, "located-postings")
-    spread = placed.groupBy("token", "group", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # of a group's members with a token: the least size, and how far the best of them reaches as in `_reaches`
+    far = F.max(100 * F.col("n") - (100 + percent) * F.col("at"))
+    spread = placed.groupBy("token", "group", "members").agg(F.min("n").alias("lo"), far.alias("far"))
     several = placed.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a != b").select("token")
     targets = spread.join(several, "token", "left_semi")
-    targets = materialize(targets.select("token", F.col("group").alias("other"), F.col("members").alias("other_members"), "lo", "hi"), "token-groups")
+    targets = materialize(targets.select("token", F.col("group").alias("other"), F.col("members").alias("other_members"), "lo", "far"), "token-groups")
     smaller = F.struct("members", "group") < F.struct(F.col("other_members").alias("members"), F.col("other").alias("group"))
-    fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+    fits = _reaches("n", "at", "lo", percent) & (F.col("far") >= percent * F.col("n"))
     met = materialize(placed.join(targets, "token").where(smaller & fits).select("token", "class", "rep", "n", "other"), "asked-tokens")
     asked = met.select(F.col("other").alias("group"), "class", "rep", "n").distinct()
     wanted = met.select("token", F.col("other").alias("group")).distinct()
@@ -285,7 +292,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Equal sets form one class and are compared once. A matrix of tokens and classes, restricted to each
     set's rarest tokens, tells which can link. A first round compares each class with one pivot and so partitions
     similar documents into groups. After it only classes of different groups are of interest: a class is asked of a group
-    with which it shares a rare token, whose token union bounds the overlap (``link``), and only groups that qualify are
+    with which it shares a token that is rare enough in both, whose token union bounds the overlap (``link``), and only groups that qualify are
     opened. Tokens are counted by partial aggregation, all joins have a plain exchange on either side, and groups are dealt out in
     blocks of ``TASK_TOKENS``, so no task grows with the size of a group or the frequency of a token. What grows is the number
     of pairs of a class and a group that share a rare token and do not link.
