@@ -93,17 +93,19 @@ def _merged(rows: DataFrame) -> DataFrame:
 _READINGS = {"t": ("text", "t", "o"), "a": ("text", "a", "o"), "l": ("text", "l", "o"), "m": ("merged", "m", "mo"), "r": ("raw", "r", "o")}
 
 
-def _hash(mode: str, window: Column) -> Column:
-    return F.xxhash64(F.lit(mode), window)
+def _hash(mode: Column, words: list[Column]) -> Column:
+    """Hash of a window by those of its words; a null beyond its end counts for nothing."""
+    return F.xxhash64(mode, *words)
 
 
 def _window_hashes(mode: str, words: Column, width: int) -> Column:
     """Hash of each window of ``width`` words; none in a text with fewer."""
 
     def of(hashed: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashed) - (width - 1)), lambda i: _hash(mode, F.slice(hashed, i, width)))
+        whole = F.transform(hashed, lambda w, i: _hash(F.lit(mode), [w, *[F.get(hashed, i + j) for j in range(1, width)]]))
+        return F.slice(whole, F.lit(1), F.greatest(F.size(hashed) - (width - 1), F.lit(0)))
 
-    return F.when(F.size(words) >= width, let(F.transform(words, lambda w: F.xxhash64(w)), of)).otherwise(F.expr("array()").cast("array<long>"))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def _literals(window: Column) -> Column:
@@ -161,8 +163,9 @@ def benchmark_windows(benchmark: DataFrame, spelled: bool = False) -> DataFrame:
         plain.append(counted.withColumns({"strict": F.lit(False), "usable": F.lit(True), "n_strict": F.lit(0).cast("long")}))
     said = F.when(F.col("mode") != "raw", F.transform("v", lambda w, i: F.when(F.contains(w, F.lit(MARK)), F.struct(i.alias("at"), F.lower(F.get("o", i)).alias("word")))))
     slots = F.coalesce(F.filter(said, lambda s: s.isNotNull()), F.array().cast("array<struct<at:int,word:string>>"))
-    hashed = F.transform("v", lambda w: F.xxhash64(w))
-    columns = ["mode", F.xxhash64("mode", hashed).alias("hash"), "width", "item_id", "q", "v", slots.alias("slots"), "strict", "usable", "n", "n_strict"]
+    words = [F.get("v", F.lit(j)) for j in range(WINDOW)]
+    hashed = _hash(F.col("mode"), [F.when(w.isNotNull(), F.xxhash64(w)) for w in words])
+    columns = ["mode", hashed.alias("hash"), "width", "item_id", "q", "v", slots.alias("slots"), "strict", "usable", "n", "n_strict"]
     return text.select(columns).unionByName(plain[0].select(columns)).unionByName(plain[1].select(columns))
 
 
@@ -228,27 +231,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     if is_empty(keys):
         return docs.where("false").selectExpr("doc_id", "null as item_id", "0L as n_matched", "0L as n_windows", "0L as n_slots").withColumn("item_id", F.col("item_id").cast(kind))
     found = materialize(_candidates(docs, known, keys, small), "leak-candidates")
-    wanted = found.groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))
-    texts = screen(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", found).join(wanted, "doc_id")
     known = materialize(benchmark_windows(benchmark, spelled=True), "benchmark-windows")
-    lengths = sorted(tuple(r) for r in known.select("mode", "width").distinct().collect())
-    rows = _merged(_prepared(texts, "doc_id", "items", spelled=True)).withColumn("r", F.transform("o", lambda w: F.lower(w)))
+    marks = materialize(known.groupBy("item_id").agg(F.collect_set("hash").alias("marks")), "benchmark-marks")
+    wanted = found.join(marks, "item_id").groupBy("doc_id").agg(F.collect_list("item_id").alias("items"), F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
+    texts = screen(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", found).join(wanted, "doc_id")
+    lengths = sorted(tuple(r) for r in known.select("mode", "width").distinct().collect())  # three times WINDOW rows at most
+    rows = _merged(_prepared(texts, "doc_id", "items", "marks", spelled=True)).withColumn("r", F.transform("o", lambda w: F.lower(w)))
 
     def cut(reading: str, width: int) -> Column:
+        """The windows of one reading and width that the items which the document may hold have."""
         mode, said, words = _READINGS[reading]
 
         def windows(row: Column) -> Column:
             part = lambda c, i: F.slice(row[c], i + 1, width)
-            window = lambda i: F.struct(F.lit(reading).alias("reading"), F.lit(mode).alias("mode"), i.alias("p"), part("said", i).alias("said"), part("words", i).alias("words"))
-            whole = F.transform(F.sequence(F.lit(0), F.greatest(F.size(row["said"]) - width, F.lit(0))), window)
-            return F.when(F.size(row["said"]) >= width, whole).otherwise(F.slice(whole, 1, 0))
+            window = lambda h, i: F.struct(F.lit(reading).alias("reading"), h.alias("hash"), i.alias("p"), part("said", i).alias("said"), part("words", i).alias("words"))
+            some = let(F.array_intersect(row["hashes"], row["marks"]), lambda met: F.transform(row["hashes"], lambda h, i: F.when(F.array_contains(met, h), window(h, i))))
+            return F.filter(some, lambda w: w.isNotNull())
 
-        return let(F.struct(F.col(said).alias("said"), F.col(words).alias("words")), windows)
+        return let(F.struct(F.col(said).alias("said"), F.col(words).alias("words"), F.col("marks"), _window_hashes(mode, F.col(said), width).alias("hashes")), windows)
 
     windows = F.concat(*[cut(reading, width) for mode, width in lengths for reading, (own, _, _) in _READINGS.items() if own == mode])
-    rows = rows.select("doc_id", "items", F.inline(windows)).withColumn("hash", F.xxhash64("mode", F.transform("said", lambda w: F.xxhash64(w))))
-    marks = materialize(known.select("hash").distinct(), "benchmark-marks")
-    hits = rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_WINDOWS else marks, "hash", "left_semi").withColumn("item_id", F.explode("items")).drop("items", "mode")
+    hits = rows.select("doc_id", "items", F.inline(windows)).withColumn("item_id", F.explode("items")).drop("items")
     met = hits.join(known, ["hash", "item_id"]).where(F.col("said") == F.col("v"))
     pairs = F.transform("slots", lambda s: F.struct(s["word"].alias("a"), F.lower(F.get("words", s["at"])).alias("b")))
     side = lambda name, n: F.struct(F.lit(name).alias("side"), F.col(n).alias("n"))
