@@ -17,6 +17,8 @@ DIGITS = 6
 FETCH, KEEP, THRESHOLD = 50, 15, 0.4
 #: Rows of the query side up to which it is broadcast to the vectors at once.
 BROADCAST_QUERIES = 10_000
+#: Parts of a query's scored rows that are ranked apart before copies are removed.
+PARTS = 16
 
 
 def score(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -57,9 +59,21 @@ def threshold(ranked: DataFrame, least: float = THRESHOLD) -> DataFrame:
     return ranked.withColumn("_best", best).where((F.col("score") >= least) | ((F.col("_best") < least) & (F.col("rank") == 1))).drop("_best")
 
 
+def shortlist(scored: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
+    """Rows of each query that can be among its k best distinct ones: those of the k greatest scores of their part.
+
+    The k best rows that differ in (score, key) have at most k scores, and a row that ranks beyond that in its part
+    does so in the whole. The filter runs in each task before anything is exchanged, so a task sends k scores a
+    query and part, not all of its rows. ``PARTS`` parts by hash of the id spread a large group of equal vectors.
+    """
+    part = F.pmod(F.xxhash64(id_col), F.lit(PARTS))
+    w = Window.partitionBy("query_id", "_part").orderBy(F.desc("score"))
+    return scored.withColumn("_part", part).withColumn("_place", F.dense_rank().over(w)).where(F.col("_place") <= max(k, 0)).drop("_part", "_place")
+
+
 def search(vectors: DataFrame, queries: DataFrame, key: str, k: int = FETCH, id_col: str = "vec_id") -> DataFrame:
     """Scores, deduplicates, and ranks: what a fetch that grows until k distinct rows are found gives."""
-    return top_k(dedup(score(vectors, queries, id_col), key, id_col), k, id_col)
+    return top_k(dedup(shortlist(score(vectors, queries, id_col), k, id_col), key, id_col), k, id_col)
 
 
 def merge_queries(ranked: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -24,10 +24,13 @@ def column_statistics(df: DataFrame, columns: Sequence[str], label: str | None =
 
 
 def percent_of_total(df: DataFrame, group: str, value: Column, name: str = "total") -> DataFrame:
-    """Sums by group with their share of the grand total in percent."""
-    sums = df.groupBy(group).agg(F.sum(value).alias(name))
-    whole = sums.agg(F.sum(name).alias("_whole"))  # one row
-    return sums.crossJoin(F.broadcast(whole)).withColumn("percent", 100.0 * F.col(name) / F.col("_whole")).drop("_whole")
+    """Sums by group with their share of the grand total in percent. The rows are aggregated once; the total is a window over the groups."""
+    return shares(df.groupBy(group).agg(F.sum(value).alias(name)), name)
+
+
+def shares(sums: DataFrame, name: str) -> DataFrame:
+    """Each row's share of the sum of a column, in percent; for aggregated rows, which one task holds."""
+    return sums.withColumn("percent", 100.0 * F.col(name) / F.sum(name).over(Window.partitionBy(F.lit(1))))
 
 
 def with_total(df: DataFrame, group: str, value: Column, unit: float = 1.0, label: str = "TOTAL") -> DataFrame:
@@ -63,11 +66,16 @@ def numbered(df: DataFrame, key: str | None, order: Sequence[str], name: str = "
     return df.withColumn(name, F.row_number().over(w))
 
 
-def runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Neighbouring rows with one value as runs: ``key, run, value, first, last, n``; runs count from 1."""
+def in_runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Rows with the number ``run`` of the stretch of neighbours with one value that they lie in, from 1."""
     w = Window.partitionBy(key).orderBy(order)
     new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    tagged = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
+    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
+
+
+def runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Neighbouring rows with one value as runs: ``key, run, value, first, last, n``; runs count from 1."""
+    tagged = in_runs(df, key, order, value)
     return tagged.groupBy(key, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
@@ -153,14 +161,26 @@ def page(df: DataFrame, order: Sequence[str | Column], limit: int) -> DataFrame:
 
 
 def median_at_minimum(points: DataFrame, x: str, y: str, level: str) -> DataFrame:
-    """For each x the median y of the rows at its lowest level."""
-    low = F.min(level).over(Window.partitionBy(x))
-    return points.withColumn("_low", low).where(F.col(level) == F.col("_low")).groupBy(x).agg(F.median(y).alias(y))
+    """For each x the median y of the rows at its lowest level.
+
+    Lowest levels come from a partial aggregation and are joined back, so no task holds all rows of an x, and
+    the rows above them are gone before the medians; those are counted by distinct y, also partially.
+    """
+    low = points.groupBy(F.col(x).alias("_x")).agg(F.min(level).alias("_low"))
+    at = points.join(low, (F.col(x).eqNullSafe(F.col("_x"))) & (F.col(level) == F.col("_low")))
+    return _median(at, [F.col(x)], y)
+
+
+def _median(df: DataFrame, keys: Sequence[Column], y: str) -> DataFrame:
+    """Medians from the counts of distinct values: equal ones are added up before they are exchanged."""
+    counted = df.groupBy(*keys, F.col(y)).agg(F.count("*").alias("_n"))
+    names = [c for c in counted.columns if c not in (y, "_n")]
+    return counted.groupBy(*names).agg(F.expr(f"percentile(`{y}`, 0.5, _n)").alias(y))
 
 
 def collapse_by_median(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """One point a whole x: the median of its y."""
-    return points.groupBy(key, F.bround(x, 0).alias(x)).agg(F.median(y).alias(y))
+    return _median(points, [F.col(key), F.bround(x, 0).alias(x)], y)
 
 
 def fit_metrics(df: DataFrame, key: str, x: str, y: str, predicted: Column) -> DataFrame:

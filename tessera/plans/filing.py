@@ -72,9 +72,9 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.reading_order(spans).select("page", F.md5("text").alias("text_md5"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(trim(text)) < 50 THEN 'short|' ELSE '' END || CASE WHEN lang <> 'en' AND length(trim(text)) < 100 THEN 'suspect|' ELSE '' END AS reasons FROM documents WHERE length(trim(text)) > 0""")
+@query("""SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'empty|' WHEN length(trim(text)) < 50 THEN 'short|' ELSE '' END || CASE WHEN lang <> 'en' AND length(trim(coalesce(text, ''))) < 100 THEN 'suspect|' ELSE '' END AS reasons FROM documents""")
 def ocr_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0)
+    d = table(spark, sf_dir, "documents")
     why = F.transform(S.ocr_reasons(F.col("text"), F.col("lang") != "en"), lambda r: F.concat(r, F.lit("|")))
     return d.select("doc_id", F.array_join(why, "").alias("reasons"))
 
@@ -138,15 +138,8 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(C.split_udf(C.markdown_sections)(F.col("text"))).alias("i", "section"))
 
 
-@query("""SELECT vec_id, label, md5(array_to_string(list_transform(embedding[1:4], lambda x: format('{:.4f}', x)), ',')) AS head FROM embeddings WHERE label IN (1, 2)""")
-def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("label").isin(1, 2))
-    head = F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.format_string("%.4f", x.cast("double"))), ",")
-    return e.select("vec_id", "label", F.md5(head).alias("head"))
-
-
 @query("""SELECT vec_id, label, md5(array_to_string(list_transform(embedding, lambda x: format('{:.4f}', x)), ',')) AS digest FROM embeddings""")
-def vector_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector, with all of its components."""
     whole = F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ",")
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.md5(whole).alias("digest"))

@@ -14,131 +14,69 @@ from tessera.plans.registry import Registry
 query = Registry()
 
 
-def _asked(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (0,)) -> DataFrame:
-    """Stored vectors as queries; which ones is part of each question."""
-    found = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*ids))
-    return found.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-
-
+#: Every vector whose id is divisible by 50 is a query, against all vectors.
 _SCORED = """
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN ({ids})),
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
 scored AS (SELECT query_id, vec_id, label, round(list_dot_product(embedding::DOUBLE[], qv::DOUBLE[]), 6) AS score FROM embeddings, q),
 deduped AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, score, label ORDER BY vec_id) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM deduped)
 """
 
 
-def _search(spark: SparkSession, sf_dir: str, k: int, ids: tuple[int, ...] = (0,)) -> DataFrame:
-    return R.search(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, ids), "label", k)
+def _search(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return R.search(e, asked, "label", k)
 
 
-@query(_SCORED.format(ids="0") + "SELECT vec_id, label, score, rank FROM ranked WHERE rank <= 15 AND score >= 0.25")
+@query(_SCORED + "SELECT query_id, vec_id, label, score, rank FROM ranked WHERE rank <= 15 AND (score >= 0.25 OR rank = 1)")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.threshold(_search(spark, sf_dir, R.KEEP), 0.25).select("vec_id", "label", "score", "rank")
+    return R.threshold(_search(spark, sf_dir, R.KEEP), 0.25).select("query_id", "vec_id", "label", "score", "rank")
 
 
-@query(_SCORED.format(ids="0, 1, 2") + "SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 50")
+@query(_SCORED + "SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 50")
 def knn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, R.FETCH, (0, 1, 2)).select("query_id", "vec_id", "score", "rank")
+    return _search(spark, sf_dir, R.FETCH).select("query_id", "vec_id", "score", "rank")
 
 
-@query(_SCORED.format(ids="0, 1, 2") + "SELECT query_id, vec_id, score FROM ranked WHERE rank = 1")
+@query(_SCORED + "SELECT query_id, vec_id, score FROM ranked WHERE rank = 1")
 def knn_threshold_keep1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.threshold(_search(spark, sf_dir, R.FETCH, (0, 1, 2)), 1.5).select("query_id", "vec_id", "score")
+    return R.threshold(_search(spark, sf_dir, R.FETCH), 1.5).select("query_id", "vec_id", "score")
 
 
-@query(_SCORED.format(ids="3, 4, 5") + """, best AS (SELECT vec_id, max(score) AS score FROM ranked WHERE rank <= 50 GROUP BY vec_id)
+@query(_SCORED + """, best AS (SELECT vec_id, max(score) AS score FROM ranked WHERE rank <= 50 GROUP BY vec_id)
 SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM best""")
 def multi_query_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.merge_queries(_search(spark, sf_dir, R.FETCH, (3, 4, 5))).select("vec_id", "score", "rank")
+    return R.merge_queries(_search(spark, sf_dir, R.FETCH)).select("vec_id", "score", "rank")
 
 
-@query(_SCORED.format(ids="7") + "SELECT vec_id, score, rank FROM ranked WHERE rank <= 50 AND rank > 15")
+@query(_SCORED + "SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 50 AND rank > 15")
 def failed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _search(spark, sf_dir, R.FETCH, (7,))
-    return R.failed(found, found.where(F.col("rank") <= R.KEEP)).select("vec_id", "score", "rank")
-
-
-@query()
-def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.diverse(_search(spark, sf_dir, R.FETCH, (0, 9)), R.KEEP, 0.5)
-
-
-@query(_SCORED.format(ids="0") + """, texts AS (
-  SELECT r.rank, d.text, len(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda w: w <> '')) AS n
-  FROM ranked r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= 15
-), used AS (SELECT *, sum(n) OVER (ORDER BY rank) AS used FROM texts)
-SELECT md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS context_md5, count(*) AS n_kept FROM used WHERE used <= 2048 OR rank = (SELECT min(rank) FROM texts)""")
-def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector and document of one number are paired; the tables have no key to each other."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    rows = _search(spark, sf_dir, R.KEEP).join(docs, "vec_id").withColumn("n", T.word_count(F.col("text")))
-    rows = rows.withColumn("rank", F.expr("row_number() over (partition by query_id order by rank)"))
-    return R.context(rows, "n", 2048).select(F.md5("context").alias("context_md5"), "n_kept")
-
-
-@query(_SCORED.format(ids="0") + "SELECT vec_id, format('{:.4f}', score) AS score_text, sum(label) OVER () AS total_words FROM ranked WHERE rank <= 15")
-def similarity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.report(_search(spark, sf_dir, R.KEEP), "label").select("vec_id", "score_text", "total_words")
-
-
-#: The searches above with every vector whose id is divisible by 50 as a query.
-_EVERY_50 = _SCORED.format(ids="SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0")
-
-
-def _search_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    asked = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return R.search(e, asked, "label", k)
-
-
-@query(_EVERY_50 + "SELECT query_id, vec_id, label, score, rank FROM ranked WHERE rank <= 15 AND (score >= 0.25 OR rank = 1)")
-def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.threshold(_search_all(spark, sf_dir, R.KEEP), 0.25).select("query_id", "vec_id", "label", "score", "rank")
-
-
-@query(_EVERY_50 + "SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 50")
-def knn_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search_all(spark, sf_dir, R.FETCH).select("query_id", "vec_id", "score", "rank")
-
-
-@query(_EVERY_50 + "SELECT query_id, vec_id, score FROM ranked WHERE rank = 1")
-def knn_threshold_keep1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.threshold(_search_all(spark, sf_dir, R.FETCH), 1.5).select("query_id", "vec_id", "score")
-
-
-@query(_EVERY_50 + """, best AS (SELECT vec_id, max(score) AS score FROM ranked WHERE rank <= 50 GROUP BY vec_id)
-SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM best""")
-def multi_query_maxscore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.merge_queries(_search_all(spark, sf_dir, R.FETCH)).select("vec_id", "score", "rank")
-
-
-@query(_EVERY_50 + "SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 50 AND rank > 15")
-def failed_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _search_all(spark, sf_dir, R.FETCH)
+    found = _search(spark, sf_dir, R.FETCH)
     return R.failed(found, found.where(F.col("rank") <= R.KEEP)).select("query_id", "vec_id", "score", "rank")
 
 
 @query()
-def mmr_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.diverse(_search_all(spark, sf_dir, R.FETCH), R.KEEP, 0.5)
+def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.diverse(_search(spark, sf_dir, R.FETCH), R.KEEP, 0.5)
 
 
-@query(_EVERY_50 + """, texts AS (
+@query(_SCORED + """, texts AS (
   SELECT r.query_id, r.rank, d.text, len(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda w: w <> '')) AS n
   FROM ranked r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= 15
 ), used AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY rank) AS used, min(rank) OVER (PARTITION BY query_id) AS first FROM texts)
 SELECT query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS context_md5, count(*) AS n_kept FROM used WHERE used <= 2048 OR rank = first GROUP BY query_id""")
-def context_budget_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector and document of one number are paired; the tables have no key to each other."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    rows = _search_all(spark, sf_dir, R.KEEP).join(docs, "vec_id").withColumn("n", T.word_count(F.col("text")))
+    rows = _search(spark, sf_dir, R.KEEP).join(docs, "vec_id").withColumn("n", T.word_count(F.col("text")))
     rows = rows.withColumn("rank", F.expr("row_number() over (partition by query_id order by rank)"))
     return R.context(rows, "n", 2048).select("query_id", F.md5("context").alias("context_md5"), "n_kept")
 
 
-@query(_EVERY_50 + "SELECT query_id, vec_id, format('{:.4f}', score) AS score_text, sum(label) OVER (PARTITION BY query_id) AS total_words FROM ranked WHERE rank <= 15")
-def similarity_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.report(_search_all(spark, sf_dir, R.KEEP), "label").select("query_id", "vec_id", "score_text", "total_words")
+@query(_SCORED + "SELECT query_id, vec_id, format('{:.4f}', score) AS score_text, sum(label) OVER (PARTITION BY query_id) AS total_words FROM ranked WHERE rank <= 15")
+def similarity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.report(_search(spark, sf_dir, R.KEEP), "label").select("query_id", "vec_id", "score_text", "total_words")
 
 
 @query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings""")

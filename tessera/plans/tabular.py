@@ -203,20 +203,9 @@ def ledger_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pending(table(spark, sf_dir, "documents").select("doc_id"), ledger, "doc_id")
 
 
-@query("""SELECT event_id, price, sum(new) OVER (ORDER BY event_id)::BIGINT AS run FROM (SELECT event_id, floor(value / 10) AS price,
-  CASE WHEN floor(value / 10) IS NOT DISTINCT FROM lag(floor(value / 10)) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events WHERE user_id = 1)""")
-def repeat_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal readings in a row of one instrument as runs, by row."""
-    e = table(spark, sf_dir, "events").where("user_id = 1").select("event_id", "user_id", F.floor(F.col("value") / 10).cast("double").alias("price"))
-    runs = B.runs(e, "user_id", "event_id", "price").select("run", "first", "last")
-    return e.join(runs, F.col("event_id").between(F.col("first"), F.col("last"))).select("event_id", "price", "run")
-
-
 @query("""SELECT user_id, event_id, price, sum(new) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS run FROM (SELECT user_id, event_id, floor(value / 10) AS price,
   CASE WHEN floor(value / 10) IS NOT DISTINCT FROM lag(floor(value / 10)) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
-def repeat_reads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As repeat_reads, for every instrument."""
+def repeat_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal readings in a row of each instrument as runs, by row."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("value") / 10).cast("double").alias("price"))
-    runs = B.runs(e, "user_id", "event_id", "price").select(F.col("user_id").alias("of"), "run", "first", "last")
-    here = F.col("user_id").eqNullSafe(F.col("of")) & F.col("event_id").between(F.col("first"), F.col("last"))
-    return e.join(runs, here).select("user_id", "event_id", "price", "run")
+    return B.in_runs(e, "user_id", "event_id", "price").select("user_id", "event_id", "price", "run")

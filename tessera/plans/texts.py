@@ -115,18 +115,10 @@ def seq_in_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.numbered(kept, "doc_id", ["pos"]).select("doc_id", "pos", "seq")
 
 
-@query(_LINES + r"""SELECT doc_id, count(*) AS n_blocks, sum(length(regexp_replace(line, '^\s+|\s+$', '', 'g')))::BIGINT AS char, max(format('{}_b{:02d}', doc_id, seq)) AS last_id
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE regexp_matches(line, '\S')) GROUP BY doc_id HAVING count(*) < 100""")
-def canonical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.canonical(_lines(spark, sf_dir), order="pos", text="line")
-    out = rows.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum("char").alias("char"), F.max("block_id").alias("last_id"))
-    return out.where("n_blocks < 100")
-
-
 @query(_LINES + r"""SELECT doc_id, count(*) AS n_blocks, sum(length(regexp_replace(line, '^\s+|\s+$', '', 'g')))::BIGINT AS char, arg_max(format('{}_b{:02d}', doc_id, seq), seq) AS last_id
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE regexp_matches(line, '\S')) GROUP BY doc_id""")
-def canonical_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As canonical_blocks, for documents of any number of blocks: the last id is that of the greatest number."""
+def canonical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last id is that of the greatest number, however many blocks a document has."""
     rows = M.canonical(_lines(spark, sf_dir), order="pos", text="line")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum("char").alias("char"), F.max_by("block_id", "seq").alias("last_id"))
 
@@ -180,8 +172,8 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS n_en, 100.0 * count(*) / sum(count(*)) OVER () AS percent FROM documents GROUP BY source""")
 def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    share = B.percent_of_total(d, "source", F.lit(1), "n")
-    return share.join(d.groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("n_en")), "source").select("source", "n", "n_en", "percent")
+    counts = d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"))
+    return B.shares(counts, "n").select("source", "n", "n_en", "percent")
 
 
 @query("SELECT doc_id, sha1(text) AS digest, md5(text) AS short_digest FROM documents")
@@ -189,16 +181,8 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.sha1("text").alias("digest"), F.md5("text").alias("short_digest"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '\b(iec|ul|nec|csa|tests?|testing|certif\w*|compl(y|i\w*)|standard\w*|lumin\w*?)\b') THEN 'safety'
-  WHEN regexp_matches(t, '\brita\w*\b') THEN 'rita' ELSE 'unknown' END AS route FROM (SELECT doc_id, lower(source || chr(10) || text) AS t FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))""")
-def route_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in ASCII only, where both dialects agree on what a word is."""
-    d = _docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", T.route(F.col("source"), F.col("text")).alias("route"))
-
-
 @query()
-def route_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def route_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in any script; SQL has no word borders for them, so a test compares with plain Python."""
     return _docs(spark, sf_dir).select("doc_id", T.route(F.col("source"), F.col("text")).alias("route"))
 

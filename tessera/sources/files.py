@@ -186,9 +186,14 @@ def pending(work: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return work.join(ledger.where("status = 'success'").select(key).distinct(), key, "left_anti")
 
 
-def record(ledger: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """The ledger with the results in it, the last of each key, errors cut to 500 characters."""
-    new = results.withColumn("error", F.substring("error", 1, 500))
+def record(ledger: DataFrame, results: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The ledger with the results in it, the last of each key, errors cut to 500 characters.
+
+    The last result is the one with the greatest ``order``; of equal ones, and without an order, the greatest row.
+    """
+    cut = results.withColumn("error", F.substring("error", 1, 500))
+    by = F.struct(*([order] if order else []), *[c for c in cut.columns if c not in (key, order)])
+    new = cut.groupBy(key).agg(F.max_by(F.struct(*[c for c in cut.columns if c != key]), by).alias("_r")).select(key, "_r.*")
     old = ledger.join(new.select(key), key, "left_anti")
     return old.unionByName(new.select(*ledger.columns))
 

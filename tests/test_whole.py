@@ -1,4 +1,4 @@
-"""Queries over whole tables, where their namesakes without ``_all`` take a part."""
+"""Queries cover whole tables."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def route(source: str, text: str) -> str:
 
 def test_route_all(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    got = rows(catalogue.QUERIES["route_text_all"](spark, SMALL), "doc_id")
+    got = rows(catalogue.QUERIES["route_text"](spark, SMALL), "doc_id")
     assert got == sorted((d["doc_id"], route(d["source"], d["text"])) for d in docs)
     assert any(not d["text"].isascii() for d in docs)
     said = ["été test", "ététest", "testé", "中文 UL 中文", "ritaé", "é rita", "complié"]
@@ -31,7 +31,7 @@ def test_route_all(spark):
 
 def test_every_query_is_asked(spark):
     ids = set(range(0, 500, 50))
-    for name in ("knn_topk_all", "knn_dedup_all", "knn_threshold_keep1_all", "failed_candidates_all", "mmr_topk_all", "similarity_report_all"):
+    for name in ("knn_topk", "knn_dedup", "knn_threshold_keep1", "failed_candidates", "mmr_topk", "similarity_report"):
         assert {r["query_id"] for r in catalogue.QUERIES[name](spark, SMALL).select("query_id").distinct().collect()} == ids
 
 
@@ -45,9 +45,9 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
 
 def test_all_rows(spark):
     n = spark.read.parquet(f"{SMALL}/events.parquet").count()
-    assert catalogue.QUERIES["repeat_reads_all"](spark, SMALL).count() == n
+    assert catalogue.QUERIES["repeat_reads"](spark, SMALL).count() == n
 
 
 def test_more_than_99_blocks(spark):
-    most = catalogue.QUERIES["canonical_blocks_all"](spark, "/root/testdata/sf0.01").orderBy(F.desc("n_blocks")).first()
+    most = catalogue.QUERIES["canonical_blocks"](spark, "/root/testdata/sf0.01").orderBy(F.desc("n_blocks")).first()
     assert most["n_blocks"] >= 100 and most["last_id"] == f"{most['doc_id']}_b{most['n_blocks']}"
