@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +35,13 @@ _NAME_INSIDE = r"\p{Lu}(?<=[\p{Ll}\d,;:] .)\p{Ll}[\p{L}\p{M}'’-]*"
 _NAME_ANYWHERE = r"\p{Lu}(?<![\p{L}\p{M}\d'’-].)\p{Ll}[\p{L}\p{M}'’-]*"
 
 
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(MARK), F.lit(""))
+
+
 def _measured(text: Column, spelled: bool = False) -> Column:
     """The text with numbers, also in words if ``spelled``, and the units after them replaced."""
-    text = F.regexp_replace(F.translate(text, MARK, ""), r"\d+(?:[.,:/]\d+)*", NUMBER)
+    text = F.regexp_replace(_unmarked(text), r"\d+(?:[.,:/]\d+)*", NUMBER)
     if spelled:
         text = F.regexp_replace(text, _SPELLED, NUMBER)
     return F.regexp_replace(text, rf"(?i){NUMBER}(\x20?)(?:{UNITS})(?![\p{{L}}\p{{M}}\d])", f"{NUMBER}$1{UNIT}")
@@ -59,7 +64,7 @@ def _words(text: Column) -> Column:
 def _prepared(table: DataFrame, key: str, *others: str, spelled: bool = False) -> DataFrame:
     """The words of each text (``o``) and, word for word, three templates of it with single blanks between them:
     names as in ``template`` (``t``), every capitalised word a name (``a``), and none (``l``)."""
-    rows = table.where(f"{key} is not null and text is not null").select(key, *others, _words(F.translate("text", MARK, "")).alias("o"))
+    rows = table.where(f"{key} is not null and text is not null").select(key, *others, _words(_unmarked(F.col("text"))).alias("o"))
     rows = rows.select(key, *others, "o", _measured(F.array_join("o", " "), spelled).alias("m"))
     split = lambda text: F.split(F.lower(text), " ")
     names = {"t": F.regexp_replace("m", _NAME_INSIDE, NAME), "a": F.regexp_replace("m", _NAME_ANYWHERE, NAME), "l": F.col("m")}
@@ -93,6 +98,10 @@ def _merged(rows: DataFrame) -> DataFrame:
 _READINGS = {"t": ("text", "t", "o"), "a": ("text", "a", "o"), "l": ("text", "l", "o"), "m": ("merged", "m", "mo"), "r": ("raw", "r", "o")}
 
 
+#: The columns in which the windows of candidates are sought.
+_TEMPLATES = ("t", "a", "l", "r")
+
+
 def _hash(mode: Column, words: list[Column]) -> Column:
     """Hash of a window by those of its words; a null beyond its end counts for nothing."""
     return F.xxhash64(mode, *words)
@@ -191,10 +200,18 @@ def _candidates(docs: DataFrame, known: DataFrame, keys: DataFrame, small: bool)
     """``doc_id, item_id``: documents with a window by which an item is looked up."""
     lengths = sorted(tuple(r) for r in known.where("mode != 'merged'").select("mode", "width").distinct().collect())  # at most twice WINDOW rows
     rows = _prepared(docs, "doc_id").withColumn("r", F.transform("o", lambda w: F.lower(w)))
-    hashes = [_window_hashes(mode, F.col(c), width) for mode, width in lengths for own, c, _ in _READINGS.values() if own == mode]
-    # Hashes are made before they are dealt out, so that nothing else goes along with them; the outer
-    # form keeps the optimiser from making them twice, for a filter on their number.
-    rows = rows.select("doc_id", F.array_distinct(F.concat(*hashes)).alias("hashes")).select("doc_id", F.explode_outer("hashes").alias("hash"))
+    # The words of a text are dealt out by place, and the windows hashed there, in compiled code; the outer form
+    # keeps the optimiser from making the words twice, for a filter on their number.
+    rows = rows.select("doc_id", *_TEMPLATES, F.posexplode_outer("o").alias("p", "w"))
+    hashes: list[Column] = []
+    for mode, width in lengths:
+        for c in [c for own, c, _ in _READINGS.values() if own == mode]:
+            whole = F.col("p") <= F.size(c) - width
+            here = F.when(whole, _hash(F.lit(mode), [F.xxhash64(F.get(F.col(c), F.col("p") + j)) for j in range(width)]))
+            rows = rows.withColumn(f"h{len(hashes)}", here)
+            hashes.append(F.col(f"h{len(hashes)}"))
+    new = [F.when(reduce(lambda ok, g: ok & ~h.eqNullSafe(g), hashes[:i], F.lit(True)), h) for i, h in enumerate(hashes)]
+    rows = rows.select("doc_id", F.explode_outer(F.array(*new)).alias("hash"))
     met = rows.join(F.broadcast(keys) if small else keys, "hash")
     return met.select("doc_id", F.explode("items").alias("item_id")).distinct()
 
