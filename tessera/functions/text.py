@@ -265,3 +265,39 @@ def seconds_text(seconds: Column) -> Column:
     s = seconds.cast("bigint")
     whole = F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
     return F.when(s.isNull(), "unknown").otherwise(whole)
+
+
+def is_review_thread(subject: Column, mark: str = "ALI") -> Column:
+    """Whether a subject carries the version marker of a review thread; a null one does not."""
+    return F.coalesce(subject.rlike(rf"(?i)\[{mark}:v\d+\]"), F.lit(False))
+
+
+def task_text(body: Column, most: int) -> Column:
+    """The stripped body up to ``most`` characters; null counts as empty."""
+    return F.substring(strip(F.coalesce(body, F.lit(""))), 1, most)
+
+
+def payload_text(payload: Column) -> Column:
+    """The text of an answer's payload: a JSON list of objects with a ``text`` gives those, a line each; any other text stays."""
+    parts = F.from_json(payload, "array<struct<text:string>>")
+    listed = payload.rlike(r"\A\s*\[") & parts.isNotNull()
+    joined = F.array_join(F.filter(F.transform(parts, lambda x: x["text"]), lambda x: x.isNotNull()), "\n")
+    return F.coalesce(F.when(listed, joined).otherwise(payload), F.lit(""))
+
+
+def is_class_row(content: Column) -> Column:
+    """Whether a row of an ontology defines a class."""
+    return F.coalesce(content.startswith("Class::"), F.lit(False))
+
+
+def form_problems(values: dict[str, Column], limits: dict[str, tuple[float, float]]) -> Column:
+    """What is wrong with the numbers of a form: ``name: not positive`` or ``name: out of range``, in the order of the fields.
+
+    A null is not positive; a field without limits must be positive only.
+    """
+    said = []
+    for name, v in values.items():
+        low, high = limits.get(name, (float("-inf"), float("inf")))
+        wrong = F.when(v.isNull() | (v <= 0), f"{name}: not positive").when((v < low) | (v > high), f"{name}: out of range")
+        said.append(wrong)
+    return F.filter(F.array(*said), lambda x: x.isNotNull())

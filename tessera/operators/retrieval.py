@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -118,6 +119,23 @@ def report(ranked: DataFrame, words: str) -> DataFrame:
     return ranked.withColumn("score_text", F.format_number("score", 4)).withColumn("total_words", total)
 
 
+def answer(vectors: DataFrame, variants: DataFrame, docs: DataFrame, ask: Callable[[Column], Column], key: str, budget: int, least: float = THRESHOLD, id_col: str = "vec_id") -> DataFrame:
+    """One row with the answer to a question that is asked in several ``variants(query_id, query_vec)``.
+
+    Searches every variant, merges by best score, keeps what reaches the threshold up to ``KEEP`` rows, packs the texts
+    of ``docs(id, text, n)`` into a context within the budget, and lets ``ask`` turn the context into an answer:
+    ``context, n_kept, answer, sources, failed``, the last two the ids that were kept and rejected, in rank order.
+    """
+    merged = merge_queries(search(vectors, variants, key, FETCH, id_col), id_col)
+    kept = threshold(merged, least).where(F.col("rank") <= KEEP)
+    ids = lambda rows, name: rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", id_col))), lambda s: s[id_col]).alias(name))
+    with_text = kept.join(docs, id_col)
+    with_text = with_text.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    out = context(with_text, "n", budget).withColumn("answer", ask(F.col("context")))
+    out = out.join(ids(kept, "sources"), "query_id", "left").join(ids(failed(merged, kept, id_col), "failed"), "query_id", "left")
+    return out.select("context", "n_kept", "answer", "sources", "failed")
+
+
 def diverse(ranked: DataFrame, k: int, trade: float = 0.5, id_col: str = "vec_id") -> DataFrame:
     """Greedy maximal marginal relevance over each query's fetched rows: ``query_id, id, pick`` from 1.
 

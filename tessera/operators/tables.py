@@ -201,3 +201,15 @@ def sign_changes(df: DataFrame, key: str, x: str, f: str) -> DataFrame:
     return rows.groupBy(key).agg(
         F.count_if("_c").alias("changes"), F.min_by(x, F.struct(F.abs(f), F.col(x))).alias("nearest_x"), F.max(f).alias("greatest")
     )
+
+
+def by_number(lines: DataFrame, line: str, order: str, pattern: str = r"(\d+) bytes") -> DataFrame:
+    """Lines of a log by the number found in them, the greatest first and equal ones as they came; lines without one last."""
+    found = F.regexp_extract(line, pattern, 1)
+    return lines.withColumn("number", F.when(found != "", found).try_cast("bigint")).orderBy(F.desc_nulls_last("number"), order)
+
+
+def by_side(orders: DataFrame, key: str, side: str) -> DataFrame:
+    """How many orders of each key buy and sell."""
+    low = F.lower(side)
+    return orders.groupBy(key).agg(F.count_if(low == "buy").alias("buys"), F.count_if(low == "sell").alias("sells"))

@@ -79,6 +79,22 @@ def similarity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report(_search(spark, sf_dir, R.KEEP), "label").select("query_id", "vec_id", "score_text", "total_words")
 
 
+@query(_SCORED + """, best AS (SELECT vec_id, max(score) AS score FROM ranked WHERE rank <= 50 GROUP BY vec_id),
+placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM best),
+kept AS (SELECT * FROM placed WHERE rank <= 15 AND score >= 0.4), texts AS (
+  SELECT k.rank, d.text, len(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda w: w <> '')) AS n FROM kept k JOIN documents d ON d.doc_id = k.vec_id
+), used AS (SELECT *, sum(n) OVER (ORDER BY rank) AS used, min(rank) OVER () AS first FROM texts)
+SELECT (SELECT md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) FROM used WHERE used <= 2048 OR rank = first) AS context_md5,
+  (SELECT string_agg(vec_id, ',' ORDER BY rank) FROM kept) AS sources, (SELECT md5(string_agg(vec_id, ',' ORDER BY rank)) FROM placed WHERE vec_id NOT IN (SELECT vec_id FROM kept)) AS failed_md5""")
+def full_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector as a way to ask one question; in place of a model, the answer is the digest of the context."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", T.word_count(F.col("text")).alias("n"))
+    out = R.answer(e, asked, docs, F.md5, "label", 2048)
+    return out.select(F.col("answer").alias("context_md5"), F.array_join("sources", ",").alias("sources"), F.md5(F.array_join("failed", ",")).alias("failed_md5"))
+
+
 @query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings""")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled vectors are normalised back to the unit length of the stored ones."""

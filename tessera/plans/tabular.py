@@ -209,3 +209,23 @@ def repeat_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal readings in a row of each instrument as runs, by row."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("value") / 10).cast("double").alias("price"))
     return B.in_runs(e, "user_id", "event_id", "price").select("user_id", "event_id", "price", "run")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal <= 0 THEN 'balance: not positive|' WHEN c_acctbal NOT BETWEEN 100 AND 5000 THEN 'balance: out of range|' ELSE '' END
+  || CASE WHEN c_nationkey <= 0 THEN 'nation: not positive|' ELSE '' END AS problems FROM customer""")
+def form_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.form_problems({"balance": F.col("c_acctbal"), "nation": F.col("c_nationkey")}, {"balance": (100, 5000)})
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.transform(found, lambda x: F.concat(x, F.lit("|"))), "").alias("problems"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_nationkey::BIGINT END AS number FROM supplier")
+def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a log that name a size, but for every third."""
+    line = F.when(F.col("s_suppkey") % 3 == 0, F.lit("nothing")).otherwise(F.concat(F.lit("sent "), F.col("s_nationkey").cast("string"), F.lit(" bytes")))
+    return B.by_number(table(spark, sf_dir, "supplier").select("s_suppkey", line.alias("line")), "line", "s_suppkey").select("s_suppkey", "number")
+
+
+@query("SELECT user_id, count(*) FILTER (event_id % 2 = 0) AS buys, count(*) FILTER (event_id % 2 = 1) AS sells FROM events GROUP BY user_id")
+def side_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("side", F.when(F.col("event_id") % 2 == 0, "Buy").otherwise("SELL"))
+    return B.by_side(e, "user_id", "side")

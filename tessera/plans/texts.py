@@ -199,3 +199,24 @@ def quote_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def script_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
     return d.select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]+")).alias("n_latin"), T.has_chinese(F.col("text")).alias("chinese"))
+
+
+@query("SELECT doc_id, md5(substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 200)) AS task_md5 FROM documents")
+def body_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.task_text(F.col("text"), 200)).alias("task_md5"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS text_md5 FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
+def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as a JSON list of text objects, read back as lines."""
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("text")))
+    return c.groupBy("conv_id").agg(F.to_json(listed).alias("payload")).select("conv_id", F.md5(T.payload_text(F.col("payload"))).alias("text_md5"))
+
+
+@query("SELECT conv_id, turn, turn % 2 = 1 AS review, role = 'user' AS defines FROM conversations")
+def thread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd turns bear the marker of a review thread; those of users define a class."""
+    subject = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Re: x [ALI:v"), F.col("turn").cast("string"), F.lit("]"))).otherwise("Re: [ALI:v]")
+    content = F.concat(F.when(F.col("role") == "user", "Class::").otherwise("class::"), "role")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_review_thread(subject).alias("review"), T.is_class_row(content).alias("defines"))
