@@ -116,6 +116,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Makes a separator of words a blank and A-Z lower case.
+_WORDS = bytes(0x20 if b == 0x20 or 9 <= b <= 13 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+def split_words(text: bytes, table: bytes = _WORDS, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in order, as lists of those in about ``most`` bytes, so that a long text is never held as words whole.
+
+    ``table`` translates each byte first; blanks then separate words.
+    """
+    begin = 0
+    while begin < len(text):
+        piece, size = b"", most
+        while begin + len(piece) < len(text) and b" " not in piece:  # longer for a word beyond a piece
+            piece = text[begin : begin + size].translate(table)
+            size *= 2
+        if begin + len(piece) < len(text):
+            piece = piece[: piece.rfind(b" ") + 1]
+        yield piece.split()
+        begin += len(piece)
+
+
 #: Marks a row without an id inside Python workers, where a column of whole numbers with nulls would turn into floats.
 NO_ID = "__no_id"
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, line_dedup, packing, quality, substring_dedup, token_counts, toxicity, url_filters
+from . import chat, decontaminate, divergence, interaction, jaccard_join, line_dedup, packing, quality, simhash, substring_dedup, token_counts, toxicity, url_filters
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -258,3 +258,93 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_toxicity"] = op6_toxicity
+
+
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+#: SQL has no XXH64; tests/llm/test_audits.py computes the fingerprints and their components anew.
+QUERIES["op11_simhash"] = op11_simhash
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_divergence"] = op12_divergence
+#: Term by term, as the contract says it.
+ORACLE["op12_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), terms AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS c FROM terms GROUP BY ALL HAVING count(DISTINCT r) >= 10
+), whole AS (
+  SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), counted AS (
+  SELECT lang, source, term, count(*) AS c FROM terms JOIN kept USING (lang, term) GROUP BY ALL
+), sized AS (
+  SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counted USING (lang, source) GROUP BY ALL
+), prices AS (
+  SELECT g.lang, g.source, k.term, coalesce(d.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(d.c, 0) + 2)) // (g.n + 2 * w.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.c + 2)) // (w.n + 2 * w.v)::HUGEINT AS q
+  FROM sized g JOIN whole w USING (lang) JOIN kept k USING (lang) LEFT JOIN counted d ON d.lang = g.lang AND d.source = g.source AND d.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM prices a JOIN prices b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM prices WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM rows QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op13_interaction"] = op13_interaction
+#: Applies each order to each document.
+ORACLE["op13_interaction"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy
+  FROM documents
+), marked AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), told AS (
+  SELECT r, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: CASE f WHEN 'A' THEN len(w) < 100 WHEN 'B' THEN 100 * len(list_distinct(w)) < 80 * len(w)
+           WHEN 'C' THEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) WHEN 'D' THEN regexp_matches(text, '[#$%&*|]') ELSE copy END) AS fails
+  FROM docs LEFT JOIN marked USING (doc_id)
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, s::INTEGER AS step, o[s] AS x FROM orders, range(1, 6) t(s)
+), failing AS (
+  SELECT r, part, good, toxic, len(fails) AS n, unnest(fails) AS x FROM told
+), placed AS (
+  SELECT f.*, o, step, min(step) OVER (PARTITION BY r, o) AS gone FROM failing f JOIN steps USING (x)
+), sums AS (
+  SELECT part, o, step, count(*) FILTER (step = gone) AS removed, count(*) FILTER (step > gone) AS redundant, count(*) FILTER (n = 1) AS unique_fails,
+         sum(good) FILTER (step = gone) AS good_lost, sum(toxic) FILTER (step = gone) AS toxic_lost
+  FROM placed GROUP BY ALL
+), whole AS (
+  SELECT p.part, p.n, s.o, s.step, s.x, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+         coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost
+  FROM (SELECT part, count(*) AS n FROM docs GROUP BY part) p, steps s LEFT JOIN sums u ON u.part = p.part AND u.o = s.o AND u.step = s.step
+)
+SELECT part, o AS filter_order, step, x AS "filter", (n - sum(removed) OVER (PARTITION BY part, o ORDER BY step))::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM whole
+"""
