@@ -39,7 +39,7 @@ def _unmarked(text: Column) -> Column:
     return F.replace(text, F.lit(MARK), F.lit(""))
 
 
-def _measured(text: Column, spelled: bool = False) -> Column:
+def _measured(text: Column, spelled: bool = True) -> Column:
     """The text with numbers, also in words if ``spelled``, and the units after them replaced."""
     text = F.regexp_replace(_unmarked(text), r"\d+(?:[.,:/]\d+)*", NUMBER)
     if spelled:
@@ -53,7 +53,7 @@ def template(text: Column) -> Column:
     A name is a capitalised word after a word that does not end a sentence; a number is a run of digits
     with its separators; a unit is a word of ``UNITS`` right after a number, attached or apart.
     """
-    return F.lower(F.regexp_replace(_measured(text), _NAME_INSIDE, NAME))
+    return F.lower(F.regexp_replace(_measured(text, spelled=False), _NAME_INSIDE, NAME))
 
 
 def _words(text: Column) -> Column:
@@ -61,11 +61,11 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), _SPACES)
 
 
-def _prepared(table: DataFrame, key: str, *others: str, spelled: bool = False) -> DataFrame:
+def _prepared(table: DataFrame, key: str, *others: str) -> DataFrame:
     """The words of each text (``o``) and, word for word, three templates of it with single blanks between them:
     names as in ``template`` (``t``), every capitalised word a name (``a``), and none (``l``)."""
     rows = table.where(f"{key} is not null and text is not null").select(key, *others, _words(_unmarked(F.col("text"))).alias("o"))
-    rows = rows.select(key, *others, "o", _measured(F.array_join("o", " "), spelled).alias("m"))
+    rows = rows.select(key, *others, "o", _measured(F.array_join("o", " ")).alias("m"))
     split = lambda text: F.split(F.lower(text), " ")
     names = {"t": F.regexp_replace("m", _NAME_INSIDE, NAME), "a": F.regexp_replace("m", _NAME_ANYWHERE, NAME), "l": F.col("m")}
     return rows.select(key, *others, "o", *[split(text).alias(c) for c, text in names.items()])
@@ -82,9 +82,8 @@ def _merged(rows: DataFrame) -> DataFrame:
         def merge(heads: Column) -> Column:
             def one(h: Column, k: Column) -> Column:
                 n = F.coalesce(F.get(heads, k + 1), F.size(a)) - h
-                last = F.get(a, h + n - 1)
-                tail = F.substring(last, F.lit(len(NAME) + 1), F.char_length(last))
-                return F.struct(F.when(n == 1, last).otherwise(F.concat(F.get(a, h), tail)).alias("m"), F.array_join(F.slice(o, h + 1, n), " ").alias("mo"))
+                tails = F.transform(F.slice(a, h + 2, n - 1), lambda w: F.substring(w, F.lit(len(NAME) + 1), F.char_length(w)))
+                return F.struct(F.concat(F.get(a, h), F.array_join(tails, "")).alias("m"), F.array_join(F.slice(o, h + 1, n), " ").alias("mo"))
 
             return F.transform(heads, one)
 
@@ -98,8 +97,10 @@ def _merged(rows: DataFrame) -> DataFrame:
 _READINGS = {"t": ("text", "t", "o"), "a": ("text", "a", "o"), "l": ("text", "l", "o"), "m": ("merged", "m", "mo"), "r": ("raw", "r", "o")}
 
 
-#: The columns in which the windows of candidates are sought.
-_TEMPLATES = ("t", "a", "l", "r")
+#: The columns in which the windows of candidates are sought; ``g`` has names of several words as one, and is null where there are none.
+_TEMPLATES = ("t", "a", "l", "r", "g")
+#: A name after a name, which ``g`` leaves out.
+_NAME_AGAIN = f"(?<={NAME}) {NAME}"
 
 
 def _hash(mode: Column, words: list[Column]) -> Column:
@@ -134,16 +135,17 @@ def _variants(t: Column, a: Column, l: Column) -> Column:  # noqa: E741
     return out
 
 
-def benchmark_windows(benchmark: DataFrame, spelled: bool = False) -> DataFrame:
-    """``mode, hash, width, item_id, q, v, slots, strict, usable, n, n_strict``: the windows ``v`` of all items, each variant a row.
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """``mode, hash, key, width, item_id, q, v, slots, strict, usable, n, n_strict``: the windows ``v`` of all items, each variant a row.
 
     In the mode ``text`` a capitalised word stands in the windows as a placeholder and as itself; ``strict`` says that the names are
     those of ``template``; ``n_strict`` counts the windows that are usable so, and ``n`` those that are usable
     with every capitalised word as a name, or, if there are none, by their literal words. In the mode ``merged`` a name of several
     words is one placeholder. An item without a usable window is there in the mode ``raw``, by its plain words in lower case.
+    ``key`` is the hash by which documents are looked up, alike for ``text`` and ``merged``.
     """
     one = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    rows = _merged(_prepared(one, "item_id", spelled=spelled)).where("o[0] != ''")
+    rows = _merged(_prepared(one, "item_id")).where("o[0] != ''")
 
     def cut(mode: str, columns: str, of: str) -> DataFrame:
         wide = rows.withColumn("width", F.least(F.size(of), F.lit(WINDOW)))
@@ -173,46 +175,52 @@ def benchmark_windows(benchmark: DataFrame, spelled: bool = False) -> DataFrame:
     said = F.when(F.col("mode") != "raw", F.transform("v", lambda w, i: F.when(F.contains(w, F.lit(MARK)), F.struct(i.alias("at"), F.lower(F.get("o", i)).alias("word")))))
     slots = F.coalesce(F.filter(said, lambda s: s.isNotNull()), F.array().cast("array<struct<at:int,word:string>>"))
     words = [F.get("v", F.lit(j)) for j in range(WINDOW)]
-    hashed = _hash(F.col("mode"), [F.when(w.isNotNull(), F.xxhash64(w)) for w in words])
-    columns = ["mode", hashed.alias("hash"), "width", "item_id", "q", "v", slots.alias("slots"), "strict", "usable", "n", "n_strict"]
+    hashed = lambda mode: _hash(mode, [F.when(w.isNotNull(), F.xxhash64(w)) for w in words])
+    columns = ["mode", hashed(F.col("mode")).alias("hash"), hashed(_looked_up(F.col("mode"))).alias("key"), "width", "item_id", "q", "v", slots.alias("slots"), "strict", "usable", "n", "n_strict"]
     return text.select(columns).unionByName(plain[0].select(columns)).unionByName(plain[1].select(columns))
 
 
+def _looked_up(mode: Column) -> Column:
+    """The mode with which windows are hashed for the search: a text without names of several words reads the same with them as one."""
+    return F.when(mode == "merged", "text").otherwise(mode)
+
+
 def _keys(known: DataFrame, similarity: float) -> DataFrame:
-    """``hash, items``: the windows by which items are looked up, and which items each stands for.
+    """``key, items``: the windows by which items are looked up, and which items each stands for.
 
-    A document that holds an item has all but a few of its windows, so it has one at least of any few more. The rarest that many
-    are enough, and so windows that many items have are left out where an item has rarer ones.
+    A document that holds an item in one of the readings has all but a few of the item's windows of that reading, so it has one at least
+    of any few more. The rarest that many of each reading are enough, and so windows that many items have are left out where an item has rarer ones.
     """
-    known = known.where("mode != 'merged'")
-    spread = known.groupBy("hash").agg(F.count_distinct("item_id").alias("items"))
-    of = known.join(spread, "hash").groupBy("item_id", "mode", "q").agg(
+    spread = known.groupBy("key").agg(F.count_distinct("item_id").alias("items"))
+    of = known.join(spread, "key").groupBy("item_id", "mode", "q").agg(
         F.max("items").alias("freq"), F.bool_or("usable").alias("usable"), F.bool_or("strict").alias("strict"), F.max("n").alias("n"), F.max("n_strict").alias("n_strict")
     )
     rank = lambda flag: F.sum(F.col(flag).cast("int")).over(Window.partitionBy("item_id", "mode").orderBy("freq", "q").rowsBetween(Window.unboundedPreceding, 0))
     least = lambda n: F.col(n) - F.ceil(F.col(n) * similarity) + 1
     ranked = of.withColumns({"__u": rank("usable"), "__s": rank("strict")})
     some = ranked.where((F.col("freq") <= RARE) | (F.col("usable") & (F.col("__u") <= least("n"))) | (F.col("strict") & (F.col("__s") <= least("n_strict"))))
-    return known.join(some.select("item_id", "mode", "q"), ["item_id", "mode", "q"]).groupBy("hash").agg(F.collect_set("item_id").alias("items"))
+    return known.join(some.select("item_id", "mode", "q"), ["item_id", "mode", "q"]).groupBy("key").agg(F.collect_set("item_id").alias("items"))
 
 
 def _candidates(docs: DataFrame, known: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
     """``doc_id, item_id``: documents with a window by which an item is looked up."""
-    lengths = sorted(tuple(r) for r in known.where("mode != 'merged'").select("mode", "width").distinct().collect())  # at most twice WINDOW rows
+    lengths = sorted(tuple(r) for r in known.select(_looked_up(F.col("mode")), "width").distinct().collect())  # at most twice WINDOW rows
     rows = _prepared(docs, "doc_id").withColumn("r", F.transform("o", lambda w: F.lower(w)))
+    named = F.array_join("a", " ")
+    rows = rows.withColumn("g", F.when(F.contains(named, F.lit(f"{NAME} {NAME}")), F.split(F.regexp_replace(named, _NAME_AGAIN, ""), " ")))
     # The words of a text are dealt out by place, and the windows hashed there, in compiled code; the outer form
     # keeps the optimiser from making the words twice, for a filter on their number.
     rows = rows.select("doc_id", *_TEMPLATES, F.posexplode_outer("o").alias("p", "w"))
     hashes: list[Column] = []
     for mode, width in lengths:
-        for c in [c for own, c, _ in _READINGS.values() if own == mode]:
+        for c in {"text": "talg", "raw": "r"}[mode]:
             whole = F.col("p") <= F.size(c) - width
             here = F.when(whole, _hash(F.lit(mode), [F.xxhash64(F.get(F.col(c), F.col("p") + j)) for j in range(width)]))
             rows = rows.withColumn(f"h{len(hashes)}", here)
             hashes.append(F.col(f"h{len(hashes)}"))
     new = [F.when(reduce(lambda ok, g: ok & ~h.eqNullSafe(g), hashes[:i], F.lit(True)), h) for i, h in enumerate(hashes)]
-    rows = rows.select("doc_id", F.explode_outer(F.array(*new)).alias("hash"))
-    met = rows.join(F.broadcast(keys) if small else keys, "hash")
+    rows = rows.select("doc_id", F.explode_outer(F.array(*new)).alias("key"))
+    met = rows.join(F.broadcast(keys) if small else keys, "key")
     return met.select("doc_id", F.explode("items").alias("item_id")).distinct()
 
 
@@ -226,8 +234,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     a placeholder and as itself. An item of fewer than five words is one window, and one without a usable window is
     looked for by its plain words. Windows with fewer than ``LITERALS`` literal words are not used otherwise.
 
-    That join finds candidates, by windows that few items have. Their windows are then compared word by word with those of the
-    items that they may hold, and besides with numbers in words as numbers and names of several words as one. Matches that put an item at
+    Numbers in words count as numbers, and every text is also read with names of several words as one.
+
+    That join finds candidates, by windows of any reading that few items have. Their windows are then compared word by word with those of the
+    items that they may hold. Matches that put an item at
     one place of a document must fill its slots consistently: equal names, numbers or units of the item
     stand for equal ones in the document and the other way round. A document holds an item if the matches
     at consistent places, all of them, only those with the names of ``template`` on both sides, or those with merged names, cover
@@ -235,7 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
     Null ids and texts take no part, and empty texts hold nothing; rows that share a
     doc_id are one document, and of rows that share an item_id the least text is used; empty tables give no rows;
-    other columns are ignored; all windows of a long text are looked up. The benchmark's windows are broadcast only while they number at
+    other columns are ignored; all windows of a long text are looked up. The benchmark's windows are broadcast only while they and the items behind them number at
     most ``BROADCAST_WINDOWS``, which is checked; a larger benchmark is shuffled, and so are the hashes of the documents' windows
     then. The texts of candidates alone are read twice.
     """
@@ -243,17 +253,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     require(benchmark, ["item_id", "text"])
     known = materialize(benchmark_windows(benchmark), "benchmark-windows")
     keys = materialize(_keys(known, similarity), "benchmark-keys")
-    small = keys.count() <= BROADCAST_WINDOWS
+    small = (keys.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_WINDOWS
     kind = benchmark.schema["item_id"].dataType
     if is_empty(keys):
         return docs.where("false").selectExpr("doc_id", "null as item_id", "0L as n_matched", "0L as n_windows", "0L as n_slots").withColumn("item_id", F.col("item_id").cast(kind))
     found = materialize(_candidates(docs, known, keys, small), "leak-candidates")
-    known = materialize(benchmark_windows(benchmark, spelled=True), "benchmark-windows")
     marks = materialize(known.groupBy("item_id").agg(F.collect_set("hash").alias("marks")), "benchmark-marks")
     wanted = found.join(marks, "item_id").groupBy("doc_id").agg(F.collect_list("item_id").alias("items"), F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
     texts = screen(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", found).join(wanted, "doc_id")
     lengths = sorted(tuple(r) for r in known.select("mode", "width").distinct().collect())  # three times WINDOW rows at most
-    rows = _merged(_prepared(texts, "doc_id", "items", "marks", spelled=True)).withColumn("r", F.transform("o", lambda w: F.lower(w)))
+    rows = _merged(_prepared(texts, "doc_id", "items", "marks")).withColumn("r", F.transform("o", lambda w: F.lower(w)))
 
     def cut(reading: str, width: int) -> Column:
         """The windows of one reading and width that the items which the document may hold have."""

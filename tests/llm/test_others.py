@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -526,6 +527,41 @@ def test_names_of_several_words_and_spelled_numbers(spark):
     assert sorted(r["doc_id"] for r in got) == [0, 1, 2]
 
 
+def test_items_met_only_as_spelled_or_merged(spark):
+    """Documents that share no window with an item but with numbers in words as numbers, or names of several words as one."""
+    items = {
+        1: "Mary sold nine pens so Bob paid two coins and Ann gave six more to Carl",
+        2: "today Mary saw red Bob eat big Ann hit old Carl kiss mad Jane fear wet Omar",
+        3: "we had three cats and five dogs and seven birds in two rooms of one house",
+    }
+    docs = {
+        1: "Mary sold 9 pens so Bob paid 2 coins and Ann gave 6 more to Carl",
+        2: "today Mary Lee saw red Bob Ray eat big Ann Poe hit old Carl Orr kiss mad Jane Fox fear wet Omar Iqbal",
+        3: "we had 3 cats and 5 dogs and 7 birds in 2 rooms of 1 house",
+        4: "today Mary Ann Lee saw red Bob eat big Ann-Marie Poe hit old Carl kiss mad Jane fear wet Omar/Ali Iqbal",
+        5: "we had 3 cats and 3 dogs and 3 birds in 3 rooms of 3 houses",
+    }
+    rng = random.Random(8)
+    number = {"two": "2", "nine": "9", "six": "6", "three": "3", "five": "5", "seven": "seventeen", "one": "twenty-one"}
+    for i in range(60):
+        words = rng.choice(list(items.values())).split()
+        words = [number[w] if w in number and rng.random() < 0.6 else w for w in words]
+        words = [w + rng.choice(["", " Lee", " Ray Fox", "-Jo Orr"]) if w[0].isupper() and rng.random() < 0.6 else w for w in words]
+        words = [w.lower() if rng.random() < 0.02 else w for w in words]
+        docs[10 + i] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(df, bench).collect()}
+    assert got == brute_leaks(docs, items) and {(1, 1), (2, 2), (3, 3)} <= got
+
+
+def test_a_very_long_document(spark):
+    item = "Mary sold nine pens so Bob paid two coins and Ann gave six more to Carl"
+    long = "the cat of Ann saw 3 dogs and Bob Lee ran " * 12_000
+    df = spark.createDataFrame([(1, long + item), (2, long)], "doc_id long, text string")
+    assert [r["doc_id"] for r in D.leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
+
+
 def test_leaks_of_the_tables(spark):
     """All pairs of the smallest tables, against plain Python."""
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
