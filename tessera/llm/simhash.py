@@ -17,7 +17,7 @@ BITS, SHINGLE, SEED = 64, 4, 42
 #: Differing bits up to which two fingerprints link.
 MOST = 4
 #: Members of a key outside its largest component up to which they are compared with all members; those of more crowded keys are keyed again.
-CROWD = 128
+CROWD = 64
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -63,8 +63,8 @@ def simhash_components(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE
 
     Fingerprints link if they differ by at most ``most`` bits. Equal ones are one class. A fingerprint is cut into just so many
     segments that of two that link one segment differs by one bit at most: three for four bits. The segment without one of
-    its bits is then equal in both for some bit, so every class is filed under one key a bit, and classes of a key are verified.
-    Links are found in two steps. First each class meets one of its key, drawn by hash, which is linear and joins dense groups. Then, of
+    its bits is then equal in both for some bit, so every class is filed under one key a bit, and classes of a key are verified,
+    two alone at once. Of more, links are found in two steps. First each class meets one of its key, drawn by hash, which is linear and joins dense groups. Then, of
     each key whose classes are not in one component yet, those outside its largest component meet all others. A key
     with more than ``CROWD`` of them is filed again by its other bits in the same way, so that neither step grows with the
     square of a key. No link between two components is lost.
@@ -125,7 +125,8 @@ def _linked(prints: DataFrame, most: int) -> DataFrame:
     keys = prints.select("fp", F.inline(variants))
     keys = keys.select("fp", "place", F.xxhash64("place", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     for last in (False, True):
-        members = _members(keys)
+        members, near = _filed(keys, most)
+        edges.append(near)
         salt, before = 0, -1
         while True:
             edges.append(_stars(members, most, salt))
@@ -153,12 +154,18 @@ def _linked(prints: DataFrame, most: int) -> DataFrame:
     return labels
 
 
-def _members(keys: DataFrame) -> DataFrame:
-    """The rows of keys that several classes have."""
-    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    out = materialize(screen(keys, "key", shared).join(shared, "key"), "members")
-    drop(shared)
-    return out
+def _filed(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys that three classes or more have, with their number ``n``, and the links of keys of two.
+
+    Classes that meet by chance do so in twos for the most part; those are verified where they are counted and go no further.
+    """
+    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst"))
+    counted = materialize(counted.where((F.col("n") > 2) | ((F.col("n") == 2) & (_far("src", "dst") <= most))), "keys")
+    crowds = materialize(counted.where("n > 2").select("key", "n"), "crowds")
+    near = materialize(counted.where("n = 2").select("src", "dst").distinct(), "near")
+    members = materialize(screen(keys, "key", crowds).join(crowds, "key"), "members")
+    drop(counted, crowds)
+    return members, near
 
 
 def _stars(members: DataFrame, most: int, salt: int) -> DataFrame:
@@ -178,10 +185,9 @@ def _label(edges: list[DataFrame]) -> DataFrame:
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of keys whose classes are in several components: ``key, place, fp, n, component, main, others``.
 
-    ``main`` is the component with most classes of the key, ``others`` the number of classes outside it. A key of two
-    classes was settled when they met.
+    ``main`` is the component with most classes of the key, ``others`` the number of classes outside it.
     """
-    told = members.where("n > 2").join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    told = members.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     told = materialize(told, "told")
     parts = told.groupBy("key", "component").agg(F.count("*").alias("own"))
     keys = parts.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("main"), F.max("own").alias("most"), F.sum("own").alias("all"))
