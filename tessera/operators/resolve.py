@@ -2,41 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import match_key
+from tessera.session import checkpointed
 
 
-def substrings(inputs: DataFrame, value: str = "value") -> DataFrame:
-    """``input_id, sub, size, trim``: every substring of each input, the longest first, then from the left."""
-    n = F.char_length(F.trim(value))
-    sizes = F.sequence(n, F.lit(1), F.lit(-1))
-    starts = lambda size: F.transform(
-        F.sequence(F.lit(0), n - size), lambda at: F.struct(F.substring(F.trim(value), at + 1, size).alias("sub"), size.alias("size"), at.alias("trim"))
-    )
-    rows = inputs.where(n > 0).select("input_id", F.inline(F.flatten(F.transform(sizes, starts))))
-    return rows.groupBy("input_id", "sub", "size").agg(F.min("trim").alias("trim"))
+#: Characters that stand for any run of characters and for any one, as in a pattern of SQL.
+_WILD = "[%_]"
 
 
-def longest_match(inputs: DataFrame, records: DataFrame, field: str, most: int = 40) -> DataFrame:
+def _pieces(texts: DataFrame, text: str, size: Column, *others: str) -> DataFrame:
+    """The others of each row with ``at`` and ``piece``: all substrings of ``size`` characters of its text, from the left."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
+    rows = texts.where((size > 0) & (F.char_length(text) >= size)).select(*others, F.col(text).alias("_of"), size.alias("_n"), F.explode(starts).alias("at"))
+    return rows.select(*others, "at", F.substring(F.col("_of"), F.col("at"), F.col("_n")).alias("piece"))
+
+
+def _hashed(piece: str) -> list[Column]:
+    """Two hashes, 128 bits together, by which pieces of any length meet."""
+    return [F.xxhash64(piece).alias("_h"), F.xxhash64(piece, F.lit(1)).alias("_g")]
+
+
+def _matched(asked: DataFrame, names: DataFrame, longest: int) -> DataFrame:
+    """``piece, name``: of the pieces of ``asked`` each with the names that hold it; ``%`` and ``_`` are wildcards.
+
+    A piece meets the substrings of its own length of all names in an equality join. One with wildcards meets them by its longest run of
+    other characters and is then compared as a pattern; one of wildcards alone is held by every name that is long enough.
+    """
+    pieces = asked.select("piece").distinct().withColumn("_wild", F.col("piece").rlike(_WILD))
+    runs = F.split("piece", _WILD + "+")
+    longest_run = F.aggregate(runs, F.lit(""), lambda best, r: F.when(F.char_length(r) > F.char_length(best), r).otherwise(best))
+    pieces = pieces.withColumn("_anchor", F.when(F.col("_wild"), longest_run).otherwise(F.col("piece")))
+    sizes = [r[0] for r in pieces.select(F.char_length("_anchor").alias("n")).where(f"n between 1 and {longest}").distinct().collect()]
+    if not sizes:
+        sizes = [0]
+    held = names.select("name", F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("_size"))
+    held = _pieces(held, "name", F.col("_size"), "name").select("name", *_hashed("piece"))
+    anchored = pieces.where("_anchor != ''").select("piece", "_wild", *_hashed("_anchor"))
+    bare = pieces.where("_anchor = ''").select("piece", "_wild", F.regexp_count("piece", F.lit("_")).alias("_least"))
+    met = held.join(anchored, ["_h", "_g"]).select("piece", "_wild", "name")
+    quoted = F.concat(F.lit("(?s)\\Q"), F.replace(F.replace("piece", F.lit("%"), F.lit("\\E.*\\Q")), F.lit("_"), F.lit("\\E.\\Q")), F.lit("\\E"))
+    met = met.where(~F.col("_wild") | F.regexp_like("name", quoted)).select("piece", "name")
+    # a name of n characters holds every bare pattern of at most so many single wildcards
+    free = names.withColumn("_n", F.char_length("name")).join(F.broadcast(bare), F.col("_n") >= F.col("_least")).select("piece", "name") if bare.take(1) else None
+    return met.unionByName(free) if free is not None else met
+
+
+def longest_match(inputs: DataFrame, records: DataFrame, field: str) -> DataFrame:
     """``input_id, id, field_value, size``: the records that hold the first matching substring of each input.
 
-    Substrings are tried from the longest and from the left; the first that any record holds, in any
-    case, decides. Instead of comparing every input with every record, substrings of both sides meet in
-    an equality join, which is why names longer than ``most`` characters are refused.
+    Substrings are tried from the longest and from the left; the first that any record holds, in any case, decides. In an input
+    ``%`` stands for any run of characters and ``_`` for any one. Whatever its length, a text that has a match
+    of some size has one of every smaller size, so sizes are found by halving: in each round every text asks for the substrings of one size, and names give
+    their substrings of the sizes asked. The rows of a round grow with the characters of both sides, not with their pairs, and the rounds with the
+    logarithm of the longest text. Equal names and equal inputs are looked up once.
     """
-    if inputs.where(F.char_length(F.trim("value")) > most).limit(1).count():
-        raise ValueError(f"inputs of more than {most} characters")
-    asked = substrings(inputs).withColumn("sub", F.lower("sub"))
-    named = records.where(F.col(field).isNotNull() & (match_key(F.col(field)) != "")).select(F.col("id"), F.col(field).alias("field_value"))
-    held = substrings(named.select(F.col("id").alias("input_id"), F.col("field_value").alias("value")))
-    held = held.select(F.col("input_id").alias("id"), F.lower("sub").alias("sub")).distinct()
-    wanted = asked.select("sub").distinct()
-    met = asked.join(held.join(wanted, "sub", "left_semi"), "sub")
-    first = F.min(F.struct(-F.col("size"), F.col("trim"))).over(Window.partitionBy("input_id"))
-    best = met.withColumn("_first", first).where(F.struct(-F.col("size"), F.col("trim")) == F.col("_first"))
-    return best.select("input_id", "id", "size").distinct().join(named, "id")
+    key = match_key(F.col(field))
+    named = records.where(F.col(field).isNotNull() & (key != "")).select("id", F.col(field).alias("field_value"), F.lower(field).alias("name"))
+    names = checkpointed(named.select("name").distinct())
+    stripped = inputs.select("input_id", F.lower(F.regexp_replace("value", r"(?U)^\s+|\s+$", "")).alias("text"))
+    texts = checkpointed(stripped.where("text != ''").select("text").distinct().withColumn("size", F.lit(0)))
+    longest = names.agg(F.max(F.char_length("name"))).first()[0] or 0
+    step = 1 << max((texts.agg(F.max(F.char_length("text"))).first()[0] or 0).bit_length() - 1, 0)
+    while step:
+        asked = _pieces(texts, "text", F.col("size") + step, "text")
+        some = _matched(asked, names, longest).select("piece").distinct()
+        hit = asked.join(some, "piece").select("text").distinct().withColumn("_hit", F.lit(step))
+        texts = checkpointed(texts.join(hit, "text", "left").select("text", (F.col("size") + F.coalesce("_hit", F.lit(0))).alias("size")))
+        step //= 2
+    asked = _pieces(texts, "text", F.col("size"), "text", "size")
+    held = _matched(asked, names, longest).select("piece").distinct()
+    first = checkpointed(asked.join(held, "piece").groupBy("text", "size").agg(F.min_by("piece", "at").alias("piece")))
+    best = first.join(_matched(first, names, longest), "piece").select("text", "size", "name").distinct()
+    return stripped.join(best, "text").join(named, "name").select("input_id", "id", "field_value", "size")
 
 
 def resolve(inputs: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import dot
+from tessera.operators.tables import numbered_all
 
 #: Decimals that a score keeps where it is compared for equality.
 DIGITS = 6
@@ -55,9 +56,8 @@ def dedup(scored: DataFrame, key: str, id_col: str = "vec_id") -> DataFrame:
 
 
 def threshold(ranked: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """Rows that reach the score; of a query that has none, the best row."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return ranked.withColumn("_best", best).where((F.col("score") >= least) | ((F.col("_best") < least) & (F.col("rank") == 1))).drop("_best")
+    """Rows that reach the score; of a query that has none, the best row, which its rank tells."""
+    return ranked.where((F.col("score") >= least) | (F.col("rank") == 1))
 
 
 def shortlist(scored: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
@@ -79,8 +79,8 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, k: int = FETCH, id_
 
 def merge_queries(ranked: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """The best score of each row over all variants of a question, ranked: ``id, score, rank`` with query_id 0."""
-    best = ranked.groupBy(id_col).agg(F.max("score").alias("score")).withColumn("query_id", F.lit(0))
-    return best.withColumn("rank", F.row_number().over(_per_query(id_col)))
+    best = ranked.groupBy(id_col).agg(F.max("score").alias("score"))
+    return numbered_all(best, [F.desc("score"), id_col], "rank").withColumn("query_id", F.lit(0))
 
 
 def failed(candidates: DataFrame, selected: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -119,21 +119,43 @@ def report(ranked: DataFrame, words: str) -> DataFrame:
     return ranked.withColumn("score_text", F.format_number("score", 4)).withColumn("total_words", total)
 
 
-def answer(vectors: DataFrame, variants: DataFrame, docs: DataFrame, ask: Callable[[Column], Column], key: str, budget: int, least: float = THRESHOLD, id_col: str = "vec_id") -> DataFrame:
+def report_line(score: Column, subject: Column, doc: Column, date: Column, file_type: Column, page: Column, words: Column) -> Column:
+    """A line of the similarity table; what is missing reads None, a blank subject gives way to the document's id."""
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    cells = [F.format_number(score, 4), said(F.coalesce(F.nullif(subject, F.lit("")), doc)), *map(said, (date, file_type, page)), F.coalesce(words, F.lit(0)).cast("string")]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
+def _report(some: Column) -> Column:
+    """The similarity table over rows ``(rank, line, words, kept)``, and their words in all."""
+    head = "| score | doc | date | file_type | page | word |\n|---:|---|---|---|---:|---:|"
+    lines, words = F.transform(some, lambda r: r["line"]), F.aggregate(some, F.lit(0).cast("long"), lambda n, r: n + F.coalesce(r["words"], F.lit(0)))
+    return F.array_join(F.concat(F.array(F.lit(head)), lines, F.array(F.concat(F.lit("Total word count: "), words.cast("string")))), "\n")
+
+
+def answer(
+    vectors: DataFrame, variants: DataFrame, docs: DataFrame, question: str, ask: Callable[[Column], Column], key: str, budget: int | None = None, least: float = THRESHOLD, id_col: str = "vec_id"
+) -> DataFrame:
     """One row with the answer to a question that is asked in several ``variants(query_id, query_vec)``.
 
-    Searches every variant, merges by best score, keeps what reaches the threshold up to ``KEEP`` rows, packs the texts
-    of ``docs(id, text, n)`` into a context within the budget, and lets ``ask`` turn the context into an answer:
-    ``context, n_kept, answer, sources, failed``, the last two the ids that were kept and rejected, in rank order.
+    Searches every variant, merges by best score, keeps what reaches the threshold up to ``KEEP`` rows, joins the texts of ``docs``
+    (``id, text, tokens, subject, doc_id, date, file_type, page, word``) in rank order, under their subjects and within the budget if there is one,
+    and lets ``ask`` turn the prompt of context and question into an answer: ``context, n_kept, prompt, answer, report``. The report is the similarity
+    table of the rows that were kept and the one of those that were not. An id without a row in ``docs`` has an empty text; a
+    blank question or no candidate gives no row. The candidates are stored once; the report has a line for each, at most ``FETCH`` a variant.
     """
-    merged = merge_queries(search(vectors, variants, key, FETCH, id_col), id_col)
-    kept = threshold(merged, least).where(F.col("rank") <= KEEP)
-    ids = lambda rows, name: rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", id_col))), lambda s: s[id_col]).alias(name))
-    with_text = kept.join(docs, id_col)
-    with_text = with_text.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    out = context(with_text, "n", budget).withColumn("answer", ask(F.col("context")))
-    out = out.join(ids(kept, "sources"), "query_id", "left").join(ids(failed(merged, kept, id_col), "failed"), "query_id", "left")
-    return out.select("context", "n_kept", "answer", "sources", "failed")
+    asked = question.strip()
+    merged = merge_queries(search(vectors, variants.where(F.lit(bool(asked))), key, FETCH, id_col), id_col)
+    rows = merged.join(docs, id_col, "left").withColumn("_kept", F.col("rank").isin(*range(1, KEEP + 1)) & ((F.col("score") >= least) | (F.col("rank") == 1)))
+    rows = rows.withColumn("text", embedding_text(F.col("subject"), F.coalesce("text", F.lit(""))))
+    whole = context(rows.where("_kept").withColumn("tokens", F.coalesce("tokens", F.lit(0))), "tokens", budget if budget is not None else (1 << 62))
+    line = report_line(*[F.col(c) for c in ("score", "subject", "doc_id", "date", "file_type", "page", "word")])
+    told = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line"), F.col("word").cast("long").alias("words"), F.col("_kept").alias("kept")))).alias("rows"))
+    kept, lost = F.filter("rows", lambda r: r["kept"]), F.filter("rows", lambda r: ~r["kept"])
+    failed_part = F.when(F.size(lost) > 0, F.concat(F.lit("Failed CANDIDATE_K (not selected):\n\n"), _report(lost))).otherwise("Failed CANDIDATE_K (not selected): (none)")
+    told = told.select("query_id", F.concat(_report(kept), F.lit("\n\n"), failed_part).alias("report"))
+    out = whole.join(told, "query_id").withColumn("prompt", F.concat("context", F.lit(f"\n\nQuestion: {asked}")))
+    return out.select("context", "n_kept", "prompt", F.trim(ask(F.col("prompt"))).alias("answer"), "report")
 
 
 def diverse(ranked: DataFrame, k: int, trade: float = 0.5, id_col: str = "vec_id") -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
 
 def column_statistics(df: DataFrame, columns: Sequence[str], label: str | None = None) -> DataFrame:
     """Minimum, maximum and mean of each column in three labelled rows; cells that are no numbers are skipped.
@@ -60,10 +62,30 @@ def latest_dated(names: DataFrame, name: str = "name") -> DataFrame:
     return found.where("datecode != ''").groupBy("prefix").agg(F.max(F.struct("datecode", "name")).alias("m")).select("prefix", "m.name", "m.datecode")
 
 
-def numbered(df: DataFrame, key: str | None, order: Sequence[str], name: str = "seq") -> DataFrame:
-    """Rows numbered from 1 within their key; without a key in one task, which is meant for small results only."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(1))).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+def numbered(df: DataFrame, key: str | None, order: Sequence[str | Column], name: str = "seq") -> DataFrame:
+    """Rows numbered from 1 within their key; without a key over the whole table (``numbered_all``)."""
+    if key is None:
+        return numbered_all(df, order, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def numbered_all(df: DataFrame, order: Sequence[str | Column], name: str = "seq", first: int = 1) -> DataFrame:
+    """All rows numbered in order from ``first`` on, as a long, without a task that holds them all.
+
+    Rows are dealt out by ranges of the order and sorted there, and each keeps its place in its range. The ranges are counted, and
+    the sizes of those before it are added to a range's places. Sampled ranges differ from run to run, so the sorted rows are stored
+    before they are counted. The order should end in a unique column: equal rows go to one range, in any order.
+    """
+    # a row's id tells its range in the upper bits and its place there in the lower 33
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    stored = checkpointed(dealt).withColumn("_range", F.shiftright("_id", 33))
+    sizes = stored.groupBy("_range").agg(F.count("*").alias("_size")).collect()  # one row a range
+    before, offsets = first, []
+    for at, size in sorted(sizes):
+        offsets.append((at, before))
+        before += size
+    place = df.sparkSession.createDataFrame(offsets, "_range long, _before long")
+    return stored.join(F.broadcast(place), "_range").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range", "_id", "_before")
 
 
 def in_runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -136,10 +158,10 @@ def clone_override(table: DataFrame, name: str, changes: dict[str, Column]) -> D
 
 
 def ordered_union(frames: Sequence[DataFrame], value: str) -> DataFrame:
-    """Distinct values of several frames ``(value, pos)`` in the order of their first place: ``value, place``."""
+    """Distinct values of several frames ``(value, pos)`` in the order of their first place, ties by value: ``value, place``."""
     tagged = [f.select(F.col(value), F.lit(i).alias("_f"), "pos") for i, f in enumerate(frames)]
     first = reduce(DataFrame.unionByName, tagged).groupBy(value).agg(F.min(F.struct("_f", "pos")).alias("_at"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_at"))).drop("_at")
+    return numbered_all(first, ["_at", value], "place").drop("_at")
 
 
 def options(df: DataFrame, *columns: str) -> DataFrame:

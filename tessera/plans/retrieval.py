@@ -81,18 +81,30 @@ def similarity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SCORED + """, best AS (SELECT vec_id, max(score) AS score FROM ranked WHERE rank <= 50 GROUP BY vec_id),
 placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM best),
-kept AS (SELECT * FROM placed WHERE rank <= 15 AND score >= 0.4), texts AS (
-  SELECT k.rank, d.text, len(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda w: w <> '')) AS n FROM kept k JOIN documents d ON d.doc_id = k.vec_id
-), used AS (SELECT *, sum(n) OVER (ORDER BY rank) AS used, min(rank) OVER () AS first FROM texts)
-SELECT (SELECT md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) FROM used WHERE used <= 2048 OR rank = first) AS context_md5,
-  (SELECT string_agg(vec_id, ',' ORDER BY rank) FROM kept) AS sources, (SELECT md5(string_agg(vec_id, ',' ORDER BY rank)) FROM placed WHERE vec_id NOT IN (SELECT vec_id FROM kept)) AS failed_md5""")
+kept AS (SELECT * FROM placed WHERE rank <= 15 AND score >= 0.4), notes AS (
+  SELECT doc_id AS vec_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word, CASE WHEN doc_id % 3 > 0 THEN source END AS subject, doc_id % 7 AS page, lang FROM documents
+), texts AS (
+  SELECT rank, CASE WHEN subject IS NULL THEN '' ELSE '[TITLE] ' || subject || chr(10) END || text AS text, word AS n FROM kept JOIN notes USING (vec_id)
+), lines AS (
+  SELECT p.rank, p.vec_id IN (SELECT vec_id FROM kept) AS kept, coalesce(word, 0) AS word,
+    '| ' || format('{:.4f}', score) || ' | ' || coalesce(subject, 'd' || n.vec_id, 'None') || ' | None | ' || coalesce(lang, 'None') || ' | ' || coalesce(page::VARCHAR, 'None') || ' | ' || coalesce(word, 0) || ' |' AS line
+  FROM placed p LEFT JOIN notes n USING (vec_id)
+), head AS (SELECT '| score | doc | date | file_type | page | word |' || chr(10) || '|---:|---|---|---|---:|---:|' || chr(10) AS head),
+used AS (SELECT *, sum(n) OVER (ORDER BY rank) AS used, min(rank) OVER () AS first FROM texts)
+SELECT *, context || chr(10) || chr(10) || 'Question: What is sold?' AS prompt, md5(context || chr(10) || chr(10) || 'Question: What is sold?') AS answer FROM (
+SELECT (SELECT string_agg(text, chr(10) || chr(10) ORDER BY rank) FROM used WHERE used <= 2048 OR rank = first) AS context, (SELECT count(*) FROM used WHERE used <= 2048 OR rank = first) AS n_kept,
+  (SELECT head || string_agg(line, chr(10) ORDER BY rank) || chr(10) || 'Total word count: ' || sum(word) FROM lines, head WHERE kept GROUP BY head) || chr(10) || chr(10) || 'Failed CANDIDATE_K (not selected):' || chr(10) || chr(10)
+  || (SELECT head || string_agg(line, chr(10) ORDER BY rank) || chr(10) || 'Total word count: ' || sum(word) FROM lines, head WHERE NOT kept GROUP BY head) AS report)""")
 def full_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th vector as a way to ask one question; in place of a model, the answer is the digest of the context."""
+    """Every 50th vector as a way to ask one question; in place of a model, the answer is the digest of the prompt."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", T.word_count(F.col("text")).alias("n"))
-    out = R.answer(e, asked, docs, F.md5, "label", 2048)
-    return out.select(F.col("answer").alias("context_md5"), F.array_join("sources", ",").alias("sources"), F.md5(F.array_join("failed", ",")).alias("failed_md5"))
+    n, words = F.col("doc_id"), T.word_count(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select(
+        n.alias("vec_id"), "text", words.alias("tokens"), words.alias("word"), F.when(n % 3 > 0, F.col("source")).alias("subject"), F.concat(F.lit("d"), n).alias("doc_id"),
+        F.lit(None).cast("string").alias("date"), F.col("lang").alias("file_type"), (n % 7).alias("page"),
+    )
+    return R.answer(e, asked, docs, " What is sold? ", F.md5, "label", 2048)
 
 
 @query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings""")

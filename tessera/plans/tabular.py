@@ -172,6 +172,27 @@ def fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.resolve(inputs, n, ["name"])
 
 
+@query(r"""WITH records AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS name FROM part),
+inputs AS (SELECT id AS input_id, lower(CASE id % 3 WHEN 0 THEN substr(name, 1, k) || substr(name, k + 2) WHEN 1 THEN substr(name, 1, k) || '*' || substr(name, k + 2) ELSE substr(name, 1, k) || substr(name, k + 1, 1) || substr(name, k + 1) END) AS v
+  FROM (SELECT *, (id % 19)::INT AS k FROM records)),
+cut AS (SELECT v, n, unnest(range(0, length(v) - n + 1)) AS trim FROM (SELECT DISTINCT v, unnest(range(1, length(v) + 1)) AS n FROM inputs)),
+asked AS (SELECT v, n, trim, substr(v, trim + 1, n) AS sub FROM cut),
+named AS (SELECT DISTINCT lower(name) AS name FROM records),
+held AS (SELECT DISTINCT name, substr(name, i, n) AS sub FROM (SELECT name, n, unnest(range(1, length(name) - n + 2)) AS i FROM (SELECT name, unnest(range(1, length(name) + 1)) AS n FROM named))),
+first AS (SELECT v, n, sub FROM asked SEMI JOIN held USING (sub) QUALIFY row_number() OVER (PARTITION BY v ORDER BY n DESC, trim) = 1),
+found AS (SELECT v, id, regexp_replace(name, '[^\p{L}\p{N}]', '', 'g') AS key, regexp_replace(v, '[^\p{L}\p{N}]', '', 'g') AS asked FROM first JOIN held USING (sub) JOIN (SELECT id, lower(name) AS name FROM records) USING (name)),
+close AS (SELECT *, contains(key, asked) OR contains(asked, key) AS near FROM found),
+pick AS (SELECT v, id FROM close QUALIFY row_number() OVER (PARTITION BY v ORDER BY near DESC, length(key), key, id) = 1)
+SELECT input_id, id FROM inputs LEFT JOIN pick USING (v)""")
+def fuzzy_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts with a character lost, replaced or doubled, resolved to the records of the parts."""
+    name, k, n = F.concat_ws(" ", "p_name", "p_brand", "p_type"), (F.col("id") % 19).cast("int"), F.col("id") % 3
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+    head, tail = F.substring(F.col("name"), F.lit(1), k), lambda at: F.substring(F.col("name"), k + at, F.char_length("name"))
+    typed = F.when(n == 0, F.concat(head, tail(2))).when(n == 1, F.concat(head, F.lit("*"), tail(2))).otherwise(F.concat(head, F.substring(F.col("name"), k + 1, F.lit(1)), tail(1)))
+    return E.resolve(p.select(F.col("id").alias("input_id"), typed.alias("value")), p, ["name"])
+
+
 @query("""WITH v AS (SELECT user_id, event_id, value - 50 AS f FROM events), c AS (SELECT *, f * lag(f) OVER (PARTITION BY user_id ORDER BY event_id) <= 0 AS crossed FROM v)
 SELECT user_id, count(*) FILTER (crossed) AS changes, arg_min(event_id, {'a': abs(f), 'b': event_id}) AS nearest_x, max(f) AS greatest FROM c GROUP BY user_id""")
 def sweep_sign_change(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,12 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tessera.functions.fidelity import html_text, read_text
+from tessera.operators.tables import numbered_all
 
 #: The block that parsers make and chunkers take; keys beyond it go to ``extra`` as JSON.
 _TEXTS = "doc_id block_id page part file_type attachment source subject date from to email_id thread_id text".split()
@@ -175,10 +176,9 @@ def sheet_text(cells: DataFrame, key: str = "file") -> DataFrame:
 
 
 def append_ids(existing: DataFrame, rows: DataFrame, order: list[str], name: str = "vector_id") -> DataFrame:
-    """New rows numbered on from the greatest number there is."""
-    base = existing.agg(F.coalesce(F.max(name), F.lit(-1)).alias("_base"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
-    return numbered.crossJoin(F.broadcast(base)).withColumn(name, F.col("_base") + F.col("_n")).drop("_n", "_base")
+    """New rows numbered on from the greatest number there is, or from 0."""
+    base = existing.agg(F.max(name)).first()[0]
+    return numbered_all(rows, order, name, 0 if base is None else base + 1)
 
 
 def pending(work: DataFrame, ledger: DataFrame, key: str) -> DataFrame:

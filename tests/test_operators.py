@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -181,6 +183,57 @@ def test_resolve(spark):
     assert rows(E.resolve(inputs, records, ["name"]), "input_id") == [(1, 10), (2, None), (3, 12)]
 
 
+def brute_match(value: str, names: dict[int, str]) -> tuple[int, set[int]]:
+    """Size and records of the first substring, the longest first and from the left, that a record holds."""
+    text = value.strip().lower()
+    for size in range(len(text), 0, -1):
+        for at in range(len(text) - size + 1):
+            like = re.compile("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in text[at : at + size]), re.S)
+            if found := {i for i, n in names.items() if any(c.isalnum() for c in n) and like.search(n.lower())}:
+                return size, found
+    return 0, set()
+
+
+def test_longest_match(spark):
+    """Typos, wildcards, patterns, blanks and other scripts against every substring in turn."""
+    rng = random.Random(2)
+    names = {i: "".join(rng.choice("abc -É5") for _ in range(rng.randint(0, 9))) for i in range(60)} | {90: "a\\Eb[x", 91: "a\nb", 92: "--"}
+    values = ["".join(rng.choice("ABc -é5%_x") for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["%", "__", "_" * 40, "%a%", " \u3000 ", "A\\eB[", "a_b", "zzz", "a%x"]
+    inputs = spark.createDataFrame(list(enumerate(values)), "input_id int, value string")
+    records = spark.createDataFrame([*names.items(), (99, None)], "id int, name string")
+    found: dict[int, tuple[int, set[int]]] = {}
+    for r in E.longest_match(inputs, records, "name").collect():
+        found.setdefault(r["input_id"], (r["size"], set()))[1].add(r["id"])
+    assert {i: found.get(i, (0, set())) for i in range(len(values))} == {i: brute_match(v, names) for i, v in enumerate(values)}
+
+
+def test_longest_match_of_long_texts(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcd") for _ in range(10_000))
+    inputs = spark.createDataFrame([(1, "Q" + long[2000:9000] + "Q"), (2, "q" * 10_000)], "input_id int, value string")
+    records = spark.createDataFrame([(1, long), (2, long[:3000]), (3, "ab")], "id int, name string")
+    assert rows(E.longest_match(inputs, records, "name").select("input_id", "id", "size")) == [(1, 1, 7000)]
+
+
+def test_similar_names_cost_no_pairs(spark):
+    """What is looked up grows with the names: the rows that meet for twice as many names are twice as many or so."""
+    def met(n: int) -> int:
+        names = spark.createDataFrame([(f"common part of the name {i:04d} ltd",) for i in range(n)], "name string")
+        asked = E._pieces(names.withColumn("text", F.regexp_replace("name", "of", "off")), "text", F.lit(16), "text")
+        return E._matched(asked, names, 40).count()
+
+    assert met(400) <= 2.2 * met(200)
+
+
+def test_numbered_over_the_whole_table(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), "id").repartition(5)
+    want = {r: i for i, r in enumerate(sorted(((i % 7, -i) for i in range(1000)), reverse=True), 10)}
+    made = B.numbered_all(df, [F.desc("a"), "id"], "n", 10)
+    assert {(r["a"], -r["id"]): r["n"] for r in made.collect()} == want
+    assert "SinglePartition" not in made._jdf.queryExecution().toString()
+    assert B.numbered_all(df.where("id < 0"), ["id"], "n").count() == 0 and B.numbered_all(df.where("id = 3"), ["id"], "n").first()["n"] == 1
+
+
 def test_mail_blocks(spark):
     body = "hi\n> old\n>> older\nback\n-- Forwarded Message --\nFrom: a\nTo: b\nSubject: c\ntext"
     df = spark.createDataFrame([("m", body)], "doc_id string, body string")
