@@ -62,8 +62,8 @@ def simhash_components(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE
     """``doc_id, fingerprint, component_id`` of every row: 16 hexadecimal digits, and the smallest id that links reach.
 
     Fingerprints link if they differ by at most ``most`` bits. Equal ones are one class. A fingerprint is cut into just so many
-    segments that of two that link one segment differs by one bit at most: three for four bits. The segment without one of
-    its bits is then equal in both for some bit, so every class is filed under one key a bit, and classes of a key are verified,
+    segments that of two that link one segment differs by one bit at most: three for four bits. Every class is filed under its segments
+    and under each without one of its bits, 67 keys; classes that share a segment, or differ in the bit left out, are verified,
     two alone at once. Of more, links are found in two steps. First each class meets one of its key, drawn by hash, which is linear and joins dense groups. Then, of
     each key whose classes are not in one component yet, those outside its largest component meet all others. A key
     with more than ``CROWD`` of them is filed again by its other bits in the same way, so that neither step grows with the
@@ -91,29 +91,60 @@ def _cut(places: list[int], most: int) -> list[list[int]]:
     return [places[len(places) * i // n : len(places) * (i + 1) // n] for i in range(n)]
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
-
-
-def _masks(most: int) -> list[tuple[int, int]]:
-    """``(place, mask)`` of each deletion variant: the segment of the place without its bit."""
-    return [(w, _signed(sum(1 << b for b in run if b != w))) for run in _cut(list(range(BITS)), most) for w in run]
+def _masks(places: list[int], most: int) -> list[tuple[int, int, int]]:
+    """``(run, place, mask)`` of each segment as it is, with the place -1, and of its deletion variants: without the bit of a place."""
+    out = []
+    for i, run in enumerate(_cut(places, most)):
+        whole = sum(1 << b for b in run)
+        out += [(i, -1, _signed(whole)), *((i, w, _signed(whole ^ 1 << w)) for w in run)]
+    return out
 
 
 def _finer_masks(most: int) -> list[tuple[int, int, int]]:
-    """``(place, second place, mask)``: a variant's mask with that of a variant of the bits outside its segment."""
+    """``(run, place, mask)``: for each segment those of all bits outside it."""
     out = []
-    for run in _cut(list(range(BITS)), most):
+    for i, run in enumerate(_cut(list(range(BITS)), most)):
         others = [b for b in range(BITS) if b not in run]
-        finer = [(u, sum(1 << b for b in cut if b != u)) for cut in _cut(others, most) for u in cut] if others else [(0, 0)]
-        out += [(w, u, _signed(sum(1 << b for b in run if b != w) | mask)) for w in run for u, mask in finer]
+        out += [(i, place, mask) for _, place, mask in (_masks(others, most) if others else [(0, -1, 0)])]
     return out
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
 def _far(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _bit(place: str) -> Column:
+    """The bit of a print at a place; 0 at the place -1."""
+    return F.when(F.col(place) >= 0, F.expr(f"cast(shiftright(fp, {place}) & 1L as int)")).otherwise(0)
+
+
+def _keys(prints: DataFrame, most: int) -> DataFrame:
+    """``fp, run, key, side, split``: the keys of each print, one for each segment as it is and one for each variant without a bit.
+
+    Two prints that have a segment in common meet there. In a key without a bit only those that differ in it are asked of each
+    other: ``split`` says so, and ``side`` is the bit. So a pair meets once a segment at most.
+    """
+    variants = F.array(*(F.struct(F.lit(i).alias("run"), F.lit(w).alias("place"), F.lit(m).cast("long").alias("mask")) for i, w, m in _masks(list(range(BITS)), most)))
+    rows = prints.select("fp", F.inline(variants))
+    return rows.select("fp", "run", F.xxhash64("run", "place", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), _bit("place").alias("side"), (F.col("place") >= 0).alias("split"))
+
+
+def _finer_keys(crowded: DataFrame, most: int) -> DataFrame:
+    """The rows of crowded keys under keys that also hold a segment, or a variant, of the bits outside their own segment.
+
+    Where both keys are split, partners differ in both bits, so the parity of the two goes into the key and one bit is the side.
+    """
+    finer = crowded.sparkSession.createDataFrame(_finer_masks(most), "run int, place int, mask long")
+    rows = crowded.join(F.broadcast(finer), "run").withColumn("bit", _bit("place"))
+    both = F.col("split") & (F.col("place") >= 0)
+    key = F.xxhash64("key", "place", F.col("fp").bitwiseAND(F.col("mask")), F.when(both, F.col("side").bitwiseXOR(F.col("bit"))))
+    return rows.select("fp", "run", key.alias("key"), F.when(F.col("split"), F.col("side")).otherwise(F.col("bit")).alias("side"), (F.col("split") | (F.col("place") >= 0)).alias("split"))
+
+
 def _linked(prints: DataFrame, most: int) -> DataFrame:
     """``fp, component`` of the prints that have links; the table is written."""
     spark = prints.sparkSession
@@ -121,49 +152,47 @@ def _linked(prints: DataFrame, most: int) -> DataFrame:
     labels = materialize(spark.createDataFrame([], "fp long, component long"), "labels")
     if not most:
         return labels
-    variants = F.array(*(F.struct(F.lit(w).alias("place"), F.lit(m).cast("long").alias("mask")) for w, m in _masks(most)))
-    keys = prints.select("fp", F.inline(variants))
-    keys = keys.select("fp", "place", F.xxhash64("place", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    keys = _keys(prints, most)
     for last in (False, True):
         members, near = _filed(keys, most)
         edges.append(near)
-        salt, before = 0, -1
+        salt, before = 0, None
         while True:
             edges.append(_stars(members, most, salt))
             drop(labels)
             labels = _label(edges)
             opened = _open(members, labels)
             asked = opened.select("key", "n", "others").distinct().agg(F.sum(F.col("n") * F.least("others", F.lit(CROWD)))).first()[0] or 0
-            merged = labels.count() - labels.select("component").distinct().count()
-            if asked <= 4 * members.count() or merged == before:
+            if asked <= 8 * members.count() or (before is not None and 3 * asked > 2 * before):
                 break
             drop(opened)
-            salt, before = salt + 1, merged
+            salt, before = salt + 1, asked
         few = opened if last else opened.where(F.col("others") <= CROWD)
-        edges.append(materialize(_pairs(few, most), "pairs"))
         crowded = opened.where(F.col("others") > CROWD)
-        drop(labels)
-        labels = _label(edges)
-        if last or is_empty(crowded):
+        done = last or is_empty(crowded)
+        edges.append(materialize(_pairs(few, most), "pairs"))
+        if done:
+            if not is_empty(edges[-1]):
+                drop(labels)
+                labels = _label(edges)
             drop(members, opened, *edges[1:])
             return labels
-        finer = spark.createDataFrame(_finer_masks(most), "place int, second int, mask long")
-        keys = crowded.join(F.broadcast(finer), "place").select("fp", "place", F.xxhash64("key", "second", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-        keys = materialize(keys, "finer")
+        keys = materialize(_finer_keys(crowded, most), "finer")
         drop(members, opened)
     return labels
 
 
 def _filed(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of keys that three classes or more have, with their number ``n``, and the links of keys of two.
+    """The rows of keys under which three classes or more have partners, and the links of keys of two.
 
-    Classes that meet by chance do so in twos for the most part; those are verified where they are counted and go no further.
+    A split key has partners if it holds both sides. Classes that meet by chance do so in twos for the most part; those are
+    verified where they are counted and go no further.
     """
-    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst"))
-    counted = materialize(counted.where((F.col("n") > 2) | ((F.col("n") == 2) & (_far("src", "dst") <= most))), "keys")
-    crowds = materialize(counted.where("n > 2").select("key", "n"), "crowds")
+    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst"), (F.any_value("split") & (F.min("side") == F.max("side"))).alias("alone"))
+    counted = materialize(counted.where(~F.col("alone") & ((F.col("n") > 2) | ((F.col("n") == 2) & (_far("src", "dst") <= most)))), "keys")
+    crowds = materialize(counted.where("n > 2").select("key"), "crowds")
     near = materialize(counted.where("n = 2").select("src", "dst").distinct(), "near")
-    members = materialize(screen(keys, "key", crowds).join(crowds, "key"), "members")
+    members = materialize(screen(keys, "key", crowds).join(crowds, "key", "left_semi"), "members")
     drop(counted, crowds)
     return members, near
 
@@ -183,23 +212,24 @@ def _label(edges: list[DataFrame]) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of keys whose classes are in several components: ``key, place, fp, n, component, main, others``.
+    """The rows of keys whose classes are in several components: the members with ``component, main, n, others``.
 
-    ``main`` is the component with most classes of the key, ``others`` the number of classes outside it.
+    ``main`` is the component with most of the ``n`` classes of the key, ``others`` the number of classes outside it.
     """
     told = members.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     told = materialize(told, "told")
     parts = told.groupBy("key", "component").agg(F.count("*").alias("own"))
-    keys = parts.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("main"), F.max("own").alias("most"), F.sum("own").alias("all"))
-    keys = keys.where(F.col("all") > F.col("most")).select("key", "main", (F.col("all") - F.col("most")).alias("others"))
+    keys = parts.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("main"), F.max("own").alias("most"), F.sum("own").alias("n"))
+    keys = keys.where(F.col("n") > F.col("most")).select("key", "main", "n", (F.col("n") - F.col("most")).alias("others"))
     out = materialize(told.join(keys, "key"), "open")
     drop(told)
     return out
 
 
 def _pairs(opened: DataFrame, most: int) -> DataFrame:
-    """Links between the classes outside a key's largest component and its classes of other components."""
-    outside = opened.where(F.col("component") != F.col("main")).select("key", F.col("fp").alias("a"), F.col("component").alias("ca"))
-    inside = opened.select("key", F.col("fp").alias("b"), F.col("component").alias("cb"))
-    near = outside.join(inside, "key").where((F.col("ca") != F.col("cb")) & (_far("a", "b") <= most))
+    """Links between the classes outside a key's largest component and their partners of other components."""
+    partner = F.when(F.col("split"), 1 - F.col("side")).otherwise(F.col("side"))
+    outside = opened.where(F.col("component") != F.col("main")).select("key", partner.alias("side"), F.col("fp").alias("a"), F.col("component").alias("ca"))
+    inside = opened.select("key", "side", F.col("fp").alias("b"), F.col("component").alias("cb"))
+    near = outside.join(inside, ["key", "side"]).where((F.col("ca") != F.col("cb")) & (_far("a", "b") <= most))
     return near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
