@@ -73,6 +73,27 @@ def polyfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("curve", F.round(F.col("coefficients")[1], 4).alias("slope"), F.round(F.col("coefficients")[0], 2).alias("intercept"))
 
 
+@query("""WITH p AS (SELECT l_returnflag AS curve, l_quantity AS x, l_extendedprice AS y, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS m FROM lineitem),
+s AS (SELECT curve, any_value(m) AS m, count(*) AS n, sum((x - m) ** 2) AS s2, sum((x - m) ** 3) AS s3, sum((x - m) ** 4) AS s4, sum(y) AS t0, sum((x - m) * y) AS t1, sum((x - m) ** 2 * y) AS t2 FROM p GROUP BY curve),
+a AS (SELECT *, (t2 - s2 * t0 / n - s3 * t1 / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2) AS c2 FROM s), b AS (SELECT *, (t1 - s3 * c2) / s2 AS c1, (t0 - s2 * c2) / n AS c0 FROM a)
+SELECT curve, round(c0 + c1 * (10 - m) + c2 * (10 - m) ** 2, 3) AS at_10, round(c0 + c1 * (45 - m) + c2 * (45 - m) ** 2, 3) AS at_45 FROM b""")
+def polyfit_parabola(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("curve"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    out = C.fit(points, "curve", least=2, most=2)
+    at = lambda x: F.round(N.polynomial(F.lit(x), F.col("coefficients")), 3)
+    return out.select("curve", at(10.0).alias("at_10"), at(45.0).alias("at_45"))
+
+
+@query("""WITH p AS (SELECT p_type AS k, p_partkey::DOUBLE AS x, p_retailprice AS y FROM part), e AS (SELECT k, min(x) AS a, max(x) AS b FROM p GROUP BY k),
+g AS (SELECT k, i::INTEGER AS i, a + (b - a) * i / 199 AS gx FROM e, range(200) t(i)),
+l AS (SELECT g.k, i, gx, max(x) AS lx FROM g JOIN p ON p.k = g.k AND x <= gx GROUP BY ALL), r AS (SELECT g.k, i, min(x) AS rx FROM g JOIN p ON p.k = g.k AND x > gx GROUP BY ALL)
+SELECT l.k AS curve, l.i, round(gx, 6) AS x, round(CASE WHEN rx IS NULL THEN pl.y ELSE pl.y + (gx - lx) / (rx - lx) * (pr.y - pl.y) END, 6) AS y
+FROM l LEFT JOIN r USING (k, i) JOIN p pl ON pl.k = l.k AND pl.x = lx LEFT JOIN p pr ON pr.k = l.k AND pr.x = rx""")
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "part").select(F.col("p_type").alias("curve"), F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return C.resample(points, "curve").select("curve", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query()
 def polyfit_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "part").select(F.col("p_brand").alias("curve"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))

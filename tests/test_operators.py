@@ -158,10 +158,44 @@ def test_fits(spark):
     assert C.robust(xs[:10], y[:10], 1) is None
 
 
+def test_fits_agree_with_numpy(spark):
+    """All degrees, far from the origin, with repeated x, noise, few points, missing values; a hot curve is never one group."""
+    rng = np.random.default_rng(1)
+    curves = {
+        "far": (np.linspace(1000, 1010, 300), lambda x: 3 + 0.5 * (x - 1005) ** 3), "noise": (rng.uniform(-2, 5, 500), lambda x: np.sin(x) + rng.normal(0, 0.1, len(x))),
+        "repeats": (rng.integers(0, 9, 400).astype(float), lambda x: x**2), "few": (np.array([0.0, 1, 2, 2]), lambda x: x), "skew": (rng.exponential(1, 800), lambda x: np.exp(-x)),
+    }
+    points, made = [], {}
+    for name, (x, f) in curves.items():
+        made[name] = (x, f(x))
+        points += [(name, float(a), float(b)) for a, b in zip(*made[name], strict=True)]
+    df = spark.createDataFrame([*points, ("few", None, 1.0), ("few", float("nan"), 1.0), ("none", None, 2.0)], "curve string, x double, y double")
+    for d in (1, 2, 6):
+        got = {r["curve"]: r for r in C.fit(df, "curve", least=d, most=d).collect()}
+        for name, (x, y) in made.items():
+            if len(np.unique(x)) <= d:
+                assert got[name]["status"] == "fail" and got[name]["coefficients"] is None
+                continue
+            fine = np.polynomial.Polynomial.fit(x, y, d)
+            at = np.linspace(x.min(), x.max(), 7)
+            said = np.polynomial.Polynomial(got[name]["coefficients"])
+            tolerance = 1e-6 * max(1, abs(np.asarray(got[name]["coefficients"]) * np.abs(x).max() ** np.arange(d + 1)).max() * 1e-8)
+            assert np.allclose(said(at), fine(at), rtol=1e-6, atol=max(tolerance, 1e-6))
+            assert np.isclose(got[name]["rmse"], np.sqrt(((y - fine(x)) ** 2).mean()), rtol=1e-6, atol=1e-9)
+        assert got["none"]["status"] == "fail"
+    plan = C.fit(df, "curve")._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan
+
+
 def test_resample(spark):
-    df = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 2.0), ("a", 3.0, 0.0)], "k string, x double, y double")
-    got = [tuple(r) for r in C.resample(df, "k", 50).orderBy("i").select("x", "y").collect()]
-    assert np.allclose([y for _, y in got], np.interp([x for x, _ in got], [0, 1, 3], [0, 2, 0]))
+    rng = np.random.default_rng(3)
+    many = np.sort(rng.uniform(5, 6, 500))
+    curves = {"a": ([0.0, 1.0, 3.0], [0.0, 2.0, 0.0]), "b": (many, many**2), "one": ([2.0], [7.0])}
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, v in curves.items() for x, y in zip(*v, strict=True)], "k string, x double, y double")
+    made = C.resample(df, "k", 50)
+    for k, (x, y) in curves.items():
+        got = [tuple(r) for r in made.where(F.col("k") == k).orderBy("i").select("x", "y").collect()]
+        assert len(got) == 50 and np.allclose([v for _, v in got], np.interp([u for u, _ in got], x, y))
 
 
 def test_runs_and_fills(spark):
