@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -220,7 +222,7 @@ def is_low_information(text: Column) -> Column:
 
 def passes_chunk_quality(text: Column, least_chars: int = 100, least_words: int = 5) -> Column:
     """Long enough, with enough words of two Latin letters or more."""
-    return (F.char_length(text) >= least_chars) & (F.regexp_count(text, F.lit("[a-zA-Z]{2,}")) >= least_words)
+    return (F.char_length(text) >= least_chars) & (F.regexp_count(text, F.lit(r"(?U)\b[a-zA-Z]{2,}\b")) >= least_words)
 
 
 def query_variants(question: Column, most: int = 3, brand: str = "") -> Column:
@@ -267,22 +269,43 @@ def seconds_text(seconds: Column) -> Column:
     return F.when(s.isNull(), "unknown").otherwise(whole)
 
 
-def is_review_thread(subject: Column, mark: str = "ALI") -> Column:
+def is_review_thread(subject: Column, mark: str) -> Column:
     """Whether a subject carries the version marker of a review thread; a null one does not."""
     return F.coalesce(subject.rlike(rf"(?i)\[{mark}:v\d+\]"), F.lit(False))
 
 
 def task_text(body: Column, most: int) -> Column:
-    """The stripped body up to ``most`` characters; null counts as empty."""
-    return F.substring(strip(F.coalesce(body, F.lit(""))), 1, most)
+    """The first ``most`` characters of a body as it stands; null, which callers leave out, for a blank or missing one."""
+    return F.when(~is_blank(F.coalesce(body, F.lit(""))), F.substring(body, 1, most))
+
+
+_THINK = r"(?i)</?think\b[^>]*>"
+
+
+def without_thought(text: Column) -> Column:
+    """The text outside of (nested) think blocks. A block that never closes takes the rest; a stray closing tag stays."""
+    tags, parts = F.regexp_extract_all(text, F.lit(_THINK), F.lit(0)), F.split(text, _THINK)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    steps = F.zip_with(tags, F.slice(parts, 1, 1 << 30), lambda tag, part: F.struct(tag.alias("tag"), part.alias("part")))
+
+    def step(state: Column, s: Column) -> Column:
+        closes, outside = s["tag"].startswith("</"), state["depth"] == 0
+        said = F.when(outside, F.concat(s["part"], F.when(closes, s["tag"]).otherwise(""))).otherwise("")
+        depth = F.when(s["tag"].isNull(), state["depth"]).otherwise(F.greatest(F.lit(0), state["depth"] + F.when(closes, -1).otherwise(1)))
+        return F.struct(depth.alias("depth"), F.concat(state["out"], F.when(s["tag"].isNull(), F.when(outside, s["part"]).otherwise("")).otherwise(said)).alias("out"))
+
+    return F.when(F.contains(text, F.lit("<")), F.aggregate(steps, start, step, lambda state: state["out"])).otherwise(text)
 
 
 def payload_text(payload: Column) -> Column:
-    """The text of an answer's payload: a JSON list of objects with a ``text`` gives those, a line each; any other text stays."""
+    """The text of an answer's payload, without white space around it and then without think blocks.
+
+    A JSON list of objects with a ``text`` gives those texts that are not empty, a line each; any other text stays; null is empty.
+    """
     parts = F.from_json(payload, "array<struct<text:string>>")
     listed = payload.rlike(r"\A\s*\[") & parts.isNotNull()
-    joined = F.array_join(F.filter(F.transform(parts, lambda x: x["text"]), lambda x: x.isNotNull()), "\n")
-    return F.coalesce(F.when(listed, joined).otherwise(payload), F.lit(""))
+    joined = F.array_join(F.filter(F.transform(parts, lambda x: x["text"]), lambda x: F.coalesce(x != "", F.lit(False))), "\n")
+    return without_thought(strip(F.coalesce(F.when(listed, joined).otherwise(payload), F.lit(""))))
 
 
 def is_class_row(content: Column) -> Column:
@@ -290,14 +313,31 @@ def is_class_row(content: Column) -> Column:
     return F.coalesce(content.startswith("Class::"), F.lit(False))
 
 
-def form_problems(values: dict[str, Column], limits: dict[str, tuple[float, float]]) -> Column:
-    """What is wrong with the numbers of a form: ``name: not positive`` or ``name: out of range``, in the order of the fields.
+@dataclass(frozen=True)
+class Limits:
+    """What a field of a form must satisfy, each part only if it is given, and the name that messages have for it."""
+
+    positive: bool = False
+    least: float | None = None
+    most: float | None = None
+    label: str | None = None
+
+
+def form_problems(values: dict[str, Column], limits: dict[str, Limits]) -> Column:
+    """What is wrong with the fields of a form, in their order, at most one message a field.
 
-    A null is not positive; a field without limits must be positive only.
+    A field that is blank, missing or no number is ``invalid``; others ``must be > 0``, ``must be >= least`` or ``must be <= most``.
     """
     said = []
-    for name, v in values.items():
-        low, high = limits.get(name, (float("-inf"), float("inf")))
-        wrong = F.when(v.isNull() | (v <= 0), f"{name}: not positive").when((v < low) | (v > high), f"{name}: out of range")
+    for name, raw in values.items():
+        rule = limits.get(name, Limits())
+        label, v = rule.label or name, strip(raw.cast("string")).try_cast("double")
+        wrong = F.when(v.isNull() | F.isnan(v), f"{label} invalid")
+        if rule.positive:
+            wrong = wrong.when(v <= 0, f"{label} must be > 0")
+        if rule.least is not None:
+            wrong = wrong.when(v < rule.least, f"{label} must be >= {rule.least}")
+        if rule.most is not None:
+            wrong = wrong.when(v > rule.most, f"{label} must be <= {rule.most}")
         said.append(wrong)
     return F.filter(F.array(*said), lambda x: x.isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.fidelity import flatten_quotes, needs_quotes, sanitized
 
 #: Keys of a mail header in three languages (fixed values).
 HEADER_KEYS = "From|Date|Sent|To|Subject|Cc|发件人|發件人|发送时间|發送時間|收件人|收件者|抄送|主题|主題|主旨"
@@ -63,6 +64,17 @@ def blocks(quoted: DataFrame, key: str = "doc_id") -> DataFrame:
     return runs.select(key, page.alias("page"), F.when(F.col("depth") == 0, "body").otherwise("quote").alias("part"), "depth", "text")
 
 
+def raw_blocks(mails: DataFrame, key: str = "doc_id", body: str = "body") -> DataFrame:
+    """The whole way from a body to its blocks: ``key, page, part, depth, text``.
+
+    Bodies that quote by block elements become lines first; then lines are quoted, cut into runs of one depth, and cleaned. Blocks that
+    cleaning leaves blank are left out, and pages keep their numbers. A body that is null or empty has no block.
+    """
+    text = F.coalesce(F.col(body), F.lit(""))
+    flat = mails.select(key, F.when(needs_quotes(text), flatten_quotes(text)).otherwise(text).alias("body"))
+    return blocks(quote_lines(lines(flat, key), key), key).withColumn("text", sanitized(F.col("text"))).where("text != ''")
+
+
 def canonical(blocks_: DataFrame, key: str = "doc_id", order: str = "page", text: str = "text") -> DataFrame:
     """Numbers the blocks that hold text and adds their measures: ``seq, char, word, block_id``."""
     kept = blocks_.where(~T.is_blank(F.col(text)))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip
 from tessera.session import checkpointed
 
 
@@ -48,10 +49,19 @@ def grouped_in_order(df: DataFrame, key: str, order: Sequence[str], text: str, s
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(joined.alias(text), F.count("*").alias("n"))
 
 
-def latest(df: DataFrame, key: str, version: str, payload: str) -> DataFrame:
-    """The payload of the greatest version of each key; of equal versions the least payload."""
-    w = Window.partitionBy(key).orderBy(F.desc(version), payload)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, version, payload)
+def with_file_order(df: DataFrame, name: str = "place") -> DataFrame:
+    """Rows of a scan with their place in the input, a struct of the file's path and the row's number in it, by which they sort."""
+    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
+def latest(df: DataFrame, key: str, version: str, payload: str, place: str) -> DataFrame:
+    """The payload of the greatest version of each key, a number; of equal versions the first in ``place``, as ``with_file_order`` tells it.
+
+    Rows without a version count only where a key has no other.
+    """
+    first = F.struct(F.col(version).isNull(), -F.col(version), F.col(place))
+    best = df.groupBy(key).agg(F.min_by(F.struct(version, payload), first).alias("_best"))
+    return best.select(key, f"_best.{version}", f"_best.{payload}")
 
 
 def latest_dated(names: DataFrame, name: str = "name") -> DataFrame:
@@ -225,10 +235,17 @@ def sign_changes(df: DataFrame, key: str, x: str, f: str) -> DataFrame:
     )
 
 
-def by_number(lines: DataFrame, line: str, order: str, pattern: str = r"(\d+) bytes") -> DataFrame:
-    """Lines of a log by the number found in them, the greatest first and equal ones as they came; lines without one last."""
+def by_number(lines: DataFrame, line: str, order: str, pattern: str = r"bytes=(\d+)") -> DataFrame:
+    """Lines of a log by the number found in them, the greatest first and equal ones as they came, stripped; lines without one are left out."""
     found = F.regexp_extract(line, pattern, 1)
-    return lines.withColumn("number", F.when(found != "", found).try_cast("bigint")).orderBy(F.desc_nulls_last("number"), order)
+    numbered = lines.where(found != "").withColumns({"number": found.try_cast("bigint"), line: strip(F.col(line))})
+    return numbered.orderBy(F.desc("number"), order)
+
+
+def number_totals(numbered: DataFrame) -> DataFrame:
+    """One row: the sum of the numbers of ``by_number``, and as a text in units of 2^30 with three decimals; 0 of no lines."""
+    total = F.coalesce(F.sum("number"), F.lit(0)).alias("total")
+    return numbered.agg(total).withColumn("total_gb", F.format_string("%.3f", F.col("total") / (1 << 30)))
 
 
 def by_side(orders: DataFrame, key: str, side: str) -> DataFrame:

@@ -232,18 +232,33 @@ def repeat_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.in_runs(e, "user_id", "event_id", "price").select("user_id", "event_id", "price", "run")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal <= 0 THEN 'balance: not positive|' WHEN c_acctbal NOT BETWEEN 100 AND 5000 THEN 'balance: out of range|' ELSE '' END
-  || CASE WHEN c_nationkey <= 0 THEN 'nation: not positive|' ELSE '' END AS problems FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 < 2 THEN 'Balance invalid|' WHEN c_acctbal <= 0 THEN 'Balance must be > 0|' WHEN c_acctbal < 100 THEN 'Balance must be >= 100|' WHEN c_acctbal > 5000 THEN 'Balance must be <= 5000|' ELSE '' END
+  || CASE WHEN c_nationkey < 3 THEN 'nation must be >= 3|' ELSE '' END AS problems FROM customer""")
 def form_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.form_problems({"balance": F.col("c_acctbal"), "nation": F.col("c_nationkey")}, {"balance": (100, 5000)})
+    """Balances that must be positive and in a range, some of them blank or no numbers, and nations with a least number."""
+    said = F.when(F.col("c_custkey") % 7 == 0, " ").when(F.col("c_custkey") % 7 == 1, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    found = T.form_problems({"balance": said, "nation": F.col("c_nationkey")}, {"balance": T.Limits(True, 100, 5000, "Balance"), "nation": T.Limits(least=3)})
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.transform(found, lambda x: F.concat(x, F.lit("|"))), "").alias("problems"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_nationkey::BIGINT END AS number FROM supplier")
+#: Lines of a log that name a size, but for every third.
+_LOG = "WITH log AS (SELECT s_suppkey, s_nationkey * 123456789::BIGINT AS number, 'in bytes=' || s_nationkey * 123456789::BIGINT || ' out' AS line FROM supplier WHERE s_suppkey % 3 <> 0)"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = F.concat(F.lit("  in bytes="), (F.col("s_nationkey") * F.lit(123456789).cast("long")).cast("string"), F.lit(" out "))
+    line = F.when(F.col("s_suppkey") % 3 == 0, F.lit("5 bytes")).otherwise(sized)
+    return B.by_number(table(spark, sf_dir, "supplier").select("s_suppkey", line.alias("line")), "line", "s_suppkey")
+
+
+@query(_LOG + " SELECT s_suppkey, line, number FROM log")
 def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a log that name a size, but for every third."""
-    line = F.when(F.col("s_suppkey") % 3 == 0, F.lit("nothing")).otherwise(F.concat(F.lit("sent "), F.col("s_nationkey").cast("string"), F.lit(" bytes")))
-    return B.by_number(table(spark, sf_dir, "supplier").select("s_suppkey", line.alias("line")), "line", "s_suppkey").select("s_suppkey", "number")
+    return _log(spark, sf_dir)
+
+
+@query(_LOG + " SELECT sum(number)::BIGINT AS total, format('{:.3f}', sum(number) / 1073741824) AS total_gb FROM log")
+def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.number_totals(_log(spark, sf_dir))
 
 
 @query("SELECT user_id, count(*) FILTER (event_id % 2 = 0) AS buys, count(*) FILTER (event_id % 2 = 1) AS sells FROM events GROUP BY user_id")

@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import chunking as C
 from tessera.operators import mail as M
+from tessera.operators import notes as N
 from tessera.operators import tables as B
 from tessera.session import table
 from tessera.plans.registry import Registry
@@ -58,7 +59,7 @@ def strip_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", P.udf(P.sanitize)(F.col("text")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", P.sanitized(F.col("text")).alias("text"))
 
 
 @query()
@@ -140,9 +141,43 @@ def group_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.md5("text").alias("text_md5"), "n")
 
 
-@query("SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) = 1")
+@query("""SELECT conv_id, turn // 2 AS version, text FROM (SELECT *, row_number() OVER () AS place FROM conversations)
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn // 2 DESC, place) = 1""")
 def argmax_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.latest(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    """Two turns make a version; of the last version's, the first row of the file counts."""
+    c = B.with_file_order(table(spark, sf_dir, "conversations")).withColumn("version", F.floor(F.col("turn") / 2))
+    return B.latest(c, "conv_id", "version", "text", "place")
+
+
+@query(r"""WITH b AS (SELECT conv_id, turn, coalesce(lead(turn) OVER w, -1) AS following, md5(text) AS said, role, lag(turn) OVER w AS before FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS clause, CASE WHEN turn % 2 = 0 THEN turn ELSE NULL END AS here, CASE WHEN following % 2 = 0 THEN following END AS afterwards FROM b)
+SELECT conv_id AS doc_id, clause::INTEGER AS clause, turn || '.1' AS location, role AS heading,
+  'PART ' || coalesce(afterwards, last_value(here IGNORE NULLS) OVER w) AS part, NULL::VARCHAR AS supplement, CASE WHEN turn >= 3 OR following = 3 THEN 'B' END AS appendix,
+  (turn + 1)::INTEGER AS page_start, (CASE WHEN following >= 0 THEN following + 1 ELSE turn + 1 END)::INTEGER AS page_end,
+  md5(turn || '.1 ' || role || chr(10) || 'b' || said || chr(10) || chr(10) || 'end') AS text_md5
+FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def clause_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as parsed standards: a page and a clause a turn, a part every other turn, an appendix from the fourth on."""
+    n = F.col("turn").cast("string")
+    said = F.concat(
+        F.lit("<PARSED TEXT FOR PAGE: "), (F.col("turn") + 1).cast("string"), F.lit(" / 9>\n"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("PART "), n, F.lit("\n"))).otherwise(""),
+        F.when(F.col("turn") == 3, "Appendix B of it\n").otherwise(""), n, F.lit(".1 "), "role", F.lit("\n1.1 Contents .12\nb"), F.md5("text"), F.lit("\n\nNo Text on This Page\nend"),
+    )
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null and text is not null").withColumn("line", said)
+    docs = B.grouped_in_order(rows, "conv_id", ["turn"], "line").select(F.col("conv_id").alias("doc_id"), F.col("line").alias("text"))
+    return N.split_clauses(docs).select("*", F.md5("text").alias("text_md5")).drop("text")
+
+
+@query("""SELECT page_id, md5('Answer ' || page_id || chr(10) || 'old &' || chr(10) || 'older' || chr(10) || 'back') AS level_md5, md5('Answer ' || page_id || chr(10) || '> old &' || chr(10) || '>> older' || chr(10) || 'back') AS deep_md5,
+  true AS quotes FROM pages""")
+def flattened_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages answered in a mail that quotes by nested block elements, flattened without and with depth."""
+    body = F.concat(
+        F.lit("<div><p>Answer <b>"), F.col("page_id").cast("string"), F.lit("</b></p></div><br><br/><div>"), F.lit("<blockquote type='cite'>old &amp; &lt;"), F.col("page_id").cast("string"),
+        F.lit("&gt;<blockquote><p>older</p></blockquote></blockquote> back</div><div></div><p></p>"),
+    )
+    flat = lambda deep: F.md5(P.flatten_quotes(body, deep))
+    return table(spark, sf_dir, "pages").select("page_id", flat(False).alias("level_md5"), flat(True).alias("deep_md5"), P.needs_quotes(body).alias("quotes"))
 
 
 @query(r"""SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#]+)["'']', 1)) AS link FROM pages""")
@@ -200,16 +235,21 @@ def script_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]+")).alias("n_latin"), T.has_chinese(F.col("text")).alias("chinese"))
 
 
-@query("SELECT doc_id, md5(substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 200)) AS task_md5 FROM documents")
+@query("SELECT doc_id, md5(substr(body, 1, 200)) AS task_md5 FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '  ' WHEN doc_id % 4 = 0 THEN chr(10) || ' ' || text ELSE text END AS body FROM documents) WHERE regexp_matches(body, '\\S')")
 def body_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.task_text(F.col("text"), 200)).alias("task_md5"))
+    """Bodies of documents, some blank and some with white space before them, which stays."""
+    body = F.when(F.col("doc_id") % 9 == 0, "  ").when(F.col("doc_id") % 4 == 0, F.concat(F.lit("\n "), "text")).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.task_text(body, 200).alias("task")).where("task is not null").select("doc_id", F.md5("task").alias("task_md5"))
 
 
-@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS text_md5 FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
+@query("""SELECT conv_id, md5(coalesce(chr(10) || rtrim(string_agg(text, chr(10) ORDER BY turn, text) FILTER (turn % 3 <> 1 AND text <> ''), ' ' || chr(10) || chr(9) || chr(13)), '')) AS text_md5 FROM conversations
+WHERE conv_id IS NOT NULL GROUP BY conv_id""")
 def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of a conversation as a JSON list of text objects, read back as lines."""
+    """The turns of a conversation as a JSON list of text objects, some of them empty and some in a think block, read back as lines."""
     c = table(spark, sf_dir, "conversations").where("conv_id is not null")
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("text")))
+    said = lambda x: F.when(x["turn"] % 3 == 1, "").otherwise(x["text"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(said(x).alias("text")))
+    listed = F.concat(F.array(F.struct(F.lit("  <think>first <think>this</think>").alias("text"))), F.array(F.struct(F.lit("then</think>").alias("text"))), listed)
     return c.groupBy("conv_id").agg(F.to_json(listed).alias("payload")).select("conv_id", F.md5(T.payload_text(F.col("payload"))).alias("text_md5"))
 
 
@@ -218,4 +258,4 @@ def thread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd turns bear the marker of a review thread; those of users define a class."""
     subject = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Re: x [ALI:v"), F.col("turn").cast("string"), F.lit("]"))).otherwise("Re: [ALI:v]")
     content = F.concat(F.when(F.col("role") == "user", "Class::").otherwise("class::"), "role")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_review_thread(subject).alias("review"), T.is_class_row(content).alias("defines"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_review_thread(subject, "ALI").alias("review"), T.is_class_row(content).alias("defines"))

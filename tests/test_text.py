@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,17 +56,18 @@ def test_labels(spark):
     assert apply(spark, T.is_standard_header, heads) == [True] * 5 + [False]
 
 
+def test_sanitized_columns_agree(spark):
+    rng = random.Random(4)
+    bits = ["null", "NUL/", "a@b.com", "<x@y.COM>", "||", "| ", "\n|\n", "  ", "--", "++", "...", "..", "__", "***", "end.Next", "http://q.r/s", "ﬁ", "Ａ", "“x”", "\u200b", "─━", "ͺͺ", "é", "\xa0", "…", "w", "\x91", "　　", "\r\n", "$1"]
+    said = ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None, ""]
+    assert apply(spark, P.sanitized, said) == [None if t is None else P.sanitize(t) for t in said]
+
+
 def test_sanitize():
     assert P.sanitize("ＡＢ“x”  a@b.com  see https://q.r/s  end.Next ... -- *bold*") == "AB\"x\" see end. Next .. - bold"
     assert P.sanitize("ﬁne ​ok") == "fine ok"
 
 
-def test_think_blocks():
-    assert P.without_thought("a<think>b<think>c</think>d</think>e") == "ae"
-    assert P.without_thought("a<think>b") == "a"
-    assert P.without_thought("a</think>b") == "a</think>b"
-
-
 def test_file_names(spark):
     assert P.file_name("a/b:c?. ") == "a・b・c・"
     assert P.file_name("con") == "con_"
@@ -91,13 +94,14 @@ def test_assignments():
         P.assignments("self.company='b'")
 
 
-def test_html_and_xml():
+def test_html_and_xml(spark):
     assert P.html_text("<p>a<script>x</script></p><p>b &amp; c</p>") == "a\nb & c"
     assert P.xml_text("<tt><p>one</p><p> two </p></tt>") == "one\ntwo\n"
     body = "<div>a</div>" * 8 + "<blockquote>q</blockquote>"
-    assert P.needs_quotes(body)
-    assert P.flatten_quotes(body).splitlines()[-1] == "q"
-    assert P.flatten_quotes(body, track_depth=True).splitlines()[-1] == "> q"
+    assert apply(spark, P.needs_quotes, [body, "> x\n" + body, "<blockquote>"]) == [True, False, False]
+    assert apply(spark, P.flatten_quotes, [body, "a<br>b<i\n>c</i>&lt;u&gt;d"]) == ["a\n" * 8 + "q", "a\nbcd"]
+    deep = lambda c: P.flatten_quotes(c, track_depth=True)
+    assert apply(spark, deep, [body, "</blockquote>x<blockquote>y<BLOCKQUOTE a='1'> z </blockquote>\n</blockquote>w"]) == ["a\n" * 8 + "> q", "x\n> y\n>> z\nw"]
 
 
 def test_routes_and_subjects(spark):
