@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from tessera.functions import text as T
+from tessera.functions.fidelity import sanitize
 
 #: Words of a chunk at most, and words up to which a block is dropped (fixed values).
 MOST_WORDS, DROP_WORDS = 500, 10
@@ -104,47 +108,104 @@ def fixed_chunks(text: Column, size: int) -> Column:
 
 
 def recursive_split(text: str | None, size: int = 2000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces of at most ``size`` characters along the coarsest separator that will do, repeating about ``overlap``."""
+    """Pieces of at most ``size`` characters along the coarsest separator that will do, repeating up to ``overlap`` of the piece before.
+
+    A separator stays at the head of the part behind it. Parts of ``size`` or more go down to the finer separators and end the piece before
+    them; a part for which there is none left stays whole. White space at the ends of a piece goes, and so do blank pieces.
+    """
     if not text:
         return []
-    mark = next((s for s in separators if s == "" or s in text), "")
-    finer = separators[separators.index(mark) + 1 :] if mark in separators else ()
-    parts = text.split(mark) if mark else list(text)
+    mark = next((s for s in separators if s in text), separators[-1])
+    finer = separators[separators.index(mark) + 1 :] if mark in text else ()
+    head, *rest = text.split(mark) if mark else text
     pieces: list[str] = []
-    held: list[str] = []
+    for short, run in itertools.groupby((p for p in (head, *(mark + r for r in rest)) if p), key=lambda p: len(p) < size):
+        if short:
+            pieces += _filled(run, size, overlap)
+        else:
+            pieces += itertools.chain.from_iterable(recursive_split(p, size, overlap, finer) if finer else [p] for p in run)
+    return [p for p in map(str.strip, pieces) if p]
+
+
+def _filled(parts: Iterable[str], size: int, overlap: int) -> Iterator[str]:
+    """Neighbouring parts together while they fit; the last ones of a piece, up to ``overlap`` characters, begin the next."""
+    held: deque[str] = deque()
     length = 0
-    for part in (p for p in parts if p):
-        if len(part) > size and finer:
-            if held:
-                pieces.append(mark.join(held))
-                held, length = [], 0
-            pieces.extend(recursive_split(part, size, overlap, finer))
-            continue
-        extra = len(part) + (len(mark) if held else 0)
-        if held and length + extra > size:
-            pieces.append(mark.join(held))
-            while held and (length > overlap or length + len(part) + len(mark) > size):
-                length -= len(held.pop(0)) + (len(mark) if held else 0)
-            extra = len(part) + (len(mark) if held else 0)
+    for part in parts:
+        if held and length + len(part) > size:
+            yield "".join(held)
+            while held and (length > overlap or length + len(part) > size):
+                length -= len(held.popleft())
         held.append(part)
-        length += extra
-    if held:
-        pieces.append(mark.join(held))
-    return [p.strip() for p in pieces if p.strip()]
+        length += len(part)
+    yield "".join(held)
 
 
 def rejoin(pieces: list[str], most: int = 1200) -> list[str]:
-    """Appends a piece to the one before while that lacks a full stop, the piece begins in lower case and both are short."""
+    """Appends a piece to the one before while that ends no sentence and is shorter than ``most``, unless the piece begins with a capital."""
     out: list[str] = []
-    for piece in pieces:
-        open_ = out and not re.search(r"[.!?。！？]$", out[-1]) and not piece[:1].isupper()
-        if open_ and len(out[-1]) + len(piece) < most:
-            out[-1] = f"{out[-1]} {piece}"
+    for piece in filter(None, map(str.strip, pieces)):
+        if out and len(out[-1]) < most and out[-1][-1] not in ".!?:" and not piece[0].isupper():
+            out[-1] += " " + piece
         else:
             out.append(piece)
     return out
 
 
+def without_quote_marks(text: str) -> str:
+    """The lines of a cleaned mail that hold more than quote marks, stripped; one that says who wrote has a blank line before it.
+
+    Cleaning leaves a mail on a single line, so this drops a mail of quote marks alone and else changes nothing; a text that keeps its lines is
+    treated line by line.
+    """
+    kept = []
+    for line in filter(None, map(str.strip, text.splitlines())):
+        if line.strip(">"):
+            heads = re.match("(?:From|To|Subject|Date):", line)
+            said = "@" in line and ("wrote:" in line or "said:" in line)
+            kept.append("\n" + line if said and not heads else line)
+    return "\n".join(kept).strip()
+
+
+def mail_chunks(text: str | None, least: int = 100, size: int = 2000, overlap: int = 200) -> list[str]:
+    """The chunks of a mail's text: cleaned, without quote marks, split, short pieces dropped, broken sentences joined again, and only those with words.
+
+    A text, a piece and a chunk each need ``least`` characters, a chunk five words of two Latin letters or more.
+    """
+    if not text or len(text.strip()) < least:
+        return []
+    flat = without_quote_marks(sanitize(text))
+    if len(flat) < least:
+        return []
+    whole = rejoin([p for p in recursive_split(flat, size, overlap) if len(p) >= least])
+    return [c for c in whole if len(c) >= least and len(re.findall(r"\b[a-zA-Z]{2,}\b", c)) >= 5]
+
+
+def chunk_lines(lines: DataFrame, key: str = "doc_id", at: str = "pos", line: str = "line", least: int = 100, size: int = 2000, overlap: int = 200) -> DataFrame:
+    """``key, chunk, text`` from mails in lines: ``mail_chunks`` of each mail, numbered from 1.
+
+    A table function gets the lines of one mail after another, in order; a mail, not a table, must fit in its memory. Null lines are
+    blank; rows without a key are left out; mails without a chunk give no row.
+    """
+    kind = dict(lines.dtypes)[key]
+
+    class Chunks:
+        def __init__(self) -> None:
+            self.key, self.held = None, []
+
+        def eval(self, row: Row) -> None:
+            self.key = row["key"]
+            self.held.append(row["line"] or "")
+
+        def terminate(self) -> Iterator[tuple]:
+            for i, text in enumerate(mail_chunks("\n".join(self.held), least, size, overlap), 1):
+                yield self.key, i, text
+
+    made = udtf(Chunks, returnType=f"key {kind}, chunk int, text string")
+    rows = lines.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(line).alias("line"))
+    return made(rows.asTable().partitionBy("key").orderBy("at")).withColumnRenamed("key", key)
+
+
 def markdown_sections(text: str | None, flush: int = 2000, least: int = 80) -> list[str]:
     """Sections between headings outside of code fences, flushed once long; shorter ones than ``least`` are left out."""
     out: list[str] = []

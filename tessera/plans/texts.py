@@ -101,6 +101,12 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "i", F.md5("piece").alias("piece"))
 
 
+@query()
+def mail_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for mails: their lines through the whole chunk generator."""
+    return C.chunk_lines(_lines(spark, sf_dir)).select("doc_id", "chunk", F.md5("text").alias("text_md5"))
+
+
 _LINES = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
 """
 

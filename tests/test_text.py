@@ -175,11 +175,36 @@ def test_split_keeps_words(text, most):
 def test_recursive_split_and_sections():
     parts = C.recursive_split("aa bb cc dd ee", 5, 2)
     assert all(len(p) <= 5 for p in parts) and parts[0] == "aa bb"
-    assert C.rejoin(["one two", "three.", "Four"]) == ["one two three.", "Four"]
+    assert C.recursive_split("a\n\nbb\n\n\n\nccc", 4, 0) == ["a", "bb", "ccc"]
+    assert C.recursive_split("abcdefghij", 4, 2) == ["abcd", "cdef", "efgh", "ghij"]
+    assert C.recursive_split("aaa bbb ccc ddd", 8, 4) == ["aaa bbb", "bbb ccc", "ccc ddd"]
+    assert C.recursive_split("x abcdefgh y", 4, 0, (" ",)) == ["x", "abcdefgh", "y"]
+    assert C.recursive_split("", 4) == C.recursive_split(None) == C.recursive_split(" \n ") == []
+    assert C.rejoin(["one two", " three.", "", "Four", "and:", "five"]) == ["one two three.", "Four and:", "five"]
+    assert C.rejoin(["a" * 1200, "b", "c"]) == ["a" * 1200, "b c"]
     md = "# A\n" + "x" * 90 + "\n# B\n" + "y" * 90 + "\n```\n# no\n```"
     assert len(C.markdown_sections(md)) == 2
 
 
+def test_mail_chunks(spark):
+    """Each step of the chain, and lines of mails in any order through the table function."""
+    words = "the order of lamps left our plant today "
+    assert C.without_quote_marks("> \n>> \na\n On x a@b.c wrote:\nFrom: a@b wrote:\n> > b") == "a\n\nOn x a@b.c wrote:\nFrom: a@b wrote:\n> > b"
+    assert C.mail_chunks(words * 3) == [(words * 3).strip()]
+    assert C.mail_chunks(words * 2) == C.mail_chunks(">" * 200) == C.mail_chunks("12 34 " * 60) == C.mail_chunks(None) == []
+    long = C.mail_chunks(words * 30, size=400, overlap=50)
+    assert all(len(c) >= 100 for c in long) and long[0].startswith("the order") and sum(map(len, long)) >= len(words) * 30 - 2
+    mails = {"a": (words * 40 + "\n\n" + "New part. ") * 3, "b": "short", "c": None, "d": "x\n" * 100 + words * 4}
+    lines = [(k, i, line) for k, t in mails.items() for i, line in enumerate((t or "").split("\n"))] + [(None, 0, words * 5), ("c", 1, None)]
+    random.Random(1).shuffle(lines)
+    df = spark.createDataFrame(lines, "doc_id string, pos int, line string").repartition(5)
+    found: dict[str, list] = {}
+    for r in C.chunk_lines(df, size=500, overlap=60).orderBy("doc_id", "chunk").collect():
+        found.setdefault(r["doc_id"], []).append((r["chunk"], r["text"]))
+    wanted = {k: list(enumerate(C.mail_chunks(t, size=500, overlap=60), 1)) for k, t in mails.items()}
+    assert found == {k: v for k, v in wanted.items() if v} and len(found["a"]) > 3
+
+
 def test_pages(spark):
     lines = ["pre", "<<<PAGE_BREAK_1>>>", "a", "b", "<<<PAGE_BREAK_T2>>>", "c"]
     df = spark.createDataFrame([("s1_1", i, x) for i, x in enumerate(lines)], "doc_id string, pos int, line string")
