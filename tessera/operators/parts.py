@@ -17,6 +17,8 @@ from tessera.functions.numbers import number, polynomial
 
 #: The solver's tolerance, steps and the step that it takes when it would leave the range (fixed values).
 TOLERANCE, STEPS, NUDGE = 1e-4, 100, 5.0
+#: Points and lowest current of a sweep (fixed values), and halvings after which a bracket of doubles is empty.
+SWEEP, LOWEST, HALVINGS = 600, 0.001, 64
 
 
 def targets(df: DataFrame, lumen: str, efficacy: str, optical: str, power: str) -> DataFrame:
@@ -113,21 +115,66 @@ def newton_bisect(f, slope, low: float, high: float, start: float) -> tuple[floa
     return round(x, 6), False
 
 
-def solve(catalogue: DataFrame, efficacy: float, lumen: float, temperature: float) -> DataFrame:
-    """Adds the operating point of each row: current, convergence, flux, count, voltage, power."""
+def _sound(value: Column, default: float) -> Column:
+    """The value, or the default where there is none or it is no number."""
+    return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(default))
+
+
+def _with_factors(catalogue: DataFrame, efficacy: float, temperature: float) -> DataFrame:
+    """Adds the factors of flux and voltage at a temperature, 1 where a curve is missing, and what they make of the targets."""
     at = F.lit(float(temperature))
-    rows = catalogue.withColumns({"lumen_factor": polynomial(at, F.col("ftl")), "vf_factor": polynomial(at, F.col("ftv")), "lm": number(F.col("lm_test"))})
-    rows = rows.withColumns(
+    factor = lambda curve: _sound(polynomial(at, F.col(curve)), 1.0)
+    rows = catalogue.withColumns({"lumen_factor": factor("ftl"), "vf_factor": factor("ftv"), "lm": number(F.col("lm_test"))})
+    return rows.withColumns(
         {
             "k_eta": F.lit(max(float(efficacy), 0.0)) * F.col("vf_factor"),
             "k_phi": F.when(F.col("lm") > 0, F.col("lm") * F.col("lumen_factor")).otherwise(0.0),
         }
     )
 
+
+def sweep(catalogue: DataFrame, efficacy: float, temperature: float, n: int = SWEEP, low: float = LOWEST) -> DataFrame:
+    """``id, sign_change, nearest_if, f_at_nearest, greatest_f, root`` of each row with a positive greatest current.
+
+    The objective at ``n`` currents in equal ratios from ``low`` to the greatest: whether it changes sign (or is 0) between neighbours, where it is nearest to
+    0 (the first of equals) and its greatest value. The first change of sign is halved until the bracket has no number inside; ``root`` is null
+    without one. All in expressions over arrays of a row.
+    """
+    rows = _with_factors(catalogue, efficacy, temperature).withColumn("top", number(F.col("if_max"))).where("top > 0")
+    f = lambda x: _sound(objective(x, F.col("k_eta"), F.col("k_phi"), F.col("fiv"), F.col("fil")), 0.0)
+    step = (F.log10("top") - F.log10(F.lit(low))) / (n - 1)
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pow(F.lit(10.0), F.log10(F.lit(low)) + i * step))
+    rows = rows.withColumn("points", F.transform(at, lambda x: F.struct(x.alias("x"), f(x).alias("f"))))
+    pairs = F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), lambda p, q: F.struct(p["x"].alias("a"), p["f"].alias("fa"), q["x"].alias("b"), q["f"].alias("fb")))
+    rows = rows.withColumn("bracket", F.get(F.filter(pairs, lambda p: p["fa"] * p["fb"] <= 0), F.lit(0)))
+    nearest = F.array_min(F.transform("points", lambda p, i: F.struct(F.abs(p["f"]).alias("size"), i.alias("i"), p["x"].alias("x"), p["f"].alias("f"))))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = (state["a"] + state["b"]) / 2
+        value = f(middle)
+        left = state["fa"] * value <= 0
+        return F.struct(F.when(left, state["a"]).otherwise(middle).alias("a"), F.when(left, state["fa"]).otherwise(value).alias("fa"), F.when(left, middle).otherwise(state["b"]).alias("b"))
+
+    start = F.struct(F.col("bracket.a").alias("a"), F.col("bracket.fa").alias("fa"), F.col("bracket.b").alias("b"))
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: (s["a"] + s["b"]) / 2)
+    rows = rows.withColumn("nearest", nearest)
+    return rows.select(
+        "id", F.col("bracket").isNotNull().alias("sign_change"), F.col("nearest.x").alias("nearest_if"), F.col("nearest.f").alias("f_at_nearest"),
+        F.array_max(F.transform("points", lambda p: p["f"])).alias("greatest_f"), F.when(F.col("bracket").isNotNull(), root).alias("root"),
+    )
+
+
+def solve(catalogue: DataFrame, efficacy: float, lumen: float, temperature: float) -> DataFrame:
+    """Adds the operating point of each row: current, convergence, flux, count, voltage, power.
+
+    Without a curve of the voltage over the current it is taken for 3.0, without one over the temperature for unchanged.
+    """
+    rows = _with_factors(catalogue, efficacy, temperature)
+
     @F.pandas_udf("target_if double, converged boolean, steps int")
     def point(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for k_eta, k_phi, if_max, start, fiv, fil in batches:
-            square = lambda s: np.array([[0.0 if v is None or v != v else v for v in c] for c in s], dtype=float).reshape(len(s), -1)
+            square = lambda s: np.array([[0.0 if v is None or v != v else v for v in (() if c is None else c)] for c in s], dtype=float).reshape(len(s), -1)
             x, ok, n = newton(*(s.to_numpy(dtype=float) for s in (k_eta, k_phi, if_max, start)), square(fiv), square(fil))
             yield pd.DataFrame({"target_if": x, "converged": ok, "steps": n})
 
@@ -136,7 +183,7 @@ def solve(catalogue: DataFrame, efficacy: float, lumen: float, temperature: floa
     flux = F.when(F.col("lm") > 0, F.col("lm") * intensity(F.col("target_if"), F.col("fil")) * F.col("lumen_factor")).otherwise(0.0)
     rows = rows.withColumn("lumen_at_target", flux)
     count = F.when((F.lit(float(lumen)) > 0) & (F.col("lumen_at_target") > 0), F.ceil(F.lit(float(lumen)) / F.col("lumen_at_target"))).otherwise(0)
-    volts = polynomial(F.col("target_if"), F.col("fiv")) * F.col("vf_factor")
+    volts = _sound(polynomial(F.col("target_if"), F.col("fiv")), 3.0) * F.col("vf_factor")
     rows = rows.withColumns({"led_count": count.cast("int"), "vf_at_target": volts})
     return rows.withColumn("power", F.when(F.col("vf_at_target") > 0, F.col("vf_at_target") * F.col("target_if") / 1000).otherwise(0.0))
 

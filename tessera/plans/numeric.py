@@ -45,6 +45,19 @@ def newton_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _solved(spark, sf_dir).select("id", F.round("target_if", 4).alias("target_if"), "converged", "led_count", F.round("power", 6).alias("power"))
 
 
+@query("""WITH c AS (SELECT p_partkey AS id, 330.0::DOUBLE * (1.01 - 0.0004 * 65) AS e, (100 + p_size)::DOUBLE * (1 - 0.001 * 65) AS p, (300 + 10 * p_size)::DOUBLE AS top FROM part),
+x AS (SELECT *, i, pow(10, -3 + i * (log10(top) + 3) / 599) AS x FROM c, range(600) t(i)),
+f AS (SELECT *, e * (x / 1000) * (2.6 + 0.0012 * x) - p * (0.02 + 0.0098 * x - 0.000004 * x * x) AS f FROM x),
+s AS (SELECT id, any_value(e) AS e, any_value(p) AS p, bool_or(f * before <= 0) AS sign_change, arg_min(x, {'a': abs(f), 'i': i}) AS nearest_if, max(f) AS greatest_f
+  FROM (SELECT *, lag(f) OVER (PARTITION BY id ORDER BY i) AS before FROM f) GROUP BY id),
+q AS (SELECT *, e * 0.0000012 + p * 0.000004 AS qa, e * 0.0026 - p * 0.0098 AS qb, -p * 0.02 AS qc FROM s)
+SELECT id, sign_change, round(nearest_if, 4) AS nearest_if, round(greatest_f, 4) AS greatest_f, CASE WHEN sign_change THEN round((-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa), 5) END AS root FROM q""")
+def current_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps of the catalogue; SQL finds the roots by the formula for quadratic equations, which these curves make of the objective."""
+    out = P.sweep(catalogue(spark, sf_dir), 330.0, 65.0)
+    return out.select("id", "sign_change", F.round("nearest_if", 4).alias("nearest_if"), F.round("greatest_f", 4).alias("greatest_f"), F.round("root", 5).alias("root"))
+
+
 @query("""WITH c AS (SELECT p_partkey AS id, p_size AS n, 3.1::DOUBLE AS vf, floor(50 / 3.1)::INT AS smax FROM part), w AS (SELECT *, unnest(range(ceil(n / smax)::INT, (ceil(n / smax) + 5)::INT))::INT AS p FROM c WHERE n > 0)
 SELECT id, p AS "P", ceil(n / p)::INT AS "S", (p * ceil(n / p) - n)::INT AS led_add, round(ceil(n / p) * vf, 6) AS v_chain, (p * ceil(n / p))::INT AS total_leds FROM w WHERE p <= n OR p = ceil(n / smax)""")
 def topologies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,18 @@ def test_layouts_match_search(spark):
     assert sorted(got) == sorted(wanted)
 
 
+def test_sweep_agrees_with_the_solver(spark):
+    rows_ = numeric.catalogue(spark, SMALL)
+    solved = {r["id"]: r for r in P.solve(rows_, 330.0, 20000.0, 65.0).collect()}
+    swept = {r["id"]: r for r in P.sweep(rows_, 330.0, 65.0).collect()}
+    both = [i for i, r in swept.items() if r["root"] is not None and solved[i]["converged"] and solved[i]["target_if"] < solved[i]["if_max"]]
+    assert len(both) > 20 and all(abs(swept[i]["root"] - solved[i]["target_if"]) < 0.05 for i in both)
+    none = rows_.limit(3).withColumn("if_max", F.lit(0.0))
+    assert P.sweep(none, 120.0, 65.0).count() == 0
+    bare = rows_.limit(1).withColumns({c: F.lit(None).cast("array<double>") for c in ("fiv", "ftv", "ftl")})
+    assert P.solve(bare, 120.0, 20000.0, 65.0).first()["vf_at_target"] == 3.0
+
+
 def test_overlaps(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0, 2.0, 2.0), (1, 1, 1.0, 1.0, 3.0, 3.0), (1, 2, 3.0, 0.0, 4.0, 1.0)], "k int, i int, x0 double, y0 double, x1 double, y1 double")
     assert rows(L.overlapping(df, "k")) == [(1, 0, 1)]
