@@ -84,7 +84,7 @@ placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FRO
 kept AS (SELECT * FROM placed WHERE rank <= 15 AND score >= 0.4), notes AS (
   SELECT doc_id AS vec_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word, CASE WHEN doc_id % 3 > 0 THEN source END AS subject, doc_id % 7 AS page, lang FROM documents
 ), texts AS (
-  SELECT rank, CASE WHEN subject IS NULL THEN '' ELSE '[TITLE] ' || subject || chr(10) END || text AS text, word AS n FROM kept JOIN notes USING (vec_id)
+  SELECT rank, CASE WHEN subject IS NULL THEN '' ELSE '[TITLE] ' || subject || chr(10) END || coalesce(text, '') AS text, coalesce(word, 0) AS n FROM kept LEFT JOIN notes USING (vec_id)
 ), lines AS (
   SELECT p.rank, p.vec_id IN (SELECT vec_id FROM kept) AS kept, coalesce(word, 0) AS word,
     '| ' || format('{:.4f}', score) || ' | ' || coalesce(subject, 'd' || n.vec_id, 'None') || ' | None | ' || coalesce(lang, 'None') || ' | ' || coalesce(page::VARCHAR, 'None') || ' | ' || coalesce(word, 0) || ' |' AS line

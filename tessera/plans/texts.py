@@ -227,7 +227,8 @@ def route_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.route(F.col("source"), F.col("text")).alias("route"))
 
 
-@query()
+@query(r"""SELECT conv_id, row_number() OVER w AS page, CASE WHEN sum((turn > 0)::INT) OVER w = 0 THEN 'body' ELSE 'quote' END AS part, (sum((turn > 0)::INT) OVER w)::INTEGER AS depth,
+  regexp_replace(CASE WHEN turn > 0 THEN 'On a day someone wrote:' || chr(10) ELSE '' END || text, '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE conv_id IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def quote_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as one mail each, in which turns answer each other, as blocks of one depth."""
     turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.when(F.col("turn") > 0, F.lit("On a day someone wrote:\n")).otherwise(""), "text"))
