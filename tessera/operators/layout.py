@@ -8,27 +8,34 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import grid_bound
 
 EPS = 1e-9
+#: What a board is described by.
+DIMENSIONS = (
+    "single_w", "single_l", "board_w", "board_l", "board_w_min", "board_l_min", "edge_w", "edge_l", "margin_w", "margin_l", "gap_single_w", "gap_single_l", "gap_board_w", "gap_board_l",
+)
 #: Styles that take single boards only if one side exceeds 600 (fixed values).
 LARGE_STYLES = ("A5", "A6", "A7", "B5", "B6", "B7")
 
 
-def gate(styles: DataFrame, sets: str, single_w: float, single_l: float) -> DataFrame:
+def gate(styles: DataFrame, sets: str, single_w: Column | float, single_l: Column | float) -> DataFrame:
     """Styles of the enabled sets; the large ones need a long single board."""
-    large = ~F.col("style").isin(*LARGE_STYLES) | F.lit(single_w > 600 or single_l > 600)
+    long = [x if isinstance(x, Column) else F.lit(float(x)) for x in (single_w, single_l)]
+    large = ~F.col("style").isin(*LARGE_STYLES) | (long[0] > 600) | (long[1] > 600)
     return styles.where(F.upper(F.substring("style", 1, 1)).isin(*sets) & large)
 
 
-def enumerate_layouts(styles: DataFrame, cfg: dict) -> DataFrame:
-    """All layouts of ``styles(style, panel_w, panel_l, multiplier)`` that a bounded search keeps.
+def enumerate_layouts(styles: DataFrame, cfg: dict, *key: str) -> DataFrame:
+    """All layouts of ``styles(style, panel_w, panel_l, multiplier)`` that a bounded search keeps, for each ``key`` on its own.
 
-    Boards and single boards may be turned. Nested counts explode within their bounds, in the order of
+    A dimension is that of a column of its name, where there is one, else that of ``cfg``, so a table of many boards
+    with their styles is laid out at once. Boards and single boards may be turned. Nested counts explode within their bounds, in the order of
     nested loops. A search drops a group of counts if its bound is below the best count found before it in
     its style; since a dropped group can never raise that best count, it is the running maximum over all.
     """
-    single_w, single_l = cfg["single_w"], cfg["single_l"]
-    if single_w + single_l <= 49.9 or single_w <= 9.9 or single_l <= 9.9:
-        styles = styles.where("false")
-    c, lit = F.col, lambda k: F.lit(float(cfg.get(k, 0.0)))
+    given = {k: f"_given_{k}" for k in DIMENSIONS if k in styles.columns}
+    styles = styles.withColumnsRenamed(given)
+    c, lit = F.col, lambda k: F.col(given[k]) if k in given else F.lit(float(cfg.get(k, 0.0)))
+    single_w, single_l = lit("single_w"), lit("single_l")
+    styles = styles.where((single_w + single_l > 49.9) & (single_w > 9.9) & (single_l > 9.9))
     turns = lambda flag: F.array(*[F.lit(x) for x in ([False, True] if cfg.get(flag) else [False])])
     either = lambda turned, a, b: F.when(turned, b).otherwise(a)
     count = lambda n: F.when(n >= 1, F.sequence(F.lit(1), n))
@@ -38,7 +45,7 @@ def enumerate_layouts(styles: DataFrame, cfg: dict) -> DataFrame:
             "_cw": either(c("board_rot"), lit("board_w"), lit("board_l")), "_cl": either(c("board_rot"), lit("board_l"), lit("board_w")),
             "_nw": either(c("board_rot"), lit("board_w_min"), lit("board_l_min")), "_nl": either(c("board_rot"), lit("board_l_min"), lit("board_w_min")),
             "_mw": either(c("board_rot"), lit("edge_w"), lit("edge_l")), "_ml": either(c("board_rot"), lit("edge_l"), lit("edge_w")),
-            "_sw": either(c("single_rot"), F.lit(float(single_w)), F.lit(float(single_l))), "_sl": either(c("single_rot"), F.lit(float(single_l)), F.lit(float(single_w))),
+            "_sw": either(c("single_rot"), single_w, single_l), "_sl": either(c("single_rot"), single_l, single_w),
         }
     )
     rows = rows.withColumns({"_iw": c("_cw") - 2 * c("_mw"), "_il": c("_cl") - 2 * c("_ml")}).where("_iw > 0 and _il > 0")
@@ -71,23 +78,24 @@ def enumerate_layouts(styles: DataFrame, cfg: dict) -> DataFrame:
     # a group's rows compete with what was found before the group, not with each other
     order = F.struct("board_rot", "single_rot", "nw", "nl")
     grouped = rows.withColumn("_group", order)
-    best = grouped.groupBy("style", "_group").agg(F.max(F.when(c("fits"), c("per_jumbo"))).alias("_reached"))
-    before = Window.partitionBy("style").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    best = grouped.groupBy(*key, "style", "_group").agg(F.max(F.when(c("fits"), c("per_jumbo"))).alias("_reached"))
+    before = Window.partitionBy(*key, "style").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     best = best.withColumn("_before", F.coalesce(F.max("_reached").over(before), F.lit(0))).drop("_reached")
-    kept = grouped.join(best, ["style", "_group"]).where("_bound >= _before")
+    kept = grouped.join(best, [*key, "style", "_group"]).where("_bound >= _before")
     return kept.drop(*[x for x in kept.columns if x.startswith("_")])
 
 
-def rank_layouts(layouts: DataFrame) -> DataFrame:
-    """Layouts by boards per sheet, use of area and the further aims; of layouts that differ in turns only, the least
+def rank_layouts(layouts: DataFrame, *key: str) -> DataFrame:
+    """Layouts of each ``key`` by boards per sheet, use of area and the further aims; of layouts that differ in turns only, the least
     turned stands at the place of the first: ``place`` from 1."""
+    board = key or (F.lit(1),)  # one board's layouts are few
     order = [F.desc("per_jumbo"), F.desc("utilization"), F.desc("singles"), "unused", "uneven", "rotations", "style", "nbw", "nbl", "nw", "nl", "board_rot", "single_rot"]
-    numbered = layouts.withColumn("_pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    numbered = layouts.withColumn("_pos", F.row_number().over(Window.partitionBy(*board).orderBy(*order)))
     turned = F.col("board_rot").cast("int") + 2 * F.col("single_rot").cast("int")
-    key = ["style", "singles", "nbw", "nbl", "nw", "nl"]
-    rest = F.struct(*[c for c in layouts.columns if c not in key])
-    one = numbered.groupBy(*key).agg(F.min("_pos").alias("_pos"), F.min_by(rest, F.struct(turned, "_pos")).alias("r"))
-    return one.select(*key, "r.*", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_pos")).alias("place"))
+    same = [*key, "style", "singles", "nbw", "nbl", "nw", "nl"]
+    rest = F.struct(*[c for c in layouts.columns if c not in same])
+    one = numbered.groupBy(*same).agg(F.min("_pos").alias("_pos"), F.min_by(rest, F.struct(turned, "_pos")).alias("r"))
+    return one.select(*same, "r.*", F.row_number().over(Window.partitionBy(*board).orderBy("_pos")).alias("place"))
 
 
 def overlapping(rects: DataFrame, key: str) -> DataFrame:

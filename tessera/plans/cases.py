@@ -14,6 +14,7 @@ from tessera.operators import curves as C
 from tessera.operators import mail as M
 from tessera.operators import notes as O
 from tessera.operators import parts as L
+from tessera.operators import pixels as X
 from tessera.operators import quote as Q
 from tessera.operators import tables as B
 from tessera.plans.numeric import catalogue
@@ -226,6 +227,31 @@ def distinct_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.distinct_points(table(spark, sf_dir, "part").where(_n() % 4 > 0).select(x.alias("x"), y.alias("y"), _n().alias("pos")))
 
 
+@query("""WITH RECURSIVE px AS (SELECT (p_partkey % 40)::INT AS x, (p_partkey // 40)::INT AS y, CASE WHEN (p_partkey // 40) % 50 - 10 - (p_partkey % 40) // 2 IN (0, 1, 2) THEN 20 WHEN p_partkey % 40 % 13 = 0 THEN 60 WHEN p_size = 7 THEN 10 ELSE 240 + p_size % 10 END AS level FROM part),
+size AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px), raw AS (SELECT k, exp(-(k * k) / (2 * 4.1::DOUBLE * 4.1::DOUBLE)) AS e FROM range(-12, 13) t(k)), off AS (SELECT k, e / (SELECT sum(e) FROM raw) AS e FROM raw),
+across AS (SELECT p.x, p.y, any_value(p.level) AS level, sum(e * q.level) AS v FROM px p, off, size JOIN px q ON q.y = p.y AND q.x = greatest(0, least(w - 1, p.x + k)) GROUP BY p.x, p.y),
+mean AS (SELECT p.x, p.y, any_value(p.level) AS level, sum(e * q.v) AS v FROM across p, off, size JOIN across q ON q.x = p.x AND q.y = greatest(0, least(h - 1, p.y + k)) GROUP BY p.x, p.y),
+dark AS (SELECT x, y, level - round_even(v, 0) <= -20 AS dark FROM mean),
+runs AS (SELECT *, sum(CASE WHEN dark THEN 0 ELSE 1 END) OVER (PARTITION BY y ORDER BY x) AS ra, sum(CASE WHEN dark THEN 0 ELSE 1 END) OVER (PARTITION BY x ORDER BY y) AS rd FROM dark),
+long AS (SELECT *, count(*) FILTER (dark) OVER (PARTITION BY y, ra) AS na, count(*) FILTER (dark) OVER (PARTITION BY x, rd) AS nd FROM runs),
+f0 AS (SELECT x, y, dark, dark AND NOT (na >= greatest(w // 3, 1) OR nd >= greatest(h // 3, 1)) AS clean FROM long, size),
+f1 AS (SELECT *, clean OR coalesce(lag(clean) OVER (PARTITION BY x ORDER BY y), false) OR coalesce(lag(clean) OVER (PARTITION BY y ORDER BY x), false) AS c1 FROM f0),
+f2 AS (SELECT *, c1 AND coalesce(lag(c1) OVER (PARTITION BY x ORDER BY y), true) AND coalesce(lag(c1) OVER (PARTITION BY y ORDER BY x), true) AS c2 FROM f1),
+f3 AS (SELECT *, c2 AND coalesce(lag(c2) OVER (PARTITION BY x ORDER BY y), true) AND coalesce(lag(c2) OVER (PARTITION BY y ORDER BY x), true) AS c3 FROM f2),
+f4 AS (SELECT *, c3 OR coalesce(lag(c3) OVER (PARTITION BY x ORDER BY y), false) OR coalesce(lag(c3) OVER (PARTITION BY y ORDER BY x), false) AS healed FROM f3),
+dots AS (SELECT x, y, y * 40 + x AS id FROM f4 WHERE healed), near AS (SELECT a.id AS a, b.id AS b FROM dots a JOIN dots b ON abs(a.x - b.x) <= 1 AND b.y BETWEEN a.y - 1 AND a.y + 1),
+reach(a, b) AS (SELECT id, id FROM dots UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+parts AS (SELECT a AS id, min(b) AS part FROM reach GROUP BY a), best AS (SELECT part FROM parts GROUP BY part ORDER BY count(*) DESC, part LIMIT 1)
+SELECT x, y, dark, clean, healed, healed AND y * 40 + x IN (SELECT id FROM parts JOIN best USING (part)) AS mask FROM f4""")
+def plot_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the pixels of one picture, forty a line: a curve every fifty lines, some lines of a grid, and dots."""
+    x, y = (_n() % 40).cast("int"), F.floor(_n() / 40).cast("int")
+    curve = (y % 50 - 10 - F.floor(x / 2)).isin(0, 1, 2)
+    level = F.when(curve, 20).when(x % 13 == 0, 60).when(F.col("p_size") == 7, 10).otherwise(240 + F.col("p_size") % 10)
+    made = X.plot_mask(table(spark, sf_dir, "part").select(F.lit("parts").alias("image"), x.alias("x"), y.alias("y"), level.alias("level")))
+    return made.select("x", "y", "dark", "clean", "healed", "mask")
+
+
 @query("""WITH b AS (SELECT doc_id, n_chars AS n FROM documents WHERE n_chars > 0), e AS (SELECT doc_id, unnest(range(0, n, 500)) AS o, n FROM b)
 SELECT doc_id, count(*)::BIGINT AS enhanced_blocks, max(least(500, n - o))::INTEGER AS enhanced_longest, any_value(n)::INTEGER AS baseline_longest, (any_value(n) >= 1000)::INTEGER::BIGINT AS baseline_large, count(*)::DOUBLE AS split_gain FROM e GROUP BY doc_id""")
 def split_gains(spark: SparkSession, sf_dir: str) -> DataFrame:

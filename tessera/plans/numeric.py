@@ -169,11 +169,30 @@ BOARD = {
 }
 
 
-@query()
+@query("""WITH b AS (SELECT p_brand AS board, (60 + min(p_partkey) % 37)::DOUBLE AS w0, (80 + max(p_partkey) % 41)::DOUBLE AS l0 FROM part GROUP BY p_brand),
+styles(style, pw, pl, mult) AS (VALUES ('A1', 520.0::DOUBLE, 410.0::DOUBLE, 4), ('B2', 610.0::DOUBLE, 520.0::DOUBLE, 2)),
+turned AS (SELECT *, CASE WHEN br THEN 220.0 ELSE 260.0 END::DOUBLE AS cw, CASE WHEN br THEN 260.0 ELSE 220.0 END::DOUBLE AS cl, CASE WHEN br THEN 4.0 ELSE 5.0 END::DOUBLE AS mw, CASE WHEN br THEN 5.0 ELSE 4.0 END::DOUBLE AS ml,
+  CASE WHEN sr THEN l0 ELSE w0 END AS sw, CASE WHEN sr THEN w0 ELSE l0 END AS sl FROM b, styles, (VALUES (false), (true)) x(br), (VALUES (false), (true)) y(sr)),
+counts AS (SELECT *, unnest(range(1, floor((cw - 2 * mw + 1.6::DOUBLE) / (sw + 1.6::DOUBLE))::INT + 1))::INT AS nw FROM turned), counts2 AS (SELECT *, unnest(range(1, floor((cl - 2 * ml + 1.6::DOUBLE) / (sl + 1.6::DOUBLE))::INT + 1))::INT AS nl FROM counts),
+sized AS (SELECT *, nw * sw + (nw - 1) * 1.6::DOUBLE + 2 * mw AS bw, nl * sl + (nl - 1) * 1.6::DOUBLE + 2 * ml AS bl FROM counts2),
+bounded AS (SELECT *, greatest(0, floor((pw - 16 + 2) / (bw + 2)))::INT AS ubw, greatest(0, floor((pl - 20 + 2) / (bl + 2)))::INT AS ubl FROM sized),
+placed AS (SELECT *, unnest(range(1, ubw + 1))::INT AS nbw FROM bounded WHERE ubw > 0 AND ubl > 0), placed2 AS (SELECT *, unnest(range(1, ubl + 1))::INT AS nbl FROM placed),
+used AS (SELECT *, nbw * bw + (nbw - 1) * 2.0::DOUBLE + 16 AS uw, nbl * bl + (nbl - 1) * 2.0::DOUBLE + 20 AS ul, nbw * nbl * nw * nl AS singles, ubw * ubl * nw * nl * mult AS bound FROM placed2),
+made AS (SELECT *, singles * mult AS per_jumbo, singles * w0 * l0 / (pw * pl) AS utilization, pw * pl - uw * ul AS unused, abs(8 - (pw - uw)) + abs(10 - (pl - ul)) AS uneven, {'a': br, 'b': sr, 'c': nw, 'd': nl} AS g FROM used WHERE uw <= pw + 1e-9 AND ul <= pl + 1e-9),
+best AS (SELECT board, style, g, coalesce(max(max(per_jumbo)) OVER (PARTITION BY board, style ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM made GROUP BY board, style, g),
+kept AS (SELECT made.*, row_number() OVER (PARTITION BY board ORDER BY per_jumbo DESC, utilization DESC, singles DESC, unused, uneven, br::INT + sr::INT, style, nbw, nbl, nw, nl, br, sr) AS pos FROM made JOIN best USING (board, style, g) WHERE bound >= before),
+one AS (SELECT *, min(pos) OVER k AS first FROM kept WINDOW k AS (PARTITION BY board, style, singles, nbw, nbl, nw, nl) QUALIFY row_number() OVER (PARTITION BY board, style, singles, nbw, nbl, nw, nl ORDER BY br::INT + 2 * sr::INT, pos) = 1)
+SELECT board, row_number() OVER (PARTITION BY board ORDER BY first) AS place, style, nbw, nbl, nw, nl, br AS board_rot, sr AS single_rot, per_jumbo, round(utilization, 6) AS utilization FROM one""")
 def panel_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styles = spark.createDataFrame([("A1", 520.0, 410.0, 4), ("B2", 610.0, 520.0, 2), ("A5", 700.0, 600.0, 1)], "style string, panel_w double, panel_l double, multiplier int")
-    made = L.enumerate_layouts(L.gate(styles, "AB", BOARD["single_w"], BOARD["single_l"]), BOARD)
-    return L.rank_layouts(made).select("place", "style", "nbw", "nbl", "nw", "nl", "board_rot", "single_rot", "per_jumbo", F.round("utilization", 6).alias("utilization"))
+    """A board a brand, sized by its parts, laid out on the panels of the enabled styles."""
+    n = F.col("p_partkey")
+    boards = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("board")).agg((60 + F.min(n) % 37).cast("double").alias("single_w"), (80 + F.max(n) % 41).cast("double").alias("single_l"))
+    style = lambda *v: F.struct(*[F.lit(x).alias(c) for c, x in zip(("style", "panel_w", "panel_l", "multiplier"), v, strict=True)])
+    styles = F.array(style("A1", 520.0, 410.0, 4), style("B2", 610.0, 520.0, 2), style("A5", 700.0, 600.0, 1), style("C1", 520.0, 410.0, 4))
+    asked = L.gate(boards.select("*", F.inline(styles)), "AB", F.col("single_w"), F.col("single_l"))
+    made = L.enumerate_layouts(asked, BOARD, "board")
+    ranked = L.rank_layouts(made, "board")
+    return ranked.select("board", "place", "style", "nbw", "nbl", "nw", "nl", "board_rot", "single_rot", "per_jumbo", F.round("utilization", 6).alias("utilization"))
 
 
 _SNAP = """WITH o AS (SELECT event_id, user_id, event_id % 4 AS kind, 60000.0 + 500 * (user_id % 5) AS mid FROM events)
