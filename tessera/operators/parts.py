@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import number, polynomial
+from tessera.session import checkpointed
 
 #: The solver's tolerance, steps and the step that it takes when it would leave the range (fixed values).
 TOLERANCE, STEPS, NUDGE = 1e-4, 100, 5.0
@@ -218,7 +219,8 @@ def costs(total: Column, unit: Column, smt: float, rate: float) -> Column:
 
 def rank(solved: DataFrame, chain_max: float, smt: float, rate: float) -> DataFrame:
     """Converged rows that can be wired, the cheapest first way first; ties in order of id."""
-    wired = solved.withColumn("solutions", topologies(F.col("led_count"), F.col("vf_at_target"), F.lit(float(chain_max))))
+    # sorting samples its input first; the solver should not run for that as well
+    wired = checkpointed(solved).withColumn("solutions", topologies(F.col("led_count"), F.col("vf_at_target"), F.lit(float(chain_max))))
     wired = wired.where((F.size("solutions") > 0) & F.col("converged"))
     wired = wired.withColumn("cost", costs(F.col("solutions")[0]["total_leds"], number(F.col("rmb")), smt, rate))
     return wired.orderBy("cost.total_cost_rmb", "id")

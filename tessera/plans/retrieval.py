@@ -56,7 +56,17 @@ def failed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.failed(found, found.where(F.col("rank") <= R.KEEP)).select("query_id", "vec_id", "score", "rank")
 
 
-@query()
+@query(_SCORED.replace("WITH q", "WITH RECURSIVE q") + """, cand AS (SELECT r.*, embedding::DOUBLE[] AS v FROM ranked r JOIN embeddings USING (vec_id) WHERE rank <= 50),
+sims AS (SELECT a.query_id, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM cand a JOIN cand b USING (query_id)),
+picks(query_id, pick, chosen) AS (
+  SELECT DISTINCT query_id, 0, []::BIGINT[] FROM cand
+  UNION ALL
+  SELECT query_id, pick + 1, list_append(chosen, best) FROM (
+    SELECT p.query_id, p.pick, p.chosen, (SELECT r.vec_id FROM cand r WHERE r.query_id = p.query_id AND NOT list_contains(p.chosen, r.vec_id)
+      ORDER BY CASE WHEN p.pick = 0 THEN r.score ELSE 0.5 * r.score - 0.5 * (SELECT max(s) FROM sims WHERE sims.query_id = p.query_id AND sims.a = r.vec_id AND list_contains(p.chosen, sims.b)) END DESC, r.rank LIMIT 1) AS best
+    FROM picks p WHERE p.pick < 15) WHERE best IS NOT NULL
+)
+SELECT query_id, chosen[-1] AS vec_id, pick::INTEGER AS pick FROM picks WHERE pick > 0""")
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.diverse(_search(spark, sf_dir, R.FETCH), R.KEEP, 0.5)
 

@@ -37,7 +37,10 @@ def min_words_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.col("word") > C.DROP_WORDS)
 
 
-@query()
+@query(r"""WITH f AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents), w AS (SELECT *, regexp_extract_all(lower(flat), '[a-z]+(?:''[a-z]+)?') AS words FROM f)
+SELECT doc_id, flat = '' OR regexp_full_match(flat, '(?i)(?:hi|hello|hey)[!. ,]*|(?:ok|okay|k|noted|received|got it|roger|ack)[!. ,]*|(?:thanks|thank you|thx|ty|many thanks)[!. ,]*|(?:best regards|kind regards|regards|br|cheers|sincerely)[!. ,]*|sent from my .+|--+')
+  OR (len(words) > 0 AND len(list_filter(words, lambda x: NOT list_contains(string_split('""" + " ".join(T.STOPWORDS) + r"""', ' '), x))) = 0) OR regexp_full_match(flat, '[\d\pP\pS\pZ_ ]+') AS low_information,
+  length(text) >= 100 AND len(regexp_extract_all(text, '[a-zA-Z]{2,}')) >= 5 AS quality FROM w""")
 def low_info_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
     return d.select("doc_id", T.is_low_information(F.col("text")).alias("low_information"), T.passes_chunk_quality(F.col("text")).alias("quality"))
@@ -204,7 +207,10 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.clean(F.col("url")).alias("url"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '<x>', 'g'), '<[^>]*>') AS nodes FROM pages),
+n AS (SELECT page_id, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS i FROM c),
+t AS (SELECT page_id, i, regexp_replace(replace(replace(replace(replace(replace(replace(replace(node, '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS t FROM n)
+SELECT page_id, md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '')) AS text_md5 FROM t GROUP BY page_id""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(P.udf(P.html_text)(F.col("html"))).alias("text_md5"))
 
