@@ -209,7 +209,7 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH c AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '<x>', 'g'), '<[^>]*>') AS nodes FROM pages),
 n AS (SELECT page_id, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS i FROM c),
-t AS (SELECT page_id, i, regexp_replace(replace(replace(replace(replace(replace(replace(replace(node, '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS t FROM n)
+t AS (SELECT page_id, i, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(node, '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS t FROM n)
 SELECT page_id, md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '')) AS text_md5 FROM t GROUP BY page_id""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(P.udf(P.html_text)(F.col("html"))).alias("text_md5"))
