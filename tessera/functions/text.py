@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -149,18 +150,18 @@ def normalize_input(text: Column, most: int = 12000) -> Column:
     return F.substring(strip(F.regexp_replace(text, r"\r\n?", "\n")), 1, most)
 
 
-def versioned_subject(subject: Column, version: Column) -> Column:
+def versioned_subject(subject: Column, version: Column, mark: str) -> Column:
     """The subject without earlier markers and ``re:`` at its head, with the marker of this version behind it."""
-    bare = F.regexp_replace(F.coalesce(subject, F.lit("")), r"(?i)\[ALI:v\d+\]", "")
+    bare = F.regexp_replace(F.coalesce(subject, F.lit("")), rf"(?i)\[{mark}:v\d+\]", "")
     bare = squeeze(F.regexp_replace(bare, r"(?iU)^(?:\s*re:\s*)+", ""))
-    return F.concat_ws(" ", F.when(bare != "", bare), F.concat(F.lit("[ALI:v"), version.cast("string"), F.lit("]")))
+    return F.concat_ws(" ", F.when(bare != "", bare), F.concat(F.lit(f"[{mark}:v"), version.cast("string"), F.lit("]")))
 
 
-def route(subject: Column, body: Column) -> Column:
-    """Which desk a mail belongs to: safety before rita before unknown."""
+def route(subject: Column, body: Column, person: str) -> Column:
+    """Which desk a mail belongs to: safety before that of a person whom it names before unknown."""
     text = F.lower(F.concat(F.coalesce(subject, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit(""))))
     safety = r"(?U)\b(iec|ul|nec|csa|tests?|testing|certif\w*|compl(?:y|i\w*)|standard\w*|lumin\w*?)\b"
-    return F.when(text.rlike(safety), "safety").when(text.rlike(r"(?U)\brita\w*\b"), "rita").otherwise("unknown")
+    return F.when(text.rlike(safety), "safety").when(text.rlike(rf"(?U)\b{person}\w*\b"), person).otherwise("unknown")
 
 
 def match_key(text: Column) -> Column:
@@ -220,13 +221,24 @@ def is_low_information(text: Column) -> Column:
     return (flat == "") | formula | idle | lower.rlike(r"(?U)\A[\d\W_ ]+\z")
 
 
+def too_small(text: Column, words: int = 9) -> Column:
+    """Whether a text has so few words that it is dropped, or one more and says nothing."""
+    n = word_count(F.coalesce(text, F.lit("")))
+    return (n <= words) | ((n <= words + 1) & is_low_information(text))
+
+
+def json_list(value: Column) -> Column:
+    """The texts of a JSON list; a null, blank or broken one, or one that is no list, is empty."""
+    return F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))
+
+
 def passes_chunk_quality(text: Column, least_chars: int = 100, least_words: int = 5) -> Column:
     """Long enough, with enough words of two Latin letters or more."""
     return (F.char_length(text) >= least_chars) & (F.regexp_count(text, F.lit(r"(?U)\b[a-zA-Z]{2,}\b")) >= least_words)
 
 
-def query_variants(question: Column, most: int = 3, brand: str = "") -> Column:
-    """The question, with positive terms behind and before it and with negative ones, distinct, at most ``most``.
+def query_variants(question: Column, unwanted: Sequence[str], most: int = 3, brand: str = "") -> Column:
+    """The question, with positive terms behind and before it and with the unwanted ones negated, distinct, at most ``most``.
 
     The positive terms begin with the brand if the question names it (in any case), else with ``vendor``.
     """
@@ -234,7 +246,7 @@ def query_variants(question: Column, most: int = 3, brand: str = "") -> Column:
     named = F.contains(F.upper(base), F.lit(brand.upper())) if brand else F.lit(False)
     anchor = F.when(named, brand).otherwise("vendor")
     positive = F.concat(anchor, F.lit(" catalog product series"))
-    negative = "-(PFAS OR SVHC OR quotation OR RFQ OR UVA OR UVB OR 365nm OR Bridgelux OR Seoul)"
+    negative = f"-({' OR '.join(unwanted)})"
     made = F.array(base, F.concat_ws(" ", base, positive), F.concat_ws(" ", positive, base), F.concat_ws(" ", base, F.lit(negative)))
     return F.when(base == "", F.array(F.lit(""))).otherwise(F.slice(F.array_distinct(made), 1, most))
 
@@ -254,12 +266,12 @@ def reply_text(body: Column) -> Column:
     return F.when(cut, F.regexp_replace(head, r"\n\z", "")).otherwise(F.coalesce(body, F.lit("")))
 
 
-def strip_frame(text: Column) -> Column:
-    """A generated mail without its greeting line and its closing lines."""
+def strip_frame(text: Column, signature: str) -> Column:
+    """A generated mail without its greeting line and its closing lines, of which the last may be the signature."""
     body = strip(F.coalesce(text, F.lit("")))
     body = F.regexp_replace(body, r"(?iU)\A(?:(?:hi|hello|dear)\b[^\n]*[,，]?|(?:您好|你好)[,，]?)[ \t]*(?:\n\s*|\z)", "")
     closing = r"(?:regards|best regards|best|thanks|thank you|sincerely)[,，]?[ \t]*"
-    return strip(F.regexp_replace(body, rf"(?iU)(?:\A|\n)[ \t]*{closing}(?:\n[ \t]*ali[ \t]*)?\z", ""))
+    return strip(F.regexp_replace(body, rf"(?iU)(?:\A|\n)[ \t]*{closing}(?:\n[ \t]*{signature}[ \t]*)?\z", ""))
 
 
 def seconds_text(seconds: Column) -> Column:

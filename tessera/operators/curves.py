@@ -15,7 +15,7 @@ from tessera.session import checkpointed
 _RESULT = "degree int, coefficients array<double>, rmse double, r2 double, endpoint_error double, status string"
 #: Gates of the stricter selection and of the robust one (fixed values).
 PASS_R2, PASS_RELATIVE, PASS_END, FAIL_R2 = 0.995, 0.03, 0.08, 0.97
-#: Points of one curve that a robust fit uses.
+#: Points of one curve that a robust fit uses (a fixed value): an even pick of more.
 MOST_POINTS = 600
 
 
@@ -129,12 +129,12 @@ def fit(points: DataFrame, key: str, x: str = "x", y: str = "y", least: int = 1,
     return out.withColumn("status", F.coalesce("status", F.lit("fail")))
 
 
-def robust(px: np.ndarray, py: np.ndarray, degree: int, rounds: int = 10) -> np.ndarray | None:
-    """Ascending coefficients by iterated Huber weights; null for fewer points than 30 or ten a degree."""
+def robust(px: np.ndarray, py: np.ndarray, degree: int, rounds: int = 10, most: int = MOST_POINTS) -> np.ndarray | None:
+    """Ascending coefficients by iterated Huber weights of ``most`` evenly picked points; null for fewer points than 30 or ten a degree."""
     if len(px) < max(30, 10 * degree):
         return None
-    if len(px) > MOST_POINTS:
-        some = np.linspace(0, len(px) - 1, MOST_POINTS).round().astype(int)
+    if len(px) > most:
+        some = np.linspace(0, len(px) - 1, most).round().astype(int)
         px, py = px[some], py[some]
     weight = np.ones(len(px))
     for _ in range(rounds):

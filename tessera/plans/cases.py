@@ -22,6 +22,7 @@ from tessera.plans.registry import Registry
 from tessera.session import table
 from tessera.sources import files as S
 from tessera.streaming import grid as G
+from tessera.streaming import review as V
 
 query = Registry()
 
@@ -52,6 +53,14 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT p_partkey AS id, p_partkey % 13 < 9 AS dropped, CASE p_partkey % 4 WHEN 0 THEN p_name || '|' || p_size WHEN 1 THEN '' WHEN 2 THEN '' ELSE '1|2.5|true' END AS listed FROM part""")
+def small_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of one to thirteen words, and lists that came as JSON text."""
+    words = F.array_join(F.array_repeat(F.lit("lamp"), (_n() % 13 + 1).cast("int")), " ")
+    coded = F.when(_n() % 4 == 0, F.to_json(F.array("p_name", F.col("p_size").cast("string")))).when(_n() % 4 == 1, '{"a":').when(_n() % 4 == 2, "").otherwise("[1, 2.5, true]")
+    return table(spark, sf_dir, "part").select(_n().alias("id"), T.too_small(words).alias("dropped"), F.array_join(T.json_list(coded), "|").alias("listed"))
+
+
 _ITEM = StructType([StructField("doc_id", StringType()), StructField("word", IntegerType()), StructField("text", StringType())])
 
 
@@ -104,7 +113,7 @@ def reply_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = _pick(_n(), "> old\n> more", "On Monday X wrote:\nold", "-----Original Message-----\nold", "From: a\nTo: b\nold", "Sent: alone\nkept")
     return table(spark, sf_dir, "part").select(
         _n().alias("id"), T.reply_text(F.concat("p_name", F.lit("\n"), rest)).alias("reply"), T.unquote_all(F.concat(F.lit("> > a\r\n>b "), "p_name")).alias("bare"),
-        T.strip_frame(F.concat(F.lit("Dear Bob,\n\nBody "), "p_name", F.lit("\n\nBest regards,\nAli"))).alias("unframed"),
+        T.strip_frame(F.concat(F.lit("Dear Bob,\n\nBody "), "p_name", F.lit("\n\nBest regards,\nAli")), "ali").alias("unframed"),
         T.normalize_input(F.concat(F.lit("\r\n  x "), "p_name", F.lit("\r\ny\rz \n")), 12).alias("input"),
     )
 
@@ -283,6 +292,15 @@ def axis_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(_n().alias("id"), pick(x, u).alias("x"), pick(y, v).alias("y"))
 
 
+@query("""SELECT conv_id::VARCHAR AS thread_id, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS version, md5(text) AS draft_md5 FROM conversations WHERE conv_id IS NOT NULL""")
+def review_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as review threads through the stateful reviewer: each turn is the next version's draft."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _ = spark.streams.active  # a batch finds its state's coordinator only once the session's streams have been asked for
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").select(F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").alias("seq"), "text")
+    return V.reviews(turns).select("thread_id", "seq", "version", F.md5("draft").alias("draft_md5"))
+
+
 #: The objective of the invented catalogue is quadratic in the current, so SQL has its root by formula.
 _ROOTS = """WITH c AS (SELECT p_partkey AS id, p_retailprice / 1000 AS rmb, 330.0::DOUBLE * (1.01 - 0.0004 * 65) AS e, (100 + p_size)::DOUBLE * (1 - 0.001 * 65) AS p FROM part),
 q AS (SELECT *, e * 0.0000012 + p * 0.000004 AS qa, e * 0.0026 - p * 0.0098 AS qb, -p * 0.02 AS qc FROM c), r AS (SELECT *, (-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS x FROM q),

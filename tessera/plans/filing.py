@@ -102,7 +102,7 @@ def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subject_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     said = F.concat(F.lit("Re: RE:  offer  "), "role", F.lit(" [ALI:v"), F.col("turn").cast("string"), F.lit("]"))
-    return c.select("conv_id", "turn", T.versioned_subject(said, F.col("turn") + 1).alias("subject"))
+    return c.select("conv_id", "turn", T.versioned_subject(said, F.col("turn") + 1, "ALI").alias("subject"))
 
 
 @query("""SELECT c_custkey, c_name, c_mktsegment = 'BUILDING' AND c_custkey % 3 <> 0 AS allowed FROM customer""")

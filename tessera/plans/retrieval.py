@@ -134,7 +134,7 @@ def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS base FROM benchmark)
 SELECT item_id, unnest([base, base || ' vendor catalog product series', 'vendor catalog product series ' || base]) AS variant FROM b""")
 def query_rewriting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.query_variants(F.col("text"))).alias("variant"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.query_variants(F.col("text"), ["used", "broken"])).alias("variant"))
 
 
 @query("""WITH b AS (SELECT max(vec_id) AS base FROM embeddings)

@@ -230,7 +230,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def route_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in any script; SQL has no word borders for them, so a test compares with plain Python."""
-    return _docs(spark, sf_dir).select("doc_id", T.route(F.col("source"), F.col("text")).alias("route"))
+    return _docs(spark, sf_dir).select("doc_id", T.route(F.col("source"), F.col("text"), "rita").alias("route"))
 
 
 @query(r"""SELECT conv_id, row_number() OVER w AS page, CASE WHEN sum((turn > 0)::INT) OVER w = 0 THEN 'body' ELSE 'quote' END AS part, (sum((turn > 0)::INT) OVER w)::INTEGER AS depth,

@@ -106,9 +106,9 @@ def test_html_and_xml(spark):
 
 def test_routes_and_subjects(spark):
     df = spark.createDataFrame([("IEC certificate needed", ""), ("Rita request", ""), ("pricing follow-up", "")], "s string, b string")
-    assert [r[0] for r in df.select(T.route(F.col("s"), F.col("b"))).collect()] == ["safety", "rita", "unknown"]
+    assert [r[0] for r in df.select(T.route(F.col("s"), F.col("b"), "rita")).collect()] == ["safety", "rita", "unknown"]
     df = spark.createDataFrame([("Re: re: offer [ALI:v2]", 3), ("", 1)], "s string, v int")
-    assert [r[0] for r in df.select(T.versioned_subject(F.col("s"), F.col("v"))).collect()] == ["offer [ALI:v3]", "[ALI:v1]"]
+    assert [r[0] for r in df.select(T.versioned_subject(F.col("s"), F.col("v"), "ALI")).collect()] == ["offer [ALI:v3]", "[ALI:v1]"]
 
 
 def test_reply_text(spark):
@@ -117,7 +117,7 @@ def test_reply_text(spark):
 
 
 def test_strip_frame(spark):
-    assert apply(spark, T.strip_frame, ["Dear Bob,\n\nBody here.\n\nBest regards,\nAli", "Body\nThanks", "Body"]) == ["Body here.", "Body", "Body"]
+    assert apply(spark, lambda t: T.strip_frame(t, "ali"), ["Dear Bob,\n\nBody here.\n\nBest regards,\nAli", "Body\nThanks", "Body"]) == ["Body here.", "Body", "Body"]
 
 
 def test_quantities(spark):
@@ -131,7 +131,7 @@ def test_links(spark):
 
 
 def test_query_variants(spark):
-    found = apply(spark, lambda q: T.query_variants(q, brand="ACME"), ["Acme  lamp", "", "x"])
+    found = apply(spark, lambda q: T.query_variants(q, ["PFAS"], brand="ACME"), ["Acme  lamp", "", "x"])
     assert found[0][:2] == ["Acme lamp", "Acme lamp ACME catalog product series"]
     assert found[1] == [""]
     assert len(found[2]) == 3

@@ -26,7 +26,7 @@ def test_route_all(spark):
     assert any(not d["text"].isascii() for d in docs)
     said = ["été test", "ététest", "testé", "中文 UL 中文", "ritaé", "é rita", "complié"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i long, x string")
-    assert [r[1] for r in rows(df.select("i", T.route(F.lit("s"), F.col("x"))), "i")] == [route("s", x) for x in said]
+    assert [r[1] for r in rows(df.select("i", T.route(F.lit("s"), F.col("x"), "rita")), "i")] == [route("s", x) for x in said]
 
 
 def test_every_query_is_asked(spark):
