@@ -77,6 +77,26 @@ def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(bad.select(none.alias("doc_id"), F.lit(None).cast("int").alias("word"), none.alias("text_md5"), "line", "reason"))
 
 
+@query("""SELECT 'm' || doc_id || '@x' AS message_id, 'Re: ' || coalesce(source, '') AS subject, 'é@' || coalesce(lang, '') AS sender, md5(replace(text, chr(13), chr(10)) || chr(10)) AS body_md5, CASE WHEN doc_id % 2 = 0 THEN 'n' || doc_id || '.txt' END AS name,
+  CASE WHEN doc_id % 2 = 0 THEN md5('note ' || doc_id) END AS note_md5 FROM documents WHERE doc_id % 7 > 0 AND text IS NOT NULL AND text <> ''""")
+def raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as mails in bytes, every second with an attachment and every seventh without an id, parsed, with the text of the attachments."""
+    n = F.col("doc_id").cast("string")
+    has = F.col("doc_id") % 2 == 0
+    plain = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text", F.lit("\n"))
+    note = F.concat(F.lit('\n--=q\nContent-Type: text/plain\nContent-Disposition: attachment; filename="n'), n, F.lit('.txt"\n\nnote '), n, F.lit("\n--=q--\n"))
+    head = F.concat(
+        F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("Message-ID: <m"), n, F.lit("@x>\n"))).otherwise(""), F.lit("Subject: Re: "), F.coalesce("source", F.lit("")),
+        F.lit("\nFrom: =?utf-8?q?=C3=A9=40?="), F.coalesce("lang", F.lit("")), F.lit("\nMIME-Version: 1.0\n"),
+    )
+    whole = F.concat(head, F.when(has, F.concat(F.lit('Content-Type: multipart/mixed; boundary="=q"\n\n--=q\n'), plain, note)).otherwise(plain))
+    d = table(spark, sf_dir, "documents").where("text is not null and text != ''")
+    mails = S.parse_mails(d.select(whole.cast("binary").alias("raw")))
+    notes = S.parse_attachments(mails, {".txt": lambda b: [b.decode()]}).select("message_id", "name", F.md5("text").alias("note_md5"))
+    told = mails.select("message_id", "subject", "sender", F.md5("body").alias("body_md5"))
+    return told.join(notes, "message_id", "left")
+
+
 @query("""SELECT p_partkey AS uid, '\\Seen,$label' || p_size AS flags, '0' || p_partkey % 9 + 1 || '-Jan-2024' AS internaldate, 'Entwürfe & ' || p_name AS folder, '{"a":"new ' || p_partkey || '","b":"old","c":"more"}' AS settings FROM part""")
 def imap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads of fetched mails, folder names in modified UTF-7, and settings laid over others."""

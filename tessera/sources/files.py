@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import email
 import email.policy
-import mailbox
 import os
 import re
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -86,36 +84,46 @@ def body_of(message: email.message.EmailMessage) -> str:
 MAIL = "message_id string, subject string, date string, sender string, recipients string, body string, attachments array<struct<name:string,content:binary>>"
 
 
-def messages(data: bytes) -> Iterator[dict]:
-    """The mails of one mailbox file; those without a Message-ID are left out."""
-    with tempfile.NamedTemporaryFile(suffix=".mbox", delete=False) as f:  # the library reads files only; it is gone below
-        f.write(data)
-    try:
-        for raw in mailbox.mbox(f.name, create=False):
-            m = email.message_from_bytes(raw.as_bytes(), policy=email.policy.default)
-            if not m["Message-ID"]:
-                continue
-            files = [{"name": a.get_filename() or "", "content": a.get_payload(decode=True) or b""} for a in m.iter_attachments()]
-            head = lambda k: str(m[k]) if m[k] else ""
-            yield {
-                "message_id": head("Message-ID").strip().strip("<>"), "subject": head("Subject"), "date": head("Date"),
-                "sender": head("From"), "recipients": head("To"), "body": body_of(m), "attachments": files,
-            }
-    finally:
-        os.unlink(f.name)
+def parsed_mail(raw: bytes) -> dict | None:
+    """The fields of one mail; null without a Message-ID."""
+    m = email.message_from_bytes(raw, policy=email.policy.default)
+    if not m["Message-ID"]:
+        return None
+    files = [{"name": a.get_filename() or "", "content": a.get_payload(decode=True) or b""} for a in m.iter_attachments()]
+    head = lambda k: str(m[k]) if m[k] else ""
+    return {
+        "message_id": head("Message-ID").strip().strip("<>"), "subject": head("Subject"), "date": head("Date"),
+        "sender": head("From"), "recipients": head("To"), "body": body_of(m), "attachments": files,
+    }
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """The mails of all mailbox files under a path, a file a task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def parse_mails(raws: DataFrame, *keep: str, raw: str = "raw", envelope: bool = False) -> DataFrame:
+    """Mails as bytes, a row each, as the columns of ``MAIL`` beside those to keep; null ones and those without a Message-ID are left out.
+
+    With ``envelope`` the first line is not the mail's and is skipped.
+    """
+    names = [c.split()[0] for c in MAIL.split(", ")]
+    mail = (lambda data: data.partition(b"\n")[2]) if envelope else bytes
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "message_id", "subject", "date", "sender", "recipients", "body", "attachments"]
         for batch in batches:
-            for path_, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([{"path": path_} | m for m in messages(bytes(content))], columns=names)
+            made = [parsed_mail(mail(bytes(r))) for r in batch[raw]]
+            some = [m is not None for m in made]
+            yield pd.concat([batch.loc[some, list(keep)].reset_index(drop=True), pd.DataFrame([m for m in made if m], columns=names)], axis=1)
+
+    kinds = dict(raws.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), MAIL])
+    return raws.where(F.col(raw).isNotNull()).select(*keep, raw).mapInPandas(run, schema)
 
-    return files.mapInPandas(run, f"path string, {MAIL}")
+
+def read_mbox(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` and ``MAIL`` of the mails of all mailbox files under a path; those without a Message-ID are left out.
+
+    A line that begins with ``From `` begins a mail, the first line of a file among them. Files are cut there by the reader of text
+    files, so a large mailbox is read by many tasks.
+    """
+    cut = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("raw"))
+    return parse_mails(cut, "path", envelope=True)
 
 
 def parse_attachments(mails: DataFrame, parsers: dict[str, Callable[[bytes], list[str]]]) -> DataFrame:

@@ -50,6 +50,22 @@ def test_mbox_and_attachments(spark, tmp_path):
     assert rows(S.parse_attachments(mails, {".txt": broken}).select("error")) == [("ValueError: bad",)]
 
 
+def test_mailboxes_are_read_in_parts(spark, tmp_path):
+    """A mailbox of many mails, with splits that fall anywhere; lines of a body that begin otherwise stay."""
+    mail = "From a@b Thu Jan  1 00:00:00 2024\nMessage-ID: <{0}@x>\nSubject: s {0}\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\nhello é {0}\n>From here\n From there\n\n"
+    (tmp_path / "big.mbox").write_text("".join(mail.format(i) for i in range(3000)), encoding="utf-8")
+    (tmp_path / "small.mbox").write_text("From a@b\nSubject: no id\n\nx\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        mails = S.read_mbox(spark, str(tmp_path))
+        assert mails.rdd.getNumPartitions() > 4
+        found = mails.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(int(r["message_id"].split("@")[0]) for r in found) == list(range(3000))
+    assert all(r["body"].strip() == f"hello é {r['subject'][2:]}\n>From here\n From there" and r["path"].endswith("big.mbox") for r in found)
+
+
 def test_small_helpers(spark):
     df = spark.createDataFrame([('* 7 FETCH (UID 42 FLAGS (\\Seen \\Flagged) INTERNALDATE "01-Jan-2024")',)], "l string")
     got = df.select(S.imap_header(F.col("l")).alias("h")).select("h.*").first()
