@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -10,6 +12,7 @@ from tessera.functions import dates as D
 from tessera.functions import fidelity as P
 from tessera.functions import numbers as N
 from tessera.functions import text as T
+from tessera.operators import chunking as K
 from tessera.operators import curves as C
 from tessera.operators import mail as M
 from tessera.operators import notes as O
@@ -97,6 +100,42 @@ def raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(notes, "message_id", "left")
 
 
+@query("""WITH p AS (SELECT p_partkey AS n, 'a' || md5(p_partkey::VARCHAR) AS a, 'b' || md5(p_name) AS b FROM part)
+SELECT n AS id, 1 AS page, 'body' AS part, 0 AS depth, a AS text FROM p UNION ALL SELECT n, 2, 'quote', 1, CASE WHEN n % 2 = 0 THEN 'On a day someone wrote: ' || b ELSE b || ' ends. Here' END FROM p
+UNION ALL SELECT n, 3, 'quote', 3, 'deep' FROM p WHERE n % 2 = 1""")
+def mail_raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails that quote by block elements or by marks, the whole way to cleaned blocks."""
+    n = _n().cast("string")
+    a, b = F.concat(F.lit("a"), F.md5(n)), F.concat(F.lit("b"), F.md5("p_name"))
+    marked = F.concat(F.lit("  "), a, F.lit("\n\n> "), b, F.lit("  x@y.com\n> ends.Here **\n>>> deep\n"))
+    built = F.concat(F.lit("<div><p>"), a, F.lit("</p></div><br><br><br><br>"), F.lit("<blockquote>On a day someone wrote:<br>"), b, F.lit("</blockquote><div></div><p></p>"))
+    mails = table(spark, sf_dir, "part").select(_n().alias("id"), F.when(_n() % 2 == 0, built).otherwise(marked).alias("body"))
+    return M.raw_blocks(mails, "id")
+
+
+@query("""SELECT p_partkey AS id, 'pre ' || p_name || '|<<<PAGE_BREAK_' || p_partkey || '>>>|body|<<<PAGE_BREAK_T2>>>|x' AS pages, p_name || '|' || p_partkey AS fields, 'one ' || p_name || ' two.|Three:|' || p_partkey || '|Four' AS joined,
+  'a|b ' || p_name || '#On Monday X wrote:||old' AS wrote, 'l|l|l|l|l|l#' || p_name || '|From: a|To: b|Subject: c|x|y|z|z|z' AS heads, '{"a": {"b": ' || p_partkey || ', "c": 2}, "d": [2]}' AS merged, 'New ' || p_name || '||old' AS noted,
+  CASE WHEN p_partkey % 2 = 0 THEN 'a|---|[[' || p_name || ']]|b' ELSE '[[' || p_name || ']]|b' END AS linked FROM part""")
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page marks, assignments, joined fragments, mails cut at who wrote and at headers, nested settings, and notes with new sections and links."""
+    n, name = _n().cast("string"), F.col("p_name")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    told = lambda f: (lambda c: F.replace(P.udf(f)(c), F.lit("\n"), F.lit("|")))
+    pages = text("pre ", name, "\n", n, "\nUL 1598\nbody\nUL 1598\nT2\nx")
+    code = text("self.salesperson='", name, "'\nself.company='b'\nself.customer='c'\nself.x_studio_customer_po_number='d'\nself.order_lines=[{'q': ", n, "}]\nother = 1")
+    shown = lambda t: f"{P.assignments(t)['salesperson']}|{P.assignments(t)['order_lines'][0]['q']}"
+    heads = text("l\n" * 6, name, "\nFrom: a\nTo: b\nSubject: c\nx\ny\nz\nz\nz")
+    nested = text('{"a": {"b": ', n, '}, "d": [2]}')
+    return table(spark, sf_dir, "part").select(
+        _n().alias("id"), told(P.page_marks)(pages).alias("pages"), P.udf(shown)(code).alias("fields"),
+        told(lambda t: "|".join(K.rejoin(t.split("|"))))(text("one ", name, "| two.|Three:| ", n, "|Four")).alias("joined"),
+        told(lambda t: "#".join(O.split_on_wrote(t)))(text("a\nb ", name, "\nOn Monday X wrote:\n\nold")).alias("wrote"), told(lambda t: "#".join(O.split_on_headers(t)))(heads).alias("heads"),
+        P.udf(lambda t: json.dumps(S.merged({"a": {"b": 1, "c": 2}, "d": [1]}, json.loads(t))))(nested).alias("merged"),
+        told(lambda t: S.prepend_section("\nold", t))(text("New ", name)).alias("noted"),
+        told(lambda t: S.insert_link(*t.split("#")))(text(F.when(_n() % 2 == 0, "a\n---\nb").otherwise("b"), "#", name)).alias("linked"),
+    )
+
+
 @query("""SELECT p_partkey AS uid, '\\Seen,$label' || p_size AS flags, '0' || p_partkey % 9 + 1 || '-Jan-2024' AS internaldate, 'Entwürfe & ' || p_name AS folder, '{"a":"new ' || p_partkey || '","b":"old","c":"more"}' AS settings FROM part""")
 def imap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads of fetched mails, folder names in modified UTF-7, and settings laid over others."""
