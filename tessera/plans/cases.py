@@ -20,7 +20,7 @@ from tessera.operators import parts as L
 from tessera.operators import pixels as X
 from tessera.operators import quote as Q
 from tessera.operators import tables as B
-from tessera.plans.numeric import catalogue
+from tessera.plans.numeric import catalogue, snapshots
 from tessera.plans.registry import Registry
 from tessera.session import table
 from tessera.sources import files as S
@@ -33,6 +33,13 @@ def _n() -> Column:
     return F.col("p_partkey")
 
 
+def _stateful(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows, in a session that can keep state: a batch finds its state's coordinator only once the streams have been asked for."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _ = spark.streams.active
+    return rows
+
+
 def _pick(n: Column, *values: str) -> Column:
     """One of the values by a number, as ``[...][n % k + 1]`` in SQL."""
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
@@ -351,13 +358,28 @@ def axis_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(_n().alias("id"), pick(x, u).alias("x"), pick(y, v).alias("y"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS account, event_id AS seq, event_id % 4 AS kind, 60000.0::DOUBLE + 500 * (user_id % 5) AS mid, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r(account, i, seq, kind, buy, sell, action, price) AS (
+  SELECT DISTINCT account, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, '', NULL::DOUBLE FROM o
+  UNION ALL
+  SELECT account, i, seq, CASE action WHEN 'rebuild' THEN 3 WHEN 'abnormal' THEN NULL WHEN 'start' THEN nullif(live, 0) ELSE kind END,
+    CASE action WHEN 'rebuild' THEN price - 500 WHEN 'start' THEN live_buy WHEN 'keep' THEN buy END, CASE action WHEN 'rebuild' THEN price + 500 WHEN 'start' THEN live_sell WHEN 'keep' THEN sell END, action, price
+  FROM (SELECT *, CASE WHEN kind IS NULL THEN 'start' WHEN price IS NOT NULL THEN 'rebuild' WHEN kind = live AND (kind < 3 OR (buy = live_buy AND sell = live_sell)) THEN 'keep' ELSE 'abnormal' END AS action
+    FROM (SELECT o.account, o.i, o.seq, o.kind AS live, r.kind, r.buy, r.sell, CASE WHEN o.kind IN (1, 3) THEN mid - 500 END AS live_buy, CASE WHEN o.kind IN (2, 3) THEN mid + 500 END AS live_sell,
+      CASE WHEN r.kind = 3 AND o.kind = 2 THEN r.buy WHEN r.kind = 3 AND o.kind = 1 THEN r.sell WHEN r.kind = 1 AND o.kind = 0 THEN r.buy WHEN r.kind = 2 AND o.kind = 0 THEN r.sell END AS price
+      FROM r JOIN o ON o.account = r.account AND o.i = r.i + 1))
+)
+SELECT account, seq, action, price AS rebuild_price FROM r WHERE i > 0""")
+def grid_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every account's snapshots in order through the state machine of the grid."""
+    return G.decisions(_stateful(spark, snapshots(spark, sf_dir)))
+
+
 @query("""SELECT conv_id::VARCHAR AS thread_id, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS version, md5(text) AS draft_md5 FROM conversations WHERE conv_id IS NOT NULL""")
 def review_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as review threads through the stateful reviewer: each turn is the next version's draft."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    _ = spark.streams.active  # a batch finds its state's coordinator only once the session's streams have been asked for
     turns = table(spark, sf_dir, "conversations").where("conv_id is not null").select(F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").alias("seq"), "text")
-    return V.reviews(turns).select("thread_id", "seq", "version", F.md5("draft").alias("draft_md5"))
+    return V.reviews(_stateful(spark, turns)).select("thread_id", "seq", "version", F.md5("draft").alias("draft_md5"))
 
 
 #: The objective of the invented catalogue is quadratic in the current, so SQL has its root by formula.

@@ -58,12 +58,12 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_pages(lines.unionByName(marks)).select("doc_id", "page_label", "page_num", F.md5("text").alias("text_md5"))
 
 
-@query("""WITH c AS (SELECT p_brand AS sheet, p_size AS row, string_agg(p_name, chr(9) ORDER BY p_partkey) AS line FROM part GROUP BY 1, 2),
-s AS (SELECT sheet, '=== Sheet: ' || sheet || ' ===' || chr(10) || string_agg(line, chr(10) ORDER BY row) AS part FROM c GROUP BY 1)
-SELECT md5(string_agg(part, chr(10) ORDER BY sheet)) AS text_md5 FROM s""")
+@query("""WITH c AS (SELECT p_type || p_size % 7 AS file, p_brand AS sheet, p_size AS row, string_agg(p_name, chr(9) ORDER BY p_partkey) AS line FROM part GROUP BY 1, 2, 3),
+s AS (SELECT file, sheet, '=== Sheet: ' || sheet || ' ===' || chr(10) || string_agg(line, chr(10) ORDER BY row) AS part FROM c GROUP BY 1, 2)
+SELECT file, md5(string_agg(part, chr(10) ORDER BY sheet)) AS text_md5 FROM s GROUP BY file""")
 def sheet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "part").select(F.lit("book").alias("file"), F.col("p_brand").alias("sheet"), F.col("p_size").alias("row"), F.col("p_partkey").alias("col"), F.col("p_name").alias("value"))
-    return S.sheet_text(cells).select(F.md5("text").alias("text_md5"))
+    cells = table(spark, sf_dir, "part").select(F.concat("p_type", (F.col("p_size") % 7).cast("string")).alias("file"), F.col("p_brand").alias("sheet"), F.col("p_size").alias("row"), F.col("p_partkey").alias("col"), F.col("p_name").alias("value"))
+    return S.sheet_text(cells).select("file", F.md5("text").alias("text_md5"))
 
 
 @query("""SELECT user_id AS page, md5(string_agg(event_type, chr(10) ORDER BY round(value, 1), event_id)) AS text_md5 FROM events GROUP BY user_id""")
