@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +25,21 @@ _TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, count, docs``: occurrences of each term and the documents that hold it, added up once a task or so."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[tuple[str, str], Counter] = defaultdict(Counter)
         held: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
-        def told() -> Iterator[pd.DataFrame]:
+        def told() -> Iterator[pa.RecordBatch]:
             for (lang, source), n in count.items():
-                docs = held[lang, source]
-                yield pd.DataFrame({"lang": lang, "source": source, "term": list(n), "count": list(n.values()), "docs": [docs[t] for t in n]})
+                docs, names = held[lang, source], ["lang", "source", "term", "count", "docs"]
+                columns = [[lang] * len(n), [source] * len(n), list(n), list(n.values()), [docs[t] for t in n]]
+                kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
             count.clear()
             held.clear()
 
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+            for lang, source, text in zip(*(batch[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
                 own: set[bytes] = set()
                 for terms in split_words(text, _TERMS):
                     count[lang, source].update(terms)
@@ -48,7 +50,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from told()
 
     texts = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    parts = texts.mapInPandas(run, "lang string, source string, term binary, count long, docs long")
+    parts = texts.mapInArrow(run, "lang string, source string, term binary, count long, docs long")
     whole = parts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     return whole.withColumn("term", F.col("term").cast("string"))
 
