@@ -404,3 +404,12 @@ def wired_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The costs of the first way to wire each operating point, ranked."""
     ranked = L.rank(_solved(spark, sf_dir), 50.0, 0.05, 7.2)
     return ranked.select("id", "led_count", F.col("solutions")[0]["total_leds"].alias("total_leds"), F.round("cost.total_cost_rmb", 4).alias("cost_rmb"), F.round("cost.total_cost_usd", 6).alias("cost_usd"))
+
+
+@query(_ROOTS + """, w AS (SELECT *, ceil(n / floor(50 / vf))::INTEGER AS p_min FROM s WHERE n > 0), y AS (SELECT *, unnest(range(p_min, greatest(p_min, least(n, p_min + 4)) + 1))::INTEGER AS ways FROM w)
+SELECT id, (ways - p_min + 1)::INTEGER AS way, ways AS "P", ceil(n / ways)::INTEGER AS "S", (ways * ceil(n / ways))::INTEGER AS total_leds, round(ceil(n / ways) * vf * x * ways / 1000) AS power_watts,
+  round((ways * ceil(n / ways) * rmb + ways * ceil(n / ways) * 0.05::DOUBLE) / 7.2::DOUBLE, 6) AS total_cost_usd FROM y""")
+def presented_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way to wire each operating point, as it is shown."""
+    shown = L.presented(L.rank(_solved(spark, sf_dir), 50.0, 0.05, 7.2), 0.85, 120.0, 0.05, 7.2)
+    return shown.select("id", "way", "P", "S", "total_leds", F.round("power_watts").alias("power_watts"), F.round("total_cost_usd", 6).alias("total_cost_usd"))
