@@ -9,6 +9,8 @@ from tessera.functions.text import match_key
 from tessera.session import checkpointed
 
 
+#: Once sizes are halved down to so many characters, all that are left are asked at once, which saves rounds.
+AT_ONCE = 8
 #: Characters that stand for any run of characters and for any one, as in a pattern of SQL.
 _WILD = "[%_]"
 
@@ -25,21 +27,22 @@ def _hashed(piece: str) -> list[Column]:
     return [F.xxhash64(piece).alias("_h"), F.xxhash64(piece, F.lit(1)).alias("_g")]
 
 
-def _matched(asked: DataFrame, names: DataFrame, longest: int) -> DataFrame:
-    """``piece, name``: of the pieces of ``asked`` each with the names that hold it; ``%`` and ``_`` are wildcards.
+def _matched(asked: DataFrame, names: DataFrame, longest: int, sizes: list[int] | None = None) -> DataFrame:
+    """``piece, name``: of the pieces of ``asked`` each with the names that hold it; ``%`` and ``_`` are wildcards unless
+    ``sizes`` says that there are none, with the sizes of all pieces.
 
     A piece meets the substrings of its own length of all names in an equality join. One with wildcards meets them by its longest run of
     other characters and is then compared as a pattern; one of wildcards alone is held by every name that is long enough.
     """
-    pieces = asked.select("piece").distinct().withColumn("_wild", F.col("piece").rlike(_WILD))
+    pieces = asked.select("piece").distinct()
+    if sizes is not None:
+        return _holding(names, sizes).join(pieces.select("piece", *_hashed("piece")), ["_h", "_g"]).select("piece", "name")
+    pieces = pieces.withColumn("_wild", F.col("piece").rlike(_WILD))
     runs = F.split("piece", _WILD + "+")
     longest_run = F.aggregate(runs, F.lit(""), lambda best, r: F.when(F.char_length(r) > F.char_length(best), r).otherwise(best))
     pieces = pieces.withColumn("_anchor", F.when(F.col("_wild"), longest_run).otherwise(F.col("piece")))
     sizes = [r[0] for r in pieces.select(F.char_length("_anchor").alias("n")).where(f"n between 1 and {longest}").distinct().collect()]
-    if not sizes:
-        sizes = [0]
-    held = names.select("name", F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("_size"))
-    held = _pieces(held, "name", F.col("_size"), "name").select("name", *_hashed("piece"))
+    held = _holding(names, sizes)
     anchored = pieces.where("_anchor != ''").select("piece", "_wild", *_hashed("_anchor"))
     bare = pieces.where("_anchor = ''").select("piece", "_wild", F.regexp_count("piece", F.lit("_")).alias("_least"))
     met = held.join(anchored, ["_h", "_g"]).select("piece", "_wild", "name")
@@ -50,6 +53,12 @@ def _matched(asked: DataFrame, names: DataFrame, longest: int) -> DataFrame:
     return met.unionByName(free) if free is not None else met
 
 
+def _holding(names: DataFrame, sizes: list[int]) -> DataFrame:
+    """``name, _h, _g``: the substrings of the sizes of each name, by their hashes."""
+    sized = names.select("name", F.explode(F.array(*map(F.lit, sorted(sizes) or [0]))).alias("_size"))
+    return _pieces(sized, "name", F.col("_size"), "name").select("name", *_hashed("piece"))
+
+
 def longest_match(inputs: DataFrame, records: DataFrame, field: str) -> DataFrame:
     """``input_id, id, field_value, size``: the records that hold the first matching substring of each input.
 
@@ -65,17 +74,29 @@ def longest_match(inputs: DataFrame, records: DataFrame, field: str) -> DataFram
     stripped = inputs.select("input_id", F.lower(F.regexp_replace("value", r"(?U)^\s+|\s+$", "")).alias("text"))
     texts = checkpointed(stripped.where("text != ''").select("text").distinct().withColumn("size", F.lit(0)))
     longest = names.agg(F.max(F.char_length("name"))).first()[0] or 0
-    step = 1 << max((texts.agg(F.max(F.char_length("text"))).first()[0] or 0).bit_length() - 1, 0)
+    most, wild = texts.agg(F.max(F.char_length("text")), F.bool_or(F.col("text").rlike(_WILD))).first()
+    step = 1 << max((most or 0).bit_length() - 1, 0)
+
+    def sizes(more: list[int]) -> list[int] | None:
+        """The different sizes that are asked for; no more than the longest name has characters."""
+        known = [r[0] for r in texts.select("size").distinct().collect()]
+        return None if wild else sorted({size + m for size in known for m in more if 0 < size + m <= longest})
+
     while step:
-        asked = _pieces(texts, "text", F.col("size") + step, "text")
-        some = _matched(asked, names, longest).select("piece").distinct()
-        hit = asked.join(some, "piece").select("text").distinct().withColumn("_hit", F.lit(step))
-        texts = checkpointed(texts.join(hit, "text", "left").select("text", (F.col("size") + F.coalesce("_hit", F.lit(0))).alias("size")))
-        step //= 2
+        # the last halvings are asked at once
+        more = [step] if step > AT_ONCE else list(range(1, 2 * step))
+        asked, some = texts.withColumn("_more", F.explode(F.array(*map(F.lit, more)))), sizes(more)
+        asked = _pieces(asked, "text", F.col("size") + F.col("_more"), "text", "_more")
+        if some != []:  # else no name is so long
+            some = _matched(asked, names, longest, some).select("piece").distinct()
+            hit = asked.join(some, "piece").groupBy("text").agg(F.max("_more").alias("_hit"))
+            texts = checkpointed(texts.join(hit, "text", "left").select("text", (F.col("size") + F.coalesce("_hit", F.lit(0))).alias("size")))
+        step = step // 2 if step > AT_ONCE else 0
     asked = _pieces(texts, "text", F.col("size"), "text", "size")
-    held = _matched(asked, names, longest).select("piece").distinct()
+    last = sizes([0])
+    held = _matched(asked, names, longest, last).select("piece").distinct()
     first = checkpointed(asked.join(held, "piece").groupBy("text", "size").agg(F.min_by("piece", "at").alias("piece")))
-    best = first.join(_matched(first, names, longest), "piece").select("text", "size", "name").distinct()
+    best = first.join(_matched(first, names, longest, last), "piece").select("text", "size", "name").distinct()
     return stripped.join(best, "text").join(named, "name").select("input_id", "id", "field_value", "size")
 
 
