@@ -21,6 +21,7 @@ from tessera.llm import quality as Q
 from tessera.llm import token_counts as TC
 from tessera.llm import toxicity as T
 from tessera.llm import url_filters as U
+from tessera.llm.wordhash import hash_words
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -327,6 +328,42 @@ def test_toxicity_held_out(spark):
     assert not any(r["insult"] for r in T.score(docs.limit(20), nothing).collect())
 
 
+def test_three_categories_scored_in_plain_python(spark):
+    """A chain of three kinds of toxicity, the last of which follows from the two before; scores anew, word by word."""
+    rng = random.Random(11)
+    plain, kinds = [f"p{i}" for i in range(200)], {"insult": ["idiot", "scum"], "threat": ["hurt", "kill"]}
+    rows, labels = [], []
+    for i in range(1200):
+        w = [rng.choice(plain) for _ in range(40)]
+        held = {k: rng.random() < 0.3 for k in kinds}
+        for k, words in kinds.items():
+            if held[k]:
+                w[rng.randrange(40)] = rng.choice(words).upper() + rng.choice(["", "!", "é"][:2])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(held["insult"]), int(held["threat"]), int(held["insult"] and held["threat"])))
+    docs = spark.createDataFrame([*rows, (5000, None), (5001, "one-two IDIOT\nkill kill é")], "doc_id long, text string")
+    known = spark.createDataFrame(labels[:900], "doc_id long, insult int, threat int, severe int")
+    chain = T.train(docs, known, tuple(T.Category(c, c) for c in ("insult", "threat", "severe")))
+    assert [len(m.earlier) for m in chain.models] == [0, 1, 2] and all(chain.models[2].earlier > 0)
+
+    def plain_scores(text: str | None) -> list[float]:
+        words = {w for w in re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower())}
+        places = {int(hash_words([w], T._APART)[0][0] >> np.uint64(64 - T.BITS)) for w in words}
+        p: list[float] = []
+        for m in chain.models:
+            z = sum(m.words[b] for b in places) + sum(v * q for v, q in zip(m.earlier, p, strict=True)) + m.bias
+            p.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
+        return p
+
+    got = {r["doc_id"]: r for r in T.score(docs, chain).collect()}
+    for i, text in [*rows, (5000, None), (5001, "one-two IDIOT\nkill kill é")]:
+        wanted = plain_scores(text)
+        assert np.allclose([got[i][f"p_{c.name}"] for c in chain.categories], wanted, atol=1e-9)
+        assert [got[i][c.name] for c in chain.categories] == [p >= m.threshold for p, m in zip([got[i][f"p_{c.name}"] for c in chain.categories], chain.models, strict=True)]
+    held = labels[900:]
+    assert np.mean([got[i]["severe"] == bool(s) for i, _, _, s in held]) > 0.97 and got[5001]["severe"] and not got[5000]["severe"]
+
+
 def test_later_models_learn_from_out_of_fold():
     buckets, at = T.word_buckets([f"w{i % 7} v{i % 5}".encode() for i in range(200)])
     y = np.array([[i % 7 == 0, i % 7 == 0] for i in range(200)]).astype(int)
