@@ -112,11 +112,11 @@ def allowed_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", "c_name", M.allowed(sender, ("@building.com",)).alias("allowed"))
 
 
-@query("""SELECT a.l_orderkey AS k, count(*) AS pairs FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS i FROM lineitem) a
-JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS i FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.i < b.i
+@query("""WITH n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_quantity, l_extendedprice) AS i FROM lineitem)
+SELECT a.l_orderkey AS k, count(*) AS pairs FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND a.i < b.i
 AND a.l_quantity < b.l_quantity + 5 AND b.l_quantity < a.l_quantity + 5 AND a.l_linenumber < b.l_linenumber + 2 AND b.l_linenumber < a.l_linenumber + 2 GROUP BY 1""")
 def overlapping_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.numbered(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_partkey", "l_linenumber"], "i")
+    rows = B.numbered(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"], "i")
     x, y = F.col("l_quantity"), F.col("l_linenumber").cast("double")
     rects = rows.select(F.col("l_orderkey").alias("k"), "i", x.alias("x0"), (x + 5).alias("x1"), y.alias("y0"), (y + 2).alias("y1"))
     return L.overlapping(rects, "k").groupBy("k").agg(F.count("*").alias("pairs"))
