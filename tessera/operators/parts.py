@@ -20,6 +20,8 @@ from tessera.session import checkpointed
 TOLERANCE, STEPS, NUDGE = 1e-4, 100, 5.0
 #: Points and lowest current of a sweep (fixed values), and halvings after which a bracket of doubles is empty.
 SWEEP, LOWEST, HALVINGS = 600, 0.001, 64
+#: Rows that are swept at once; each holds a number for every point.
+SWEPT = 512
 
 
 def targets(df: DataFrame, lumen: str, efficacy: str, optical: str, power: str) -> DataFrame:
@@ -134,35 +136,61 @@ def _with_factors(catalogue: DataFrame, efficacy: float, temperature: float) ->
     )
 
 
+def _rows(curves: pd.Series) -> np.ndarray:
+    """Arrays of coefficients as the rows of a matrix, filled up with zeros; a null array is all NaN."""
+    some = [c for c in curves if c is not None]
+    out = np.zeros((len(curves), max(map(len, some), default=0) or 1))
+    for row, c in zip(out, curves, strict=True):
+        row[: None if c is None else len(c)] = np.nan if c is None else c
+    return out
+
+
+def _swept(k_eta: np.ndarray, k_phi: np.ndarray, top: np.ndarray, fiv: np.ndarray, fil: np.ndarray, n: int, low: float) -> pd.DataFrame:
+    """The sweeps of some rows, all currents of a row in one line of a matrix."""
+    k_eta, k_phi = k_eta[:, None], k_phi[:, None]
+
+    def f(x: np.ndarray) -> np.ndarray:
+        flux = _poly(fil[:, :, None], x)
+        value = k_eta * (x / 1000) * _poly(fiv[:, :, None], x) - k_phi * np.where(flux == 0, 1.0, flux)
+        return np.where(np.isnan(value), 0.0, value)
+
+    rows = np.arange(len(top))
+    step = (np.log10(top) - np.log10(low)) / (n - 1)
+    x = np.power(10.0, np.log10(low) + np.arange(n) * step[:, None])
+    value = f(x)
+    signs = value[:, :-1] * value[:, 1:] <= 0
+    changes, first = signs.any(axis=1), signs.argmax(axis=1)
+    a, fa, b = x[rows, first][:, None], value[rows, first][:, None], x[rows, first + 1][:, None]
+    for _ in range(HALVINGS):
+        middle = (a + b) / 2
+        at = f(middle)
+        left = fa * at <= 0
+        a, fa, b = np.where(left, a, middle), np.where(left, fa, at), np.where(left, middle, b)
+    nearest = np.abs(value).argmin(axis=1)
+    root = pd.Series(((a + b) / 2)[:, 0]).astype(object).where(changes, None)
+    return pd.DataFrame({"sign_change": changes, "nearest_if": x[rows, nearest], "f_at_nearest": value[rows, nearest], "greatest_f": value.max(axis=1), "root": root})
+
+
 def sweep(catalogue: DataFrame, efficacy: float, temperature: float, n: int = SWEEP, low: float = LOWEST) -> DataFrame:
     """``id, sign_change, nearest_if, f_at_nearest, greatest_f, root`` of each row with a positive greatest current.
 
     The objective at ``n`` currents in equal ratios from ``low`` to the greatest: whether it changes sign (or is 0) between neighbours, where it is nearest to
     0 (the first of equals) and its greatest value. The first change of sign is halved until the bracket has no number inside; ``root`` is null
-    without one. All in expressions over arrays of a row.
+    without one. A task evaluates ``SWEPT`` rows at once, whatever its batch.
     """
     rows = _with_factors(catalogue, efficacy, temperature).withColumn("top", number(F.col("if_max"))).where("top > 0")
-    f = lambda x: _sound(objective(x, F.col("k_eta"), F.col("k_phi"), F.col("fiv"), F.col("fil")), 0.0)
-    step = (F.log10("top") - F.log10(F.lit(low))) / (n - 1)
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pow(F.lit(10.0), F.log10(F.lit(low)) + i * step))
-    rows = rows.withColumn("points", F.transform(at, lambda x: F.struct(x.alias("x"), f(x).alias("f"))))
-    pairs = F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), lambda p, q: F.struct(p["x"].alias("a"), p["f"].alias("fa"), q["x"].alias("b"), q["f"].alias("fb")))
-    rows = rows.withColumn("bracket", F.get(F.filter(pairs, lambda p: p["fa"] * p["fb"] <= 0), F.lit(0)))
-    nearest = F.array_min(F.transform("points", lambda p, i: F.struct(F.abs(p["f"]).alias("size"), i.alias("i"), p["x"].alias("x"), p["f"].alias("f"))))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = (state["a"] + state["b"]) / 2
-        value = f(middle)
-        left = state["fa"] * value <= 0
-        return F.struct(F.when(left, state["a"]).otherwise(middle).alias("a"), F.when(left, state["fa"]).otherwise(value).alias("fa"), F.when(left, middle).otherwise(state["b"]).alias("b"))
-
-    start = F.struct(F.col("bracket.a").alias("a"), F.col("bracket.fa").alias("fa"), F.col("bracket.b").alias("b"))
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: (s["a"] + s["b"]) / 2)
-    rows = rows.withColumn("nearest", nearest)
-    return rows.select(
-        "id", F.col("bracket").isNotNull().alias("sign_change"), F.col("nearest.x").alias("nearest_if"), F.col("nearest.f").alias("f_at_nearest"),
-        F.array_max(F.transform("points", lambda p: p["f"])).alias("greatest_f"), F.when(F.col("bracket").isNotNull(), root).alias("root"),
-    )
+
+    @F.pandas_udf("sign_change boolean, nearest_if double, f_at_nearest double, greatest_f double, root double")
+    def swept(k_eta: pd.Series, k_phi: pd.Series, top: pd.Series, fiv: pd.Series, fil: pd.Series) -> pd.DataFrame:
+        parts = []
+        with np.errstate(all="ignore"):
+            for i in range(0, len(top), SWEPT):
+                some = slice(i, i + SWEPT)
+                parts.append(_swept(*(s[some].to_numpy(dtype=float) for s in (k_eta, k_phi, top)), _rows(fiv[some]), _rows(fil[some]), n, low))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["sign_change", "nearest_if", "f_at_nearest", "greatest_f", "root"])
+
+    whole = lambda curve: F.transform(curve, lambda c: F.coalesce(c.cast("double"), F.lit(0.0)))
+    return rows.select("id", swept("k_eta", "k_phi", "top", whole("fiv"), whole("fil")).alias("_s")).select("id", "_s.*")
 
 
 def solve(catalogue: DataFrame, efficacy: float, lumen: float, temperature: float) -> DataFrame:

@@ -139,6 +139,28 @@ def test_layouts_match_search(spark):
     assert sorted(got) == sorted(wanted)
 
 
+def test_sweep_evaluates_each_point_once(spark):
+    """The curves are evaluated once a point, in arrays; odd coefficients and currents have the results that they had."""
+    kind = "id int, lm_test double, if_max double, fiv array<double>, fil array<double>, ftl array<double>, ftv array<double>"
+    good = ([2.6, 0.0012], [0.02, 0.0098, -0.000004], [1.0], [1.0])
+    rows_ = spark.createDataFrame(
+        [(1, 130.0, 500.0, *good), (2, 130.0, 500.0, [2.6, None, 0.0], *good[1:]), (3, 130.0, 500.0, None, *good[1:]), (4, 130.0, 500.0, [float("nan")], *good[1:]), (5, 130.0, 0.0, *good), (6, None, 500.0, *good)], kind
+    )
+    out = P.sweep(rows_, 330.0, 65.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lambda x_") < 30
+    got = {r["id"]: r for r in out.collect()}
+    assert sorted(got) == [1, 2, 3, 4, 6]
+    for i, fiv in ((1, (2.6, 0.0012)), (2, (2.6,))):
+        f = lambda x: 330 * (x / 1000) * sum(c * x**k for k, c in enumerate(fiv)) - 130 * (0.02 + 0.0098 * x - 0.000004 * x * x)  # noqa: B023, E731
+        at = [10 ** (-3 + k * (math.log10(500) + 3) / 599) for k in range(600)]
+        assert got[i]["sign_change"] == any(f(a) * f(b) <= 0 for a, b in zip(at, at[1:], strict=False))
+        assert math.isclose(got[i]["nearest_if"], min(at, key=lambda x: abs(f(x)))) and math.isclose(got[i]["greatest_f"], max(map(f, at)))
+        assert got[i]["root"] is None or abs(f(got[i]["root"])) < 1e-6
+    for i in (3, 4):  # no number anywhere counts as 0, so the first two points have a change of sign
+        assert got[i]["sign_change"] and got[i]["greatest_f"] == 0 and math.isclose(got[i]["root"], 0.001)
+    assert got[6]["greatest_f"] > 0
+
+
 def test_sweep_agrees_with_the_solver(spark):
     rows_ = numeric.catalogue(spark, SMALL)
     solved = {r["id"]: r for r in P.solve(rows_, 330.0, 20000.0, 65.0).collect()}
