@@ -68,7 +68,8 @@ picks(query_id, pick, chosen) AS (
 )
 SELECT query_id, chosen[-1] AS vec_id, pick::INTEGER AS pick FROM picks WHERE pick > 0""")
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.diverse(_search(spark, sf_dir, R.FETCH), R.KEEP, 0.5)
+    found = _search(spark, sf_dir, R.FETCH)
+    return R.diverse(R.with_vectors(found, table(spark, sf_dir, "embeddings")), R.KEEP, 0.5)
 
 
 @query(_SCORED + """, texts AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -43,6 +44,25 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     assert rows(R.search(e, asked, "label", 5).drop("embedding"), "query_id", "rank") == whole and len(whole) == 200
 
 
+def test_search_equals_all_pairs(spark, monkeypatch):
+    """Blocks give what scoring, removing copies and ranking of all pairs give, with copies, ties, nulls, odd vectors and null ids; no vector goes along."""
+    rng = np.random.default_rng(5)
+    some = [[float(np.float32(x)) for x in rng.integers(-2, 3, 4) / 4] for _ in range(60)]
+    near = [[1.0, 1e-7 * i, 0.0, 0.5] for i in range(40)]
+    odd = [None, [1.0, None, 0.0, 0.0], [1.0], [float("nan"), 0.0, 0.0, 0.0], [1e9, 0.0, 0.0, 0.0], [0.0] * 4, []]
+    e = [(i if i != 7 else None, v, i % 3 if i % 5 else None) for i, v in enumerate(some + near + [some[0]] * 50 + odd)]
+    df = spark.createDataFrame(e, "vec_id long, embedding array<double>, label int")
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate([*some[:5], [0.0] * 4, [0.5, 3.0, 1.0], [1.0, 1.0, None, 0.0], [0.0000005, 0.5, 0.25, 1.0]])], "query_id long, query_vec array<double>")
+    monkeypatch.setattr(R, "NUMBERS", 200)
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 4)
+    for k in (1, 3, 7, 500):
+        plain = R.top_k(R.dedup(R.score(df, asked), "label"), k).select("query_id", "vec_id", "label", "score", "rank")
+        found = R.search(df, asked, "label", k)
+        assert found.columns == plain.columns
+        assert list(map(repr, rows(found, "query_id", "rank"))) == list(map(repr, rows(plain, "query_id", "rank")))
+    assert R.search(df, asked.limit(0), "label", 3).count() == 0 and R.search(df.limit(0), asked, "label", 3).count() == 0
+
+
 def test_all_rows(spark):
     n = spark.read.parquet(f"{SMALL}/events.parquet").count()
     assert catalogue.QUERIES["repeat_reads"](spark, SMALL).count() == n
