@@ -326,3 +326,17 @@ def test_plans_push_down(spark):
     plan = tabular.query.queries["semi_with_solution"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,100000.0)" in plan
     assert "o_orderpriority" not in plan
+
+
+def test_resolve_meets_equal_records_and_values_once(spark, monkeypatch):
+    """Copies of records and of values do not meet each other; the least id of equal records wins, and one with several names keeps them all."""
+    names = ["Alpha lamp", "Beta lamp", "Gamma"]
+    records = spark.createDataFrame([(i, names[i % 3]) for i in range(60)], "id long, name string")
+    inputs = spark.createDataFrame([(i, ["alpha  lamp", "~beta*lamp~", "gama", "qqq", None][i % 5]) for i in range(50)], "input_id long, value string")
+    seen, whole = [], E.longest_match
+    monkeypatch.setattr(E, "longest_match", lambda i, r, f: seen.append((i.count(), r.count())) or whole(i, r, f))
+    assert [r for r in rows(E.resolve(inputs, records, ["name"]), "input_id") if r[0] % 5 != 3] == [(i, [0, 1, 2, None, None][i % 5]) for i in range(50) if i % 5 != 3]
+    assert set(seen) == {(5, 3)}
+    several = records.unionByName(spark.createDataFrame([(0, "Delta"), (1, "Delta")], "id long, name string"))
+    delta = spark.createDataFrame([(1, "delta"), (2, "GAMMA")], "input_id long, value string")
+    assert rows(E.resolve(delta, several, ["name"]), "input_id") == [(1, 0), (2, 2)]
