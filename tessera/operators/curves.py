@@ -17,6 +17,8 @@ _RESULT = "degree int, coefficients array<double>, rmse double, r2 double, endpo
 PASS_R2, PASS_RELATIVE, PASS_END, FAIL_R2 = 0.995, 0.03, 0.08, 0.97
 #: Points of one curve that a robust fit uses (a fixed value): an even pick of more.
 MOST_POINTS = 600
+#: Curves up to which their ranges and coefficients are broadcast.
+CURVES = 10_000
 
 
 def to_units(x: Column, y: Column, width: Column, height: Column, axes: dict, swap: bool = False) -> tuple[Column, Column]:
@@ -111,13 +113,15 @@ def fit(points: DataFrame, key: str, x: str = "x", y: str = "y", least: int = 1,
         F.min(point)["y"].alias("first_y"), F.max(point)["y"].alias("last_y"),
     )
     ranges = checkpointed(ranges)
-    placed = known.join(ranges, key).withColumns({f"t{k}": c for k, c in enumerate(_basis(F.col("x"), F.col("low"), F.col("high"), 2 * most))})
+    # few curves go to their points; else points are dealt by curve, and one curve's would lie in one task
+    sent = F.broadcast if ranges.count() <= CURVES else lambda one: one
+    placed = known.join(sent(ranges), key).withColumns({f"t{k}": c for k, c in enumerate(_basis(F.col("x"), F.col("low"), F.col("high"), 2 * most))})
     sums = placed.groupBy(key).agg(
         F.array(*[F.sum(f"t{k}") for k in range(2 * most + 1)]).alias("t"), F.array(*[F.sum(F.col(f"t{k}") * F.col("y")) for k in range(most + 1)]).alias("b"),
     )
     solved = checkpointed(ranges.join(sums, key).withColumn("solved", _solver(least, most)("distinct", "t", "b")))
     degrees = range(least, most + 1)
-    placed = known.join(solved, key).withColumns({f"t{k}": c for k, c in enumerate(_basis(F.col("x"), F.col("low"), F.col("high"), most))})
+    placed = known.join(sent(solved), key).withColumns({f"t{k}": c for k, c in enumerate(_basis(F.col("x"), F.col("low"), F.col("high"), most))})
     said = {f"r{d}": F.col("y") - sum((F.col("solved")[d - least][k] * F.col(f"t{k}") for k in range(d + 1)), F.lit(0.0)) for d in degrees}
     errors = placed.withColumns(said).groupBy(key).agg(
         F.array(*[F.sum(F.col(f"r{d}") * F.col(f"r{d}")) for d in degrees]).alias("squared"),

@@ -340,3 +340,16 @@ def test_resolve_meets_equal_records_and_values_once(spark, monkeypatch):
     several = records.unionByName(spark.createDataFrame([(0, "Delta"), (1, "Delta")], "id long, name string"))
     delta = spark.createDataFrame([(1, "delta"), (2, "GAMMA")], "input_id long, value string")
     assert rows(E.resolve(delta, several, ["name"]), "input_id") == [(1, 0), (2, 2)]
+
+
+def test_points_of_a_curve_are_not_gathered(spark):
+    """Few curves go to their points, so no task gets all points of a curve."""
+    points = spark.range(300).selectExpr("id % 2 as c", "cast(id as double) as x", "cast(3 * id + 1 as double) as y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.fit(points, "c", least=1, most=1)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert all(math.isclose(r["coefficients"][1], 3) and r["status"] == "pass" for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
