@@ -8,6 +8,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -17,6 +18,8 @@ from tessera.functions.fidelity import sanitize
 
 #: Words of a chunk at most, and words up to which a block is dropped (fixed values).
 MOST_WORDS, DROP_WORDS = 500, 10
+#: Characters of text whose chunks a Python worker holds at once.
+PART = 1 << 21
 
 _PARAGRAPH, _SENTENCE, _SPACE = re.compile(r"\n\s*\n+"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+")
 
@@ -223,11 +226,23 @@ def markdown_sections(text: str | None, flush: int = 2000, least: int = 80) -> l
 
 
 def split_udf(split, *args) -> Column:
-    """A Python splitter as a column function from text to an array of texts, in Arrow batches."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split(t, *args))
+    """A Python splitter as a column function from text to an array of texts; what a batch gives goes back in parts of at most about ``PART`` characters of text."""
+
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.string())
+        for texts in batches:
+            held: list[list[str]] = []
+            weight = 0
+            for t in texts:
+                text = t.as_py()
+                held.append(split(text, *args))
+                weight += len(text or "")
+                if weight >= PART:
+                    yield pa.array(held, kind)
+                    held, weight = [], 0
+            if held or not len(texts):
+                yield pa.array(held, kind)
 
     return run
 

@@ -12,6 +12,7 @@ from tessera.functions import fidelity as P
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import chunking as C
+from tests.conftest import rows
 
 
 def apply(spark, f, values, kind="string"):
@@ -225,3 +226,18 @@ def test_chunk_tags(spark):
     tagged = C.chunk(df)
     found = sorted((r["doc_id"], r["chunk_index"], r["chunk_total"], r["word"], r["status"]) for r in tagged.collect())
     assert found == [(1, 1, 1, 10, "dropped"), (2, 1, 1, 11, "kept"), (3, 1, 2, 500, "split"), (3, 2, 2, 1, "split"), (4, 1, 1, 0, "dropped")]
+
+
+def test_split_batches_leave_in_parts(spark, monkeypatch):
+    """A worker hands over the chunks of some texts before it splits the next ones."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "PART", 10)
+    made = []
+    run = C.split_udf(lambda t: made.append(t) or (t or "").split()).func
+    parts = run(iter([pa.array(["a b c d e f", "g h", None, "", "i j k l m"])]))
+    assert next(parts).to_pylist() == [["a", "b", "c", "d", "e", "f"]] and len(made) == 1
+    assert [p.to_pylist() for p in parts] == [[["g", "h"], [], [], ["i", "j", "k", "l", "m"]]]
+    texts = ["a b c d e f", None, "g h", "", "i j k l m n"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(2)
+    assert rows(df.select("i", C.split_udf(lambda t: (t or "").split())(F.col("t")).alias("s")), "i") == [(i, (t or "").split()) for i, t in enumerate(texts)]
