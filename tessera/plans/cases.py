@@ -22,7 +22,7 @@ from tessera.operators import quote as Q
 from tessera.operators import tables as B
 from tessera.plans.numeric import catalogue, snapshots
 from tessera.plans.registry import Registry
-from tessera.session import table
+from tessera.session import checkpointed, table
 from tessera.sources import files as S
 from tessera.streaming import grid as G
 from tessera.streaming import review as V
@@ -101,9 +101,10 @@ def raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     whole = F.concat(head, F.when(has, F.concat(F.lit('Content-Type: multipart/mixed; boundary="=q"\n\n--=q\n'), plain, note)).otherwise(plain))
     d = table(spark, sf_dir, "documents").where("text is not null and text != ''")
-    mails = S.parse_mails(d.select(whole.cast("binary").alias("raw")))
+    # stored without the bodies, for two uses of one parsing
+    mails = checkpointed(S.parse_mails(d.select(whole.cast("binary").alias("raw"))).select("message_id", "subject", "sender", F.md5("body").alias("body_md5"), "attachments"))
     notes = S.parse_attachments(mails, {".txt": lambda b: [b.decode()]}).select("message_id", "name", F.md5("text").alias("note_md5"))
-    told = mails.select("message_id", "subject", "sender", F.md5("body").alias("body_md5"))
+    told = mails.drop("attachments")
     return told.join(notes, "message_id", "left")
 
 

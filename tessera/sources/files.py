@@ -11,6 +11,7 @@ import email.policy
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,9 +85,24 @@ def body_of(message: email.message.EmailMessage) -> str:
 MAIL = "message_id string, subject string, date string, sender string, recipients string, body string, attachments array<struct<name:string,content:binary>>"
 
 
+@lru_cache(maxsize=1024)
+def _header(name: str, value: str) -> str:
+    return email.policy.default.header_fetch_parse(name, value)
+
+
+class _Remembering(email.policy.EmailPolicy):
+    """The default policy, which parses a header anew whenever it is asked for, with a memory for the last ones."""
+
+    def header_fetch_parse(self, name: str, value: str) -> str:
+        return value if hasattr(value, "name") else _header(name, value)
+
+
+_POLICY = _Remembering()
+
+
 def parsed_mail(raw: bytes) -> dict | None:
     """The fields of one mail; null without a Message-ID."""
-    m = email.message_from_bytes(raw, policy=email.policy.default)
+    m = email.message_from_bytes(raw, policy=_POLICY)
     if not m["Message-ID"]:
         return None
     files = [{"name": a.get_filename() or "", "content": a.get_payload(decode=True) or b""} for a in m.iter_attachments()]

@@ -173,3 +173,21 @@ def test_review_versions(spark):
     df = spark.createDataFrame([(body,), ("none",)], "b string")
     got = [r[0] for r in df.select(V.last_state(F.col("b"))).collect()]
     assert tuple(got[0]) == (3, "three") and got[1] is None
+
+
+def test_headers_of_a_mail_are_parsed_once(monkeypatch):
+    """A header is parsed once, however often it is asked for; the fields are those that the default policy gives."""
+    import email.policy
+
+    from tessera.sources import files
+
+    seen = []
+    whole = email.policy.default.header_factory
+    monkeypatch.setattr(type(email.policy.default), "header_fetch_parse", lambda self, name, value: seen.append(name) or whole(name, "".join(value.splitlines())))
+    raw = b'Message-ID: <once@x>\nSubject: =?utf-8?q?=C3=A9?=\n more\nFrom: a@b\nTo: c@d\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="=once"\n\n'
+    raw += b'--=once\nContent-Type: text/plain; charset=utf-8; x=once\n\nbody\n--=once\nContent-Type: text/x-once\nContent-Disposition: attachment; filename="once.txt"\n\nnote\n--=once--\n'
+    files._header.cache_clear() if hasattr(files, "_header") else None
+    got = files.parsed_mail(raw)
+    assert (got["message_id"], got["subject"], got["sender"], got["recipients"], got["body"]) == ("once@x", "é more", "a@b", "c@d", "body")
+    assert [(a["name"], a["content"]) for a in got["attachments"]] == [("once.txt", b"note")]
+    assert seen and max(seen.count(n) for n in ("Message-ID", "Subject", "From", "To", "Date")) == 1 and len(seen) < 12
