@@ -121,6 +121,12 @@ def mail_raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.raw_blocks(mails, "id")
 
 
+def _shown(code: str) -> str:
+    """Who sells, and how many in the first line, of a text of assignments."""
+    found = P.assignments(code)
+    return f"{found['salesperson']}|{found['order_lines'][0]['q']}"
+
+
 @query("""SELECT p_partkey AS id, 'pre ' || p_name || '|<<<PAGE_BREAK_' || p_partkey || '>>>|body|<<<PAGE_BREAK_T2>>>|x' AS pages, p_name || '|' || p_partkey AS fields, 'one ' || p_name || ' two.|Three:|' || p_partkey || '|Four' AS joined,
   'a|b ' || p_name || '#On Monday X wrote:||old' AS wrote, 'l|l|l|l|l|l#' || p_name || '|From: a|To: b|Subject: c|x|y|z|z|z' AS heads, '{"a": {"b": ' || p_partkey || ', "c": 2}, "d": [2]}' AS merged, 'New ' || p_name || '||old' AS noted,
   CASE WHEN p_partkey % 2 = 0 THEN 'a|---|[[' || p_name || ']]|b' ELSE '[[' || p_name || ']]|b' END AS linked FROM part""")
@@ -131,11 +137,10 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda f: (lambda c: F.replace(P.udf(f)(c), F.lit("\n"), F.lit("|")))
     pages = text("pre ", name, "\n", n, "\nUL 1598\nbody\nUL 1598\nT2\nx")
     code = text("self.salesperson='", name, "'\nself.company='b'\nself.customer='c'\nself.x_studio_customer_po_number='d'\nself.order_lines=[{'q': ", n, "}]\nother = 1")
-    shown = lambda t: f"{P.assignments(t)['salesperson']}|{P.assignments(t)['order_lines'][0]['q']}"
     heads = text("l\n" * 6, name, "\nFrom: a\nTo: b\nSubject: c\nx\ny\nz\nz\nz")
     nested = text('{"a": {"b": ', n, '}, "d": [2]}')
     return table(spark, sf_dir, "part").select(
-        _n().alias("id"), told(P.page_marks)(pages).alias("pages"), P.udf(shown)(code).alias("fields"),
+        _n().alias("id"), told(P.page_marks)(pages).alias("pages"), P.udf(_shown)(code).alias("fields"),
         told(lambda t: "|".join(K.rejoin(t.split("|"))))(text("one ", name, "| two.|Three:| ", n, "|Four")).alias("joined"),
         told(lambda t: "#".join(O.split_on_wrote(t)))(text("a\nb ", name, "\nOn Monday X wrote:\n\nold")).alias("wrote"), told(lambda t: "#".join(O.split_on_headers(t)))(heads).alias("heads"),
         P.udf(lambda t: json.dumps(S.merged({"a": {"b": 1, "c": 2}, "d": [1]}, json.loads(t))))(nested).alias("merged"),

@@ -241,3 +241,12 @@ def test_split_batches_leave_in_parts(spark, monkeypatch):
     texts = ["a b c d e f", None, "g h", "", "i j k l m n"] * 30
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(2)
     assert rows(df.select("i", C.split_udf(lambda t: (t or "").split())(F.col("t")).alias("s")), "i") == [(i, (t or "").split()) for i, t in enumerate(texts)]
+
+
+def test_assignments_are_read_once(monkeypatch):
+    from tessera.plans import cases
+
+    seen, whole = [], P.assignments
+    monkeypatch.setattr(P, "assignments", lambda t: seen.append(t) or whole(t))
+    code = "self.salesperson='a'\nself.company='b'\nself.customer='c'\nself.x_studio_customer_po_number='d'\nself.order_lines=[{'q': 3}]\nother = 1"
+    assert cases._shown(code) == "a|3" and len(seen) == 1
